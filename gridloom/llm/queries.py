@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, language_id, media, mixing, packing, simhash, suffix_tree, token_counts
+from gridloom.llm import exact_dedup, language_id, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_packing": packing.op5_packing,
     "op7_suffix_tree_scores": suffix_tree.op7_suffix_tree_scores,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
