@@ -74,7 +74,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), limit: int = 3, seed: int = 42) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, times (copies of it in the mix).
 
     Sources in code point order, null last, take ``weights`` in turn and share the size of all documents by them; no
     target exceeds ``limit`` times its source's size. A source takes whole copies of all its documents while they fit,
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = spread_cumsum(rows, ["source", "size"], None, "rank", ["doc_id"], "h")
     ranked = ranked.join(extra, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")), "left")
     times = F.col("copies") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)
-    return ranked.join(plan, here).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"))
+    return ranked.join(plan, here).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, language_id, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts
+from gridloom.llm import exact_dedup, language_id, line_templates, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_media_columns": media.op3_media_columns,
     "op4_simhash_near_dedup": simhash.op4_simhash_near_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_line_dedup": line_templates.op6_line_dedup,
     "op7_suffix_tree_scores": suffix_tree.op7_suffix_tree_scores,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
