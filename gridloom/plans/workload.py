@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import catalog
+from gridloom.plans import catalog, scalar
+
+MODULES = (scalar,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
