@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import catalog, scalar
+from gridloom.plans import catalog, joins, scalar
 
-MODULES = (scalar,)
+MODULES = (scalar, joins)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
