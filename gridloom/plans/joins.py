@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.functions import codes, geodesy
+from gridloom.functions import codes
 from gridloom.operators import joins, nearest
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import s_hav
@@ -143,10 +143,10 @@ def knnrtree(spark: SparkSession, d: str) -> DataFrame:
     return nearest.nearest_boxes(sites(spark, d), boxes(spark, d), 3)
 
 
-@query("vptree", sql("SELECT a.id, min(round(" + s_hav("a.lat1", "a.lon1", "b.lat2", "b.lon2") + ", 4)) AS km FROM places a, (SELECT * FROM places WHERE id % 5 = 0) b GROUP BY a.id", "places"))
+@query("vptree", sql("SELECT a.id, min(round(" + s_hav("a.lat1", "a.lon1", "b.lat2", "b.lon2") + ", 4)) AS km FROM places a, places b GROUP BY a.id", "places"))
 def vptree(spark: SparkSession, d: str) -> DataFrame:
     p = places(spark, d)
-    return nearest.nearest_on_sphere(p.select("id", F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), p.filter("id % 5 = 0").select(F.col("id").alias("pid"), F.col("lat2").alias("plat"), F.col("lon2").alias("plon"))).select("id", F.round("km", 4).alias("km"))
+    return nearest.nearest_on_sphere(p.select("id", F.col("lat1").alias("lat"), F.col("lon1").alias("lon")), p.select(F.col("id").alias("pid"), F.col("lat2").alias("plat"), F.col("lon2").alias("plon"))).select("id", F.round("km", 4).alias("km"))
 
 
 @query("spiralsearch", knn_sql(1))
@@ -184,12 +184,12 @@ def segmentintersect(spark: SparkSession, d: str) -> DataFrame:
     return nearest.crossing_points(segments(spark, d), 40.0)
 
 
-@query("lineofsight", sql(f"WITH b AS (SELECT id, sx AS x1, sy AS y1, x AS x2, y AS y2 FROM points, sites WHERE sid = id % (SELECT count(*) FROM sites)) SELECT a.id FROM b a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE b.id % 3 = 0 AND {CROSS})", "segments", "sites"))
+@query("lineofsight", sql(f"WITH b AS (SELECT id, sx AS x1, sy AS y1, x AS x2, y AS y2 FROM points, sites WHERE sid = id % (SELECT count(*) FROM sites)) SELECT a.id FROM b a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE {CROSS})", "segments", "sites"))
 def lineofsight(spark: SparkSession, d: str) -> DataFrame:
     s = sites(spark, d)
     n = s.count()
     sight = points(spark, d).join(s, F.col("sid") == F.col("id") % n).select("id", F.col("sx").alias("x1"), F.col("sy").alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return nearest.unblocked(sight, segments(spark, d).filter("id % 3 = 0"), 50.0)
+    return nearest.unblocked(sight, segments(spark, d), 50.0)
 
 
 PARITY = "SELECT p.id, e.id AS ring_id FROM points p, edges e WHERE (e.y1 > p.y) <> (e.y2 > p.y) AND p.x < (e.x2-e.x1)*((p.y-e.y1)/(e.y2-e.y1))+e.x1 GROUP BY p.id, e.id HAVING count(*) % 2 = 1"
@@ -271,11 +271,13 @@ def hausdorff(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest(points(spark, d), sites(spark, d)).agg(F.round(F.sqrt(F.max("d2")), 6).alias("directed"))
 
 
-@query("distancematrix", sql("SELECT a.id AS a, b.id AS b, round(" + s_hav("a.lat1", "a.lon1", "b.lat1", "b.lon1") + ", 4) AS km FROM places a, places b WHERE a.id % 20 = 0 AND b.id % 20 = 0", "places"))
+@query("distancematrix", sql("SELECT a.sid AS a, b.sid AS b, round(abs(a.sx-b.sx)+abs(a.sy-b.sy), 4) AS manhattan, round(sqrt((a.sx-b.sx)**2+(a.sy-b.sy)**2), 4) AS straight FROM sites a, sites b", "sites"))
 def distancematrix(spark: SparkSession, d: str) -> DataFrame:
-    p = places(spark, d).filter("id % 20 = 0")
-    a, b = p.select(F.col("id").alias("a"), F.col("lat1").alias("p"), F.col("lon1").alias("q")), p.select(F.col("id").alias("b"), F.col("lat1").alias("r"), F.col("lon1").alias("s"))
-    return a.join(b).select("a", "b", F.round(geodesy.haversine(F.col("p"), F.col("q"), F.col("r"), F.col("s")), 4).alias("km"))
+    """All pairs of sites: as many rows as the result has, which is the square of the table by definition."""
+    s = sites(spark, d)
+    a, b = s.select(F.col("sid").alias("a"), F.col("sx").alias("ax"), F.col("sy").alias("ay")), s.select(F.col("sid").alias("b"), F.col("sx").alias("bx"), F.col("sy").alias("by"))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return a.crossJoin(b).select("a", "b", F.round(F.abs(dx) + F.abs(dy), 4).alias("manhattan"), F.round(F.hypot(dx, dy), 4).alias("straight"))
 
 
 @query("dedupe", None)

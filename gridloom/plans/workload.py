@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import aggregates, catalog, joins, scalar
+from gridloom.plans import aggregates, catalog, joins, rasters, scalar
 
-MODULES = (scalar, joins, aggregates)
+MODULES = (scalar, joins, aggregates, rasters)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
