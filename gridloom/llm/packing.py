@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -12,7 +13,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, spread_cumsum, written
+from gridloom.llm.common import filled, small_batches, spread_cumsum, written
+from gridloom.llm.token_counts import byte_letters
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -20,7 +22,9 @@ LENGTH = 4096
 #: One document in so many is not packed by pattern but cut into the gaps that patterns leave.
 FILLERS = 16
 #: Words that a worker's cache holds before it is emptied; the ids don't depend on it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+# Latin letters, then marks other than the apostrophe; neither can be part of a special string.
+PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def length_class(n: int) -> int:
@@ -95,24 +99,51 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
 
 
 class WordIds:
-    """A document's ids as little-endian bytes. White space always ends a word of this vocabulary, so words are encoded once."""
+    """A document's ids as little-endian bytes. White space always ends a word of this vocabulary, so words are encoded once.
+
+    Latin letters and the marks after them are pieces of their own for the vocabulary: letters go to the library's
+    merging model directly, in the stand-in letters of their bytes; all other words go through the whole library.
+    """
 
     def __init__(self, vocabulary: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(vocabulary)
+        self.merge = self.library.model.tokenize
+        letters = byte_letters()
+        self.stand_in = {ord(c): "".join(letters[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
         self.words: dict[bytes, bytes] = {}
+        self.runs: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if not (plain := PLAIN(text.lower())):
+            return self.whole(text)
+        run, marks = plain.groups()
+        runs = self.runs
+        if (ids := runs.get(run)) is None:
+            ids = runs[run] = array("I", [t.id for t in self.merge(run.translate(self.stand_in))]).tobytes()
+        if not marks:
+            return ids
+        if (tail := runs.get(marks)) is None:
+            tail = runs[marks] = self.whole(marks)
+        return ids + tail
 
     def ids(self, text: str) -> bytes:
         data = text.encode()
         words = (data if b"<|" in data else data.lower()).split()  # special strings have their case
         known = self.words
-        if new := list(set(words).difference(known)):
+        if new := set(words).difference(known):
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
+                new = set(words)
+            if len(self.runs) > CACHE_WORDS:
+                self.runs.clear()
+            for w in new:
+                known[w] = self.word(w)
         return b"".join(map(known.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
 
@@ -167,7 +198,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     which need no padding. Ids may be null or repeat: every row is packed. Other columns are not read; an empty table gives none.
     """
     spark = docs.sparkSession
-    rows = written(tokenized(docs, vocabulary, id_col, text_col), "tokens")
+    with small_batches(spark):
+        rows = written(tokenized(docs, vocabulary, id_col, text_col), "tokens")
     whole = rows.filter(F.size("full_crcs") > 0)
     whole = spread_cumsum(whole, [], F.size("full_crcs"), "base", ["doc_id"], "h").select("doc_id", "doc_tokens", "base", F.posexplode("full_crcs").alias("k", "ids_crc32"))
     whole = whole.select("doc_id", (F.col("k") * LENGTH).cast("long").alias("start"), F.lit(LENGTH).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("base") + F.col("k")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
