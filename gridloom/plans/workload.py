@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import aggregates, catalog, joins, rasters, scalar
+from gridloom.plans import aggregates, catalog, joins, rasters, scalar, shapes
 
-MODULES = (scalar, joins, aggregates, rasters)
+MODULES = (scalar, joins, aggregates, rasters, shapes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
