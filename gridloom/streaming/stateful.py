@@ -13,13 +13,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def windowed(events: DataFrame, length: str, slide: str | None = None, lateness: str = "1 hour") -> DataFrame:
     """Events per window and type; works on a stream (late rows beyond the watermark are dropped) and on a table."""
     w = F.window("ts", length, slide) if slide else F.window("ts", length)
-    df = events.withWatermark("ts", lateness) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness) if events.isStreaming else events
     return df.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, lateness: str = "1 hour") -> DataFrame:
     """Sessions of each user that end after a gap."""
-    df = events.withWatermark("ts", lateness) if events.isStreaming else events
+    df = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness) if events.isStreaming else events
     return df.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
