@@ -16,6 +16,8 @@ from gridloom.llm.common import filled, written
 BITS = 64
 #: Fingerprints in a bucket that are compared with one another in one call; larger buckets are masked further.
 BUCKET = 256
+#: Free bits from which buckets are compared whatever their size.
+FREE = 10
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -50,10 +52,13 @@ def covering_masks(positions: list[int], radius: int) -> list[int]:
 
     Each position has a non-zero vector of radius + 1 bits, and each mask a non-zero vector too: the mask has the
     positions whose vector's scalar product with its own is odd. The vectors of ``radius`` positions don't span the space,
-    so some mask's vector is orthogonal to all of them.
+    so some mask's vector is orthogonal to all of them. All positions' vectors have the highest bit and are spread over the
+    others, so a mask has about half of the positions, or all.
     """
-    kinds = (1 << radius + 1) - 1
-    return [sum(1 << p for k, p in enumerate(positions) if (u & 1 + k % kinds).bit_count() % 2) for u in range(1, kinds + 1)]
+    half = 1 << radius
+    step = int(half * 0.618) | 1
+    vectors = [half | k * step % half for k in range(len(positions))]
+    return [sum(1 << p for p, v in zip(positions, vectors, strict=True) if (u & v).bit_count() % 2) for u in range(1, 2 * half)]
 
 
 def signed(x: int) -> int:
@@ -87,21 +92,22 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
 
     Each fingerprint goes to one bucket per covering mask. A bucket of two is compared at once; one of up to BUCKET
     is compared in an array and yields no more links than it has members; a larger one is dealt out anew by covering
-    masks over the bits that its mask leaves free. Each level halves the free bits (64, about 30, 14, 7), and
-    2**7 fingerprints at most can differ in 7 bits, so all buckets are done at the third level: no pair is lost and
+    masks over the bits that its mask leaves free. Every level leaves fewer bits free (half of them or less at radius 3), and
+    where FREE bits are left, a bucket can't hold more than 2**FREE fingerprints and is compared: no pair is lost and
     no bucket, however hot, has its pairs listed.
     """
     masks = covering_masks(list(range(BITS)), radius)
     rows = prints.select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("table", "mask"))
     found = None
     while True:
+        most = BUCKET if min(m.bit_count() for m in masks) < BITS - FREE else 1 << FREE
         rows = rows.select("fp", "table", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         sizes = written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
         two = sizes.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-        members = rows.join(sizes.filter(f"n between 3 and {BUCKET}").select("table", "key"), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
+        members = rows.join(sizes.filter(f"n between 3 and {most}").select("table", "key"), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
         some = members.select(F.explode(bucket_links(radius)("fps")).alias("l")).select("l.a", "l.b")
         found = two.union(some) if found is None else found.union(two).union(some)
-        large = sizes.filter(f"n > {BUCKET}").select("table", "key")
+        large = sizes.filter(f"n > {most}").select("table", "key")
         if large.isEmpty():
             return found.distinct()
         further = []

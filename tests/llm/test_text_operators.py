@@ -207,15 +207,16 @@ def test_simhash(docs, rows, empty):
     assert simhash.near_groups(empty).count() == 0
 
 
-def test_links_lose_nothing_in_hot_buckets(spark, monkeypatch):
+@pytest.mark.parametrize("radius", [3, 5])
+def test_links_lose_nothing_in_hot_buckets(spark, monkeypatch, radius):
     monkeypatch.setattr(simhash, "BUCKET", 16)
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(3)]
-    prints = {b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(120)}
+    prints = {b ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for b in base for _ in range(60)}
     ids = {simhash.signed(p): p for p in prints}
-    links = simhash.links(spark.createDataFrame([(s,) for s in ids], "fp long"), 3)
+    links = simhash.links(spark.createDataFrame([(s,) for s in ids], "fp long"), radius)
     got = {q.node: q.root for q in simhash.components(links).collect()}
-    want = closure(list(ids), ids)
+    want = closure(list(ids), ids, radius)
     assert {i: got.get(i, i) for i in ids} == want
 
 
