@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.plans import aggregates, catalog, joins, rasters, scalar, shapes
+from gridloom.plans import aggregates, catalog, joins, rasters, routes, scalar, shapes
 
-MODULES = (scalar, joins, aggregates, rasters, shapes)
+MODULES = (scalar, joins, aggregates, rasters, shapes, routes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
