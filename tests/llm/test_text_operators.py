@@ -311,9 +311,10 @@ def test_suffix_tree_is_a_distribution(spark, docs):
     # after retained contexts the words' probabilities and the unknown ones' still add up to 1
     assert all(len(d.states) for d in tree.depths)
     numbers = suffix_tree.Numbers(tree.common)
-    before = [numbers[b"the"], numbers[b"of"]]
+    before = numbers.find(suffix_tree.tokens("the of"))[:2].tolist()
+    assert (numbers.find(keys) == suffix_tree.place(tree.common, keys)).all() and numbers.find(np.array([5], dtype=np.uint64))[0] == -1
     total = 0.0
-    for w, p in [*zip(suffix_tree.place(tree.common, keys), root, strict=True), (-1, unknown)]:
+    for w, p in [*zip(numbers.find(keys), root, strict=True), (-1, unknown)]:
         s, open_ = tree.partial(np.array([*before, w]))
         total += 10 ** (s[2] + (math.log10(p) if open_[2] else 0))
     assert total == pytest.approx(1)
