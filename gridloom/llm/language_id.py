@@ -160,7 +160,8 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
             yield pd.DataFrame([frozen.value.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    return docs.select(*kept, predict(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
+    once = predict.asNondeterministic()  # else a filter on the prediction computes it twice
+    return docs.select(*kept, once(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5) -> DataFrame:
