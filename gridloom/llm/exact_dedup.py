@@ -30,14 +30,8 @@ def exact_groups(rows: DataFrame, keep: str = "largest") -> DataFrame:
     return runs.drop("__node")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal if identical; null counts as the empty text, so null and empty texts form one group.
-    Of a group the row with the largest (or smallest) id stays; rows with a null id stay only
-    if no row of the group has an id. Rows that repeat the kept id are all marked as kept.
-    Other columns of ``docs`` are not read. An empty table gives an empty result.
-    """
+def digests(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Rows for ``exact_groups``, and ``more`` columns of ``docs``, written."""
     text = filled(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -45,12 +39,31 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.octet_length(text).alias("__bytes"),
         F.xxhash64(text).alias("__check"),
         F.pmod(F.spark_partition_id(), F.lit(1 << LEAVES_LOG2)).alias("__leaf"),
+        *more,
     )
-    rows = written(rows, "digests")
+    return written(rows, "digests")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal if identical; null counts as the empty text, so null and empty texts form one group.
+    Of a group the row with the largest (or smallest) id stays; rows with a null id stay only
+    if no row of the group has an id. Rows that repeat the kept id are all marked as kept.
+    Other columns of ``docs`` are not read. An empty table gives an empty result.
+    """
+    rows = digests(docs, id_col, text_col)
     groups = exact_groups(rows, keep)
     return rows.join(groups, list(KEY)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row_col): of each group of identical texts exactly one row, the one of the least ``row_col`` of those that ``exact_dedup`` keeps."""
+    rows = digests(docs, id_col, text_col, row_col)
+    kept = rows.join(exact_groups(rows), list(KEY)).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return kept.groupBy(*KEY).agg(F.min(row_col).alias(row_col)).select(row_col)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact groups of all documents; the largest doc_id stays."""
     return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))

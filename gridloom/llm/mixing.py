@@ -73,7 +73,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), limit: int = 3, seed: int = 42) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), limit: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, size, source_size, target, taken, times (copies of it in the mix).
 
     Sources in code point order, null last, take ``weights`` in turn and share the size of all documents by them; no
@@ -81,9 +81,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     and for the remaining budget a number of documents of each length, fitted by ``fit``; which ones, a seeded hash of the id
     decides. So a document is taken at most ``limit`` times. Null texts are empty and have size 0; sources without a word have
     target 0. The driver gets one row per source, and each source's histogram of lengths is fitted in its own task.
-    Rows that repeat count anew; null ids are ranked like others; other columns are not read.
+    Rows that repeat count anew; null ids are ranked like others; other columns are not read. ``row_col``,
+    if given, names a column of unique keys that the result has too.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(filled(text_col), F.lit(WORD)).cast("long").alias("size"))
+    key = [row_col] if row_col else []
+    rows = docs.select(*key, F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(filled(text_col), F.lit(WORD)).cast("long").alias("size"))
     rows = written(rows.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()
     sources.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
@@ -102,10 +104,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     lengths = rows.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")).join(plan, here).select("source", "size", "n", "budget")
     extra = lengths.groupBy("source").applyInPandas(fitted, "source string, size long, extra long").select(F.col("source").alias("__s"), F.col("size").alias("__n"), "extra")
-    ranked = spread_cumsum(rows, ["source", "size"], None, "rank", ["doc_id"], "h")
+    ranked = spread_cumsum(rows, ["source", "size"], None, "rank", ["doc_id", *key], "h")
     ranked = ranked.join(extra, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")), "left")
     times = F.col("copies") + F.when(F.col("rank") < F.col("extra"), 1).otherwise(0)
-    return ranked.join(plan, here).select("doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
+    return ranked.join(plan, here).select(*key, "doc_id", "size", "source_size", "target", (times * F.col("size")).alias("taken"), times.alias("times"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

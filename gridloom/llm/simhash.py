@@ -138,6 +138,15 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = next_.select("node", F.col("new").alias("root"))
 
 
+def named_prints(rows: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of the distinct fingerprints of ``rows`` (doc_id, fp); ``root`` names the component."""
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    reached = components(links(prints.select("fp"), radius))
+    prints = prints.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = prints.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(roots, "root").select("fp", "root", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable over links).
 
@@ -147,12 +156,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     none of its rows has one. Repeated rows repeat in the result; other columns are not read.
     """
     rows = written(docs.select(F.col(id_col).alias("doc_id"), fingerprints(filled(text_col), width, seed).alias("fp")), "prints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    reached = components(links(prints.select("fp"), radius))
-    prints = prints.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    roots = prints.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = prints.join(roots, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(named_prints(rows, radius), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
+    """(row_col): of each component of ``near_groups`` exactly one row, the one of the least ``row_col`` of those that have the smallest id."""
+    rows = written(docs.select(row_col, F.col(id_col).alias("doc_id"), fingerprints(filled(text_col), width, seed).alias("fp")), "prints")
+    first = rows.join(named_prints(rows, radius), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.groupBy("root").agg(F.min(row_col).alias(row_col)).select(row_col)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -402,3 +402,22 @@ def test_pipeline(spark, docs, tmp_path):
     pieces = corpus_pipeline.STAGES[-1][1](spark, now, "").collect()
     assert sum(p.length for p in pieces if p.start == 0) > 0
     assert {p.doc_id for p in pieces} == {r.doc_id for r in now.select("doc_id").collect()}
+
+
+def test_pipeline_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    say = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(40))
+    own = [say() for _ in range(8)]
+    rows = [(None, t, "en", "a") for t in own[:3]] + [(7, own[3], "en", "a")] * 3 + [(8, own[4], "en", "b"), (8, own[5], "en", "b"), (None, own[6], "en", "b"), (None, own[6], "en", "b"), (9, own[7], "en", "b"), (None, own[7], "en", "b")]
+    docs = make(spark, rows)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        kept = [(q.doc_id, q.text) for q in stage(spark, docs, "").collect()]
+        assert sorted(t for _, t in kept) == sorted(own)  # one row of every text, with or without an id
+        assert (9, own[7]) in kept
+    times = Counter((q.doc_id, q.text) for q in corpus_pipeline.mixing_stage(spark, docs, "").collect())
+    given = Counter((i, t) for i, t, *_ in rows)
+    assert all(n <= 3 * given[k] for k, n in times.items())
+    assert sum(times.values()) == sum(q.times for q in mixing.mix(docs).collect())
+    assert any(i is None for i, _ in times)
