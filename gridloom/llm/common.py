@@ -55,6 +55,20 @@ def id_order(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
 
 
+def document_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, doc, sub, text) of ``docs``: (doc, sub) names a document, and only rows equal in id and text have the same.
+
+    ``doc`` is the id in order, null first; ``sub`` tells the texts of one id apart by hash. While each id has one text, that is only
+    needed for null ids, and 0 otherwise, which packs well; the order of documents of different ids is by ``doc`` either way.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), id_order(id_col).alias("doc"), filled(text_col).alias("text"))
+    texts = rows.filter("doc_id is not null").groupBy("doc").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    plain = texts.filter("a != b").isEmpty()
+    # null ids share the least long with an id of that value: a hash of 0 is the latter's only by chance
+    sub = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("long")) if plain else F.xxhash64("text", "doc_id")
+    return rows.select("doc_id", "doc", sub.alias("sub"), "text")
+
+
 def spread_cumsum(df: DataFrame, keys: Sequence[str], weight: Column | None, out: str, order: Sequence[str], hashed: str) -> DataFrame:
     """Add ``out``: the sum of ``weight`` (rows, if None) over the rows that come before within ``keys``.
 

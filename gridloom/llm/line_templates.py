@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, id_order, written
+from gridloom.llm.common import document_rows, written
 
 #: Leading words that lead to a leaf, after the number of words; and those of a leaf that holds more than LEAF shapes.
 DEPTH, DEEPER, LEAF = 3, 8, 2000
@@ -69,26 +69,26 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per input row: doc_id, n_lines, n_dropped, kept_text.
 
     Lines end at line feeds; a line without a word is kept. A line is dropped if its template occurs in DOCUMENTS documents
-    or more (rows that repeat an id count as one document, whose lines all go alike). Null texts are empty: one line, kept.
-    A null id counts as the smallest id. Other columns are not read; an empty table gives an empty result.
+    or more (rows equal in id and text count as one document, whose lines all go alike; other texts of an id, or without
+    one, are documents of their own). Null texts are empty: one line, kept. Other columns are not read; an empty table gives an empty result.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), id_order(id_col).alias("doc"), filled(text_col).alias("text"))
+    rows = document_rows(docs, id_col, text_col)
     # most lines have single spaces and no digit: they skip the patterns
     line = F.translate("line", "\t\x0b\x0c\r", "    ")
     line = F.trim(F.when(line.contains("  "), F.regexp_replace(line, " +", " ")).otherwise(line))
-    lines = rows.select("doc", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc", "at", line.alias("line")).filter("line != ''")
+    lines = rows.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc", "sub", "at", line.alias("line")).filter("line != ''")
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(F.col("line"))
-    lines = lines.select("doc", "at", masked.alias("masked")).withColumn("shape", F.xxhash64("masked"))
+    lines = lines.select("doc", "sub", "at", masked.alias("masked")).withColumn("shape", F.xxhash64("masked"))
     found = written(parsed(lines.select("shape", "masked")), "templates")
-    placed = written(lines.select("doc", "at", "shape"), "lines").join(found, "shape").select("doc", "at", "template")
-    recurring = placed.groupBy("template", "doc").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS).select("template")
-    gone = placed.join(recurring, "template").groupBy("doc").agg(F.collect_set("at").alias("gone"))
+    placed = written(lines.select("doc", "sub", "at", "shape"), "lines").join(found, "shape").select("doc", "sub", "at", "template")
+    recurring = placed.groupBy("template", "doc", "sub").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS).select("template")
+    gone = placed.join(recurring, "template").groupBy("doc", "sub").agg(F.collect_set("at").alias("gone"))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([t if g is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in ((t, None if g is None else set(g)) for t, g in zip(texts, gone, strict=True))], dtype=object)
 
-    out = rows.join(gone, "doc", "left")
+    out = rows.join(gone, ["doc", "sub"], "left")
     return out.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), kept("text", "gone").alias("kept_text"))
 
 

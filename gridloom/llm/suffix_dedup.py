@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, id_order, written
+from gridloom.llm.common import document_rows, written
 
 #: Length of the strings that count as repeats, and of the anchors inside them; both in bytes.
 SPAN, ANCHOR = 100, 32
@@ -79,7 +79,7 @@ def items_of(data: np.ndarray, ends: np.ndarray, hot: np.ndarray) -> tuple[np.nd
     return np.where(alone[lo], mixed(span[lo], key[lo]), key[lo]), content, part[lo], lo, hi
 
 
-def parts(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def parts(docs: Iterator[tuple[tuple[int, int], bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Documents joined to about PART bytes: bytes, part ends, documents of the parts, and their starts in them."""
     held: list[bytes] = []
     own, at, size = [], [], 0
@@ -96,21 +96,21 @@ def parts(docs: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.nd
         yield joined(held, own, at)
 
 
-def joined(held: list[bytes], own: list[int], at: list[int]) -> tuple[np.ndarray, ...]:
-    return np.frombuffer(b"".join(held), dtype=np.uint8), np.cumsum([len(x) for x in held]), np.array(own, dtype=np.int64), np.array(at, dtype=np.int64)
+def joined(held: list[bytes], own: list[tuple[int, int]], at: list[int]) -> tuple[np.ndarray, ...]:
+    return np.frombuffer(b"".join(held), dtype=np.uint8), np.cumsum([len(x) for x in held]), np.array(own, dtype=np.int64).reshape(-1, 2), np.array(at, dtype=np.int64)
 
 
 def items(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(anchor, content, doc, lo, hi, repeat): a task's first item of each anchor and content; later ones as repeats."""
+    """(anchor, content, doc, sub, lo, hi, repeat): a task's first item of each anchor and content; later ones as repeats."""
     hots = docs.sparkSession.sparkContext.broadcast(hot)
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
-        texts = ((int(d), t.encode()) for b in batches for d, t in zip(b["doc"], b["text"], strict=True))
+        texts = (((int(d), int(u)), t.encode()) for b in batches for d, u, t in zip(b["doc"], b["sub"], b["text"], strict=True))
         for data, ends, own, at in parts(texts):
             anchor, content, part, lo, hi = items_of(data, ends, hots.value)
             shift = at[part] - np.append(0, ends[:-1])[part]
-            held.append((anchor, content, own[part], lo + shift, hi + shift))
+            held.append((anchor, content, own[part, 0], own[part, 1], lo + shift, hi + shift))
             size += len(lo)
             if size > FLUSH:
                 yield firsts(held)
@@ -119,17 +119,17 @@ def items(docs: DataFrame, hot: np.ndarray) -> DataFrame:
             yield firsts(held)
 
     def firsts(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        anchor, content, doc, lo, hi = map(np.concatenate, zip(*held, strict=True))
-        order = np.lexsort((lo, doc, content, anchor))
-        anchor, content, doc, lo, hi = anchor[order], content[order], doc[order], lo[order], hi[order]
+        anchor, content, doc, sub, lo, hi = map(np.concatenate, zip(*held, strict=True))
+        order = np.lexsort((lo, sub, doc, content, anchor))
+        anchor, content, doc, sub, lo, hi = anchor[order], content[order], doc[order], sub[order], lo[order], hi[order]
         new = np.ones(len(lo), dtype=bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
         first = np.maximum.accumulate(np.where(new, np.arange(len(lo)), 0))
-        again = (doc != doc[first]) | (lo != lo[first])  # a row that repeats its id doesn't repeat itself
+        again = (doc != doc[first]) | (sub != sub[first]) | (lo != lo[first])  # a row that repeats its id and text doesn't repeat itself
         spread = np.where(again, mixed(content, lo.astype(np.uint64)), anchor)
-        return pd.DataFrame({"anchor": spread.view(np.int64), "content": content.view(np.int64), "doc": doc, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "repeat": again})[new | again]
+        return pd.DataFrame({"anchor": spread.view(np.int64), "content": content.view(np.int64), "doc": doc, "sub": sub, "lo": lo.astype(np.int32), "hi": hi.astype(np.int32), "repeat": again})[new | again]
 
-    return docs.mapInPandas(found, "anchor long, content long, doc long, lo int, hi int, repeat boolean")
+    return docs.mapInPandas(found, "anchor long, content long, doc long, sub long, lo int, hi int, repeat boolean")
 
 
 def hot_anchors(docs: DataFrame) -> np.ndarray:
@@ -137,9 +137,9 @@ def hot_anchors(docs: DataFrame) -> np.ndarray:
 
     They only decide the way: all documents' strings with such an anchor are compared one by one, by hash, instead of sorted.
     """
-    some = docs.filter(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0)
+    some = docs.filter(F.pmod(F.xxhash64("doc", "sub"), F.lit(SAMPLE)) == 0)
     n = some.count()
-    counts = items(some, np.zeros(0, dtype=np.uint64)).filter("not repeat").groupBy("anchor", "doc").agg(F.lit(1)).groupBy("anchor").count()
+    counts = items(some, np.zeros(0, dtype=np.uint64)).filter("not repeat").groupBy("anchor", "doc", "sub").agg(F.lit(1)).groupBy("anchor").count()
     return np.sort(counts.filter(F.col("count") > max(HOT_LEAST, HOT_SHARE * n)).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -217,7 +217,7 @@ def common_prefixes(words: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def repeats(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of contexts (doc, lo, context) the strings, as ranges (doc, lo, hi), that another one of them has earlier."""
+    """Of contexts (doc, sub, lo, context) the strings, as ranges (doc, sub, lo, hi), that another one of them has earlier."""
     data = [bytes(b) for b in frame["context"]]
     sizes = np.array([len(b) for b in data])
     ends = np.cumsum(sizes + 1)  # each context is followed by a 0
@@ -241,14 +241,20 @@ def repeats(frame: pd.DataFrame) -> pd.DataFrame:
     whole = np.arange(len(s)) + SPAN < ends[owner]  # ends before the context's 0
     order = order[whole[order]]
     if not len(order):
-        return pd.DataFrame({"doc": [], "lo": [], "hi": []}).astype({"doc": "int64", "lo": "int32", "hi": "int32"})
+        return pd.DataFrame({"doc": [], "sub": [], "lo": [], "hi": []}).astype({"doc": "int64", "sub": "int64", "lo": "int32", "hi": "int32"})
     words = np.zeros(len(s), dtype=np.uint64)
     padded = np.append(s, np.zeros(7, dtype=np.int64)).astype(np.uint64)
     for i in range(7):
         words = words << np.uint64(9) | padded[i : i + len(s)]
     like = common_prefixes(words, order)
     first = np.flatnonzero(~like)
-    docs, rank = np.unique(frame["doc"].to_numpy(np.int64), return_inverse=True)
+    docs, subs = frame["doc"].to_numpy(np.int64), frame["sub"].to_numpy(np.int64)
+    by = np.lexsort((subs, docs))
+    docs, subs = docs[by], subs[by]
+    fresh = np.append(True, (docs[1:] != docs[:-1]) | (subs[1:] != subs[:-1]))
+    rank = np.empty(len(by), dtype=np.int64)
+    rank[by] = np.cumsum(fresh) - 1
+    docs, subs = docs[fresh], subs[fresh]
     own = owner[order]
     at = frame["lo"].to_numpy(np.int64)[own] + order - starts[own]
     key = rank[own].astype(np.int64) << 40 | at
@@ -261,7 +267,7 @@ def repeats(frame: pd.DataFrame) -> pd.DataFrame:
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(at)) - 1
-    return pd.DataFrame({"doc": docs[doc[lo]], "lo": at[lo].astype(np.int32), "hi": at[hi].astype(np.int32)}) if len(at) else pd.DataFrame({"doc": docs[:0], "lo": at.astype(np.int32), "hi": at.astype(np.int32)})
+    return pd.DataFrame({"doc": docs[doc[lo]], "sub": subs[doc[lo]], "lo": at[lo].astype(np.int32), "hi": at[hi].astype(np.int32)}) if len(at) else pd.DataFrame({"doc": docs[:0], "sub": subs[:0], "lo": at.astype(np.int32), "hi": at.astype(np.int32)})
 
 
 def sorted_repeats(contexts: DataFrame) -> DataFrame:
@@ -291,31 +297,31 @@ def sorted_repeats(contexts: DataFrame) -> DataFrame:
         if held:
             yield repeats(pd.concat(held))
 
-    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "doc long, lo int, hi int")
+    return contexts.repartition("anchor").sortWithinPartitions("anchor").mapInPandas(run, "doc long, sub long, lo int, hi int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, lo, hi): starts lo..hi of strings of SPAN bytes in ``docs`` (doc, text) that also start earlier."""
+    """(doc, sub, lo, hi): starts lo..hi of strings of SPAN bytes in ``docs`` (doc, sub, text) that also start earlier."""
     found = items(docs, hot_anchors(docs)).repartition("anchor")
-    alike = Window.partitionBy("anchor", "repeat", "content").orderBy("doc", "lo")
-    found = found.withColumn("first", F.first(F.struct("doc", "lo")).over(alike.rowsBetween(Window.unboundedPreceding, 0)))
-    found = found.withColumn("later", F.struct("doc", "lo") > F.col("first"))
+    alike = Window.partitionBy("anchor", "repeat", "content").orderBy("doc", "sub", "lo")
+    found = found.withColumn("first", F.first(F.struct("doc", "sub", "lo")).over(alike.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.withColumn("later", F.struct("doc", "sub", "lo") > F.col("first"))
     together = Window.partitionBy("anchor", "repeat")
     found = found.withColumn("several", F.min("content").over(together) != F.max("content").over(together))
-    found = written(found.filter("repeat or later or several").withColumn("again", F.col("repeat") | F.col("later")).select("anchor", "doc", "lo", "hi", "again"), "items")
+    found = written(found.filter("repeat or later or several").withColumn("again", F.col("repeat") | F.col("later")).select("anchor", "doc", "sub", "lo", "hi", "again"), "items")
     # the first of each content is compared with the other contents of its anchor
-    asked = found.filter("not again").groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("asked"))
+    asked = found.filter("not again").groupBy("doc", "sub").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("asked"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, rows in zip(batch["doc"], batch["text"], batch["asked"], strict=True):
+            for doc, sub, text, rows in zip(batch["doc"], batch["sub"], batch["text"], batch["asked"], strict=True):
                 data = text.encode()
-                out += [(r["anchor"], doc, r["lo"], data[r["lo"] : r["hi"] + SPAN]) for r in rows]
-            yield pd.DataFrame(out, columns=["anchor", "doc", "lo", "context"])
+                out += [(r["anchor"], doc, sub, r["lo"], data[r["lo"] : r["hi"] + SPAN]) for r in rows]
+            yield pd.DataFrame(out, columns=["anchor", "doc", "sub", "lo", "context"])
 
-    contexts = docs.join(asked, "doc").select("doc", "text", "asked").mapInPandas(cut, "anchor long, doc long, lo int, context binary")
-    return found.filter("again").select("doc", "lo", "hi").union(sorted_repeats(contexts))
+    contexts = docs.join(asked, ["doc", "sub"]).select("doc", "sub", "text", "asked").mapInPandas(cut, "anchor long, doc long, sub long, lo int, context binary")
+    return found.filter("again").select("doc", "sub", "lo", "hi").union(sorted_repeats(contexts))
 
 
 def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -323,15 +329,15 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A byte goes if a string of SPAN bytes covers it that starts earlier too: in a document of smaller id, or before in
     the same one. Strings may overlap and don't cross documents. Null texts are empty; a null id counts as the smallest.
-    An id names one document: rows that repeat an id with the same text all lose the same bytes and don't count as
-    copies of one another. Other columns are not read. An empty table gives an empty result.
+    Id and text name a document: rows equal in both all lose the same bytes and don't count as copies of one another;
+    different texts of one id, or without an id, are documents of their own, in the order of a hash of their text. Other columns are not read. An empty table gives an empty result.
 
     Every string belongs to its least anchor, so equal strings meet. Items with equal content are settled by their first;
     different contents of one anchor are cut out, and their suffixes are sorted in two stages; neighbours with
     SPAN bytes in common are the same string. Anchors in very many documents go by their strings instead, so none gathers.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), id_order(id_col).alias("doc"), filled(text_col).alias("text"))
-    ranges = repeated_ranges(rows.select("doc", "text")).groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    rows = document_rows(docs, id_col, text_col)
+    ranges = repeated_ranges(rows.select("doc", "sub", "text")).groupBy("doc", "sub").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
     def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -352,7 +358,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,length:long>>"
-    return rows.join(ranges, "doc", "left").select("doc_id", "text", "ranges").mapInPandas(kept, schema)
+    return rows.join(ranges, ["doc", "sub"], "left").select("doc_id", "text", "ranges").mapInPandas(kept, schema)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

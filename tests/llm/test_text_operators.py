@@ -421,3 +421,28 @@ def test_pipeline_keeps_null_and_repeated_ids(spark):
     assert all(n <= 3 * given[k] for k, n in times.items())
     assert sum(times.values()) == sum(q.times for q in mixing.mix(docs).collect())
     assert any(i is None for i, _ in times)
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    r = random.Random(13)
+    say = lambda k: "".join(r.choice("abcdefgh ") for _ in range(k))
+    a, b, c = say(150), say(150), say(120)
+    rows = [(None, a + say(300)), (None, a + say(60)), (None, say(400)), (5, say(500) + b), (5, b), (5, b), (6, c), (6, say(20)), (9, say(30) + c)]
+    got = suffix_dedup.removed(make(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert len(got) == len(rows)
+    nulls = sorted((q.n_bytes, q.n_removed) for q in got if q.doc_id is None)
+    # one of the two that begin alike loses the passage, whichever comes first, and the third loses nothing
+    assert [n for n, _ in nulls] == [210, 400, 450] and nulls[1][1] == 0 and sorted((nulls[0][1], nulls[2][1]))[0] == 0 and nulls[0][1] + nulls[2][1] >= 150
+    fives = sorted((q.n_bytes, q.n_removed) for q in got if q.doc_id == 5)
+    assert fives in ([(150, 150), (150, 150), (650, 0)], [(150, 0), (150, 0), (650, 150)])
+    assert [(q.n_bytes, q.n_removed) for q in got if q.doc_id == 9] == [(150, 120)]
+    assert sorted((q.n_bytes, q.n_removed) for q in got if q.doc_id == 6) == [(20, 0), (120, 0)]
+
+
+def test_line_templates_of_null_ids(spark):
+    rows = [(None, f"{chr(97 + i) * 3} {chr(107 + i)} alone\n" * (i % 2) + f"the same line comes in all of them\n{chr(97 + i) * 4}", "en", "a") for i in range(10)]
+    rows += [(4, "quite another " + chr(97 + i) * 9, "en", "a") for i in range(3)]
+    got = line_templates.drop_lines(make(spark, rows)).collect()
+    own = Counter("\n".join(x for x in t.split("\n") if "same" not in x) for i, t, *_ in rows if i is None)
+    assert Counter(q.kept_text for q in got if q.doc_id is None) == own
+    assert all(q.n_dropped == 0 for q in got if q.doc_id == 4)
