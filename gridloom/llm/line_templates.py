@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import document_rows, written
 
-#: Leading words that lead to a leaf, after the number of words; and those of a leaf that holds more than LEAF shapes.
-DEPTH, DEEPER, LEAF = 3, 8, 2000
+#: Leading words that lead to a leaf, after the number of words: the same at any size.
+DEPTH = 3
+#: Templates of a leaf from which an index by word and place finds those a shape can belong to.
+INDEXED = 256
 #: Share of equal words from which a line belongs to a template.
 SIMILARITY = 0.6
 #: Documents in which a template must occur to recur.
@@ -24,20 +26,40 @@ def templates(words: list[list[str]]) -> list[int]:
     A shape goes to the most similar template (the earliest of equals) or founds one; words where the two differ become wild.
     """
     ids: dict[str, int] = {WILD: 0}
-    coded = np.array([[ids.setdefault(w, len(ids)) for w in line] for line in words])
+    coded = np.array([[ids.setdefault(w, len(ids)) for w in line] for line in words], dtype=np.int32)
+    length = coded.shape[1]
+    # so many places must agree; of any length - need + 1 places at least one agrees, so the rarest entries of these suffice
+    need = next(k for k in range(length + 1) if k / length >= SIMILARITY)
+    index: dict[tuple[int, int], list[int]] = {}
     found = np.empty_like(coded)
     founders: list[int] = []
     out = []
     for i, line in enumerate(coded):
-        known = found[: len(founders)]
-        like = (known == line).mean(axis=1) if founders else np.zeros(0)
-        best = int(like.argmax()) if founders else -1
+        known, some = found[: len(founders)], None
+        if len(founders) >= INDEXED:
+            if not index:
+                for j, row in enumerate(known.tolist()):
+                    for key in enumerate(row):
+                        index.setdefault(key, []).append(j)
+            lists = sorted((index.get(key, []) for key in enumerate(line.tolist())), key=len)[: length - need + 1]
+            some = np.unique(np.array([j for x in lists for j in x], dtype=np.int64))
+            known = known[some]
+        like = (known == line).mean(axis=1) if len(known) else np.zeros(0)
+        best = int(like.argmax()) if len(known) else -1
         if best >= 0 and like[best] >= SIMILARITY:
-            known[best][known[best] != line] = 0
+            best = best if some is None else int(some[best])
+            differ = np.flatnonzero(found[best] != line)
+            if index:  # places that become wild; what they held stays in the index and is only compared in vain
+                for p in differ[found[best][differ] != 0].tolist():
+                    index.setdefault((p, 0), []).append(best)
+            found[best][differ] = 0
         else:
             best = len(founders)
             found[best] = line
             founders.append(i)
+            if index:
+                for key in enumerate(line.tolist()):
+                    index.setdefault(key, []).append(best)
         out.append(founders[best])
     return out
 
@@ -53,14 +75,13 @@ def parsed(lines: DataFrame) -> DataFrame:
     """(shape, template) of the shapes of ``lines`` (shape, masked) whose leaf has enough lines to hold a recurring template.
 
     Shapes are masked lines: words with a digit are wild. The tree leads by number of words and leading words to a leaf, in which
-    templates are found; a leaf that holds very many shapes goes on by further leading words.
+    templates are found. A leaf's shapes are parsed in order, so a leaf is what a task holds, however many shapes it has.
     """
     words = F.split("masked", " ")
     shapes = lines.groupBy("shape").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
-    shapes = shapes.withColumns({"leaf": F.xxhash64(F.size(words), F.slice(words, 1, DEPTH)), "deep": F.xxhash64(F.size(words), F.slice(words, 1, DEEPER))})
-    shapes = written(shapes, "shapes")
+    shapes = written(shapes.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))), "shapes")
     leaves = shapes.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("shapes")).filter(F.col("lines") >= DOCUMENTS)
-    shapes = shapes.join(leaves, "leaf").withColumn("leaf", F.when(F.col("shapes") > LEAF, F.col("deep")).otherwise(F.col("leaf")))
+    shapes = shapes.join(leaves, "leaf")
     alone = shapes.filter("shapes = 1").select("shape", F.col("shape").alias("template"))
     return alone.union(shapes.filter("shapes > 1").select("leaf", "shape", "n", "masked").groupBy("leaf").applyInPandas(leaf_templates, "shape long, template long"))
 

@@ -446,3 +446,20 @@ def test_line_templates_of_null_ids(spark):
     own = Counter("\n".join(x for x in t.split("\n") if "same" not in x) for i, t, *_ in rows if i is None)
     assert Counter(q.kept_text for q in got if q.doc_id is None) == own
     assert all(q.n_dropped == 0 for q in got if q.doc_id == 4)
+
+
+def test_hot_leaves_keep_their_templates(spark):
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:05d}")
+    rows = [(i, "\n".join(f"User logged in from {word(i * 210 + k)} today" for k in range(210)), "en", "a") for i in range(10)]
+    got = line_templates.drop_lines(make(spark, rows)).collect()
+    assert [(q.n_dropped, q.kept_text) for q in got] == [(210, "")] * 10  # 2,100 shapes of one template in one leaf
+
+
+def test_indexed_templates_are_the_same(monkeypatch):
+    r = random.Random(14)
+    for length in (1, 2, 5, 8, 11):
+        lines = [["a"] * min(3, length) + [r.choice(["<*>", *"abcdefghij"]) for _ in range(length - 3)] for _ in range(900)]
+        monkeypatch.setattr(line_templates, "INDEXED", 10**9)
+        plain = line_templates.templates(lines)
+        monkeypatch.setattr(line_templates, "INDEXED", 2)
+        assert line_templates.templates(lines) == plain
