@@ -220,6 +220,82 @@ def test_links_lose_nothing_in_hot_buckets(spark, monkeypatch, radius):
     assert {i: got.get(i, i) for i in ids} == want
 
 
+def test_components_of_paths_stars_and_loops(spark):
+    pairs = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 140)] + [(300, 299), (299, 298), (298, 300), (500, 500)]
+    got = {q.node: q.root for q in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, **{i: 298 for i in (298, 299, 300)}}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_alike(a, b, width=5, least=0.8):
+    def runs(t):
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())
+        return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+    x, y = runs(a), runs(b)
+    return not x and not y or len(x & y) >= least * len(x | y)
+
+
+def test_repeated_rows_drops_checked_copies_only(spark, empty):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    say = lambda k: [r.choice(["the", "of", *r.choices(vocabulary, k=6)]) for _ in range(k)]
+
+    def edited(words, n):
+        words = list(words)
+        for p in r.sample(range(len(words)), n):
+            words[p] = r.choice(vocabulary)
+        return " ".join(words)
+
+    texts = []
+    for _ in range(25):
+        base = say(r.choice((60, 150, 400)))
+        texts += [" ".join(base), edited(base, 1), edited(base, len(base) // 60), edited(base, len(base) // 4)]
+    hot = say(200)
+    texts += [edited(hot, 1) for _ in range(150)]
+    texts += [" ".join(say(100)) for _ in range(60)] + ["the of the of", "the of", "the of the", "", " \n", "a b c d e f g h"]
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = [(None if k % 17 == 3 else i, t, "en", "a") for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    docs = make(spark, rows).repartition(4).withColumn("row", F.monotonically_increasing_id()).cache()
+    gone = {q.row for q in simhash.repeated_rows(docs, "row").collect()}
+    all_rows = docs.collect()
+    kept = [q for q in all_rows if q.row not in gone]
+    # true groups by brute force
+    root = list(range(len(all_rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, p in enumerate(all_rows):
+        for j in range(i):
+            if find(i) != find(j) and brute_alike(p.text, all_rows[j].text):
+                root[find(i)] = find(j)
+    groups: dict[int, list] = {}
+    for i, q in enumerate(all_rows):
+        groups.setdefault(find(i), []).append(q)
+    order = lambda q: (q.doc_id is None, q.doc_id or 0, q.row)
+    assert {min(g, key=order).row for g in groups.values()} <= {q.row for q in kept}  # nothing unlike the rest goes
+    assert len(all_rows) - len(kept) >= 0.9 * (len(all_rows) - len(groups))
+    assert len([q for q in kept if q.text in texts[100:250]]) <= 8
+    assert simhash.repeated_rows(empty.withColumn("row", F.lit(1).cast("long")), "row").count() == 0
+
+
+def test_nearest_forest_connects_what_is_near():
+    r = random.Random(1)
+    base = r.getrandbits(64)
+    x = np.array(sorted({base ^ sum(1 << k for k in r.sample(range(64), r.randrange(6))) for _ in range(80)} | {r.getrandbits(64) for _ in range(20)}), dtype=np.uint64)
+    pairs = simhash.nearest_forest(x, 3)
+    want = closure(range(len(x)), dict(enumerate(x.tolist())))
+    got = {i: i for i in range(len(x))}
+    for _ in x:
+        for a, b in pairs:
+            got[a] = got[b] = min(got[a], got[b])
+    assert got == want and len(pairs) == len(x) - len(set(want.values()))
+
+
 def test_packing(docs, rows, empty):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], dtype="<u4") for i, t, *_ in rows}
