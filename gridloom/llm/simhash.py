@@ -27,6 +27,10 @@ COMMON_SHARE, CANDIDATE_RADIUS = 0.003, 5
 SHINGLE, SIMILAR = 5, 0.8
 #: Least shingle hashes by which texts of one fingerprint meet, besides the first of them.
 LANES_OF_TWINS = 4
+#: Least shingle hashes that two texts are compared by first. Texts of 0.8 share fewer than half of these once in 10**8.
+SKETCH = 64
+#: Bits of a filter of the rows that occur in candidates: it only spares others the way.
+FILTER_BITS = 1 << 23
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 500_000
 
@@ -226,7 +230,8 @@ def word_fingerprint(text: str, common: np.ndarray) -> int:
     rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h if len(common) else np.ones(len(h), dtype=bool)
     if rare.any():
         h, n = h[rare], n[rare]
-    ones = np.array([int(n[(h >> np.uint64(i) & np.uint64(1)).astype(bool)].sum()) for i in range(BITS)]) * 2 > n.sum()
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # little-endian: bit i of the number stands at i
+    ones = n.astype(np.float64) @ bits.astype(np.float64) * 2 > n.sum()
     return sum(1 << int(i) for i in np.flatnonzero(ones))
 
 
@@ -237,6 +242,14 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.sort(np.fromiter(map(xxhash.xxh64_intdigest, runs), dtype=np.uint64, count=len(runs)))
 
 
+def may_be_alike(a: np.ndarray, na: int, b: np.ndarray, nb: int, least: float) -> bool:
+    """Whether two texts with ``na`` and ``nb`` shingles, of which ``a`` and ``b`` are the least, can share ``least`` of all; see SKETCH."""
+    if min(na, nb) < least * max(na, nb):
+        return False
+    both = np.union1d(a, b)[:SKETCH]
+    return not len(both) or np.isin(both, np.intersect1d(a, b, assume_unique=True)).sum() * 2 >= len(both)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Shared of all distinct shingles; texts without a word are alike."""
     if not len(a) and not len(b):
@@ -245,6 +258,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
+def shingle_sets(rows: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(row, n, sketch, set): sorted distinct shingle hashes of the texts of ``asked`` (row), their number and the SKETCH least of them.
+
+    A bit filter of fixed size tells tasks which rows are asked for, so texts are not shuffled; a few others pass it, which does no harm.
+    """
+    place = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
+    words = asked.select(F.shiftright(place, 6).alias("word"), (place % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def taken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            at = batch["place"].to_numpy(np.int64)
+            batch = batch[(shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)]
+            sets = [shingles(t, width) for t in batch["text"]]
+            yield pd.DataFrame({"row": batch["row"].to_numpy(), "n": [len(x) for x in sets], "sketch": [x[:SKETCH].tobytes() for x in sets], "set": [x.tobytes() for x in sets]})
+
+    return rows.select("row", place.alias("place"), "text").mapInPandas(taken, "row long, n int, sketch binary, set binary")
+
+
 def repeated_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, least: float = SIMILAR) -> DataFrame:
     """(row_col): the rows of ``docs`` to drop so that one of each group of near duplicates stays, the one of the smallest id.
 
@@ -272,23 +306,28 @@ def repeated_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_co
     twins = prints.join(firsts.filter("n > 1"), "fp").select("row", "fp", "first")
     near = written(near.union(twins.filter("row != first").select("first", "row")), "near")
 
-    @F.pandas_udf("binary")
-    def shingled(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, width).tobytes() for t in texts], dtype=object)
-
-    asked = near.select(F.col("x").alias("row")).union(near.select("y")).distinct()
-    sets = written(rows.join(asked, "row", "left_semi").select("row", shingled("text").alias("set")), "shingles", "lz4")
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES_OF_TWINS - 1)), lambda i: F.substring(F.col("set"), i * 8 + 1, F.lit(8)))
-    placed = sets.join(twins.select("row", "fp"), "row").select("row", "fp", F.posexplode(F.filter(lanes, lambda x: F.octet_length(x) > 0)).alias("lane", "value")).drop("lane")
+    sets = written(shingle_sets(rows, near.select(F.col("x").alias("row")).union(near.select("y")), width), "shingles", "lz4")
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(LANES_OF_TWINS - 1)), lambda i: F.substring(F.col("sketch"), i * 8 + 1, F.lit(8)))
+    placed = sets.select("row", "sketch").join(twins.select("row", "fp"), "row").select("row", "fp", F.explode(F.filter(lanes, lambda x: F.octet_length(x) > 0)).alias("value"))
     meet = placed.groupBy("fp", "value").agg(F.min("row").alias("x"), F.count("*").alias("n")).filter("n > 1").drop("n")
     pairs = near.union(placed.join(meet, ["fp", "value"]).filter("x != row").select("x", F.col("row").alias("y"))).distinct()
 
+    numbers = lambda b: np.frombuffer(b, dtype=np.uint64)
+
     @F.pandas_udf("boolean")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([similarity(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) >= least for x, y in zip(a, b, strict=True)], dtype=bool)
+    def possible(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+        return pd.Series([may_be_alike(numbers(p), m, numbers(q), n, least) for p, m, q, n in zip(a, na, b, nb, strict=True)], dtype=bool)
 
-    both = pairs.join(sets.select(F.col("row").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("row").alias("y"), F.col("set").alias("sy")), "y")
-    groups = components(written(both.filter(alike("sx", "sy")).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike"))
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similarity(numbers(p), numbers(q)) >= least for p, q in zip(a, b, strict=True)], dtype=bool)
+
+    # sizes and least hashes settle most pairs; whole sets only travel for the others
+    named = lambda k, *cols: sets.select(F.col("row").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in cols])
+    both = pairs.join(named("x", "n", "sketch"), "x").join(named("y", "n", "sketch"), "y")
+    pairs = written(both.filter(possible("sketch_x", "n_x", "sketch_y", "n_y")).select("x", "y"), "possible")
+    both = pairs.join(named("x", "set"), "x").join(named("y", "set"), "y")
+    groups = components(written(both.filter(alike("set_x", "set_y")).select(F.col("x").alias("a"), F.col("y").alias("b")), "alike"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row"))
     members = groups.select(F.col("node").alias("row"), "root").join(rows.select("row", "doc_id"), "row")
     kept = members.groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.row").alias("row"))
