@@ -1,33 +1,50 @@
-"""Exact duplicates: a tree of merges over digest runs, in DataFrame operations only."""
+"""Exact duplicates: sorted digest runs merged in binomial rounds, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import filled, written
 
-#: A run is what one scan partition holds; runs share these many leaves of the tree.
-LEAVES_LOG2 = 6
-#: Binary logarithm of the runs that one merge takes: 8 runs, so two rounds lead from 64 leaves to the root.
-FAN_IN_LOG2 = 3
+#: Binary logarithm of the number of leaves of the tree, and so the number of rounds of merges: a leaf's run is what one scan
+#: partition holds, or what several do.
+ROUNDS = 6
+#: What must agree for two texts to be one: SHA-256, the length and a second, independent hash.
 KEY = ("text_sha256", "__bytes", "__check")
 
 
+def leaf_runs(rows: DataFrame, keep: str) -> DataFrame:
+    """(__node, KEY, keep_id, group_size): each leaf's run, one row per digest, which Spark sorts out before it shuffles."""
+    best = F.max if keep == "largest" else F.min
+    return rows.groupBy(F.col("__leaf").alias("__node"), *KEY).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+
+
+def merged(runs: DataFrame, keep: str) -> DataFrame:
+    """One binomial round: the runs of neighbouring nodes meet at their parent, sorted by digest, and become its run.
+
+    A node's run is dealt over tasks by digest, so no task gets a whole run. In the sorted order equal digests are neighbours, at most one
+    from each side: the first has the id to keep, and both sizes are added.
+    """
+    order = F.col("keep_id").desc_nulls_last() if keep == "largest" else F.col("keep_id").asc_nulls_last()
+    runs = runs.withColumn("__node", F.shiftright("__node", 1)).repartition("__node", "text_sha256").sortWithinPartitions("__node", *KEY, order)
+    equal = Window.partitionBy("__node", *KEY).orderBy(order)
+    runs = runs.select("__node", *KEY, "keep_id", F.row_number().over(equal).alias("__place"), (F.col("group_size") + F.coalesce(F.lead("group_size").over(equal), F.lit(0))).alias("group_size"))
+    return runs.filter("__place = 1").drop("__place")
+
+
 def exact_groups(rows: DataFrame, keep: str = "largest") -> DataFrame:
-    """One row per distinct digest of ``rows`` (doc_id, KEY, __leaf) with keep_id and group_size.
+    """(__leaf, KEY, keep_id, group_size): for every leaf and digest of ``rows`` (doc_id, KEY, __leaf) what holds in the whole table.
 
-    Every leaf first sorts out its own run (one row per digest, which Spark does before it shuffles).
-    In round r the runs of 8**r neighbouring leaves meet and are merged, keeping per digest the id to keep
-    and the number of rows; a copy that holds a third of all rows shrinks to a row per leaf at once.
-    A digest is SHA-256 together with the text's length and a second, independent hash:
-    rows merge only where all three agree, on every level.
+    Runs are merged in pairs, round by round, up to the root; every merge retains the verified id of each digest. The root's run is
+    then handed down to the leaves, so rows find their group by leaf and digest and a text that holds a third of all rows
+    is dealt over all leaves.
     """
-    best = F.max if keep == "largest" else F.min
-    runs = rows.groupBy(F.col("__leaf").alias("__node"), *KEY).agg(best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    for _ in range(LEAVES_LOG2 // FAN_IN_LOG2):
-        runs = runs.withColumn("__node", F.shiftright("__node", FAN_IN_LOG2)).groupBy("__node", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    return runs.drop("__node")
+    leaves = written(leaf_runs(rows, keep), "runs")
+    root = leaves
+    for _ in range(ROUNDS):
+        root = merged(root, keep)
+    return leaves.select(F.col("__node").alias("__leaf"), *KEY).join(root.drop("__node"), list(KEY))
 
 
 def digests(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
@@ -38,7 +55,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
         F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"),
         F.octet_length(text).alias("__bytes"),
         F.xxhash64(text).alias("__check"),
-        F.pmod(F.spark_partition_id(), F.lit(1 << LEAVES_LOG2)).alias("__leaf"),
+        F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS)).alias("__leaf"),
         *more,
     )
     return written(rows, "digests")
@@ -50,17 +67,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal if identical; null counts as the empty text, so null and empty texts form one group.
     Of a group the row with the largest (or smallest) id stays; rows with a null id stay only
     if no row of the group has an id. Rows that repeat the kept id are all marked as kept.
-    Other columns of ``docs`` are not read. An empty table gives an empty result.
+    Other columns of ``docs`` are not read. An empty table gives an empty result. No digest collides by chance: two
+    texts count as one only if SHA-256, length and XXH64 all agree, which is checked wherever rows or runs meet.
     """
     rows = digests(docs, id_col, text_col)
     groups = exact_groups(rows, keep)
-    return rows.join(groups, list(KEY)).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(groups, ["__leaf", *KEY]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def kept_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row_col): of each group of identical texts exactly one row, the one of the least ``row_col`` of those that ``exact_dedup`` keeps."""
     rows = digests(docs, id_col, text_col, row_col)
-    kept = rows.join(exact_groups(rows), list(KEY)).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    kept = rows.join(exact_groups(rows), ["__leaf", *KEY]).filter(F.col("doc_id").eqNullSafe(F.col("keep_id")))
     return kept.groupBy(*KEY).agg(F.min(row_col).alias(row_col)).select(row_col)
 
 
