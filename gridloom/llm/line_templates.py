@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import document_rows, written
 
 #: Leading words that lead to a leaf, after the number of words: the same at any size.
 DEPTH = 3
+#: Slices of a leaf that are parsed on their own before their templates are parsed together: the same at any size.
+SLICES = 32
 #: Templates of a leaf from which an index by word and place finds those a shape can belong to.
 INDEXED = 256
 #: Share of equal words from which a line belongs to a template.
@@ -20,8 +24,9 @@ DOCUMENTS = 8
 WILD = "<*>"
 
 
-def templates(words: list[list[str]]) -> list[int]:
-    """The template of each of a leaf's shapes, all of as many words, in the order given: the number of the shape that founded it.
+def templates(words: list[list[str]]) -> tuple[list[int], dict[int, str]]:
+    """The template of each of a leaf's shapes, all of as many words, in the order given: the number of the shape that founded it;
+    and each founder's template in the end.
 
     A shape goes to the most similar template (the earliest of equals) or founds one; words where the two differ become wild.
     """
@@ -61,29 +66,61 @@ def templates(words: list[list[str]]) -> list[int]:
                 for key in enumerate(line.tolist()):
                     index.setdefault(key, []).append(best)
         out.append(founders[best])
-    return out
-
-
-def leaf_templates(frame: pd.DataFrame) -> pd.DataFrame:
-    """shape and template (both hashes of a masked line) of one leaf."""
-    frame = frame.sort_values(["n", "masked"], ascending=[False, True], kind="stable")
-    shapes = frame["shape"].to_numpy()
-    return pd.DataFrame({"shape": shapes, "template": shapes[templates([m.split(" ") for m in frame["masked"]])]})
+    names = list(ids)
+    return out, {i: " ".join(names[w] for w in row) for i, row in zip(founders, found.tolist(), strict=False)}
+
+
+def group_templates(frame: pd.DataFrame) -> pd.DataFrame:
+    """shape and template (both hashes of a masked line) of whole groups, one after the other; what a template has become stands with its founder."""
+    groups = frame["group"].to_numpy()
+    starts = np.flatnonzero(np.append(True, groups[1:] != groups[:-1]))
+    shapes, masked, n = frame["shape"].to_numpy(), frame["masked"].tolist(), frame["n"].to_numpy()
+    template, became = shapes.copy(), list(masked)
+    for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
+        if hi - lo > 1:
+            found, ends = templates([m.split(" ") for m in masked[lo:hi]])
+            template[lo:hi] = shapes[lo:hi][found]
+            became[lo:hi] = [ends.get(i) for i in range(hi - lo)]
+    return pd.DataFrame({"leaf": frame["leaf"], "shape": shapes, "template": template, "n": n, "masked": became})
+
+
+def parsed_in_order(shapes: DataFrame, group: Column) -> DataFrame:
+    """``group_templates`` of ``shapes`` (leaf, shape, n, masked): commonest first, then by text, group by group."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            groups = batch["group"].to_numpy()
+            if groups[0] == groups[-1] and held and held[-1]["group"].iloc[-1] == groups[0]:
+                held.append(batch)  # a group that goes on
+                continue
+            last = int(np.flatnonzero(groups != groups[-1])[-1]) + 1 if groups[0] != groups[-1] else 0
+            if held or last:
+                yield group_templates(pd.concat([*held, batch.iloc[:last]], ignore_index=True))
+            held = [batch.iloc[last:]]
+        if held:
+            yield group_templates(pd.concat(held, ignore_index=True))
+
+    dealt = shapes.withColumn("group", group).repartition("group").sortWithinPartitions("group", F.desc("n"), "masked")
+    return dealt.mapInPandas(run, "leaf long, shape long, template long, n long, masked string")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
-    """(shape, template) of the shapes of ``lines`` (shape, masked) whose leaf has enough lines to hold a recurring template.
+    """(shape, template) of the shapes of ``lines`` (leaf, shape, masked) whose leaf has enough lines to hold a recurring template.
 
     Shapes are masked lines: words with a digit are wild. The tree leads by number of words and leading words to a leaf, in which
-    templates are found. A leaf's shapes are parsed in order, so a leaf is what a task holds, however many shapes it has.
+    templates are found. A leaf's shapes are dealt to SLICES by hash, which are parsed at once, and the templates that the slices found are
+    parsed in turn, so the many variants of a common template don't meet in one task.
     """
-    words = F.split("masked", " ")
-    shapes = lines.groupBy("shape").agg(F.count("*").alias("n"), F.first("masked").alias("masked"))
-    shapes = written(shapes.withColumn("leaf", F.xxhash64(F.size(words), F.slice(words, 1, DEPTH))), "shapes")
-    leaves = shapes.groupBy("leaf").agg(F.sum("n").alias("lines"), F.count("*").alias("shapes")).filter(F.col("lines") >= DOCUMENTS)
-    shapes = shapes.join(leaves, "leaf")
-    alone = shapes.filter("shapes = 1").select("shape", F.col("shape").alias("template"))
-    return alone.union(shapes.filter("shapes > 1").select("leaf", "shape", "n", "masked").groupBy("leaf").applyInPandas(leaf_templates, "shape long, template long"))
+    leaves = lines.groupBy("leaf").agg(F.count("*").alias("lines"), F.min("shape").alias("least"), F.max("shape").alias("most")).filter(F.col("lines") >= DOCUMENTS)
+    leaves = written(leaves, "leaves")
+    alone = leaves.filter("least = most").select(F.col("least").alias("shape"), F.col("least").alias("template"))
+    shapes = lines.groupBy("leaf", "shape", "masked").agg(F.count("*").alias("n")).join(leaves.filter("least != most").select("leaf"), "leaf")
+    slices = written(parsed_in_order(shapes, F.xxhash64("leaf", F.pmod("shape", F.lit(SLICES)))), "slices")
+    whole = parsed_in_order(slices.filter("masked is not null").drop("template"), F.col("leaf")).select(F.col("shape").alias("template"), F.col("template").alias("whole"))
+    return alone.union(slices.select("shape", "template").join(whole, "template").select("shape", F.col("whole").alias("template")))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,23 +131,27 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one, are documents of their own). Null texts are empty: one line, kept. Other columns are not read; an empty table gives an empty result.
     """
     rows = document_rows(docs, id_col, text_col)
-    # most lines have single spaces and no digit: they skip the patterns
-    line = F.translate("line", "\t\x0b\x0c\r", "    ")
-    line = F.trim(F.when(line.contains("  "), F.regexp_replace(line, " +", " ")).otherwise(line))
-    lines = rows.select("doc", "sub", F.posexplode(F.split("text", "\n")).alias("at", "line")).select("doc", "sub", "at", line.alias("line")).filter("line != ''")
+    # most texts and lines have single spaces, no other white space and no digit: they skip the patterns
+    text = F.when(F.col("text").rlike("[\\t\\x0b\\x0c\\r]"), F.translate("text", "\t\x0b\x0c\r", "    ")).otherwise(F.col("text"))
+    line = F.trim(F.when(F.col("line").contains("  "), F.regexp_replace("line", " +", " ")).otherwise(F.col("line")))
+    lines = rows.select("doc", "sub", F.posexplode(F.split(text, "\n")).alias("at", "line")).select("doc", "sub", "at", line.alias("line")).filter("line != ''")
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", WILD)).otherwise(F.col("line"))
-    lines = lines.select("doc", "sub", "at", masked.alias("masked")).withColumn("shape", F.xxhash64("masked"))
-    found = written(parsed(lines.select("shape", "masked")), "templates")
-    placed = written(lines.select("doc", "sub", "at", "shape"), "lines").join(found, "shape").select("doc", "sub", "at", "template")
+    words = F.octet_length("masked") - F.octet_length(F.replace(F.col("masked"), F.lit(" "), F.lit("")))
+    lines = lines.select("doc", "sub", "at", masked.alias("masked")).select("doc", "sub", "at", "masked", F.xxhash64("masked").alias("shape"), F.xxhash64(words, F.substring_index("masked", " ", DEPTH)).alias("leaf"))
+    lines = written(lines, "lines")
+    found = written(parsed(lines.select("leaf", "shape", "masked")), "templates")
+    placed = lines.select("doc", "sub", "at", "shape").join(found, "shape").select("doc", "sub", "at", "template")
     recurring = placed.groupBy("template", "doc", "sub").agg(F.lit(1)).groupBy("template").agg(F.count("*").alias("n")).filter(F.col("n") >= DOCUMENTS).select("template")
     gone = placed.join(recurring, "template").groupBy("doc", "sub").agg(F.collect_set("at").alias("gone"))
 
     @F.pandas_udf("string")
     def kept(texts: pd.Series, gone: pd.Series) -> pd.Series:
-        return pd.Series([t if g is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in ((t, None if g is None else set(g)) for t, g in zip(texts, gone, strict=True))], dtype=object)
+        return pd.Series([t if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g) for t, g in ((t, None if g is None else set(g)) for t, g in zip(texts, gone, strict=True))], dtype=object)
 
     out = rows.join(gone, ["doc", "sub"], "left")
-    return out.select("doc_id", F.size(F.split("text", "\n")).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), kept("text", "gone").alias("kept_text"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    rest = F.coalesce(kept(F.when(F.col("gone").isNotNull(), F.col("text")), "gone"), "text")  # only texts that lose a line go to Python
+    return out.select("doc_id", n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_dropped"), rest.alias("kept_text"))
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
