@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import filled, spread_cumsum, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: States of the dynamic program; a larger budget is counted in steps of several words.
-STATES = 1 << 16
 
 
 def target_sizes(sizes: Sequence[int], weights: Sequence[float], limit: float) -> list[float]:
@@ -35,8 +33,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each length to take, so that their words come nearest to the budget from below.
 
     First the same share of every length is taken; the rest of the budget is filled longest first down to less than
-    the longest document; what then remains is a subset-sum problem over the documents left, solved exactly
-    by dynamic programming (in steps of ceil(rest / STATES) words where it exceeds STATES).
+    twice the longest document; what then remains is a subset-sum problem over the documents left, solved exactly
+    by dynamic programming. Its table has a few bytes for each word of the longest document, so it takes no more memory than that
+    document's text does.
     """
     total = int(lengths @ counts)
     if budget >= total:
@@ -48,14 +47,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         n = min(int(counts[i] - taken[i]), max(0, rest - int(lengths[order[0]])) // int(lengths[i]))
         taken[i] += n
         rest -= n * int(lengths[i])
-    step = max(1, -(-rest // STATES))
-    room = rest // step
+    room = min(rest, int(lengths @ (counts - taken)))
     reached = np.zeros(room + 1, dtype=bool)
     reached[0] = True
-    by = np.full(room + 1, -1, dtype=np.int64)
+    by = np.full(room + 1, -1, dtype=np.int32)
     pieces: list[tuple[int, int, int]] = []
     for i in order[::-1].tolist():  # short ones first: they reach the most sums soonest
-        width, n, k = -(-int(lengths[i]) // step), min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
+        width, n, k = int(lengths[i]), min(int(counts[i] - taken[i]), rest // int(lengths[i])), 1
         while n > 0 and not reached[room]:  # k, 2 k, 4 k ... and what is left of the bound
             k = min(k, n)
             if (w := k * width) <= room:

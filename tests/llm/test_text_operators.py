@@ -113,6 +113,15 @@ def test_fit_meets_the_budget_where_it_can():
         assert budget - lengths @ taken < lengths.max()
 
 
+def test_fit_is_exact_at_any_budget():
+    lengths, counts = np.array([7, 300_001, 400_003]), np.array([1, 3, 3])
+    sums = {a * 7 + b * 300_001 + c * 400_003 for a in range(2) for b in range(4) for c in range(4)}
+    for budget in (300_008, 700_004, 1_000_012, 1_999_999):
+        taken = mixing.fit(lengths, counts, budget)
+        assert budget - lengths @ taken <= budget - max(s for s in sums if s <= budget) + 400_003
+    assert lengths @ mixing.fit(lengths, counts, 700_011) == 700_011
+
+
 def test_mixing(docs, rows, empty):
     got = by_id(mixing.mix(docs))
     size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows}
@@ -164,6 +173,34 @@ def test_sniffing_corrects_and_carves(spark):
     assert [(e.type, e.start, e.length) for e in two] == [("image/png", 4, len(png)), ("audio/wav", 8 + len(png), len(wav))]
 
 
+def test_signatures_without_an_end_take_linear_time():
+    import time
+
+    magics = media.automaton()
+    for junk in (b"%PDF-", b"PK\x03\x04", b"%PDF- obj startxref ", b"PK\x03\x04PK\x05\x06" + b"\xff" * 18):
+        began = time.process_time()
+        media.carve(junk * (1_000_000 // len(junk)) + b"%%EO", magics)
+        assert time.process_time() - began < 5
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    assert media.carve(b"%PDF-%%EOF" + pdf + b"x" + pdf, magics) == [("application/pdf", 10, len(pdf)), ("application/pdf", 11 + len(pdf), len(pdf))]
+
+
+def test_stored_media_are_the_png_format(docs, rows):
+    got = by_id(media.media_columns(docs))
+    for i, t, *_ in rows:
+        b = (t or "").encode()
+        p = b + b"\0" * (-len(b) % 64 or (64 if not b else 0))
+        lines = b"".join(b"\0" + p[k : k + 64] for k in range(0, len(p), 64))
+        chunk = lambda kind, body: len(body).to_bytes(4, "big") + kind + body + zlib.crc32(kind + body).to_bytes(4, "big")
+        png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", (64).to_bytes(4, "big") + (len(p) // 64).to_bytes(4, "big") + bytes([8, 0, 0, 0, 0])) + chunk(b"IDAT", zlib.compress(lines, 1)) + chunk(b"IEND", b"")
+        assert (got[i].media_bytes, got[i].media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+        mean = sum(p) / len(p)
+        bits = -sum(n / len(p) * math.log2(n / len(p)) for n in Counter(p).values()) + 0.0
+        said = dict(x.split("=") for x in got[i].feature.split(";")[2:])
+        assert (float(said["mean"]), float(said["bits"])) == (pytest.approx(mean, abs=6e-5), pytest.approx(bits, abs=6e-5))
+        assert got[i].feature.startswith(f"image/png;64x{len(p) // 64};")
+
+
 def test_masks_cover():
     masks = simhash.covering_masks(list(range(64)), 3)
     assert len(masks) == 15
@@ -359,7 +396,79 @@ def test_line_templates(spark, empty):
 
 def test_templates_generalise():
     lines = [x.split(" ") for x in ("open file a now", "open file b now", "open file c now", "shut down the box")]
-    assert line_templates.templates(lines) == [0, 0, 0, 3]
+    assert line_templates.templates(lines) == ([0, 0, 0, 3], {0: "open file <*> now", 3: "shut down the box"})
+
+
+def brute_templates(rows):
+    """What lines are dropped, by a plain parse of every slice of every leaf and of the slices' templates."""
+    clean = lambda x: re.sub(" +", " ", re.sub("[\t\x0b\x0c\r]", " ", x)).strip(" ")
+    mask = lambda x: " ".join("<*>" if re.search("[0-9]", w) else w for w in clean(x).split(" "))
+
+    def parse(shapes):
+        known, of = [], {}
+        for line, _ in sorted(shapes.items(), key=lambda s: (-s[1], s[0].encode())):
+            w = line.split(" ")
+            like = [sum(a == b for a, b in zip(w, t, strict=True)) / len(w) for _, t in known]
+            best = max(range(len(known)), key=lambda k: (like[k], -k), default=-1)
+            if best >= 0 and like[best] >= 0.6:
+                known[best] = (known[best][0], ["<*>" if a != b else a for a, b in zip(w, known[best][1], strict=True)])
+            else:
+                best = len(known)
+                known.append((line, w))
+            of[line] = best
+        return {line: (known[k][0], " ".join(known[k][1])) for line, k in of.items()}
+
+    hashed = lambda x: (lambda h: h - 2**64 if h >> 63 else h)(xxhash.xxh64_intdigest(x.encode(), 42))
+    lines = [(i, k, mask(x)) for i, t in rows for k, x in enumerate((t or "").split("\n")) if clean(x)]
+    leaves: dict = {}
+    for _, _, m in lines:
+        w = m.split(" ")
+        leaves.setdefault((len(w), *w[:3]), Counter())[m] += 1
+    template = {}
+    for shapes in leaves.values():
+        slices: dict = {}
+        for m, n in shapes.items():
+            slices.setdefault(hashed(m) % 32, {})[m] = n
+        first = {m: t for own in slices.values() for m, t in parse(own).items()}
+        became = {founder: (text, shapes[founder]) for founder, text in first.values()}
+        # founders are parsed again as what they have become
+        known = parse_founders(became)
+        template |= {m: known[f] for m, (f, _) in first.items()}
+    docs = {}
+    for i, _, m in lines:
+        docs.setdefault(template[m], set()).add(i)
+    gone = {(i, k) for i, k, m in lines if len(docs[template[m]]) >= 8}
+    return {i: "\n".join(x for k, x in enumerate((t or "").split("\n")) if (i, k) not in gone) for i, t in rows}
+
+
+def parse_founders(became):
+    known, of = [], {}
+    for founder, (text, _) in sorted(became.items(), key=lambda s: (-s[1][1], s[1][0].encode())):
+        w = text.split(" ")
+        like = [sum(a == b for a, b in zip(w, t, strict=True)) / len(w) for _, t in known]
+        best = max(range(len(known)), key=lambda k: (like[k], -k), default=-1)
+        if best >= 0 and like[best] >= 0.6:
+            known[best] = (known[best][0], ["<*>" if a != b else a for a, b in zip(w, known[best][1], strict=True)])
+        else:
+            best = len(known)
+            known.append((founder, w))
+        of[founder] = best
+    return {f: known[k][0] for f, k in of.items()}
+
+
+def test_line_templates_against_brute_force(spark):
+    r = random.Random(17)
+    stems = ["user {} logged in from {} today", "the {} of {} is here", "get {} done", "{}", "page {} of {}", "a b c {} e {} g {}", "  spaced \t {} line  "]
+    texts = []
+    for i in range(60):
+        lines = []
+        for _ in range(r.randrange(12)):
+            s = r.choice(stems)
+            lines.append(s.format(*(r.choice(["x", "yy", "zed", "q7", str(r.randrange(99)), r.choice("abcdefghijklmnop") * 2]) for _ in range(s.count("{}")))))
+        texts.append((i, r.choice(["\n", "\n", "\n\n", "\r\n"]).join(lines)))
+    got = {q.doc_id: q.kept_text for q in line_templates.drop_lines(make(spark, [(i, t, "en", "a") for i, t in texts])).collect()}
+    assert got == brute_templates(texts)
+    assert any(got[i] != t for i, t in texts) and any(got[i] for i, _ in texts)
 
 
 def test_suffix_tree(docs, rows, empty):
