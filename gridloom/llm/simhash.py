@@ -19,6 +19,8 @@ BITS = 64
 BUCKET = 256
 #: Free bits from which buckets are compared whatever their size.
 FREE = 10
+#: Buckets, of 12 bytes each, that are given to every task.
+BROADCAST = 100_000
 LANES = np.uint64(0x0101010101010101)
 #: Candidates of near duplicates: fingerprints of single words, without those that make up this share of all words (at most
 #: 1 / COMMON_SHARE words), of so many differing bits. See ``repeated_rows``.
@@ -111,6 +113,12 @@ def bucket_links(radius: int) -> Column:
     return linked
 
 
+def sized(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (table, key) with a hint for the join with all rows: broadcast if there are at most BROADCAST, else merged. Left to
+    itself, Spark takes the exploded rows for small, as it doesn't count what an explode adds."""
+    return F.broadcast(buckets) if buckets.limit(BROADCAST + 1).count() <= BROADCAST else buckets.hint("merge")
+
+
 def links(prints: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints ``fp`` of ``prints`` whose closure connects every pair within the radius.
 
@@ -129,7 +137,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
         rows = rows.select("fp", "table", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
         sizes = written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
         two = sizes.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-        members = rows.join(sizes.filter(f"n between 3 and {most}").select("table", "key"), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
+        members = rows.join(sized(sizes.filter(f"n between 3 and {most}").select("table", "key")), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
         some = members.select(F.explode(bucket_links(radius)("fps")).alias("l")).select("l.a", "l.b")
         found = two.union(some) if found is None else found.union(two).union(some)
         large = sizes.filter(f"n > {most}").select("table", "key")
@@ -141,7 +149,7 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
             further.append([m | x for x in covering_masks(free, radius)])
         table = F.element_at(F.array(*[F.array(*[F.lit(signed(x)) for x in own]) for own in further]), F.col("table") + 1)
         kinds = len(further[0])
-        rows = rows.join(large, ["table", "key"]).select("fp", (F.col("table") * kinds).alias("t"), F.posexplode(table).alias("k", "mask")).select("fp", (F.col("t") + F.col("k")).alias("table"), "mask")
+        rows = rows.join(sized(large), ["table", "key"]).select("fp", (F.col("table") * kinds).alias("t"), F.posexplode(table).alias("k", "mask")).select("fp", (F.col("t") + F.col("k")).alias("table"), "mask")
         masks = [x for own in further for x in own]
 
 
