@@ -505,6 +505,53 @@ def test_suffix_tree_is_a_distribution(spark, docs):
     assert total == pytest.approx(1)
 
 
+def test_deep_states_against_brute_force(spark, docs, rows, monkeypatch):
+    r = random.Random(21)
+    say = lambda k: " ".join(r.choice(WORDS + ["w%d" % r.randrange(400)]) for _ in range(k))
+    twice = [say(80) for _ in range(6)]
+    table = [(i, say(60), "en", "a") for i in range(60)] + [(100 + k, twice[k % 6] + " " + say(3), "en", "a") for k in range(12)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    made = make(spark, table).repartition(3).cache()
+    for select in (1, 8):
+        monkeypatch.setattr(suffix_tree, "SELECT", select)
+        monkeypatch.setattr(suffix_tree, "BUCKET", 200)
+        got = by_id(suffix_tree.score(made))
+        tree, words = suffix_tree.learn(made.filter((F.crc32(F.col("doc_id").cast("string")) % 10) != 0).select("text"))
+        count = {np.uint64(q.word & (2**64 - 1)): q.n for q in words.collect()}
+        numbers = suffix_tree.Numbers(tree.common)
+        at: dict = {}
+        plain = {}
+        for i, t, *_ in table:
+            keys = suffix_tree.tokens(t)
+            w = numbers.find(keys)
+            part, open_ = tree.partial(w)
+            root = tree.root(np.array([float(count.get(k, 0)) for k in keys]))
+            plain[i] = part + np.where(open_, root, 0)
+            h, place = suffix_tree.deep_contexts(keys, select)
+            for c, p in zip(h.tolist(), place.tolist(), strict=True):
+                at.setdefault(c, []).append((i, p, keys[p], part[p] + (root[p] if w[p] >= 0 and open_[p] else 0), w[p] < 0, not held(i)))
+        score = {i: p.copy() for i, p in plain.items()}
+        for places in at.values():
+            seen = Counter(k for _, _, k, _, _, train in places if train)
+            n = sum(seen.values())
+            if n < 2:
+                continue
+            left, new, gain = tree.discount * len(seen) / n, {}, 0.0
+            for i, p, k, told, rare, train in places:
+                own = (seen[k] - tree.discount) / n if seen[k] else 0.0
+                new[i, p] = (math.log10(own) if rare else math.log10(own + left * 10**told)) if seen[k] else plain[i][p] + math.log10(left)
+                if train:
+                    gain += (new[i, p] - told + (math.log10(tree.n) if rare else 0)) * math.log(10) / n
+            if gain > suffix_tree.DIVERGENCE:
+                for (i, p), x in new.items():
+                    score[i][p] = x
+        for i in score:
+            assert got[i].score == pytest.approx(score[i].sum(), abs=1e-3), i
+        known = {i: got[i].score / got[i].n_tokens for i in got}
+        apart = lambda ids: sum(known[i] for i in ids) / len(ids)
+        assert apart([i for i in known if i >= 100 and not held(i)]) > apart([i for i in known if i < 100]) + (1.0 if select == 1 else 0.1)
+
+
 def brute_removed(rows, span=100):
     seen: dict[bytes, tuple] = {}
     out = {}
