@@ -231,19 +231,20 @@ def ring_area(ring: Points) -> float:
 
 
 def minkowski(a: Points, b: Points) -> Points:
-    """Sum of two convex counter-clockwise rings: their edges in order of direction."""
-    low = lambda r: r[(i := min(range(len(r)), key=lambda k: (r[k][1], r[k][0]))):] + r[:i]
-    p, q = low(a), low(b)
-    out, i, j = [], 0, 0
-    while i < len(p) or j < len(q):
-        out.append((p[i % len(p)][0] + q[j % len(q)][0], p[i % len(p)][1] + q[j % len(q)][1]))
-        e = (p[(i + 1) % len(p)][0] - p[i % len(p)][0], p[(i + 1) % len(p)][1] - p[i % len(p)][1])
-        f = (q[(j + 1) % len(q)][0] - q[j % len(q)][0], q[(j + 1) % len(q)][1] - q[j % len(q)][1])
-        c = e[0] * f[1] - e[1] * f[0]
-        if j >= len(q) or i < len(p) and c >= 0:
-            i += 1
-        if i > len(p) or j < len(q) and c <= 0 or i >= len(p) and c > 0:
-            j += 1
+    """Sum of two convex counter-clockwise rings: all their edges in order of direction, from the sum of the lowest corners on.
+
+    Edges of one direction are joined; rings of one or two points are allowed.
+    """
+    lowest = lambda r: min(r, key=lambda p: (p[1], p[0]))
+    steps = [(q[0] - p[0], q[1] - p[1]) for r in (a, b) for p, q in zip(r, r[1:] + r[:1], strict=True) if p != q]
+    steps.sort(key=lambda e: math.atan2(e[1], e[0]) % (2 * math.pi))
+    x, y = (u + v for u, v in zip(lowest(a), lowest(b), strict=True))
+    out: Points = [(x, y)]
+    for i, (dx, dy) in enumerate(steps[:-1]):
+        x, y = x + dx, y + dy
+        nx, ny = steps[i + 1]
+        if abs(dx * ny - dy * nx) > 1e-12 * (abs(dx) + abs(dy)) * (abs(nx) + abs(ny)) or dx * nx + dy * ny < 0:
+            out.append((x, y))
     return out
 
 

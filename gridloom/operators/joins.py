@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.scratch import settle
+
 
 def cell(c: Column, side: float) -> Column:
     return F.floor(c / side).cast("long")
@@ -51,32 +53,44 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, qid: str = "id", qx:
     """The k nearest points of each query: (query, point, d2, rank), ties by point id.
 
     A round compares each query with the nine cells round it; it is done if its k-th distance is at most a cell's side,
-    as nothing nearer can lie outside. The others meet cells of twice the side, until all are done or the cells
-    cover everything. Rounds shrink fast: most queries are done in the first.
+    as nothing nearer can lie outside. The others meet cells four times as wide. Each round's result is
+    written, so no round computes those before it anew, and rounds end when no query is open: nearly all are done in the first.
     """
     left = queries.select(F.col(qid).alias("query"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
     right = points.select(F.col(pid).alias("point"), F.col(px).alias("__px"), F.col(py).alias("__py"))
-    side = density_side(right, "__px", "__py", max(1.0, k / 3))
-    lo_x, hi_x, lo_y, hi_y = left.select(F.col("__qx").alias("x"), F.col("__qy").alias("y")).union(right.select("__px", "__py")).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    extent = max(hi_x - lo_x, hi_y - lo_y, 1e-9) if lo_x is not None else 0.0
-    found = None
+    n, a, b, c, e = right.agg(F.count("*"), F.min("__px"), F.max("__px"), F.min("__py"), F.max("__py")).first()
+    lo_x, hi_x, lo_y, hi_y = left.agg(F.min("__qx"), F.max("__qx"), F.min("__qy"), F.max("__qy")).first()
+    if not n or lo_x is None:
+        return left.join(right, F.lit(False)).select("query", "point", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
+    area, reach = max((b - a) * (e - c), 1e-12), max(b - a, e - c, 1e-9)
+    side = max(math.sqrt(area * max(3.0, k) / n), reach / 1e6)
+    extent = max(max(hi_x, b) - min(lo_x, a), max(hi_y, e) - min(lo_y, c), 1e-9)
+    d2 = (F.col("__qx") - F.col("__px")) * (F.col("__qx") - F.col("__px")) + (F.col("__qy") - F.col("__py")) * (F.col("__qy") - F.col("__py"))
+    best = Window.partitionBy("query").orderBy("d2", "point")
+    found, i = None, 0
     while True:
         whole = side >= extent
         near = cells_of(right, F.col("__px") - side, F.col("__py") - side, F.col("__px") + side, F.col("__py") + side, side)
         own = left.withColumns({"__cx": cell(F.col("__qx"), side), "__cy": cell(F.col("__qy"), side)})
-        d2 = (F.col("__qx") - F.col("__px")) * (F.col("__qx") - F.col("__px")) + (F.col("__qy") - F.col("__py")) * (F.col("__qy") - F.col("__py"))
         pairs = own.join(near, ["__cx", "__cy"])
         if exclude_same:
             pairs = pairs.filter("query != point")
-        best = Window.partitionBy("query").orderBy("d2", "point")
         ranked = pairs.select("query", "point", d2.alias("d2")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        if whole:
-            return ranked if found is None else found.union(ranked)
-        done = ranked.groupBy("query").agg(F.max("rank").alias("n"), F.max("d2").alias("far")).filter((F.col("n") == k) & (F.col("far") <= side * side)).select("query")
-        ready = ranked.join(done, "query", "left_semi")
+        if not whole:
+            # the k-th is the last of those kept, so one more pass over the same sorted rows tells whether a query is done
+            far = F.max("d2").over(Window.partitionBy("query"))
+            ranked = ranked.withColumn("__done", (F.max("rank").over(Window.partitionBy("query")) == k) & (far <= side * side))
+            ranked = settle(ranked, i)
+            ready = ranked.filter("__done").drop("__done")
+        else:
+            ready = ranked
         found = ready if found is None else found.union(ready)
-        left = left.join(done, "query", "left_anti")
-        side *= 4
+        if whole:
+            return found
+        left = left.join(ready.select("query").distinct(), "query", "left_anti")
+        if left.isEmpty():
+            return found
+        side, i = side * 4, i + 1
         if side >= extent:
             side = extent * 1.000001
 
@@ -202,19 +216,25 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, values: l
     return both.withColumn("__last", F.last("__r", ignorenulls=True).over(w)).filter("__side = 1").select(*keys, at, "__l.*", *[F.col("__last")[v].alias(v) for v in values])
 
 
-def components(pairs: DataFrame, nodes: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, root): the smallest node reachable over ``pairs`` (a, b); labels fall and jump until none changes."""
-    spark = nodes.sparkSession
-    edges = pairs.select("a", "b").union(pairs.select(F.col("b"), F.col("a"))).persist()
+def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the smallest node reachable over ``pairs`` (a, b).
+
+    Each node hooks to its least neighbour if that is smaller, hooks are followed to their ends, and pairs are rewritten to the ends without
+    those that have met; at most half of the nodes are left for the next round.
+    """
+    edges = settle(pairs.select("a", "b").filter("a != b").distinct())
     labels = nodes.select("node", F.col("node").alias("root"))
-    reliable = spark.sparkContext.getCheckpointDir() is not None
-    for i in range(rounds):
-        near = edges.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
-        fell = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("low"))
-        jump = fell.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        fell = fell.join(jump, "low").select("node", "root", F.least("low", "far").alias("low"))
-        fell = fell.checkpoint() if reliable and i % 3 == 2 else fell.persist()
-        if fell.filter("low < root").isEmpty():
-            return fell.select("node", F.col("low").alias("root"))
-        labels = fell.select("node", F.col("low").alias("root"))
-    raise RuntimeError("components did not settle")
+    i = 0
+    while not edges.isEmpty():
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = settle(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("end")), i)
+        while True:
+            far = ends.select(F.col("node").alias("end"), F.col("end").alias("far"))
+            jumped = settle(ends.join(far, "end").select("node", F.col("far").alias("end"), (F.col("far") != F.col("end")).alias("moved")), i)
+            if jumped.filter("moved").isEmpty():
+                break
+            ends = jumped.select("node", "end")
+        labels = settle(labels.join(ends.select(F.col("node").alias("root"), "end"), "root", "left").select("node", F.coalesce("end", "root").alias("root")), i)
+        edges = edges.join(ends.select(F.col("node").alias("a"), F.col("end").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("end").alias("y")), "b")
+        edges, i = settle(edges.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), i), i + 1
+    return labels

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.scratch import settle
 from gridloom.operators.statistics import STRAIGHT, shifted
 
 DIAGONAL = ((-1, -1), (-1, 1), (1, -1), (1, 1))
@@ -45,12 +46,23 @@ def horn(cells: DataFrame, size: float = 1.0) -> DataFrame:
     return s.select("r", "c", "v", gx.alias("gx"), gy.alias("gy"))
 
 
-def hillshade(cells: DataFrame, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
-    """Light on inner cells: cosine between the surface's normal and the sun, not below 0."""
+def framed(cells: DataFrame, value: str = "v") -> DataFrame:
+    """Cells with one more row and column on each side that repeat the edge, so that stencils reach every cell."""
+    low_r, high_r, low_c, high_c = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+
+    def beyond(v: str, low: int | None, high: int | None) -> Column:
+        """The cell itself, and the one outside it on an edge."""
+        return F.explode(F.concat(F.array(F.col(v)), F.when(F.col(v) == low, F.array(F.col(v) - 1)).otherwise(F.array()), F.when(F.col(v) == high, F.array(F.col(v) + 1)).otherwise(F.array())))
+
+    return cells.select(beyond("r", low_r, high_r).alias("r"), "c", value).select("r", beyond("c", low_c, high_c).alias("c"), value)
+
+
+def hillshade(cells: DataFrame, azimuth: float = 315.0, altitude: float = 45.0, size: float = 1.0) -> DataFrame:
+    """Light on every cell: cosine between the surface's normal and the sun, not below 0. Beyond the grid the edge cells go on."""
     a, h = math.radians(azimuth), math.radians(altitude)
     sx, sy, sz = math.sin(a) * math.cos(h), math.cos(a) * math.cos(h), math.sin(h)
     shade = (-F.col("gx") * sx + F.col("gy") * sy + sz) / F.sqrt(1 + F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))
-    return horn(cells).select("r", "c", F.greatest(shade, F.lit(0.0)).alias("shade"))
+    return horn(framed(cells), size).select("r", "c", F.greatest(shade, F.lit(0.0)).alias("shade"))
 
 
 def around(cells: DataFrame, offsets: Sequence[tuple[int, int]], value: str = "v", itself: bool = False) -> DataFrame:
@@ -88,11 +100,6 @@ def descent(cells: DataFrame) -> DataFrame:
     return cells.select("r", "c").join(best, ["r", "c"], "left").select("r", "c", (F.col("r") + F.col("m.dr")).alias("tr"), (F.col("c") + F.col("m.dc")).alias("tc"))
 
 
-def settle(df: DataFrame, i: int) -> DataFrame:
-    """Cut the plan of an iteration: to the checkpoint folder where one is set, else by caching."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-
-
 def outlets(flow: DataFrame, rounds: int = 40) -> DataFrame:
     """(r, c, sr, sc): the sink that each cell's flow ends in, by pointers that jump twice as far each round."""
     at = flow.select("r", "c", F.coalesce("tr", "r").alias("sr"), F.coalesce("tc", "c").alias("sc"))
@@ -120,6 +127,21 @@ def accumulation(flow: DataFrame, rounds: int = 10_000) -> DataFrame:
     raise ValueError("the flow has a cycle")
 
 
+def height_above_drainage(cells: DataFrame, threshold: int) -> DataFrame:
+    """(r, c, channel, height): height above the first channel cell on each cell's way down, or above the sink where it meets none.
+
+    Channel cells are those that the flow of ``threshold`` cells or more passes, themselves included. Ways end in them, so pointers jump to the
+    base of each cell in a number of rounds that is the logarithm of the longest way.
+    """
+    if threshold < 1:
+        raise ValueError("the threshold must be at least one cell")
+    flow = settle(descent(cells))
+    channel = settle(accumulation(flow).select("r", "c", (F.col("n") >= threshold).alias("channel")))
+    cut = flow.join(channel, ["r", "c"]).select("r", "c", *[F.when(~F.col("channel"), F.col(t)).alias(t) for t in ("tr", "tc")])
+    base = outlets(cut).join(cells.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("v").alias("base")), ["sr", "sc"])
+    return base.join(cells.select("r", "c", "v"), ["r", "c"]).join(channel, ["r", "c"]).select("r", "c", "channel", (F.col("v") - F.col("base")).alias("height"))
+
+
 def spread_from(cells: DataFrame, start: DataFrame, step: Callable[[float, float, float, float], float], tile: int = 256, rounds: int = 10_000) -> DataFrame:
     """(r, c, v, cost): least cost over eight neighbours from ``start`` (r, c, cost); step(cost, v, next v, length) must not fall below the cost.
 
@@ -197,15 +219,40 @@ def patches(cells: DataFrame, offsets: Sequence[tuple[int, int]] = STRAIGHT) ->
 
 
 def distance_transform(cells: DataFrame, mask: Column) -> DataFrame:
-    """(r, c, d2): squared distance to the nearest set cell, exactly: nearest in the column by two windows, then along the row the lower
-    envelope, which only needs columns no farther than the best found so far; here a join inside each row."""
+    """(r, c, d2): squared distance to the nearest set cell, exactly; null without one.
+
+    Two windows give the nearest set cell in each column; then each row is a lower envelope of parabolas, built and read off in one
+    pass, so a task holds a row at a time. Columns without a set cell have no parabola.
+    """
     up = Window.partitionBy("c").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy("c").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(mask, F.col("r"))
     cols = cells.withColumn("g", F.least(F.col("r") - F.last(own, ignorenulls=True).over(up), F.last(own, ignorenulls=True).over(down) - F.col("r")))
-    right = cols.filter("g is not null").select("r", F.col("c").alias("c2"), "g")
-    d2 = F.pow(F.col("c") - F.col("c2"), 2) + F.col("g") * F.col("g")
-    return cols.select("r", "c").join(right, "r").groupBy("r", "c").agg(F.min(d2).cast("long").alias("d2"))
+
+    def envelope(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("c")
+        c, g = frame["c"].tolist(), frame["g"].tolist()
+        hull: list[tuple[int, int, float]] = []  # parabola's column, its height, and where it begins to be the lowest
+        for q, h in zip(c, g, strict=True):
+            if h != h or h is None:
+                continue
+            f, start = int(h) * int(h), -math.inf
+            while hull:
+                p, e, begun = hull[-1]
+                start = (f + q * q - e - p * p) / (2 * (q - p))
+                if start > begun:
+                    break
+                hull.pop()
+                start = -math.inf
+            hull.append((q, f, start))
+        out, k = [], 0
+        for q in c:
+            while k + 1 < len(hull) and hull[k + 1][2] <= q:
+                k += 1
+            out.append((q - hull[k][0]) ** 2 + hull[k][1] if hull else None)
+        return pd.DataFrame({"r": frame["r"].to_numpy(), "c": c, "d2": pd.array(out, dtype="Int64")})
+
+    return cols.select("r", "c", "g").groupBy("r").applyInPandas(envelope, "r long, c long, d2 long")
 
 
 def rays(cells: DataFrame, directions: int, steps: int) -> DataFrame:
@@ -217,7 +264,7 @@ def rays(cells: DataFrame, directions: int, steps: int) -> DataFrame:
     return dealt.join(cells.select(F.col("r").alias("rr"), F.col("c").alias("cc"), F.col("v").alias("h")), ["rr", "cc"])
 
 
-def sky_view(cells: DataFrame, directions: int = 8, steps: int = 8, size: float = 10.0) -> DataFrame:
+def sky_view(cells: DataFrame, directions: int = 16, steps: int = 64, size: float = 10.0) -> DataFrame:
     """Share of the sky seen: one less the mean sine of the horizon over directions."""
     up = rays(cells, directions, steps).groupBy("r", "c", "k").agg(F.max((F.col("h") - F.col("v")) / (F.hypot(F.col("rr") - F.col("r"), F.col("cc") - F.col("c")) * size)).alias("t"))
     sine = F.when(F.col("t") > 0, F.col("t") / F.sqrt(1 + F.col("t") * F.col("t"))).otherwise(0.0)

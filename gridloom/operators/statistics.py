@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.joins import cell, components, join_within, knn_join, self_join_within
+from gridloom.operators.scratch import settle
 
 #: Straight neighbours of a cell.
 STRAIGHT = ((-1, 0), (1, 0), (0, -1), (0, 1))
@@ -52,10 +53,39 @@ def ripley_k(points: DataFrame, radii: list[float], area: float) -> DataFrame:
     return counts.select("r", F.round(area * 2 * F.col("m") / (n * (n - 1.0)), 4).alias("k"))
 
 
-def inverse_distance(points: DataFrame, samples: DataFrame, radius: float, power: int = 2) -> DataFrame:
-    """Inverse-distance weighted values of samples within a radius; samples at the very place are left to the caller."""
-    near = join_within(points, samples, radius).filter("d2 > 0").withColumn("w", 1 / F.pow(F.col("d2"), power / 2))
-    return near.groupBy("id").agg(F.round(F.sum(F.col("w") * F.col("v")) / F.sum("w"), 6).alias("v"))
+def inverse_distance(points: DataFrame, samples: DataFrame, power: float = 2.0, block: int = 4096) -> DataFrame:
+    """(id, v): inverse-distance weighted mean of all samples (sid, sx, sy, v) at each point; at a sample's place its own value, of several there the
+    one of the smallest sid.
+
+    Every sample counts at every point, so the points are a query set against blocks of samples: a block is an array in one row, its weights are
+    summed inside the row, and each point gets one row per block.
+    """
+    if power <= 0:
+        raise ValueError("the power must be positive")
+    packed = samples.select(F.floor(F.monotonically_increasing_id() % (1 << 33) / block).alias("k"), F.spark_partition_id().alias("p"), F.struct("sid", "sx", "sy", "v").alias("s"))
+    packed = settle(packed.groupBy("p", "k").agg(F.collect_list("s").alias("samples")).select("samples"))
+
+    @F.pandas_udf("w double, wv double, at struct<sid:long,v:double>")
+    def summed(x: pd.Series, y: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+        out, seen = [], {}
+        for px, py, b in zip(x, y, blocks, strict=True):
+            key = (len(b), b[0]["sid"], b[-1]["sid"])
+            if key not in seen:
+                seen[key] = tuple(np.array([r[c] for r in b], dtype=float) for c in ("sx", "sy", "v")) + (np.array([r["sid"] for r in b]),)
+            sx, sy, v, sid = seen[key]
+            d = np.hypot(sx - px, sy - py)
+            here = np.flatnonzero(d == 0)
+            if len(here):
+                first = here[sid[here].argmin()]
+                out.append((0.0, 0.0, {"sid": int(sid[first]), "v": float(v[first])}))
+            else:
+                w = 1 / d**power
+                out.append((float(w.sum()), float(w @ v), None))
+        return pd.DataFrame(out, columns=["w", "wv", "at"])
+
+    parts = points.select("id", "x", "y").crossJoin(packed).select("id", summed("x", "y", "samples").alias("s")).select("id", "s.*")
+    sums = parts.groupBy("id").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.min("at").alias("at"))
+    return sums.select("id", F.when(F.col("at").isNotNull(), F.col("at.v")).otherwise(F.try_divide(F.col("wv"), F.col("w"))).alias("v"))
 
 
 def kriging(points: DataFrame, samples: DataFrame, k: int, sill: float, reach: float) -> DataFrame:
@@ -90,9 +120,12 @@ def dbscan(points: DataFrame, radius: float, least: int) -> DataFrame:
     if least <= 1:
         core = points.select(F.col("id").alias("node"))
     links = pairs.join(core.withColumnRenamed("node", "a"), "a", "left_semi").join(core.withColumnRenamed("node", "b"), "b", "left_semi")
-    roots = components(links.select("a", "b"), core)
-    numbers = roots.select("root").distinct().withColumn("cluster", F.row_number().over(Window.orderBy("root")))
-    named = roots.join(F.broadcast(numbers), "root").select("node", "cluster")
+    roots = settle(components(links.select("a", "b"), core))
+    # clusters are numbered by their smallest core: a rank inside slices of the ids and the counts of the slices before, so no task gets all
+    from gridloom.operators.nearest import global_rank
+
+    numbers = global_rank(roots.select("root").distinct(), ["root"], "k").select("root", (F.col("k") + 1).alias("cluster"))
+    named = roots.join(numbers, "root").select("node", "cluster")
     edge = both.join(named.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
     out = points.select("id").join(named.withColumnRenamed("node", "id"), "id", "left").join(edge, "id", "left")
     return out.select("id", F.coalesce("cluster", "near", F.lit(-1)).cast("long").alias("cluster"))
@@ -115,14 +148,41 @@ def lloyd(points: DataFrame, centres: list[tuple], rounds: int) -> DataFrame:
     return points.sparkSession.createDataFrame([(i, round(x, 4), round(y, 4), sizes.get(i, 0)) for i, (x, y) in enumerate(centres)], "centre int, x double, y double, n long")
 
 
-def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 6) -> DataFrame:
-    """Flat-kernel modes: every point climbs to the mean of the points within the bandwidth, a distance join a round; close ends are one mode."""
+def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 200, still: float = 1e-6) -> DataFrame:
+    """(id, mode, x, y): flat-kernel modes: every point climbs to the mean of the points within the bandwidth until a step is shorter than ``still``.
+
+    A round is a distance join of the points that still climb, and is written. Ends then become modes in the order of the points' ids: an end
+    within half a bandwidth of an earlier mode joins the earliest such one, else it founds its own; so do whole rounds of ends whose earlier neighbours are settled.
+    """
     at = points.select("id", F.col("x").alias("mx"), F.col("y").alias("my"))
-    for _ in range(rounds):
-        near = join_within(at, points.select(F.col("x").alias("sx"), F.col("y").alias("sy")), bandwidth, "mx", "my")
-        at = near.groupBy("id").agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"))
-    side = bandwidth / 2
-    return at.groupBy(cell(F.col("mx"), side).alias("cx"), cell(F.col("my"), side).alias("cy")).agg(F.count("*").alias("n"), F.round(F.avg("mx"), 3).alias("x"), F.round(F.avg("my"), 3).alias("y"))
+    fixed = points.select(F.col("x").alias("sx"), F.col("y").alias("sy"))
+    ends = None
+    for i in range(rounds):
+        near = join_within(at, fixed, bandwidth, "mx", "my").groupBy("id", "mx", "my").agg(F.avg("sx").alias("nx"), F.avg("sy").alias("ny"))
+        near = settle(near.withColumn("done", (F.hypot(F.col("nx") - F.col("mx"), F.col("ny") - F.col("my")) < still) | F.lit(i == rounds - 1)), i)
+        here = near.filter("done").select("id", F.col("nx").alias("x"), F.col("ny").alias("y"))
+        ends = here if ends is None else ends.union(here)
+        at = near.filter("not done").select("id", F.col("nx").alias("mx"), F.col("ny").alias("my"))
+        if at.isEmpty():
+            break
+    ends = settle(ends)
+    # points that climbed to the same place are one end, named by the smallest id
+    places = settle(ends.groupBy("x", "y").agg(F.min("id").alias("end")))
+    pairs = self_join_within(places, bandwidth / 2, "end")
+    links = settle(pairs.select("a", "b").union(pairs.select("b", "a")))
+    state = places.select("end", F.lit(None).cast("long").alias("mode"))
+    for i in range(1_000_000):
+        earlier = links.filter("b < a").join(state.select(F.col("end").alias("b"), F.col("mode").alias("m")), "b")
+        told = earlier.groupBy(F.col("a").alias("end")).agg(F.min(F.when(F.col("m") == F.col("b"), F.col("b"))).alias("first"), F.min(F.when(F.col("m").isNull(), F.col("b"))).alias("open"))
+        next_ = state.join(told, "end", "left")
+        # the earliest mode is known once no neighbour before it is open
+        known = F.when(F.col("open").isNull(), F.coalesce("first", "end")).when(F.col("first") < F.col("open"), F.col("first"))
+        state = settle(next_.select("end", F.coalesce("mode", known).alias("mode")), i)
+        if state.filter("mode is null").isEmpty():
+            break
+    modes = places.join(state, "end").select("x", "y", "mode")
+    top = places.select(F.col("end").alias("mode"), F.col("x").alias("mode_x"), F.col("y").alias("mode_y"))
+    return ends.join(modes, ["x", "y"]).join(top, "mode").select("id", "mode", F.col("mode_x").alias("x"), F.col("mode_y").alias("y"))
 
 
 def skyline(points: DataFrame) -> DataFrame:
@@ -149,6 +209,24 @@ def grid_thin(points: DataFrame, side: float) -> DataFrame:
     return points.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.min(F.struct(d2.alias("d2"), "id")).alias("m")).select(F.col("m.id").alias("id"))
 
 
+def distance_thin(points: DataFrame, spacing: float) -> DataFrame:
+    """Ids kept so that none is nearer than ``spacing`` to a kept one of smaller id: the greedy choice in the order of ids.
+
+    A point is kept once all its earlier neighbours are dropped, and dropped once one of them is kept; each round settles all points whose
+    earlier neighbours are settled. Neighbours come from one distance join.
+    """
+    pairs = settle(self_join_within(points, spacing).filter(F.col("d2") < spacing * spacing).select("a", "b"))
+    state = points.select("id", F.lit(None).cast("boolean").alias("kept"))
+    for i in range(1_000_000):
+        told = pairs.join(state.select(F.col("id").alias("a"), "kept"), "a").groupBy(F.col("b").alias("id")).agg(F.bool_or(F.coalesce("kept", F.lit(False))).alias("blocked"), F.bool_or(F.col("kept").isNull()).alias("open"))
+        next_ = state.join(told, "id", "left")
+        known = F.when(F.coalesce("blocked", F.lit(False)), F.lit(False)).when(~F.coalesce("open", F.lit(False)), F.lit(True))
+        state = settle(next_.select("id", F.coalesce("kept", known).alias("kept")), i)
+        if state.filter("kept is null").isEmpty():
+            break
+    return state.filter("kept").select("id")
+
+
 def farthest_first(points: DataFrame, k: int) -> DataFrame:
     """Greedy centres: from the smallest id on, each next one is the point farthest from all before; k aggregates."""
     first = points.agg(F.min(F.struct("id", "x", "y")).alias("m")).select("m.*").first()

@@ -91,8 +91,9 @@ def compressed(fixes: DataFrame, tolerance: float, timed: bool = False) -> DataF
     return per_track(fixes.select("track", "seq", "t", "x", "y"), run, "track long, seq long, t double, x double, y double")
 
 
-def visvalingam(points: np.ndarray, keep: int) -> np.ndarray:
-    """Least effective area first, until ``keep`` points are left."""
+def removal_order(points: np.ndarray, keep: int, least: float = np.inf) -> np.ndarray:
+    """Which points stay when the inner point of the least current triangle with its neighbours goes, again and again, until ``keep`` points
+    are left or the least area is ``least`` or more. Areas are always the current ones; of equal areas the first point goes."""
     import heapq
 
     n = len(points)
@@ -106,20 +107,26 @@ def visvalingam(points: np.ndarray, keep: int) -> np.ndarray:
         a, i = heapq.heappop(heap)
         if not alive[i] or now[i] != a:
             continue
+        if a >= least:
+            break
         alive[i] = False
         left -= 1
         p, q = prv[i], nxt[i]
         nxt[p], prv[q] = q, p
         for k in (p, q):
             if 0 < k < n - 1 and alive[k]:
-                now[k] = max(area(k), a)
+                now[k] = area(k)
                 heapq.heappush(heap, (now[k], k))
     return np.array(alive)
 
 
-def thinned_by_area(fixes: DataFrame, keep: int) -> DataFrame:
+def thinned_by_area(fixes: DataFrame, keep: int = 2, least: float = np.inf) -> DataFrame:
+    """The fixes that area simplification keeps: down to ``keep`` of a track, or until no triangle is smaller than ``least``."""
+    if keep < 2 or least < 0:
+        raise ValueError("keep two points at least, and give no negative area")
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        return g[visvalingam(g[["x", "y"]].to_numpy(float), keep)]
+        return g[removal_order(g[["x", "y"]].to_numpy(float), keep, least)]
 
     return per_track(fixes.select("track", "seq", "x", "y"), run, "track long, seq long, x double, y double")
 

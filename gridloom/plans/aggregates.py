@@ -91,7 +91,11 @@ def rasterize(spark: SparkSession, d: str) -> DataFrame:
     return dealt.filter(joins.in_ring((F.col("__cx") + 0.5) * 5, (F.col("__cy") + 0.5) * 5, F.col("ring"))).select(F.col("__cx").alias("cx"), F.col("__cy").alias("cy"), "id")
 
 
-@query("linedensity", None)
+S_SLAB = "CASE WHEN {d} = 0 THEN {z} ELSE {f}(({c}*50-{p})/{d}, (({c}+1)*50-{p})/{d}) END"
+S_ENTER, S_LEAVE = (", ".join(S_SLAB.format(d=f"({v}2-{v}1)", z=z, f=f, c=c, p=f"{v}1") for v, c in (("x", "cx"), ("y", "cy"))) for f, z in (("least", "0.0"), ("greatest", "1.0")))
+
+
+@query("linedensity", sql(f"WITH p AS (SELECT cx, cy, least(1.0, {S_LEAVE}) - greatest(0.0, {S_ENTER}) AS part, sqrt((x2-x1)**2+(y2-y1)**2) AS len FROM segments, range(-2, 24) a(cx), range(-2, 24) b(cy) WHERE cx BETWEEN floor(least(x1, x2)/50) AND floor(greatest(x1, x2)/50) AND cy BETWEEN floor(least(y1, y2)/50) AND floor(greatest(y1, y2)/50)) SELECT cx, cy, round(sum(part*len), 5) AS length FROM p WHERE part > 0 GROUP BY cx, cy", "segments"))
 def linedensity(spark: SparkSession, d: str) -> DataFrame:
     return statistics.line_density(segments(spark, d), 50.0)
 
@@ -132,24 +136,25 @@ def variogram(spark: SparkSession, d: str) -> DataFrame:
     return agg.semivariogram(points(spark, d).withColumn("v", (F.col("id") % 37).cast("double")), 20.0, 5).select("lag", "pairs", F.round("gamma", 6).alias("gamma"))
 
 
-@query("bearingstats", sql("WITH m AS (SELECT avg(sin(radians(lon1))) AS s, avg(cos(radians(lon1))) AS c FROM places WHERE lon1 BETWEEN 0 AND 170) SELECT round(degrees(atan2(s, c))+360-360*floor((degrees(atan2(s, c))+360)/360), 6) AS mean, round(sqrt(s*s+c*c), 6) AS length, round(degrees(sqrt(-2*ln(sqrt(s*s+c*c)))), 6) AS std FROM m", "places"))
+@query("bearingstats", sql("WITH m AS (SELECT avg(sin(radians(lon1*85/180+85))) AS s, avg(cos(radians(lon1*85/180+85))) AS c FROM places) SELECT round(degrees(atan2(s, c))+360-360*floor((degrees(atan2(s, c))+360)/360), 6) AS mean, round(sqrt(s*s+c*c), 6) AS length, round(degrees(sqrt(-2*ln(sqrt(s*s+c*c)))), 6) AS std FROM m", "places"))
 def bearingstats(spark: SparkSession, d: str) -> DataFrame:
-    return places(spark, d).filter(F.col("lon1").between(0, 170)).agg(*[F.round(c, 6).alias(n) for n, c in agg.circular(F.col("lon1")).items()])
+    """Bearings are drawn together to half a circle, so that they have a mean."""
+    return places(spark, d).agg(*[F.round(c, 6).alias(n) for n, c in agg.circular(F.col("lon1") * 85 / 180 + 85).items()])
 
 
-@query("geocentroid", sql("WITH m AS (SELECT avg(cos(radians(lat1))*cos(radians(lon1))) AS x, avg(cos(radians(lat1))*sin(radians(lon1))) AS y, avg(sin(radians(lat1))) AS z FROM places WHERE lon1 BETWEEN -40 AND 60) SELECT round(degrees(atan2(z, sqrt(x*x+y*y))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon, round(sqrt(x*x+y*y+z*z), 6) AS concentration FROM m", "places"))
+@query("geocentroid", sql("WITH m AS (SELECT avg(cos(radians(lat1))*cos(radians(lon1*50/180+10))) AS x, avg(cos(radians(lat1))*sin(radians(lon1*50/180+10))) AS y, avg(sin(radians(lat1))) AS z FROM places) SELECT round(degrees(atan2(z, sqrt(x*x+y*y))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon, round(sqrt(x*x+y*y+z*z), 6) AS concentration FROM m", "places"))
 def geocentroid(spark: SparkSession, d: str) -> DataFrame:
     from gridloom.functions import geodesy
 
-    v = geodesy.unit_vector(F.col("lat1"), F.col("lon1"))
-    m = places(spark, d).filter(F.col("lon1").between(-40, 60)).agg(*[F.avg(c).alias(n) for n, c in zip("xyz", v, strict=True)])
+    v = geodesy.unit_vector(F.col("lat1"), F.col("lon1") * 50 / 180 + 10)  # drawn together to one side of the sphere
+    m = places(spark, d).agg(*[F.avg(c).alias(n) for n, c in zip("xyz", v, strict=True)])
     lat, lon = geodesy.from_vector(F.col("x"), F.col("y"), F.col("z"))
     return m.select(F.round(lat, 5).alias("lat"), F.round(lon, 5).alias("lon"), F.round(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), 6).alias("concentration"))
 
 
-@query("sdellipse", sql("WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM points WHERE x < 700) SELECT round(mx, 5) AS mx, round(my, 5) AS my, round(sqrt((a+b)/2+sqrt(((a-b)/2)**2+c*c)), 5) AS major, round(sqrt((a+b)/2-sqrt(((a-b)/2)**2+c*c)), 5) AS minor, round(90-degrees(atan2(2*c, a-b))/2-180*floor((90-degrees(atan2(2*c, a-b))/2)/180), 4) AS bearing FROM m", "points"))
+@query("sdellipse", sql("WITH m AS (SELECT avg(x) AS mx, avg(y) AS my, var_pop(x) AS a, var_pop(y) AS b, covar_pop(x, y) AS c FROM (SELECT x*0.7 AS x, y FROM points)) SELECT round(mx, 5) AS mx, round(my, 5) AS my, round(sqrt((a+b)/2+sqrt(((a-b)/2)**2+c*c)), 5) AS major, round(sqrt((a+b)/2-sqrt(((a-b)/2)**2+c*c)), 5) AS minor, round(90-degrees(atan2(2*c, a-b))/2-180*floor((90-degrees(atan2(2*c, a-b))/2)/180), 4) AS bearing FROM m", "points"))
 def sdellipse(spark: SparkSession, d: str) -> DataFrame:
-    e = agg.deviational_ellipse(points(spark, d).filter("x < 700"))
+    e = agg.deviational_ellipse(points(spark, d).withColumn("x", F.col("x") * 0.7))
     return e.select(*[F.round(c, 5).alias(c) for c in ("mx", "my", "major", "minor")], F.round("bearing", 4).alias("bearing"))
 
 
@@ -214,13 +219,27 @@ def thinning(spark: SparkSession, d: str) -> DataFrame:
     return statistics.grid_thin(points(spark, d), 60.0)
 
 
+@query("thinning_distance", None)
+def thinning_distance(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.distance_thin(points(spark, d), 40.0)
+
+
 @query("spatialsample", sql("SELECT id FROM points WHERE id % 7 = 3", "points"))
 def spatialsample(spark: SparkSession, d: str) -> DataFrame:
     """The systematic design: every seventh, from the fourth."""
     return points(spark, d).filter("id % 7 = 3").select("id")
 
 
-@query("kcenter", None)
+def s_farthest(k: int) -> str:
+    """Each step's centre as a table of its own."""
+    steps = ["c0 AS (SELECT id, x, y, 0.0 AS d2 FROM points ORDER BY id LIMIT 1)"]
+    for i in range(1, k):
+        near = ", ".join(f"(SELECT (p.x-x)**2+(p.y-y)**2 FROM c{j})" for j in range(i))
+        steps.append(f"c{i} AS (SELECT id, x, y, d2 FROM (SELECT id, x, y, least({near}, 1e300) AS d2 FROM points p) ORDER BY d2 DESC, id LIMIT 1)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS step, id, round(sqrt(d2), 6) AS distance FROM c{i}" for i in range(k))
+
+
+@query("kcenter", sql(s_farthest(6), "points"))
 def kcenter(spark: SparkSession, d: str) -> DataFrame:
     return statistics.farthest_first(points(spark, d), 6)
 
@@ -270,12 +289,12 @@ def spatialweights(spark: SparkSession, d: str) -> DataFrame:
     return both.withColumn("w", F.round(1 / F.count("*").over(Window.partitionBy("i")), 6))
 
 
-@query("idw", sql("SELECT id, round(sum(w*v)/sum(w), 6) AS v FROM (SELECT id, 1/((x-sx)**2+(y-sy)**2) AS w, sid%17 AS v FROM points, sites WHERE (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 40000 AND (x <> sx OR y <> sy)) GROUP BY id", "points", "sites"))
+@query("idw", sql("SELECT id, round(coalesce(arg_min(v, sid) FILTER (x = sx AND y = sy), sum(v/((x-sx)**2+(y-sy)**2)) FILTER (x <> sx OR y <> sy)/sum(1/((x-sx)**2+(y-sy)**2)) FILTER (x <> sx OR y <> sy)), 6) AS v FROM (SELECT *, CAST(sid%17 AS DOUBLE) AS v FROM points, sites) GROUP BY id", "points", "sites"))
 def idw(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.inverse_distance(points(spark, d), sites(spark, d).withColumn("v", (F.col("sid") % 17).cast("double")), 200.0)
+    return statistics.inverse_distance(points(spark, d), sites(spark, d).withColumn("v", (F.col("sid") % 17).cast("double"))).select("id", F.round("v", 6).alias("v"))
 
 
-@query("dbscan", None)
+@query("dbscan", sql("WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM points a, points b WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 900), core AS (SELECT a FROM near GROUP BY a HAVING count(*) >= 4), link AS (SELECT a, b FROM near WHERE a IN (SELECT a FROM core) AND b IN (SELECT a FROM core)), reach AS (SELECT a, a AS root FROM core UNION SELECT link.b, root FROM reach JOIN link ON reach.a = link.a), own AS (SELECT a, min(root) AS root FROM reach GROUP BY a), named AS (SELECT a, dense_rank() OVER (ORDER BY root) AS cluster FROM own) SELECT p.id, coalesce((SELECT cluster FROM named WHERE named.a = p.id), (SELECT min(cluster) FROM near JOIN named ON near.b = named.a WHERE near.a = p.id), -1) AS cluster FROM points p", "points").replace("WITH points", "WITH RECURSIVE points").replace(", RECURSIVE near", ", near"))
 def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return statistics.dbscan(points(spark, d), 30.0, 4)
 
@@ -288,7 +307,8 @@ def kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 @query("meanshift", None)
 def meanshift(spark: SparkSession, d: str) -> DataFrame:
-    return statistics.mean_shift(points(spark, d), 120.0)
+    """Members of each mode."""
+    return statistics.mean_shift(points(spark, d), 120.0).groupBy("mode").agg(F.count("*").alias("n"), F.round(F.first("x"), 3).alias("x"), F.round(F.first("y"), 3).alias("y"))
 
 
 @query("kriging", None)

@@ -27,7 +27,15 @@ def aspectnoise(spark: SparkSession, d: str) -> DataFrame:
     return ras.horn(raster(spark, d)).select("r", "c", (F.round("gx", 6) + 0.0).alias("gx"), (F.round("gy", 6) + 0.0).alias("gy"))
 
 
-@query("hillshade", sql(f"SELECT a.r, a.c, round(greatest(0.0, (-({GX})*sin(radians(315))*cos(radians(45)) + ({GY})*cos(radians(315))*cos(radians(45)) + sin(radians(45)))/sqrt(1+({GX})**2+({GY})**2)), 6) AS shade FROM {CORNERS}", "cells"))
+def s_clamped(dr: int, dc: int) -> str:
+    return f"(SELECT b.v FROM cells b WHERE b.r = least(greatest(a.r+({dr}), e.r0), e.r1) AND b.c = least(greatest(a.c+({dc}), e.c0), e.c1))"
+
+
+S_FRAME = ", ".join(f"{s_clamped(*o)} AS {n}" for n, o in {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}.items())
+S_DX, S_DY = "((ne+2*e+se)-(nw+2*w+sw))/8", "((nw+2*n+ne)-(sw+2*s+se))/8"
+
+
+@query("hillshade", sql(f"WITH e AS (SELECT min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM cells), g AS (SELECT a.r, a.c, {S_FRAME} FROM cells a, e), k AS (SELECT r, c, {S_DX} AS dx, {S_DY} AS dy FROM g) SELECT r, c, round(greatest(0.0, sin(radians(45))*cos(atan(sqrt(dx*dx+dy*dy))) + cos(radians(45))*sin(atan(sqrt(dx*dx+dy*dy)))*cos(radians(315)-atan2(-dx, -dy))), 6) AS shade FROM k", "cells"))
 def hillshade(spark: SparkSession, d: str) -> DataFrame:
     return ras.hillshade(raster(spark, d)).select("r", "c", F.round("shade", 6).alias("shade"))
 
@@ -59,15 +67,16 @@ def flowaccumulation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("streamorder", None)
 def streamorder(spark: SparkSession, d: str) -> DataFrame:
-    return ras.strahler(ras.settle(ras.descent(raster(spark, d)), 0)).groupBy("stream").agg(F.count("*").alias("cells"))
+    return ras.strahler(ras.settle(ras.descent(raster(spark, d)), 0)).select("r", "c", "stream")
 
 
-@query("hand", None)
+S_FLOW = f"fl AS (SELECT a.r, a.c, a.v, f.tr, f.tc FROM cells a LEFT JOIN ({DROP}) f ON a.r=f.r AND a.c=f.c AND pick=1), w AS (SELECT r, c, tr, tc, r AS pr, c AS pc FROM fl UNION ALL SELECT w.r, w.c, fl.tr, fl.tc, fl.r, fl.c FROM w JOIN fl ON w.tr=fl.r AND w.tc=fl.c), ch AS (SELECT pr AS r, pc AS c, count(*) >= 6 AS channel FROM w GROUP BY pr, pc), b AS (SELECT fl.r, fl.c, fl.v AS base FROM fl JOIN ch USING (r, c) WHERE channel OR tr IS NULL UNION ALL SELECT fl.r, fl.c, b.base FROM fl JOIN ch USING (r, c) JOIN b ON fl.tr=b.r AND fl.tc=b.c WHERE NOT channel)"
+
+
+@query("hand", sql(f"WITH RECURSIVE {S_FLOW} SELECT r, c, channel, round(v-base, 6) AS height FROM b JOIN fl USING (r, c) JOIN ch USING (r, c)", "cells").replace("WITH cells", "WITH RECURSIVE cells").replace(", RECURSIVE fl", ", fl"))
 def hand(spark: SparkSession, d: str) -> DataFrame:
-    """Height above the sink that a cell's flow ends in."""
-    c = raster(spark, d)
-    end = ras.outlets(ras.descent(c)).join(c.select("r", "c", "v"), ["r", "c"])
-    return end.join(c.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("v").alias("base")), ["sr", "sc"]).select("r", "c", F.round(F.col("v") - F.col("base"), 6).alias("height"))
+    """Height above the nearest drainage: the first cell on the way down that the flow of six cells passes."""
+    return ras.height_above_drainage(raster(spark, d), 6).select("r", "c", "channel", F.round("height", 6).alias("height"))
 
 
 @query("sinkfill", None)
@@ -159,9 +168,9 @@ def sealevel(spark: SparkSession, d: str) -> DataFrame:
     return ras.flood(c, 930.0, c.filter("c = 0"))
 
 
-@query("rasterlabel", None)
+@query("rasterlabel", sql("WITH RECURSIVE m AS (SELECT r, c FROM cells WHERE k > 25), reach AS (SELECT r, c, r AS fr, c AS fc FROM m UNION SELECT m.r, m.c, fr, fc FROM reach JOIN m ON abs(m.r-reach.r)+abs(m.c-reach.c) = 1) SELECT r, c, min(fr*2147483648+fc) AS patch FROM reach GROUP BY r, c", "cells").replace("WITH cells", "WITH RECURSIVE cells").replace(", RECURSIVE m", ", m"))
 def rasterlabel(spark: SparkSession, d: str) -> DataFrame:
-    return ras.patches(raster(spark, d).filter("k > 25")).groupBy("patch").agg(F.count("*").alias("n"))
+    return ras.patches(raster(spark, d).filter("k > 25")).select("r", "c", "patch")
 
 
 @query("cutfill", sql("SELECT round(sum(greatest(v-925, 0)), 4) AS cut, round(sum(greatest(925-v, 0)), 4) AS fill FROM cells", "cells"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codes, geodesy
 from gridloom.operators import geometry as geo
-from gridloom.operators import graphs, joins, tracks
+from gridloom.operators import graphs, joins, tracks, triangulation
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import S_GX, S_GY, s_geohash
 from gridloom.sources import text
@@ -79,17 +79,22 @@ def stopdetect(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trackcompress", None)
 def trackcompress(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.compressed(fixes(spark, d), 40.0, timed=True).groupBy("track").agg(F.count("*").alias("kept"))
+    return tracks.compressed(fixes(spark, d), 40.0, timed=True).select("track", "seq")
 
 
 @query("douglaspeucker", None)
 def douglaspeucker(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.compressed(fixes(spark, d), 40.0).groupBy("track").agg(F.count("*").alias("kept"))
+    return tracks.compressed(fixes(spark, d), 40.0).select("track", "seq")
 
 
 @query("visvalingam", None)
 def visvalingam(spark: SparkSession, d: str) -> DataFrame:
-    return tracks.thinned_by_area(fixes(spark, d), 10).groupBy("track").agg(F.count("*").alias("kept"), F.round(F.sum("x"), 4).alias("sum_x"))
+    return tracks.thinned_by_area(fixes(spark, d), 10).select("track", "seq")
+
+
+@query("visvalingam_area", None)
+def visvalingam_area(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.thinned_by_area(fixes(spark, d), least=500.0).select("track", "seq")
 
 
 @query("kalman", None)
@@ -280,38 +285,48 @@ def boundingcircle(spark: SparkSession, d: str) -> DataFrame:
     return geo.per_hull(geo.hulls(grouped(spark, d), "region"), "region", geo.least_circle, "region long, x double, y double, r double").select("region", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("r", 4).alias("r"))
 
 
+def mesh(spark: SparkSession, d: str) -> DataFrame:
+    """Delaunay triangles of all points."""
+    return triangulation.triangles(points(spark, d))
+
+
 @query("delaunay", None)
 def delaunay(spark: SparkSession, d: str) -> DataFrame:
-    return geo.triangles(grouped(spark, d), "region").select("region", "a", "b", "c")
+    return mesh(spark, d).select("a", "b", "c")
 
 
 @query("voronoi", None)
 def voronoi(spark: SparkSession, d: str) -> DataFrame:
-    """Dual edges: pairs of triangles' sites that share a Delaunay edge."""
-    return geo.triangle_edges(geo.triangles(grouped(spark, d), "region"), "region").filter("n = 2").select("region", "a", "b")
+    """Finite edges: between the circumcentres of the two triangles at each inner edge."""
+    e = triangulation.edges(mesh(spark, d)).filter("n = 2")
+    end = lambda i, v: F.round(F.col("sides")[i][v], 4)
+    return e.select("a", "b", end(0, "x").alias("x1"), end(0, "y").alias("y1"), end(1, "x").alias("x2"), end(1, "y").alias("y2"))
 
 
 @query("alphashape", None)
 def alphashape(spark: SparkSession, d: str) -> DataFrame:
-    t = geo.triangles(grouped(spark, d), "region").filter("r < 60")
-    return geo.triangle_edges(t, "region").filter("n = 1").select("region", "a", "b")
+    """Boundary of the triangles whose circle is smaller than 90."""
+    return triangulation.edges(mesh(spark, d).filter("r2 < 8100")).filter("n = 1").select("a", "b")
 
 
 @query("tin", None)
 def tin(spark: SparkSession, d: str) -> DataFrame:
-    """Mean height of each triangle of the surface."""
-    g = grouped(spark, d)
-    t = geo.triangles(g, "region")
-    z = g.select("id", (F.col("id") % 97).cast("double").alias("z"))
-    for v in "abc":
-        t = t.join(z.select(F.col("id").alias(v), F.col("z").alias(f"z{v}")), v)
-    return t.select("region", "a", "b", "c", F.round((F.col("za") + F.col("zb") + F.col("zc")) / 3, 6).alias("height"))
+    """Mean height, slope and plane area of each triangle of the surface."""
+    t = mesh(spark, d)
+    z = lambda v: (F.col(v) % 97).cast("double")
+    ux, uy, vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
+    p, q, det = z("b") - z("a"), z("c") - z("a"), ux * vy - uy * vx
+    slope = F.hypot((p * vy - q * uy) / det, (q * ux - p * vx) / det)
+    return t.select("a", "b", "c", F.round((z("a") + z("b") + z("c")) / 3, 6).alias("height"), F.round(slope, 4).alias("slope"), F.round(F.abs(det) / 2, 4).alias("area"))
 
 
 @query("emptycircle", None)
 def emptycircle(spark: SparkSession, d: str) -> DataFrame:
-    """The largest circumcircle of each region's triangulation: no site lies in it."""
-    return geo.triangles(grouped(spark, d), "region").groupBy("region").agg(F.round(F.max("r"), 4).alias("r"))
+    """The largest circle without a site inside, of those round a Voronoi corner inside the sites' hull."""
+    t = mesh(spark, d)
+    h = geo.hulls(points(spark, d).select("x", "y", F.lit(0).cast("long").alias("one")), "one").groupBy("one").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("ring"))
+    inside = t.join(F.broadcast(h)).filter(joins.in_ring(t["x"], t["y"], F.col("ring")))
+    return inside.orderBy(F.desc("r2"), "a", "b", "c").limit(1).select(F.round(t["x"], 4).alias("x"), F.round(t["y"], 4).alias("y"), F.round(F.sqrt("r2"), 4).alias("r"))
 
 
 # S11
@@ -343,15 +358,29 @@ def betweenness(spark: SparkSession, d: str) -> DataFrame:
     return graphs.betweenness(g, g.select(F.col("src").alias("source")).distinct()).select("node", F.round("score", 5).alias("score"))
 
 
+def stations(spark: SparkSession, d: str) -> DataFrame:
+    return sites(spark, d).select(F.col("sid").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
+
+
 @query("emst", None)
 def emst(spark: SparkSession, d: str) -> DataFrame:
-    g = graphs.settle(network(spark, d), 0)
-    return graphs.spanning_tree(g).agg(F.count("*").alias("edges"), F.round(F.sum("w"), 4).alias("length"))
+    """The Euclidean spanning tree: least edges of the Gabriel graph, which holds it."""
+    near = graphs.settle(triangulation.gabriel(triangulation.triangles(stations(spark, d))).select("src", "dst", "w"), 0)
+    return graphs.spanning_tree(near).select("src", "dst", F.round("w", 6).alias("w"))
+
+
+S_SITE_PAIRS = "SELECT a.sid AS src, b.sid AS dst FROM sites a JOIN sites b ON a.sid < b.sid WHERE NOT EXISTS (SELECT 1 FROM sites c WHERE c.sid <> a.sid AND c.sid <> b.sid AND "
 
 
-@query("gabriel", sql("SELECT a.sid AS src, b.sid AS dst FROM sites a JOIN sites b ON a.sid < b.sid WHERE EXISTS (SELECT 1 FROM (SELECT least(p, q) AS p, greatest(p, q) AS q FROM (SELECT x.sid AS p, y.sid AS q, row_number() OVER (PARTITION BY x.sid ORDER BY (x.sx-y.sx)*(x.sx-y.sx)+(x.sy-y.sy)*(x.sy-y.sy), y.sid) AS k FROM sites x, sites y WHERE x.sid <> y.sid) WHERE k <= 3) n WHERE n.p = a.sid AND n.q = b.sid) AND NOT EXISTS (SELECT 1 FROM sites c WHERE c.sid <> a.sid AND c.sid <> b.sid AND (c.sx-(a.sx+b.sx)/2)**2+(c.sy-(a.sy+b.sy)/2)**2 < ((a.sx-b.sx)**2+(a.sy-b.sy)**2)/4*(1-1e-12))", "sites"))
+@query("gabriel", sql(S_SITE_PAIRS + "(c.sx-(a.sx+b.sx)/2)**2+(c.sy-(a.sy+b.sy)/2)**2 < ((a.sx-b.sx)**2+(a.sy-b.sy)**2)/4*(1-1e-12))", "sites"))
 def gabriel(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.gabriel(sites(spark, d).select(F.col("sid").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y")), network(spark, d)).select("src", "dst")
+    return triangulation.gabriel(triangulation.triangles(stations(spark, d))).select("src", "dst")
+
+
+@query("relativeneighbours", sql(S_SITE_PAIRS + "greatest((c.sx-a.sx)**2+(c.sy-a.sy)**2, (c.sx-b.sx)**2+(c.sy-b.sy)**2) < ((a.sx-b.sx)**2+(a.sy-b.sy)**2)*(1-1e-12))", "sites"))
+def relativeneighbours(spark: SparkSession, d: str) -> DataFrame:
+    s = stations(spark, d)
+    return triangulation.relative_neighbours(s, triangulation.gabriel(triangulation.triangles(s)), 50.0).select("src", "dst")
 
 
 # S9

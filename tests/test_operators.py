@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import codes
-from gridloom.operators import geometry, graphs, joins, nearest, raster, statistics, tracks
+from gridloom.operators import geometry, graphs, joins, nearest, raster, routes, statistics, tracks, triangulation
 from gridloom.streaming import stateful
 
 
@@ -116,9 +116,141 @@ def test_delaunay_circles_are_empty():
         assert all((a - x) ** 2 + (b - y) ** 2 >= r * (1 - 1e-9) for a, b in p)
 
 
-def test_minkowski_square():
+def test_minkowski_against_all_sums():
     s = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
-    assert geometry.ring_area(geometry.minkowski(s, s)) == pytest.approx(16)
+    assert geometry.minkowski(s, s) == [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    r = random.Random(11)
+    for _ in range(200):
+        a, b = (geometry.hull([(r.uniform(-9, 9), r.uniform(-9, 9)) for _ in range(r.randrange(3, 12))]) for _ in range(2))
+        sums = geometry.hull([(p[0] + q[0], p[1] + q[1]) for p in a for q in b])
+        assert geometry.ring_area(geometry.minkowski(a, b)) == pytest.approx(geometry.ring_area(sums))
+
+
+@pytest.mark.parametrize("kind", ["scattered", "clusters", "lattice"])
+def test_triangles_of_tiles_are_the_whole_sets(spark, kind):
+    r = random.Random(4)
+    pts = {
+        "scattered": scattered(250),
+        "clusters": [(i, r.gauss(20 + 60 * (i % 3 == 0), 2), r.gauss(20 + 60 * (i % 2), 3)) for i in range(250)],
+        "lattice": [(i, float(i % 12), float(i // 12)) for i in range(144)],
+    }[kind]
+    tri = triangulation.triangles(spark.createDataFrame([*pts, (999, *pts[0][1:])], "id long, x double, y double"), 20.0)
+    got, at = tri.collect(), {i: (x, y) for i, x, y in pts}
+    used = {v for q in got for v in (q.a, q.b, q.c)}
+    assert used == set(at)
+    for q in got:
+        x, y, r2 = geometry.circumcircle(*(at[v] for v in (q.a, q.b, q.c)))
+        assert all((p - x) ** 2 + (s - y) ** 2 >= r2 * (1 - 1e-9) for p, s in at.values())
+    covered = sum(abs(geometry.turn(*(at[v] for v in (q.a, q.b, q.c)))) / 2 for q in got)
+    if kind != "lattice":  # where four points lie on a circle, tiles may choose either diagonal
+        assert covered == pytest.approx(geometry.ring_area(geometry.hull(list(at.values()))))
+    edges = [(math.dist(at[i], at[j]), i, j) for i in at for j in at if i < j]
+    root = {i: i for i in at}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    length = 0.0
+    for d, i, j in sorted(edges):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            length += d
+    near = triangulation.gabriel(tri).select("src", "dst", "w")
+    tree = graphs.spanning_tree(near).collect()
+    assert len(tree) == len(at) - 1 and sum(q.w for q in tree) == pytest.approx(length)
+
+
+def test_points_in_a_line_have_no_triangle(spark):
+    assert triangulation.triangles(spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(9)], "id long, x double, y double")).count() == 0
+
+
+def test_knn_join(spark):
+    pts, qs = scattered(120, 3), [(i, x * 2 - 30, y) for i, x, y in scattered(40, 8)]
+    p = spark.createDataFrame(pts, "sid long, sx double, sy double")
+    q = spark.createDataFrame(qs, "id long, x double, y double")
+    for k in (1, 5, 200):
+        got: dict = {}
+        for t in joins.knn_join(q, p, k).collect():
+            got.setdefault(t.query, []).append((t.rank, t.point))
+        for i, x, y in qs:
+            want = sorted((((x - a) ** 2 + (y - b) ** 2), j) for j, a, b in pts)[:k]
+            assert [j for _, j in sorted(got[i])] == [j for _, j in want]
+    assert joins.knn_join(q, p.limit(0), 2).count() == 0 and joins.knn_join(q.limit(0), p, 2).count() == 0
+    assert joins.knn_join(q, p.limit(1), 2).count() == len(qs)
+
+
+def test_mean_shift_like_the_sequential_one(spark):
+    r = random.Random(6)
+    pts = [(i, r.gauss(30 * (i % 3), 4), r.gauss(10, 4)) for i in range(60)]
+    got = {q.id: (q.mode, q.x, q.y) for q in statistics.mean_shift(spark.createDataFrame(pts, "id long, x double, y double"), 12.0).collect()}
+    modes, want = [], {}
+    for i, x, y in pts:
+        for _ in range(200):
+            near = [(a, b) for _, a, b in pts if (a - x) ** 2 + (b - y) ** 2 <= 144]
+            nx, ny = sum(a for a, _ in near) / len(near), sum(b for _, b in near) / len(near)
+            d, x, y = math.hypot(nx - x, ny - y), nx, ny
+            if d < 1e-6:
+                break
+        k = next((m for m in modes if math.hypot(m[1] - x, m[2] - y) <= 6), None)
+        if k is None:
+            modes.append(k := (i, x, y))
+        want[i] = k
+    assert set(got) == set(want)
+    for i, (m, x, y) in want.items():
+        assert got[i][0] == m and got[i][1:] == pytest.approx((x, y), abs=1e-6)
+
+
+def test_distance_thinning_is_greedy(spark):
+    pts = scattered(200, 9)
+    got = {q.id for q in statistics.distance_thin(spark.createDataFrame(pts, "id long, x double, y double"), 9.0).collect()}
+    kept: list = []
+    for i, x, y in pts:
+        if all(math.hypot(x - a, y - b) >= 9.0 for _, a, b in kept):
+            kept.append((i, x, y))
+    assert got == {i for i, *_ in kept}
+
+
+def test_inverse_distance_is_exact_at_samples(spark):
+    s = [(5, 1.0, 1.0, 7.0), (2, 1.0, 1.0, 3.0), (3, 4.0, 5.0, 9.0), (4, 0.0, 2.0, 1.0)]
+    p = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 2.0)], "id long, x double, y double")
+    got = {q.id: q.v for q in statistics.inverse_distance(p, spark.createDataFrame(s, "sid long, sx double, sy double, v double"), block=2).collect()}
+    w = [1 / ((2 - x) ** 2 + (2 - y) ** 2) for _, x, y, _ in s]
+    assert got[0] == 3.0 and got[1] == pytest.approx(sum(a * v for a, (*_, v) in zip(w, s, strict=True)) / sum(w))
+
+
+def test_distance_transform_without_and_with_cells(spark):
+    r = random.Random(2)
+    cells = {(i, j): r.random() < 0.05 for i in range(9) for j in range(14)}
+    df = spark.createDataFrame([(i, j, b) for (i, j), b in cells.items()], "r long, c long, b boolean")
+    got = {(q.r, q.c): q.d2 for q in raster.distance_transform(df, F.col("b")).collect()}
+    assert got == {(i, j): min((i - a) ** 2 + (j - b) ** 2 for (a, b), on in cells.items() if on) for i, j in cells}
+    assert {q.d2 for q in raster.distance_transform(df, F.lit(False)).collect()} == {None}
+
+
+def test_turn_costs_count_lengths_and_turns(spark):
+    grid = [[1.0, 9.0, 9.0], [1.0, 1.0, 9.0], [9.0, 1.0, 1.0]]
+    df = spark.createDataFrame([(0, i, j, grid[i][j]) for i in range(3) for j in range(3)], "g long, r long, c long, v double")
+    q = routes.turn_costs(df, "g", 0.0).first()
+    assert q.cost == pytest.approx(2 * math.sqrt(2)) and [(p.r, p.c) for p in q.path] == [(0, 0), (1, 1), (2, 2)]
+    grid[1][1] = 50.0
+    df = spark.createDataFrame([(0, i, j, grid[i][j]) for i in range(3) for j in range(3)], "g long, r long, c long, v double")
+    assert routes.turn_costs(df, "g", 0.0).first().cost == pytest.approx(2 + math.sqrt(2))
+    assert routes.turn_costs(df, "g", 10.0).first().cost == pytest.approx(2 + math.sqrt(2) + 20)
+
+
+def test_area_simplification_by_current_areas():
+    import numpy as np
+
+    r = random.Random(15)
+    area = lambda a, b, c: abs((b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])) / 2
+    for _ in range(100):
+        p = [(r.uniform(0, 9), r.uniform(0, 9)) for _ in range(14)]
+        left = list(range(14))
+        while len(left) > 5:
+            left.pop(min(range(1, len(left) - 1), key=lambda k: area(*(p[i] for i in left[k - 1 : k + 2]))))
+        assert np.flatnonzero(tracks.removal_order(np.array(p), 5)).tolist() == left
 
 
 def test_ears_and_pole():

@@ -18,7 +18,7 @@ def test_matches_sql(spark, name):
     assert difference(spark, name, catalog.QUERIES[name], catalog.ORACLES[name], SF) == ""
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES) - {"emst"}))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_runs(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     assert df.columns and len(set(df.columns)) == len(df.columns)
