@@ -63,6 +63,43 @@ def quadkey(x: Column, y: Column, zoom: int) -> Column:
     return F.concat(*[d.cast("string") for d in digits])
 
 
+def digits_of(code: Column, alphabet: str, length: int, start: int = 1) -> list[Column]:
+    """The places of a code's characters in its alphabet; null where one is not in it."""
+    at = [F.instr(F.lit(alphabet), F.substring(code, start + k, 1)) - 1 for k in range(length)]
+    return [F.when(a >= 0, a.cast("long")) for a in at]
+
+
+def quadkey_tile(key: Column, zoom: int) -> tuple[Column, Column]:
+    """Column and row of a quadkey of ``zoom`` digits."""
+    d = digits_of(key, "0123", zoom)
+    part = lambda b: sum((F.shiftleft(F.shiftright(v, b).bitwiseAND(F.lit(1)), zoom - 1 - k) for k, v in enumerate(d)), F.lit(0).cast("long"))
+    return part(0), part(1)
+
+
+def quadkey_parent(key: Column) -> Column:
+    return F.when(F.length(key) > 0, F.substring(key, F.lit(1), F.length(key) - 1))
+
+
+def quadkey_children(key: Column) -> Column:
+    return F.array(*[F.concat(key, F.lit(d)) for d in "0123"])
+
+
+def hilbert_cell(d: Column, order: int) -> tuple[Column, Column]:
+    """Cell at a distance along the curve: ``hilbert`` from the smallest square outwards."""
+    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), d.cast("long").alias("t"))
+
+    def level(s: Column, b: Column) -> Column:
+        side = F.pow(F.lit(2.0), b).cast("long")
+        rx = F.shiftright(s["t"], 1).bitwiseAND(F.lit(1))
+        ry = s["t"].bitwiseXOR(rx).bitwiseAND(F.lit(1))
+        flip, swap = (ry == 0) & (rx == 1), ry == 0
+        fx, fy = F.when(flip, side - 1 - s["x"]).otherwise(s["x"]), F.when(flip, side - 1 - s["y"]).otherwise(s["y"])
+        return F.struct((F.when(swap, fy).otherwise(fx) + side * rx).alias("x"), (F.when(swap, fx).otherwise(fy) + side * ry).alias("y"), F.shiftright(s["t"], 2).alias("t"))
+
+    cell = F.aggregate(F.array(*[F.lit(b) for b in range(order)]), start, level)
+    return cell["x"], cell["y"]
+
+
 def hilbert(x: Column, y: Column, order: int) -> Column:
     """Distance along the Hilbert curve; a fold over the levels, so the expression stays small."""
     start = F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"), F.lit(0).cast("long").alias("d"))
@@ -96,6 +133,29 @@ def geohash(lat: Column, lon: Column, precision: int) -> Column:
     return F.concat(*out)
 
 
+def geohash_bounds(code: Column, precision: int) -> tuple[Column, Column, Column, Column]:
+    """South, west, north, east of a code of ``precision`` letters: three bits of a letter go to one axis and two to the other, in turn."""
+    ix, iy = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for k, v in enumerate(digits_of(code, GEOHASH_LETTERS, precision)):
+        bit = lambda b, v=v: F.shiftright(v, b).bitwiseAND(F.lit(1))
+        three, two = bit(4) * 4 + bit(2) * 2 + bit(0), bit(3) * 2 + bit(1)
+        ix, iy = (ix * 8 + three, iy * 4 + two) if k % 2 == 0 else (ix * 4 + two, iy * 8 + three)
+    width, height = 360.0 / 2.0 ** -(-5 * precision // 2), 180.0 / 2.0 ** (5 * precision // 2)
+    return iy * height - 90.0, ix * width - 180.0, (iy + 1) * height - 90.0, (ix + 1) * width - 180.0
+
+
+def middle(bounds: tuple[Column, Column, Column, Column]) -> tuple[Column, Column]:
+    """Latitude and longitude of a box's centre."""
+    south, west, north, east = bounds
+    return (south + north) / 2, (west + east) / 2
+
+
+def geohash_around(lat: Column, lon: Column, precision: int) -> dict[str, Column]:
+    """The eight cells round a position's own, by direction."""
+    steps = {"n": (1, 0), "ne": (1, 1), "e": (0, 1), "se": (-1, 1), "s": (-1, 0), "sw": (-1, -1), "w": (0, -1), "nw": (1, -1)}
+    return {name: geohash_neighbour(lat, lon, precision, *step) for name, step in steps.items()}
+
+
 def geohash_neighbour(lat: Column, lon: Column, precision: int, north: int, east: int) -> Column:
     """The cell so many cells north and east; longitude wraps, and latitude stays inside."""
     bits = 5 * precision
@@ -119,6 +179,30 @@ def plus_code(lat: Column, lon: Column) -> Column:
     return F.concat(*out)
 
 
+def plus_bounds(code: Column) -> tuple[Column, Column, Column, Column]:
+    """South, west, north, east of a full code: ten letters, a plus sign after eight."""
+    d = digits_of(F.replace(code, F.lit("+"), F.lit("")), PLUS_LETTERS, 2 * len(PLUS_STEPS))
+    south = sum((d[2 * k] * step for k, step in enumerate(PLUS_STEPS)), F.lit(-90.0))
+    west = sum((d[2 * k + 1] * step for k, step in enumerate(PLUS_STEPS)), F.lit(-180.0))
+    return south, west, south + PLUS_STEPS[-1], west + PLUS_STEPS[-1]
+
+
+def locator_bounds(code: Column, pairs: int = 3) -> tuple[Column, Column, Column, Column]:
+    """South, west, north, east of a locator; letters may be of either case."""
+    south, west = F.lit(-90.0), F.lit(-180.0)
+    for k, (w, h) in enumerate(LOCATOR_SPANS[:pairs]):
+        i, j = digits_of(F.upper(code), LETTERS if k % 2 == 0 else "0123456789", 2, 2 * k + 1)
+        south, west = south + j * h, west + i * w
+    w, h = LOCATOR_SPANS[pairs - 1]
+    return south, west, south + h, west + w
+
+
+def within(lat: Column, lon: Column, bounds: tuple[Column, Column, Column, Column]) -> Column:
+    """Whether a box holds a position; its south and west edges belong to it."""
+    south, west, north, east = bounds
+    return (lat >= south) & (lat < north) & (lon >= west) & (lon < east)
+
+
 def locator(lat: Column, lon: Column, pairs: int = 3) -> Column:
     """Maidenhead locator of two to eight characters."""
     a, b = F.least(lon, F.lit(180.0 - 1e-9)) + 180.0, F.least(lat, F.lit(90.0 - 1e-9)) + 90.0

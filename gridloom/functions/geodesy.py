@@ -194,3 +194,51 @@ def triangle_area(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[C
 def band_term(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """An edge's share of twice the area of a spherical polygon, per square radius."""
     return F.radians(wrap_longitude(lon2 - lon1)) * (2 + F.sin(F.radians(lat1)) + F.sin(F.radians(lat2)))
+
+
+def arc_crossing(a: tuple[Column, Column], b: tuple[Column, Column], c: tuple[Column, Column], d: tuple[Column, Column], tolerance_km: float = 1e-3) -> tuple[Column, Column]:
+    """Where the arcs a to b and c to d cross, as latitude and longitude; null where they don't, or where they lie on one great circle.
+
+    The planes of two great circles meet in a line; of its two ends at most one lies on both short arcs, which its distances to the ends tell.
+    """
+    n = cross(cross(unit_vector(*a), unit_vector(*b)), cross(unit_vector(*c), unit_vector(*d)))
+    size = F.sqrt(dot(n, n))
+    first = from_vector(*(F.try_divide(v, size) for v in n))
+    second = (-first[0], F.when(first[1] <= 0, first[1] + 180.0).otherwise(first[1] - 180.0))
+
+    def on(p: tuple[Column, Column], s: tuple[Column, Column], e: tuple[Column, Column]) -> Column:
+        return F.abs(haversine(*s, *p) + haversine(*p, *e) - haversine(*s, *e)) <= tolerance_km
+
+    def pick(i: int) -> Column:
+        return F.when(size < 1e-15, None).when(on(first, a, b) & on(first, c, d), first[i]).when(on(second, a, b) & on(second, c, d), second[i])
+
+    return pick(0), pick(1)
+
+
+def short_delta(lon1: Column, lon2: Column) -> Column:
+    """Signed change of longitude the short way round, in (-180, 180]."""
+    d = F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0
+    return F.when(d == -180.0, 180.0).otherwise(d)
+
+
+def arc_box(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> tuple[Column, Column, Column, Column]:
+    """South, west, north, east of a short arc. It reaches past its ends where it passes the great circle's highest or lowest point, which
+    the bearings at both ends tell; the east side may lie beyond 180."""
+    start = initial_bearing(lat1, lon1, lat2, lon2)
+    end = F.pmod(initial_bearing(lat2, lon2, lat1, lon1) + 180.0, F.lit(360.0))
+    peak = F.degrees(F.acos(clamp(F.abs(F.cos(F.radians(lat1)) * F.sin(F.radians(start))))))
+    rises = (start > 0) & (start < 90) & (end > 90) & (end < 180) | (start > 270) & (end < 270) & (end > 180)
+    falls = (start > 90) & (start < 180) & (end > 0) & (end < 90) | (start < 270) & (start > 180) & (end > 270)
+    d = F.pmod(lon2 - lon1 + 180.0, F.lit(360.0)) - 180.0
+    north, south = F.greatest(lat1, lat2), F.least(lat1, lat2)
+    return F.when(falls, F.least(south, -peak)).otherwise(south), F.least(lon1, lon1 + d), F.when(rises, F.greatest(north, peak)).otherwise(north), F.greatest(lon1, lon1 + d)
+
+
+def dateline_pieces(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The one or two straight pieces of a segment, as structs (lat1, lon1, lat2, lon2): cut where the short way passes longitude 180."""
+    d = short_delta(lon1, lon2)
+    piece = lambda *v: F.struct(*[c.alias(n) for c, n in zip(v, ("lat1", "lon1", "lat2", "lon2"), strict=True)])
+    seam = F.when(d > 0, 180.0).otherwise(-180.0)
+    cut = lat1 + F.try_divide(seam - lon1, d) * (lat2 - lat1)
+    crosses = (lon1 + d > 180.0) | (lon1 + d < -180.0)
+    return F.when(crosses, F.array(piece(lat1, lon1, cut, seam), piece(cut, -seam, lat2, lon2))).otherwise(F.array(piece(lat1, lon1, lat2, lon2)))

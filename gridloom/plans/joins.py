@@ -250,7 +250,20 @@ def cohensutherland(spark: SparkSession, d: str) -> DataFrame:
     return nearest.clipped(segments(spark, d), 300.0, 300.0, 700.0, 700.0)
 
 
-@query("sphericalpolygon", None)
+def s_triangle(*corners: tuple[float, float]) -> str:
+    """On one side of all three planes."""
+    from math import cos, radians, sin
+
+    u = [(cos(radians(a)) * cos(radians(b)), cos(radians(a)) * sin(radians(b)), sin(radians(a))) for a, b in corners]
+    here = ("cos(radians(lat1))*cos(radians(lon1))", "cos(radians(lat1))*sin(radians(lon1))", "sin(radians(lat1))")
+    sides = []
+    for p, q in zip(u, u[1:] + u[:1], strict=True):
+        n = [p[(i + 1) % 3] * q[(i + 2) % 3] - p[(i + 2) % 3] * q[(i + 1) % 3] for i in range(3)]
+        sides.append("sign(" + " + ".join(f"({a!r})*{b}" for a, b in zip(n, here, strict=True)) + ")")
+    return f"CAST({sides[0]} = {sides[1]} AND {sides[1]} = {sides[2]} AS BOOLEAN)"
+
+
+@query("sphericalpolygon", sql(f"SELECT id, {s_triangle((0.0, 0.0), (60.0, 20.0), (10.0, 90.0))} AS inside FROM places", "places"))
 def sphericalpolygon(spark: SparkSession, d: str) -> DataFrame:
     p = places(spark, d)
     return p.select("id", nearest.in_spherical_triangle(F.col("lat1"), F.col("lon1"), (0.0, 0.0), (60.0, 20.0), (10.0, 90.0)).alias("inside"))
@@ -280,7 +293,7 @@ def distancematrix(spark: SparkSession, d: str) -> DataFrame:
     return a.crossJoin(b).select("a", "b", F.round(F.abs(dx) + F.abs(dy), 4).alias("manhattan"), F.round(F.hypot(dx, dy), 4).alias("straight"))
 
 
-@query("dedupe", None)
+@query("dedupe", sql("WITH RECURSIVE near AS (SELECT a.id AS a, b.id AS b FROM points a, points b WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 144), reach AS (SELECT id AS a, id AS root FROM points UNION SELECT near.b, root FROM reach JOIN near ON reach.a = near.a), own AS (SELECT a, min(root) AS root FROM reach GROUP BY a) SELECT root, count(*) AS members FROM own GROUP BY root", "points").replace("WITH points", "WITH RECURSIVE points").replace(", RECURSIVE near", ", near"))
 def dedupe(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     pairs = joins.self_join_within(p, 12.0)
@@ -298,7 +311,7 @@ def mortonrange(spark: SparkSession, d: str) -> DataFrame:
     return nearest.in_intervals(points(spark, d).withColumn("z", z), "z", nearest.morton_intervals(64, 128, 511, 383, 10)).select("id")
 
 
-@query("as_of", None)
+@query("as_of", "SELECT b.user_id, b.ts, b.event_id, e.value FROM (SELECT * FROM events WHERE event_type = 'purchase') b ASOF LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') e ON b.user_id = e.user_id AND b.ts >= e.ts")
 def as_of(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet").select("user_id", "ts", "event_id", "event_type", "value")
     buys = e.filter("event_type = 'purchase'").select("user_id", "ts", "event_id")

@@ -165,17 +165,32 @@ scalar(
         "east": (lambda: BOX()[3], S_BOX[3]),
     },
 )
+S_START, S_BACK = s_bearing(*HERE), s_bearing(*BACK)
+S_END = s_mod(f"{S_BACK}+180")
+S_PEAK = f"degrees(acos(least(1.0, abs(cos(radians(lat1))*sin(radians({S_START}))))))"
+S_RISES = f"(({S_START}) < 90 AND ({S_START}) > 0 AND ({S_END}) > 90 AND ({S_END}) < 180 OR ({S_START}) > 270 AND ({S_END}) < 270 AND ({S_END}) > 180)"
+S_FALLS = f"(({S_START}) > 90 AND ({S_START}) < 180 AND ({S_END}) < 90 AND ({S_END}) > 0 OR ({S_START}) < 270 AND ({S_START}) > 180 AND ({S_END}) > 270)"
+S_SHORT = f"({s_mod('lon2-lon1+180')}-180)"
+ARC = lambda: geodesy.arc_box(A1(), O1(), A2(), O2())
 scalar(
     'arcbbox',
     {
+        "south": (lambda: ARC()[0], f"CASE WHEN {S_FALLS} THEN least(lat1, lat2, -{S_PEAK}) ELSE least(lat1, lat2) END"),
+        "west": (lambda: ARC()[1], f"least(lon1, lon1+{S_SHORT})"),
+        "north": (lambda: ARC()[2], f"CASE WHEN {S_RISES} THEN greatest(lat1, lat2, {S_PEAK}) ELSE greatest(lat1, lat2) END"),
+        "east": (lambda: ARC()[3], f"greatest(lon1, lon1+{S_SHORT})"),
         "vertex": (lambda: geodesy.vertex_latitude(A1(), geodesy.initial_bearing(A1(), O1(), A2(), O2())), f"degrees(acos(least(1.0, abs(sin(radians({s_bearing(*HERE)}))*cos(radians(lat1))))))"),
     },
 )
+PIECES = lambda: geodesy.dateline_pieces(A1(), O1(), A2(), O2())
 scalar(
     'datelinesplit',
     {
         "crosses": (lambda: geodesy.crosses_dateline(O1(), O2()), "CAST(abs(lon2-lon1) > 180 AS BOOLEAN)"),
         "short_delta": (lambda: F.when(F.abs(O2() - O1()) > 180, O2() - O1() - F.signum(O2() - O1()) * 360).otherwise(O2() - O1()), "CASE WHEN abs(lon2-lon1) > 180 THEN lon2-lon1-sign(lon2-lon1)*360 ELSE lon2-lon1 END"),
+        "pieces": (lambda: F.size(PIECES()), "CAST(CASE WHEN abs(lon2-lon1) > 180 THEN 2 ELSE 1 END AS INTEGER)"),
+        "cut_lat": (lambda: F.when(F.size(PIECES()) == 2, PIECES()[0]["lat2"]), "CASE WHEN lon2-lon1 > 180 THEN lat1+(-180-lon1)/(lon2-lon1-360)*(lat2-lat1) WHEN lon2-lon1 < -180 THEN lat1+(180-lon1)/(lon2-lon1+360)*(lat2-lat1) END"),
+        "last_lon": (lambda: F.element_at(PIECES(), -1)["lon1"], "CASE WHEN lon2-lon1 > 180 THEN 180.0 WHEN lon2-lon1 < -180 THEN -180.0 ELSE lon1 END"),
     },
 )
 NORMAL = lambda: geodesy.cross(geodesy.unit_vector(A1(), O1()), geodesy.unit_vector(A2(), O2()))
@@ -189,6 +204,28 @@ scalar(
         "equator_lon": (lambda: F.when((A1() != A2()) | (O1() != O2()), F.degrees(F.atan2(NORMAL()[0], -NORMAL()[1]))), f"CASE WHEN lat1<>lat2 OR lon1<>lon2 THEN degrees(atan2({S_NORMAL[0]}, -{S_NORMAL[1]})) END"),
     },
 )
+ARC_ENDS = ((-60.0, -20.0), (70.0, 100.0))
+CROSSING = lambda: geodesy.arc_crossing((A1(), O1()), (A2(), O2()), *[(K(a), K(b)) for a, b in ARC_ENDS])
+
+
+def s_crossing() -> str:
+    """The cross product of both planes' normals, either way round, kept where it lies between the ends of both arcs."""
+    at = [[math.cos(math.radians(a)) * math.cos(math.radians(b)), math.cos(math.radians(a)) * math.sin(math.radians(b)), math.sin(math.radians(a))] for a, b in ARC_ENDS]
+    m = [at[0][(i + 1) % 3] * at[1][(i + 2) % 3] - at[0][(i + 2) % 3] * at[1][(i + 1) % 3] for i in range(3)]
+    line = [f"({S_NORMAL[(i + 1) % 3]}*({m[(i + 2) % 3]!r}) - {S_NORMAL[(i + 2) % 3]}*({m[(i + 1) % 3]!r}))" for i in range(3)]
+    far = lambda a, b, c, d: s_hav(a, b, c, d)
+    on = lambda a, b, c, d: f"abs({far(a, b, 'plat', 'plon')} + {far('plat', 'plon', c, d)} - {far(a, b, c, d)}) <= 0.001"
+    ends = [repr(v) for e in ARC_ENDS for v in e]
+    return fixtures.sql(f"WITH l AS (SELECT id, lat1, lon1, lat2, lon2, {line[0]} AS x, {line[1]} AS y, {line[2]} AS z FROM places), p AS (SELECT id, lat1, lon1, lat2, lon2, s, degrees(asin(s*z/sqrt(x*x+y*y+z*z))) AS plat, degrees(atan2(s*y, s*x)) AS plon FROM l, (VALUES (1), (-1)) v(s) WHERE x*x+y*y+z*z > 1e-30), h AS (SELECT id, plat, plon FROM p WHERE {on('lat1', 'lon1', 'lat2', 'lon2')} AND {on(*ends)}) SELECT id, round(plat, 6)+0.0 AS lat, round(plon, 6)+0.0 AS lon FROM places LEFT JOIN h USING (id)", "places")
+
+
+@query("arcintersect_arcs", s_crossing())
+def arcintersect_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each great-circle arc crosses a fixed one, null where it doesn't."""
+    lat, lon = CROSSING()
+    return fixtures.places(spark, sf_dir).select("id", (F.round(lat, 6) + 0.0).alias("lat"), (F.round(lon, 6) + 0.0).alias("lon"))
+
+
 scalar(
     'geocircle',
     {
@@ -288,6 +325,10 @@ scalar(
     'quadkey',
     {
         "key": (lambda: codes.quadkey(*T12(), 12), "concat(" + ", ".join(f"CAST((({S_TX})>>{b})&1 + 2*((({S_TY})>>{b})&1) AS VARCHAR)".replace("CAST(((", "CAST((((").replace("&1 + 2", "&1) + 2") for b in reversed(range(12))) + ")"),
+        "x_back": (lambda: codes.quadkey_tile(codes.quadkey(*T12(), 12), 12)[0], f"CAST({S_TX} AS BIGINT)"),
+        "y_back": (lambda: codes.quadkey_tile(codes.quadkey(*T12(), 12), 12)[1], f"CAST({S_TY} AS BIGINT)"),
+        "parent_x": (lambda: codes.quadkey_tile(codes.quadkey_parent(codes.quadkey(*T12(), 12)), 11)[0], f"CAST(({S_TX})//2 AS BIGINT)"),
+        "child_y": (lambda: codes.quadkey_tile(codes.quadkey_children(codes.quadkey(*T12(), 12))[3], 13)[1], f"CAST(({S_TY})*2+1 AS BIGINT)"),
     },
 )
 scalar(
@@ -318,14 +359,16 @@ scalar(
     'geohash',
     {
         "hash": (lambda: codes.geohash(A1(), O1(), 6), s_geohash(S_GX, S_GY)),
+        "lat": (lambda: codes.middle(codes.geohash_bounds(codes.geohash(A1(), O1(), 6), 6))[0], f"({S_GY}+0.5)*180/32768-90"),
+        "lon": (lambda: codes.middle(codes.geohash_bounds(codes.geohash(A1(), O1(), 6), 6))[1], f"({S_GX}+0.5)*360/32768-180"),
+        "south5": (lambda: codes.geohash_bounds(codes.geohash(A1(), O1(), 5), 5)[0], f"(({S_GY})//8)*180/4096.0-90"),
+        "east5": (lambda: codes.geohash_bounds(codes.geohash(A1(), O1(), 5), 5)[3], f"(({S_GX})//4+1)*360/8192.0-180"),
     },
 )
+S_STEPS = {"n": (1, 0), "ne": (1, 1), "e": (0, 1), "se": (-1, 1), "s": (-1, 0), "sw": (-1, -1), "w": (0, -1), "nw": (1, -1)}
 scalar(
     'geohashneighbors',
-    {
-        "north": (lambda: codes.geohash_neighbour(A1(), O1(), 6, 1, 0), s_geohash(S_GX, f"least({S_GY}+1, 32767)")),
-        "east": (lambda: codes.geohash_neighbour(A1(), O1(), 6, 0, 1), s_geohash(f"(({S_GX}+1)%32768)", S_GY)),
-    },
+    {name: (lambda name=name: codes.geohash_around(A1(), O1(), 6)[name], s_geohash(f"(({S_GX}+{east}+32768)%32768)", f"greatest(least({S_GY}+({north}), 32767), 0)")) for name, (north, east) in S_STEPS.items()},
 )
 
 
@@ -340,10 +383,21 @@ def s_plus() -> str:
     return "concat(" + ", ".join(out) + ")"
 
 
+def s_plus_south() -> str:
+    """The sum of the steps' whole multiples, as the code takes them."""
+    a, parts = "(least(lat1, 90-1e-9)+90)", []
+    for step in codes.PLUS_STEPS:
+        parts.append(f"floor({a}/{step!r})*{step!r}")
+        a = f"({a}-floor({a}/{step!r})*{step!r})"
+    return "-90 + " + " + ".join(parts)
+
+
 scalar(
     'pluscode',
     {
         "code": (lambda: codes.plus_code(A1(), O1()), s_plus()),
+        "south": (lambda: codes.plus_bounds(codes.plus_code(A1(), O1()))[0], s_plus_south()),
+        "inside": (lambda: codes.within(A1(), O1(), tuple(b + e for b, e in zip(codes.plus_bounds(codes.plus_code(A1(), O1())), (-1e-9, -1e-9, 1e-9, 1e-9), strict=True))), "CAST(TRUE AS BOOLEAN)"),
     },
 )
 S_LA, S_LB = "(lon1+180)", "(lat1+90)"
@@ -353,6 +407,8 @@ scalar(
     'maidenhead',
     {
         "locator": (lambda: codes.locator(A1(), O1(), 3), f"concat({s_pick(codes.LETTERS, f'floor({S_LA}/20)')}, {s_pick(codes.LETTERS, f'floor({S_LB}/10)')}, CAST(CAST(floor({S_LA2}/2) AS BIGINT) AS VARCHAR), CAST(CAST(floor({S_LB2}/1) AS BIGINT) AS VARCHAR), {s_pick(codes.LETTERS, f'floor({S_LA3}/{5.0 / 60.0!r})')}, {s_pick(codes.LETTERS, f'floor({S_LB3}/{2.5 / 60.0!r})')})"),
+        "lat": (lambda: codes.middle(codes.locator_bounds(codes.locator(A1(), O1(), 3), 3))[0], f"floor({S_LB}/10)*10 + floor({S_LB2}) + floor({S_LB3}/{2.5 / 60.0!r})*{2.5 / 60.0!r} - 90 + {1.25 / 60.0!r}"),
+        "lon": (lambda: codes.middle(codes.locator_bounds(codes.locator(A1(), O1(), 3), 3))[1], f"floor({S_LA}/20)*20 + floor({S_LA2}/2)*2 + floor({S_LA3}/{5.0 / 60.0!r})*{5.0 / 60.0!r} - 180 + {2.5 / 60.0!r}"),
     },
 )
 IX = lambda: X().cast('long')
@@ -383,12 +439,25 @@ scalar(
         "i": (lambda: CUBE()[1], f"CAST(least(trunc(({S_Q}+1)/2*256), 255) AS BIGINT)"),
     },
 )
-scalar(
-    'hilbert',
-    {
-        "d": (lambda: codes.hilbert(IX(), IY(), 10), ""),
-    }, source='points',
-)
+
+
+def s_hilbert(order: int) -> str:
+    """The curve's distance level by level: one table for each."""
+    top, levels = (1 << order) - 1, ["h0 AS (SELECT id, CAST(trunc(x) AS BIGINT) AS x0, CAST(trunc(y) AS BIGINT) AS y0, CAST(trunc(x) AS BIGINT) AS x, CAST(trunc(y) AS BIGINT) AS y, CAST(0 AS BIGINT) AS d FROM points)"]
+    for k, b in enumerate(reversed(range(order))):
+        rx, ry = f"((x>>{b})&1)", f"((y>>{b})&1)"
+        fx, fy = (f"(CASE WHEN {rx}=1 THEN {top}-{v} ELSE {v} END)" for v in "xy")
+        levels.append(f"h{k + 1} AS (SELECT id, x0, y0, CASE WHEN {ry}=0 THEN {fy} ELSE x END AS x, CASE WHEN {ry}=0 THEN {fx} ELSE y END AS y, d + {1 << 2 * b}*xor(3*{rx}, {ry}) AS d FROM h{k})")
+    return f"WITH {', '.join(levels)} SELECT id, CAST(d AS BIGINT) AS d, x0 AS x_back, y0 AS y_back FROM h{order}"
+
+
+@query("hilbert", fixtures.sql(s_hilbert(10), "points"))
+def hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance along the curve, and the cell back from it."""
+    p = fixtures.points(spark, sf_dir).select("id", codes.hilbert(IX(), IY(), 10).alias("d"))
+    x, y = codes.hilbert_cell(F.col("d"), 10)
+    return p.select("id", "d", x.alias("x_back"), y.alias("y_back"))
+
 
 DAY = lambda: (F.col('id') % 365 + 1).cast('double')
 S_EB = "(2*pi()*(id%365+1-81)/364)"

@@ -127,7 +127,11 @@ def densify(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).select("id", F.greatest(F.lit(1), F.ceil(km / 1500)).cast("long").alias("hops"))
 
 
-@query("densify_points", None)
+S_KM = "2*6371.0088*asin(sqrt(least(1.0, sin(radians(lat2-lat1)/2)**2+cos(radians(lat1))*cos(radians(lat2))*sin(radians(lon2-lon1)/2)**2)))"
+S_ARC = "acos(greatest(-1.0, least(1.0, sin(radians(lat1))*sin(radians(lat2))+cos(radians(lat1))*cos(radians(lat2))*cos(radians(lon2-lon1)))))"
+
+
+@query("densify_points", sql(f"WITH p AS (SELECT *, CAST(greatest(1, ceil({S_KM}/1500)) AS BIGINT) AS n, {S_ARC} AS g FROM places WHERE lat1 <> lat2 OR lon1 <> lon2), q AS (SELECT *, unnest(range(n+1)) AS k FROM p), w AS (SELECT *, sin((1-k/n)*g)/sin(g) AS a, sin(k/n*g)/sin(g) AS b FROM q), v AS (SELECT id, k, a*cos(radians(lat1))*cos(radians(lon1))+b*cos(radians(lat2))*cos(radians(lon2)) AS x, a*cos(radians(lat1))*sin(radians(lon1))+b*cos(radians(lat2))*sin(radians(lon2)) AS y, a*sin(radians(lat1))+b*sin(radians(lat2)) AS z FROM w) SELECT id, k, round(degrees(atan2(z, sqrt(x*x+y*y))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon FROM v", "places"))
 def densify_points(spark: SparkSession, d: str) -> DataFrame:
     """Points no more than 1500 km apart along each great circle."""
     p = places(spark, d)
