@@ -147,18 +147,63 @@ def crossing_points(segments: DataFrame, side: float) -> DataFrame:
     return p.select("a", "b", F.round(F.col("a_x1") + t * ux, 6).alias("x"), F.round(F.col("a_y1") + t * uy, 6).alias("y"))
 
 
+def cells_along(df: DataFrame, side: float, x1: str, y1: str, x2: str, y2: str) -> DataFrame:
+    """One row per cell that a segment touches, as __cx and __cy, column by column: a long slanted one doesn't fill its box."""
+    dx, dy = F.col(x2) - F.col(x1), F.col(y2) - F.col(y1)
+    df = df.withColumn("__cx", F.explode(F.sequence(cell(F.least(x1, x2), side), cell(F.greatest(x1, x2), side))))
+    part = lambda x: F.when(dx == 0, None).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(x - F.col(x1), dx))))
+    a, b = F.coalesce(part(F.col("__cx") * side), F.lit(0.0)), F.coalesce(part((F.col("__cx") + 1) * side), F.lit(1.0))
+    ya, yb, slack = F.col(y1) + a * dy, F.col(y1) + b * dy, side * 1e-9  # what rounding may move over a cell's edge
+    return df.withColumn("__cy", F.explode(F.sequence(cell(F.least(ya, yb) - slack, side), cell(F.greatest(ya, yb) + slack, side))))
+
+
+def all_pairs(df: DataFrame, key: str, blocks: int = 16) -> DataFrame:
+    """Every pair of two rows once, as columns <name>_a and <name>_b with the smaller key in a: an equi-join over pairs of blocks.
+
+    For queries whose definition is all pairs of a bounded set, such as sight lines between stations."""
+    own = F.pmod(F.xxhash64(key), F.lit(blocks))
+    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    a = df.select(*[F.col(c).alias(f"{c}_a") for c in df.columns], own.alias("__i"), each.alias("__j"))
+    b = df.select(*[F.col(c).alias(f"{c}_b") for c in df.columns], own.alias("__j"), each.alias("__i"))
+    return a.join(b, ["__i", "__j"]).filter(F.col(f"{key}_a") < F.col(f"{key}_b")).drop("__i", "__j")
+
+
 def unblocked(sights: DataFrame, walls: DataFrame, side: float) -> DataFrame:
-    """Ids of sight lines that no wall crosses: an anti-join with the blocked ones, which meet walls in cells."""
+    """Ids of sight lines that no wall crosses: an anti-join with the blocked ones, which meet walls in the cells that both touch."""
     names = ("x1", "y1", "x2", "y2")
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
-        df = df.select(F.col("id").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names])
-        return cells_of(df, F.least(f"{s}_x1", f"{s}_x2"), F.least(f"{s}_y1", f"{s}_y2"), F.greatest(f"{s}_x1", f"{s}_x2"), F.greatest(f"{s}_y1", f"{s}_y2"), side)
+        return cells_along(df.select(F.col("id").alias(s), *[F.col(n).alias(f"{s}_{n}") for n in names]), side, *[f"{s}_{n}" for n in names])
 
     blocked = dealt(sights, "a").join(dealt(walls, "b"), ["__cx", "__cy"]).filter(segments_cross("a_", "b_")).select(F.col("a").alias("id"))
     return sights.join(blocked, "id", "left_anti").select("id")
 
 
+def allocate(points: DataFrame, facilities: DataFrame, capacity: int) -> DataFrame:
+    """(id, sid, d2): every point at a facility that holds ``capacity`` points, served in the order of regret: what the second nearest
+    facility is farther than the nearest, ties by id.
+
+    Serving points one by one in one order is what comes out if each asks its nearest facility, each facility keeps the ``capacity`` first of those
+    that ask, and the others ask their next: facilities agree on the order, so the outcome is the same. A round is a ranking per facility.
+    """
+    from gridloom.operators.scratch import settle
+
+    n, k = points.count(), facilities.count()
+    if capacity * k < n:
+        raise ValueError("the capacities must hold every point")
+    near = knn_join(points, facilities, k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "point", "d2"))).alias("order"))  # one entry per facility
+    regret = F.sqrt(F.coalesce(F.get("order", F.lit(1))["d2"], F.col("order")[0]["d2"])) - F.sqrt(F.col("order")[0]["d2"])
+    state = settle(near.select(F.col("query").alias("id"), regret.alias("regret"), "order", F.lit(0).alias("at")))
+    first = Window.partitionBy("sid").orderBy(F.desc("regret"), "id")
+    for i in range(1_000_000):
+        asked = state.withColumn("sid", F.get("order", F.col("at"))["point"])
+        state = settle(asked.withColumn("kept", F.row_number().over(first) <= capacity), i)
+        if state.filter("not kept").isEmpty():
+            break
+        state = state.select("id", "regret", "order", F.when(F.col("kept"), F.col("at")).otherwise(F.col("at") + 1).alias("at"))
+    return state.select("id", "sid", F.get("order", F.col("at"))["d2"].alias("d2"))
+
+
 def banded_inside(points: DataFrame, rings: DataFrame, height: float) -> DataFrame:
     """Points in rings by edges alone: edges are dealt to the bands of y they cross, crossings to the right are counted per pair."""
     e = rings.select(F.col("id").alias("ring_id"), F.explode(ring_edges(F.col("ring"))).alias("e"))

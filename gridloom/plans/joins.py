@@ -323,6 +323,13 @@ def allocation(spark: SparkSession, d: str) -> DataFrame:
     return joins.nearest(points(spark, d), sites(spark, d)).select(F.col("query").alias("id"), F.col("point").alias("sid"))
 
 
+@query("allocation_capacity", None)
+def allocation_capacity(spark: SparkSession, d: str) -> DataFrame:
+    """All points at eight facilities that hold a tenth more than an even share."""
+    p, f = points(spark, d), sites(spark, d).filter("sid < 8")
+    return nearest.allocate(p, f, -(-p.count() * 11 // (10 * f.count()))).select("id", "sid", F.round("d2", 6).alias("d2"))
+
+
 @query("edgematching", None)
 def edgematching(spark: SparkSession, d: str) -> DataFrame:
     return nearest.greedy_matches(joins.join_within(points(spark, d), sites(spark, d), 30.0).withColumn("sheet", F.floor(F.col("x") / 100)))

@@ -9,6 +9,7 @@ from gridloom.functions import geodesy
 from gridloom.operators import geometry as geo
 from gridloom.operators import graphs, nearest, routes, tracks
 from gridloom.plans.catalog import query
+from gridloom.plans.joins import CROSS
 from gridloom.plans.scalar import U1
 from gridloom.plans.shapes import grouped
 from gridloom.sources.fixtures import places, raster, rings, segments, sites, sql
@@ -106,15 +107,22 @@ def fastmarching(spark: SparkSession, d: str) -> DataFrame:
     return routes.marching(blocks(spark, d), "grid").select("r", "c", F.round("t", 4).alias("t"))
 
 
+def sight_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of sites that see one another past all walls."""
+    s = sites(spark, d).select("sid", F.col("sx").alias("x"), F.col("sy").alias("y"))
+    pairs = nearest.all_pairs(s, "sid").select(F.col("sid_a").alias("src"), F.col("sid_b").alias("dst"), F.col("x_a").alias("x1"), F.col("y_a").alias("y1"), F.col("x_b").alias("x2"), F.col("y_b").alias("y2"))
+    pairs = pairs.withColumn("id", F.shiftleft("src", 31) + F.col("dst"))
+    seen = pairs.join(nearest.unblocked(pairs.select("id", "x1", "y1", "x2", "y2"), segments(spark, d), 50.0), "id", "left_semi")
+    return seen.select("src", "dst", F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("w"))
+
+
+@query("visibilitygraph_edges", sql(f"SELECT a.src, a.dst, round(sqrt((a.x1-a.x2)**2+(a.y1-a.y2)**2), 6) AS w FROM (SELECT p.sid AS src, q.sid AS dst, p.sx AS x1, p.sy AS y1, q.sx AS x2, q.sy AS y2 FROM sites p JOIN sites q ON p.sid < q.sid) a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE {CROSS})", "sites", "segments"))
+def visibilitygraph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return sight_lines(spark, d).select("src", "dst", F.round("w", 6).alias("w"))
+
+
 @query("visibilitygraph", None)
 def visibilitygraph(spark: SparkSession, d: str) -> DataFrame:
-    """Ways from the first site over near pairs that see one another past all walls."""
-    from gridloom.operators.joins import join_within
-
-    s = sites(spark, d)
-    a = s.select(F.col("sid").alias("src"), F.col("sx").alias("x1"), F.col("sy").alias("y1"))
-    pairs = join_within(a, s, 250.0, "x1", "y1", "sx", "sy").filter("src < sid").select(F.col("src"), F.col("sid").alias("dst"), "x1", "y1", F.col("sx").alias("x2"), F.col("sy").alias("y2"), F.sqrt("d2").alias("w"))
-    pairs = pairs.withColumn("id", F.col("src") * 1_000_000 + F.col("dst"))
-    seen = pairs.join(nearest.unblocked(pairs.select("id", "x1", "y1", "x2", "y2"), segments(spark, d), 50.0), "id", "left_semi")
-    g = graphs.settle(graphs.both_ways(seen.select("src", "dst", "w")), 0)
+    """Ways from the first site over all pairs that see one another."""
+    g = graphs.settle(graphs.both_ways(sight_lines(spark, d)), 0)
     return graphs.shortest(g, spark.createDataFrame([(0,)], "source long")).select("node", F.round("dist", 5).alias("dist"))

@@ -162,6 +162,23 @@ def geojsonio(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.round("p.lat", 9).alias("lat"), F.round("p.lon", 9).alias("lon"))
 
 
+@query("geojson_polygons", sql("SELECT id, CAST(8 AS INTEGER) AS points, round(abs(sum(x1*y2-x2*y1))/2, 4) AS area, round(sum(sqrt((x2-x1)**2+(y2-y1)**2)), 5) AS perimeter, concat('f', id) AS name FROM edges GROUP BY id", "edges"))
+def geojson_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Rings, every other one clockwise, written as features and read back: outer rings come back counter-clockwise."""
+    r = rings(spark, d).withColumn("ring", F.when(F.col("id") % 2 == 1, F.reverse("ring")).otherwise(F.col("ring")))
+    f = r.select("id", text.geojson_feature(text.geojson_polygon(F.col("ring"), joins.shoelace(F.col("ring")) < 0), F.struct(F.concat(F.lit("f"), "id").alias("name"))).alias("feature"))
+    back = f.select("id", text.geojson_points(text.geojson_geometry(F.col("feature"))).alias("ring"), F.get_json_object("feature", "$.properties.name").alias("name"))
+    return back.select("id", F.size("ring").alias("points"), F.round(joins.shoelace(F.col("ring")), 4).alias("area"), F.round(joins.perimeter(F.col("ring")), 5).alias("perimeter"), "name")
+
+
+@query("geojson_lines", sql("SELECT track, count(*) AS points, round(sum(x), 4) AS sum_x, round(sum(y*seq), 3) AS sum_yk FROM fixes GROUP BY track HAVING count(*) > 1", "fixes"))
+def geojson_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks written as lines and read back, point by point in order."""
+    f = fixes(spark, d).groupBy("track").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("line"))
+    back = f.select("track", F.posexplode(text.geojson_points(text.geojson_line(F.col("line")))).alias("k", "p"))
+    return back.groupBy("track").agg(F.count("*").alias("points"), F.round(F.sum("p.x"), 4).alias("sum_x"), F.round(F.sum(F.col("p.y") * (F.col("k") + 1)), 3).alias("sum_yk"))
+
+
 @query("geohashcompress", sql(f"WITH h AS (SELECT id, {s_geohash(S_GX, S_GY)} AS hash FROM places), o AS (SELECT id, hash, lag(hash) OVER (PARTITION BY substr(hash, 1, 1) ORDER BY hash, id) AS prev FROM h) SELECT id, (SELECT count(*) FROM range(1, 7) q(k) WHERE substr(hash, 1, k) = substr(prev, 1, k)) AS shared FROM o", "places"))
 def geohashcompress(spark: SparkSession, d: str) -> DataFrame:
     """Front coding: the prefix shared with the code before; blocks begin anew with the first letter, so they are coded apart."""

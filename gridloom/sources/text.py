@@ -44,3 +44,35 @@ def geojson_coordinates(text: Column) -> Column:
     """Latitude and longitude of a GeoJSON point; null where the text isn't one."""
     g = F.from_json(text, "type string, coordinates array<double>")
     return F.when(g["type"] == "Point", F.struct(g["coordinates"][1].alias("lat"), g["coordinates"][0].alias("lon")))
+
+
+def geojson_line(points: Column) -> Column:
+    return F.to_json(F.struct(F.lit("LineString").alias("type"), F.transform(points, lambda p: F.array(p["x"], p["y"])).alias("coordinates")))
+
+
+def geojson_polygon(ring: Column, clockwise: Column) -> Column:
+    """A polygon of one ring: closed, and counter-clockwise as outer rings are, so a clockwise one is turned round."""
+    turned = F.when(clockwise, F.reverse(ring)).otherwise(ring)
+    closed = F.concat(turned, F.slice(turned, 1, 1))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")))
+
+
+def geojson_feature(geometry: Column, properties: Column) -> Column:
+    """A feature from a geometry's text and a struct of properties."""
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+
+
+def geojson_geometry(feature: Column) -> Column:
+    """The geometry's text of a feature; null where the text isn't one."""
+    return F.when(F.get_json_object(feature, "$.type") == "Feature", F.get_json_object(feature, "$.geometry"))
+
+
+def geojson_points(text: Column) -> Column:
+    """Points of a line, or of a polygon's outer ring with the first point once; null for other kinds, for text that isn't GeoJSON, for lines
+    of fewer than two points and for rings that aren't closed or have fewer than four positions."""
+    kind = F.get_json_object(text, "$.type")
+    line = F.from_json(F.when(kind == "LineString", text), "coordinates array<array<double>>")["coordinates"]
+    ring = F.get(F.from_json(F.when(kind == "Polygon", text), "coordinates array<array<array<double>>>")["coordinates"], F.lit(0))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    whole = (F.size(ring) >= 4) & (F.element_at(ring, 1) == F.element_at(ring, -1))
+    return F.when(F.size(line) >= 2, F.transform(line, point)).when(whole, F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), point))

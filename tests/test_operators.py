@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codes
 from gridloom.operators import geometry, graphs, joins, nearest, raster, routes, statistics, tracks, triangulation
+from gridloom.sources import text
 from gridloom.streaming import stateful
 
 
@@ -323,3 +324,42 @@ def test_windowed_stream(spark, tmp_path):
     q = stateful.windowed(stream, "1 day").writeStream.outputMode("complete").format("memory").queryName("win").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("win").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_geojson_that_is_not_a_line_or_ring(spark):
+    bad = ['{"type":"LineString","coordinates":[[1,2]]}', '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,1]]]}', '{"type":"Polygon","coordinates":[]}', "[1,2", '{"type":"Point","coordinates":[1,2]}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(bad)], "i int, t string")
+    assert {q.p for q in df.select(text.geojson_points(F.col("t")).alias("p")).collect()} == {None}
+    ok = spark.createDataFrame([('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]],[[9,9]]]}',)], "t string").select(text.geojson_points(F.col("t")).alias("p")).first().p
+    assert [(p.x, p.y) for p in ok] == [(0, 0), (1, 0), (1, 1)]
+    feature = spark.range(1).select(text.geojson_geometry(F.lit('{"type":"Topology"}')).alias("g")).first().g
+    assert feature is None
+
+
+def test_allocation_serves_by_regret(spark):
+    pts, fac = scattered(90, 12), scattered(6, 13)
+    p = spark.createDataFrame(pts, "id long, x double, y double")
+    f = spark.createDataFrame(fac, "sid long, sx double, sy double")
+    got = {q.id: q.sid for q in nearest.allocate(p, f, 16).collect()}
+    order = {i: sorted((math.hypot(x - a, y - b), j) for j, a, b in fac) for i, x, y in pts}
+    room, want = dict.fromkeys(range(6), 16), {}
+    for i in sorted(order, key=lambda i: (-(order[i][1][0] - order[i][0][0]), i)):
+        want[i] = next(j for _, j in order[i] if room[j])
+        room[want[i]] -= 1
+    assert got == want
+    with pytest.raises(ValueError, match="hold every point"):
+        nearest.allocate(p, f, 14)
+
+
+def test_cells_along_hold_every_point_of_the_segment(spark):
+    r = random.Random(3)
+    seg = [(i, *(r.choice([r.uniform(-50, 50), float(r.randrange(-5, 5) * 10)]) for _ in range(4))) for i in range(60)] + [(60, 5.0, -20.0, 5.0, 30.0), (61, 10.0, 0.0, 10.0, 0.0)]
+    cells: dict = {}
+    for q in nearest.cells_along(spark.createDataFrame(seg, "id long, x1 double, y1 double, x2 double, y2 double"), 10.0, "x1", "y1", "x2", "y2").collect():
+        cells.setdefault(q.id, set()).add((q["__cx"], q["__cy"]))
+    for i, a, b, c, d in seg:
+        for k in range(101):
+            x, y = a + (c - a) * k / 100, b + (d - b) * k / 100
+            if any(abs(v / 10 - round(v / 10)) < 1e-9 for v in (x, y)):
+                continue  # this sum's own rounding decides the cell
+            assert (math.floor(x / 10), math.floor(y / 10)) in cells[i]
