@@ -112,18 +112,20 @@ def outlets(flow: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("the flow has a cycle")
 
 
-def accumulation(flow: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """(r, c, n): cells whose flow passes each, itself included. Waves run down from all cells at once; each wave is one join, and waves end at sinks."""
-    wave = flow.select(F.col("tr").alias("r"), F.col("tc").alias("c")).filter("r is not null").groupBy("r", "c").agg(F.count("*").alias("n"))
-    total = flow.select("r", "c", F.lit(1).cast("long").alias("n"))
+def accumulation(flow: DataFrame, rounds: int = 40) -> DataFrame:
+    """(r, c, n): cells whose flow passes each, itself included.
+
+    After round k a cell has counted those fewer than 2**k steps above it, and points 2**k steps down: what it has counted is added to the cell it points to, and
+    pointers jump on. So rounds are the logarithm of the longest way.
+    """
+    at = settle(flow.select("r", "c", "tr", "tc", F.lit(1).cast("long").alias("n")))
     for i in range(rounds):
-        wave = settle(wave, i)
-        if wave.isEmpty():
-            return total.groupBy("r", "c").agg(F.sum("n").alias("n"))
-        total = total.union(wave)
-        wave = wave.join(flow.filter("tr is not null"), ["r", "c"]).groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum("n").alias("n"))
-        if i % 20 == 19:
-            total = settle(total.groupBy("r", "c").agg(F.sum("n").alias("n")), i)
+        inflow = at.filter("tr is not null").groupBy(F.col("tr").alias("r"), F.col("tc").alias("c")).agg(F.sum("n").alias("more"))
+        far = at.select(F.col("r").alias("tr"), F.col("c").alias("tc"), F.col("tr").alias("fr"), F.col("tc").alias("fc"))
+        next_ = at.join(inflow, ["r", "c"], "left").join(far, ["tr", "tc"], "left")
+        at = settle(next_.select("r", "c", F.col("fr").alias("tr"), F.col("fc").alias("tc"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), i)
+        if at.filter("tr is not null").isEmpty():
+            return at.select("r", "c", "n")
     raise ValueError("the flow has a cycle")
 
 

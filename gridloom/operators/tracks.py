@@ -237,10 +237,16 @@ def box_counts(points: DataFrame, sides: list[float]) -> DataFrame:
     return s.select("side", F.floor(F.col("x") / F.col("side")).alias("i"), F.floor(F.col("y") / F.col("side")).alias("j")).distinct().groupBy("side").agg(F.count("*").alias("boxes"))
 
 
-def paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b, p, q): lines as arrays of points in order, side by side."""
+def paired(a: DataFrame, b: DataFrame, blocks: int = 16) -> DataFrame:
+    """(a, b, line_a, line_b): every line of one side with every line of the other, as arrays of points in order.
+
+    All pairs are what is asked for, so give the lines to compare; they meet over pairs of blocks, an equi-join that spreads over blocks * blocks keys.
+    """
     line = lambda df, n: df.groupBy(F.col("track").alias(n)).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias(f"line_{n}"))
-    return line(a, "a").withColumn("k", F.lit(1)).join(line(b, "b").withColumn("k", F.lit(1)), "k").drop("k")
+    own, each = lambda n: F.pmod(F.xxhash64(n), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = line(a, "a").withColumn("__i", own("a")).withColumn("__j", each)
+    right = line(b, "b").withColumn("__j", own("b")).withColumn("__i", each)
+    return left.join(right, ["__i", "__j"]).drop("__i", "__j")
 
 
 def coupling(kind: str) -> Callable[..., Column]:

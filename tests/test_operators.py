@@ -65,6 +65,38 @@ def test_betweenness_of_a_path(spark):
     assert {k: got[k] for k in (1, 2, 3)} == {1: 3.0, 2: 4.0, 3: 3.0}
 
 
+def test_betweenness_of_a_random_graph(spark):
+    r = random.Random(5)
+    edges = {(i, j): float(r.randrange(1, 4)) for i in range(12) for j in range(i) if r.random() < 0.3}
+    near: dict = {}
+    for (i, j), w in edges.items():
+        near.setdefault(i, []).append((j, w))
+        near.setdefault(j, []).append((i, w))
+    want = dict.fromkeys(near, 0.0)
+
+    def ways(at, goal, far, path):  # all shortest ways, by their lengths
+        if at == goal:
+            yield path
+        for v, w in near[at]:
+            if abs(far[v] + w - far[at]) < 1e-9:
+                yield from ways(v, goal, far, [*path, v])
+
+    for goal in near:
+        far = {v: math.inf for v in near} | {goal: 0.0}
+        for _ in near:
+            for v in near:
+                far[v] = min([far[v], *(far[u] + w for u, w in near[v])])
+        for s in near:
+            if s < goal and far[s] < math.inf:
+                found = list(ways(s, goal, far, [s]))
+                for path in found:
+                    for v in path[1:-1]:
+                        want[v] += 1 / len(found)
+    both = graphs.both_ways(spark.createDataFrame([(i, j, w) for (i, j), w in edges.items()], "src long, dst long, w double"))
+    got = {q.node: q.score for q in graphs.betweenness(both, spark.createDataFrame([(v,) for v in near], "source long")).collect()}
+    assert all(got.get(v, 0.0) == pytest.approx(x) for v, x in want.items())
+
+
 def test_cost_distance_over_tiles(spark):
     r = random.Random(3)
     v = {(i, j): r.uniform(1, 9) for i in range(9) for j in range(11)}
