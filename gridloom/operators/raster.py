@@ -129,6 +129,54 @@ def accumulation(flow: DataFrame, rounds: int = 40) -> DataFrame:
     raise ValueError("the flow has a cycle")
 
 
+def dilated(cells: DataFrame, grid: DataFrame, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """Cells of the grid that the element, laid on some set cell, reaches."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in element]))
+    grown = cells.select("r", "c", steps.alias("s")).select((F.col("r") + F.col("s.a")).alias("r"), (F.col("c") + F.col("s.b")).alias("c")).distinct()
+    return grown.join(grid.select("r", "c"), ["r", "c"], "left_semi")
+
+
+def eroded(cells: DataFrame, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """Cells on which the element lies within the set ones; off the grid nothing is set."""
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in element]))
+    seen = cells.select("r", "c", steps.alias("s")).select((F.col("r") - F.col("s.a")).alias("r"), (F.col("c") - F.col("s.b")).alias("c"))
+    return seen.groupBy("r", "c").agg(F.count("*").alias("n")).filter(F.col("n") == len(element)).select("r", "c")
+
+
+def opened(cells: DataFrame, grid: DataFrame, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """What is left of the set cells when specks smaller than the element go."""
+    return dilated(eroded(cells, element), grid, element)
+
+
+def closed(cells: DataFrame, grid: DataFrame, element: Sequence[tuple[int, int]]) -> DataFrame:
+    """The set cells with gaps smaller than the element filled."""
+    return eroded(dilated(cells, grid, element), element)
+
+
+def upsampled(cells: DataFrame, factor: int, bilinear: bool = False) -> DataFrame:
+    """(r, c, v): every cell cut into factor by factor ones, with its value or between the four nearest centres; beyond the edge the edge goes on.
+
+    Each square of four centres gives the new cells that lie in it, so the work is one stencil and an explode.
+    """
+    if factor < 1:
+        raise ValueError("the factor must be positive")
+    cut = lambda v: F.explode(F.sequence(F.col(v) * factor, F.col(v) * factor + factor - 1))
+    if not bilinear:
+        return cells.select(cut("r").alias("r"), "c", "v").select("r", cut("c").alias("c"), "v")
+    low_r, high_r, low_c, high_c = cells.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    quad = stencil(framed(cells), ((0, 1), (1, 0), (1, 1))).filter("n_0_1 is not null and n_1_0 is not null and n_1_1 is not null")
+
+    def inside(v: str, low: int, high: int) -> Column:
+        first, last = F.ceil(F.col(v) * factor + factor / 2 - 0.5), F.ceil((F.col(v) + 1) * factor + factor / 2 - 0.5) - 1
+        return F.explode(F.sequence(F.greatest(first, F.lit(low * factor)), F.least(last, F.lit((high + 1) * factor - 1))))
+
+    some = lambda v, low, high: F.greatest(F.ceil(F.col(v) * factor + factor / 2 - 0.5), F.lit(low * factor)) <= F.least(F.ceil((F.col(v) + 1) * factor + factor / 2 - 0.5) - 1, F.lit((high + 1) * factor - 1))
+    fine = quad.filter(some("r", low_r, high_r) & some("c", low_c, high_c)).withColumn("fr", inside("r", low_r, high_r)).withColumn("fc", inside("c", low_c, high_c))
+    ty, tx = (F.col("fr") + 0.5) / factor - 0.5 - F.col("r"), (F.col("fc") + 0.5) / factor - 0.5 - F.col("c")
+    top, bottom = F.col("v") * (1 - tx) + F.col("n_0_1") * tx, F.col("n_1_0") * (1 - tx) + F.col("n_1_1") * tx
+    return fine.select(F.col("fr").alias("r"), F.col("fc").alias("c"), (top * (1 - ty) + bottom * ty).alias("v"))
+
+
 def height_above_drainage(cells: DataFrame, threshold: int) -> DataFrame:
     """(r, c, channel, height): height above the first channel cell on each cell's way down, or above the sink where it meets none.
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.joins import cell, components, join_within, knn_join, self_join_within
@@ -209,6 +209,26 @@ def grid_thin(points: DataFrame, side: float) -> DataFrame:
     return points.groupBy(cx.alias("cx"), cy.alias("cy")).agg(F.min(F.struct(d2.alias("d2"), "id")).alias("m")).select(F.col("m.id").alias("id"))
 
 
+def design_sample(points: DataFrame, design: str, side: float, size: int, key: Column | None = None) -> DataFrame:
+    """Ids drawn by a design; ``key`` is a seeded scramble of the id, a hash by default, so draws repeat.
+
+    random: the ``size`` least keys of all points. stratified: the least key of each cell of ``side``. systematic: the point
+    nearest to a lattice of that side, one of each cell, the lattice moved by a part of the side that the least key gives.
+    """
+    key = F.xxhash64(F.lit(1), "id") if key is None else key
+    if design == "random":
+        return points.select("id", key.alias("k")).orderBy("k", "id").limit(size).select("id")
+    own = points.withColumns({"k": key, "cx": cell(F.col("x"), side), "cy": cell(F.col("y"), side)})
+    if design == "stratified":
+        return own.groupBy("cx", "cy").agg(F.min(F.struct("k", "id")).alias("m")).select("m.id")
+    if design != "systematic":
+        raise ValueError("the design is random, stratified or systematic")
+    offset = F.pmod(F.col("least"), F.lit(1000)) / 1000 * side
+    moved = own.join(F.broadcast(own.agg(F.min("k").alias("least"))))
+    d2 = F.pow(F.col("x") - F.col("cx") * side - offset, 2) + F.pow(F.col("y") - F.col("cy") * side - offset, 2)
+    return moved.groupBy("cx", "cy").agg(F.min(F.struct(d2.alias("d2"), "id")).alias("m")).select("m.id")
+
+
 def distance_thin(points: DataFrame, spacing: float) -> DataFrame:
     """Ids kept so that none is nearer than ``spacing`` to a kept one of smaller id: the greedy choice in the order of ids.
 

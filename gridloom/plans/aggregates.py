@@ -239,6 +239,28 @@ def s_farthest(k: int) -> str:
     return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS step, id, round(sqrt(d2), 6) AS distance FROM c{i}" for i in range(k))
 
 
+S_SCRAMBLE = "(id*7919+12345)%100003"
+
+
+def scramble():
+    return (F.col("id") * 7919 + 12345) % 100003
+
+
+@query("spatialsample_random", sql(f"SELECT id FROM points ORDER BY {S_SCRAMBLE}, id LIMIT 50", "points"))
+def spatialsample_random(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.design_sample(points(spark, d), "random", 100.0, 50, scramble())
+
+
+@query("spatialsample_stratified", sql(f"SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY floor(x/100), floor(y/100) ORDER BY {S_SCRAMBLE}, id) AS k FROM points) WHERE k = 1", "points"))
+def spatialsample_stratified(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.design_sample(points(spark, d), "stratified", 100.0, 0, scramble())
+
+
+@query("spatialsample_systematic", sql(f"WITH o AS (SELECT min({S_SCRAMBLE})%1000/1000*100 AS o FROM points) SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY floor(x/100), floor(y/100) ORDER BY (x-floor(x/100)*100-o)**2+(y-floor(y/100)*100-o)**2, id) AS k FROM points, o) WHERE k = 1", "points"))
+def spatialsample_systematic(spark: SparkSession, d: str) -> DataFrame:
+    return statistics.design_sample(points(spark, d), "systematic", 100.0, 0, scramble())
+
+
 @query("kcenter", sql(s_farthest(6), "points"))
 def kcenter(spark: SparkSession, d: str) -> DataFrame:
     return statistics.farthest_first(points(spark, d), 6)

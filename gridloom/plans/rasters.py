@@ -235,6 +235,35 @@ def morphology_erode(spark: SparkSession, d: str) -> DataFrame:
     return ras.around(c, STRAIGHT, "k").groupBy("r", "c").agg(F.count("*").alias("n")).filter("n = 4").select("r", "c")
 
 
+CROSS_ELEMENT = (*STRAIGHT, (0, 0))
+S_NEAR5 = "abs(a.r-b.r)+abs(a.c-b.c) <= 1"
+
+
+@query("morphology_open", sql(f"WITH s AS (SELECT r, c FROM cells WHERE k > 15), e AS (SELECT a.r, a.c FROM s a JOIN s b ON {S_NEAR5} GROUP BY a.r, a.c HAVING count(*) = 5) SELECT DISTINCT a.r, a.c FROM cells a JOIN e b ON {S_NEAR5}", "cells"))
+def morphology_open(spark: SparkSession, d: str) -> DataFrame:
+    c = raster(spark, d)
+    return ras.opened(c.filter("k > 15"), c, CROSS_ELEMENT)
+
+
+@query("morphology_close", sql(f"WITH g AS (SELECT DISTINCT a.r, a.c FROM cells a JOIN cells b ON {S_NEAR5} WHERE b.k > 45) SELECT a.r, a.c FROM g a JOIN g b ON {S_NEAR5} GROUP BY a.r, a.c HAVING count(*) = 5", "cells"))
+def morphology_close(spark: SparkSession, d: str) -> DataFrame:
+    c = raster(spark, d)
+    return ras.closed(c.filter("k > 45"), c, CROSS_ELEMENT)
+
+
+@query("regrid_nearest", sql("SELECT r*3+i AS r, c*3+j AS c, v FROM cells, range(3) a(i), range(3) b(j)", "cells"))
+def regrid_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return ras.upsampled(raster(spark, d).select("r", "c", "v"), 3)
+
+
+S_FINE = "WITH e AS (SELECT max(r) AS mr, max(c) AS mc FROM cells), f AS (SELECT fr, fc, (fr+0.5)/3-0.5 AS y, (fc+0.5)/3-0.5 AS x, mr, mc FROM e, range((SELECT (mr+1)*3 FROM e)) a(fr), range((SELECT (mc+1)*3 FROM e)) b(fc)), q AS (SELECT *, CAST(least(greatest(floor(y), 0), mr) AS BIGINT) AS r0, CAST(least(greatest(floor(x), 0), mc) AS BIGINT) AS c0 FROM f), t AS (SELECT *, least(r0+1, mr) AS r1, least(c0+1, mc) AS c1, least(greatest(y-r0, 0.0), 1.0) AS ty, least(greatest(x-c0, 0.0), 1.0) AS tx FROM q)"
+
+
+@query("regrid_bilinear", sql(S_FINE + " SELECT fr AS r, fc AS c, round((a.v*(1-tx)+b.v*tx)*(1-ty)+(g.v*(1-tx)+h.v*tx)*ty, 6) AS v FROM t JOIN cells a ON a.r=r0 AND a.c=c0 JOIN cells b ON b.r=r0 AND b.c=c1 JOIN cells g ON g.r=r1 AND g.c=c0 JOIN cells h ON h.r=r1 AND h.c=c1", "cells"))
+def regrid_bilinear(spark: SparkSession, d: str) -> DataFrame:
+    return ras.upsampled(raster(spark, d).select("r", "c", "v"), 3, bilinear=True).select("r", "c", F.round("v", 6).alias("v"))
+
+
 @query("mapalgebra", sql("SELECT r, c, round(v*2-k, 6) AS local, CASE WHEN v < 920 THEN 0 WHEN v < 940 THEN 1 ELSE 2 END AS klass FROM cells", "cells"))
 def mapalgebra(spark: SparkSession, d: str) -> DataFrame:
     return raster(spark, d).select("r", "c", F.round(F.col("v") * 2 - F.col("k"), 6).alias("local"), F.when(F.col("v") < 920, 0).when(F.col("v") < 940, 1).otherwise(2).alias("klass"))

@@ -67,6 +67,12 @@ def fractaldimension(spark: SparkSession, d: str) -> DataFrame:
     return tracks.box_counts(points(spark, d), [10.0, 20.0, 40.0, 80.0])
 
 
+@query("fractaldimension_fit", sql("WITH b AS (SELECT side, count(DISTINCT (floor(x/side), floor(y/side))) AS boxes FROM points, (SELECT unnest([10.0, 20.0, 40.0, 80.0]) AS side) GROUP BY side) SELECT round(-regr_slope(ln(boxes), ln(side)), 6) AS dimension FROM b", "points"))
+def fractaldimension_fit(spark: SparkSession, d: str) -> DataFrame:
+    """The dimension: how fast boxes grow as their side shrinks."""
+    return tracks.box_counts(points(spark, d), [10.0, 20.0, 40.0, 80.0]).agg(F.round(-F.regr_slope(F.log("boxes"), F.log("side")), 6).alias("dimension"))
+
+
 @query("coastline", None)
 def coastline(spark: SparkSession, d: str) -> DataFrame:
     return tracks.divider_walk(fixes(spark, d), 50.0)
@@ -221,10 +227,17 @@ def shoelace(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", F.round(joins.shoelace(F.col("ring")), 4).alias("area"), F.round(joins.perimeter(F.col("ring")), 5).alias("perimeter"))
 
 
-@query("compactness", sql("SELECT id, round(4*pi()*abs(sum(x1*y2-x2*y1)/2)/sum(sqrt((x2-x1)**2+(y2-y1)**2))**2, 6) AS polsby FROM edges GROUP BY id", "edges"))
+@query("compactness", sql("WITH m AS (SELECT id, abs(sum(x1*y2-x2*y1)/2) AS a, sum(sqrt((x2-x1)**2+(y2-y1)**2)) AS p FROM edges GROUP BY id) SELECT id, round(4*pi()*a/p**2, 6) AS polsby, round(2*sqrt(pi()*a)/p, 6) AS schwartzberg FROM m", "edges"))
 def compactness(spark: SparkSession, d: str) -> DataFrame:
-    r = rings(spark, d).select("id", joins.shoelace(F.col("ring")).alias("a"), joins.perimeter(F.col("ring")).alias("p"))
-    return r.select("id", F.round(F.lit(4 * 3.141592653589793) * F.abs("a") / (F.col("p") * F.col("p")), 6).alias("polsby"))
+    r = rings(spark, d).select("id", F.abs(joins.shoelace(F.col("ring"))).alias("a"), joins.perimeter(F.col("ring")).alias("p"))
+    return r.select("id", F.round(F.lit(4 * 3.141592653589793) * F.col("a") / (F.col("p") * F.col("p")), 6).alias("polsby"), F.round(2 * F.sqrt(3.141592653589793 * F.col("a")) / F.col("p"), 6).alias("schwartzberg"))
+
+
+@query("compactness_hull", None)
+def compactness_hull(spark: SparkSession, d: str) -> DataFrame:
+    """Share of the least circle, and of the hull, that a ring fills."""
+    f = geo.on_rings(lambda r: (abs(geo.ring_area(r)) / (3.141592653589793 * geo.least_circle(h := geo.hull(r))[2] ** 2), abs(geo.ring_area(r)) / geo.ring_area(h)), "reock double, hull_ratio double")
+    return rings(spark, d).select("id", f("ring").alias("s")).select("id", F.round("s.reock", 6).alias("reock"), F.round("s.hull_ratio", 6).alias("hull_ratio"))
 
 
 @query("centroid", sql("SELECT id, round(sum((x1+x2)*(x1*y2-x2*y1))/(3*sum(x1*y2-x2*y1)), 4) AS x, round(sum((y1+y2)*(x1*y2-x2*y1))/(3*sum(x1*y2-x2*y1)), 4) AS y FROM edges GROUP BY id", "edges"))
