@@ -25,6 +25,8 @@ LANES = np.uint64(0x0101010101010101)
 #: Candidates of near duplicates: fingerprints of single words, without those that make up this share of all words (at most
 #: 1 / COMMON_SHARE words), of so many differing bits. See ``repeated_rows``.
 COMMON_SHARE, CANDIDATE_RADIUS = 0.003, 5
+#: Share of a text's words that must be left without the common ones; else all count, so that one word doesn't make a fingerprint.
+RARE_LEAST = 0.1
 #: Words of a shingle and similarity (shared of all distinct shingles) from which two texts are near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: Least shingle hashes by which texts of one fingerprint meet, besides the first of them.
@@ -229,14 +231,14 @@ def common_words(texts: DataFrame, share: float) -> np.ndarray:
 
 
 def word_fingerprint(text: str, common: np.ndarray) -> int:
-    """SimHash of the text's words, repeats included, without the common ones unless it has no others; 0 if it has no word."""
+    """SimHash of the text's words, repeats included, without the common ones where the others make up RARE_LEAST of them; 0 if it has no word."""
     counts = Counter(text.encode().lower().split())
     if not counts:
         return 0
     h = np.fromiter(map(xxhash.xxh64_intdigest, counts), dtype=np.uint64, count=len(counts))
     n = np.fromiter(counts.values(), dtype=np.int64, count=len(counts))
     rare = common[np.minimum(np.searchsorted(common, h), len(common) - 1)] != h if len(common) else np.ones(len(h), dtype=bool)
-    if rare.any():
+    if n[rare].sum() >= RARE_LEAST * n.sum():
         h, n = h[rare], n[rare]
     bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # little-endian: bit i of the number stands at i
     ones = n.astype(np.float64) @ bits.astype(np.float64) * 2 > n.sum()
