@@ -296,7 +296,7 @@ def repeated_rows(docs: DataFrame, row_col: str, id_col: str = "doc_id", text_co
     link that counts has been checked on both texts' whole shingle sets. The covering masks find the candidates: texts of
     ``least`` differ in one word of fifty or fewer where edits are scattered, so fingerprints of single words are near, and they tell texts
     apart once the few commonest words, which all texts of a language share, are left out. Of the test documents' pairs of 0.8 or more,
-    19 of 20 lie within the radius. Of the candidates in a bucket the nearest pairs that connect them are checked, so there are
+    nine of ten or more lie within the radius. Of the candidates in a bucket the nearest pairs that connect them are checked, so there are
     no more links than fingerprints in it, whatever its size. Texts of equal fingerprint are checked with the first of them and with the first that
     shares one of their LANES_OF_TWINS least shingle hashes. ``row_col`` holds unique keys, so ids may be null or
     repeat: rows with an id stay before those without, of equal ids the smallest key stays. Null texts are empty and
