@@ -611,6 +611,40 @@ def test_language_id(spark, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_code_lengths_against_brute_force():
+    r = random.Random(23)
+    say = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    counts = {"a": language_id.tree_counts([say("abc é", 80) for _ in range(5)]), "b": language_id.tree_counts([say("bcdx ", 60), "bb"])}
+    trees = language_id.Trees(counts)
+
+    def bits(tree, text):
+        data, total = b"\0\0\0" + text.lower().encode(), 0.0
+        for i in range(3, len(data)):
+            for k in (3, 2, 1, 0):  # from the longest context down, escaping where it hasn't seen the byte
+                context = int.from_bytes(data[i - k : i], "big")
+                seen = {q & 255: n for q, n in tree[k].items() if q >> 8 == context}
+                if not seen:
+                    continue
+                m, kinds = sum(seen.values()), len(seen)
+                if data[i] in seen:
+                    total -= math.log2(seen[data[i]] / (m + kinds))
+                    break
+                total -= math.log2(kinds / (m + kinds))
+            else:
+                total += 8
+        return total
+
+    for text in ["abc", "bcdx bcd", "é", "zq abé BCX", say("abcdxé ", 300), ""]:
+        assert trees.bits(text) == pytest.approx([bits(counts[x], text) for x in trees.langs]), text
+
+
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {q.doc_id: q for q in language_id.language_id(docs).collect()}
+    held = [(got[q.doc_id].lang_pred, q.lang) for q in docs.filter("lang is not null and text rlike '[a-z]{3}'").collect() if got[q.doc_id].held_out]
+    assert len(held) > 20 and sum(a == b for a, b in held) >= 0.9 * len(held)
+
+
 def test_code_lengths_are_a_distribution():
     trees = language_id.Trees({"a": language_id.tree_counts(["abracadabra abra", "cad"]), "b": language_id.tree_counts(["zzz"])})
     for context in (b"abr", b"zzz", b"xyz", b"\0\0a"):
