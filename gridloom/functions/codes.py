@@ -156,13 +156,17 @@ def geohash_around(lat: Column, lon: Column, precision: int) -> dict[str, Column
     return {name: geohash_neighbour(lat, lon, precision, *step) for name, step in steps.items()}
 
 
-def geohash_neighbour(lat: Column, lon: Column, precision: int, north: int, east: int) -> Column:
-    """The cell so many cells north and east; longitude wraps, and latitude stays inside."""
+def geohash_step(lat: Column, lon: Column, precision: int, north: int, east: int) -> tuple[Column, Column]:
+    """Centre of the cell so many cells north and east; longitude wraps, and latitude stays inside."""
     bits = 5 * precision
     width, height = 360.0 / 2.0 ** -(-bits // 2), 180.0 / 2.0 ** (bits // 2)
     y = F.least(F.greatest((F.floor((lat + 90.0) / height) + north + 0.5) * height - 90.0, F.lit(-90.0)), F.lit(90.0))
-    x = F.pmod((F.floor((lon + 180.0) / width) + east + 0.5) * width, F.lit(360.0)) - 180.0
-    return geohash(y, x, precision)
+    return y, F.pmod((F.floor((lon + 180.0) / width) + east + 0.5) * width, F.lit(360.0)) - 180.0
+
+
+def geohash_neighbour(lat: Column, lon: Column, precision: int, north: int, east: int) -> Column:
+    """The code of the cell so many cells north and east."""
+    return geohash(*geohash_step(lat, lon, precision, north, east), precision)
 
 
 def plus_code(lat: Column, lon: Column) -> Column:

@@ -325,12 +325,17 @@ scalar(
     'quadkey',
     {
         "key": (lambda: codes.quadkey(*T12(), 12), "concat(" + ", ".join(f"CAST((({S_TX})>>{b})&1 + 2*((({S_TY})>>{b})&1) AS VARCHAR)".replace("CAST(((", "CAST((((").replace("&1 + 2", "&1) + 2") for b in reversed(range(12))) + ")"),
-        "x_back": (lambda: codes.quadkey_tile(codes.quadkey(*T12(), 12), 12)[0], f"CAST({S_TX} AS BIGINT)"),
-        "y_back": (lambda: codes.quadkey_tile(codes.quadkey(*T12(), 12), 12)[1], f"CAST({S_TY} AS BIGINT)"),
-        "parent_x": (lambda: codes.quadkey_tile(codes.quadkey_parent(codes.quadkey(*T12(), 12)), 11)[0], f"CAST(({S_TX})//2 AS BIGINT)"),
-        "child_y": (lambda: codes.quadkey_tile(codes.quadkey_children(codes.quadkey(*T12(), 12))[3], 13)[1], f"CAST(({S_TY})*2+1 AS BIGINT)"),
     },
 )
+@query("quadkey_tiles", fixtures.sql(f"SELECT id, CAST({S_TX} AS BIGINT) AS x, CAST({S_TY} AS BIGINT) AS y, CAST(({S_TX})//2 AS BIGINT) AS parent_x, CAST(({S_TY})*2+1 AS BIGINT) AS child_y FROM places", "places"))
+def quadkey_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles back from keys, their parents and their last children; keys are a column of their own first, so each is made once."""
+    k = fixtures.places(spark, sf_dir).select("id", codes.quadkey(*T12(), 12).alias("key"))
+    k = k.select("id", "key", codes.quadkey_parent(F.col("key")).alias("up"), codes.quadkey_children(F.col("key"))[3].alias("down"))
+    x, y = codes.quadkey_tile(F.col("key"), 12)
+    return k.select("id", x.alias("x"), y.alias("y"), codes.quadkey_tile(F.col("up"), 11)[0].alias("parent_x"), codes.quadkey_tile(F.col("down"), 13)[1].alias("child_y"))
+
+
 scalar(
     'viewport',
     {
@@ -359,17 +364,24 @@ scalar(
     'geohash',
     {
         "hash": (lambda: codes.geohash(A1(), O1(), 6), s_geohash(S_GX, S_GY)),
-        "lat": (lambda: codes.middle(codes.geohash_bounds(codes.geohash(A1(), O1(), 6), 6))[0], f"({S_GY}+0.5)*180/32768-90"),
-        "lon": (lambda: codes.middle(codes.geohash_bounds(codes.geohash(A1(), O1(), 6), 6))[1], f"({S_GX}+0.5)*360/32768-180"),
-        "south5": (lambda: codes.geohash_bounds(codes.geohash(A1(), O1(), 5), 5)[0], f"(({S_GY})//8)*180/4096.0-90"),
-        "east5": (lambda: codes.geohash_bounds(codes.geohash(A1(), O1(), 5), 5)[3], f"(({S_GX})//4+1)*360/8192.0-180"),
     },
 )
+@query("geohash_bounds", fixtures.sql(f"SELECT id, round(({S_GY}+0.5)*180/32768-90, 6)+0.0 AS lat, round(({S_GX}+0.5)*360/32768-180, 6)+0.0 AS lon, round((({S_GY})//8)*180/4096.0-90, 6)+0.0 AS south5, round((({S_GX})//4+1)*360/8192.0-180, 6)+0.0 AS east5 FROM places", "places"))
+def geohash_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Centres and edges back from codes; codes are a column of their own first, so each is made once."""
+    h = fixtures.places(spark, sf_dir).select("id", codes.geohash(A1(), O1(), 6).alias("six"), codes.geohash(A1(), O1(), 5).alias("five"))
+    (lat, lon), five = codes.middle(codes.geohash_bounds(F.col("six"), 6)), codes.geohash_bounds(F.col("five"), 5)
+    return h.select("id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in (("lat", lat), ("lon", lon), ("south5", five[0]), ("east5", five[3]))])
+
+
 S_STEPS = {"n": (1, 0), "ne": (1, 1), "e": (0, 1), "se": (-1, 1), "s": (-1, 0), "sw": (-1, -1), "w": (0, -1), "nw": (1, -1)}
-scalar(
-    'geohashneighbors',
-    {name: (lambda name=name: codes.geohash_around(A1(), O1(), 6)[name], s_geohash(f"(({S_GX}+{east}+32768)%32768)", f"greatest(least({S_GY}+({north}), 32767), 0)")) for name, (north, east) in S_STEPS.items()},
-)
+@query("geohashneighbors", fixtures.sql("SELECT id, " + ", ".join(s_geohash(f"(({S_GX}+{east}+32768)%32768)", f"greatest(least({S_GY}+({north}), 32767), 0)") + f" AS {name}" for name, (north, east) in S_STEPS.items()) + " FROM places", "places"))
+def geohashneighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight codes round each place's; the three rows and columns of cells are columns of their own first."""
+    rows = [codes.geohash_step(A1(), O1(), 6, k, 0)[0].alias(f"lat{k + 1}") for k in (-1, 0, 1)]
+    cols = [codes.geohash_step(A1(), O1(), 6, 0, k)[1].alias(f"lon{k + 1}") for k in (-1, 0, 1)]
+    p = fixtures.places(spark, sf_dir).select("id", *rows, *cols)
+    return p.select("id", *[codes.geohash(F.col(f"lat{north + 1}"), F.col(f"lon{east + 1}"), 6).alias(name) for name, (north, east) in S_STEPS.items()])
 
 
 def s_plus() -> str:
