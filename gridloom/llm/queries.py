@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, language_id, line_templates, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts
+from gridloom.llm import exact_dedup, language_id, line_templates, manifest, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }
-ORACLES = {"op10_exact_dedup": exact_dedup.SQL}
+ORACLES = {"op10_exact_dedup": exact_dedup.SQL, "op13_merkle_manifest": manifest.SQL}
