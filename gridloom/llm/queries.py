@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridloom.llm import exact_dedup, language_id, line_templates, manifest, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, whitening
+from gridloom.llm import exact_dedup, fingerprints, language_id, line_templates, manifest, media, mixing, packing, simhash, suffix_dedup, suffix_tree, token_counts, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_language_id": language_id.op9_language_id,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_document_fingerprints": fingerprints.op11_document_fingerprints,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_merkle_manifest": manifest.op13_merkle_manifest,
 }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 
-from gridloom.llm import manifest, whitening
+from gridloom.llm import fingerprints, manifest, whitening
 
 
 def h(*parts):
@@ -174,3 +176,77 @@ def test_manifest_of_few_rows(spark):
     for rows in ([(1, None, None, None, None)], [(1, "s", "en", 1, "A"), (2, "s", "de", 1, "B")], [(i, "s", "en", 1, "A") for i in range(9)]):
         got = [tuple(r) for r in manifest.document_manifest(spark.createDataFrame(rows, schema)).collect()]
         assert sorted(got) == sorted(brute_manifest(rows))
+
+
+# fingerprints
+
+
+def brute_sketch(text):
+    """Retained hashes by the definition."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    hashes = {xxhash.xxh64_intdigest(r.encode(), 42) for r in runs}
+    kept = {x >> 28 for x in hashes if x < 2**62} or ({min(hashes) >> 28} if hashes else set())
+    return kept
+
+
+def brute_likeness(a, b):
+    return (len(a & b) / min(len(a), len(b)), len(a & b) / len(a | b)) if a and b else (float(a == b),) * 2
+
+
+def text_rows():
+    r = random.Random(5)
+    pool = "the of and to in élan Straße 漢字 🙂 can't 42 THE Of x y z q".split()
+    say = lambda k: " ".join(r.choice(pool) for _ in range(k))
+    rows = [(i, say(r.choice((1, 2, 4, 5, 6, 30, 200)))) for i in range(80)]
+    rows += [(200, None), (201, ""), (202, " \n\t"), (203, "ab"), (204, "🙂🙂🙂"), (205, rows[3][1]), (-4, say(5000)), (90, rows[3][1].upper())]
+    return rows
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_edits_against_brute_force(spark, parts):
+    rows = text_rows()
+    docs = spark.createDataFrame([(i, t, "x", 1, "y") for i, t in rows], "doc_id long, text string, fingerprint string, range int, row string").repartition(parts)
+    got = {r.doc_id: r for r in fingerprints.edits(docs).collect()}
+    assert len(got) == len(rows)
+    order = sorted(rows, key=lambda r: -r[0])
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        text, after, q = text or "", after or "", got[i]
+        k = len(text) // 3
+        changed = text[: len(text) - k] + after[:k]
+        own, new, other = map(brute_sketch, (text, changed, after))
+        assert (q.n_chars, q.edited_sha256) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
+        assert q.fingerprint == "".join(f"{v:09x}" for v in sorted(own)) and q.edited_fingerprint == "".join(f"{v:09x}" for v in sorted(new))
+        assert (q.near_edited, q.resemblance_edited) == pytest.approx(brute_likeness(own, new))
+        assert (q.near_next, q.resemblance_next) == pytest.approx(brute_likeness(own, other))
+
+
+def test_edits_of_repeats_nulls_and_few_rows(spark):
+    schema = "doc_id long, text string"
+    assert fingerprints.edits(spark.createDataFrame([], schema)).count() == 0
+    (alone,) = fingerprints.edits(spark.createDataFrame([(1, "a b c d e f")], schema)).collect()
+    assert alone.near_next == 1.0 and alone.n_chars == 11
+    rows = [(None, "a b c"), (None, "a b c"), (5, "x y"), (5, "x y"), (5, "z"), (None, None)]
+    got = fingerprints.edits(spark.createDataFrame(rows, schema)).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0, r.n_chars) for r in got)) == [(False, 5, 1), (False, 5, 3), (False, 5, 3), (True, 0, 0), (True, 0, 5), (True, 0, 5)]
+
+
+def test_merged_sketches_are_those_of_the_union():
+    r = random.Random(9)
+    for _ in range(300):
+        a, b = (" ".join(r.choice("abcdefgh") for _ in range(r.randrange(12))) for _ in range(2))
+        both = set(fingerprints.shingles(a)) | set(fingerprints.shingles(b))
+        hashes = sorted({xxhash.xxh64_intdigest(s, 42) >> 28 for s in both})
+        want = [v for v in hashes if v < 2**34] or hashes[:1]
+        assert fingerprints.merged(fingerprints.sketch(a), fingerprints.sketch(b)).tolist() == want
+        assert fingerprints.decoded(fingerprints.encoded(np.array(want, dtype=np.uint64))).tolist() == want
+
+
+def test_containment_of_very_unequal_documents(spark):
+    r = random.Random(1)
+    long = [f"w{r.randrange(10**6)}" for _ in range(20000)]
+    a, b = " ".join(long), " ".join(long[5000:5400])
+    pairs = fingerprints.fingerprints(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string"))
+    one = pairs.filter("doc_id = 1").selectExpr("fingerprint a").crossJoin(pairs.filter("doc_id = 2").selectExpr("fingerprint b"))
+    got = fingerprints.compared(one, "a", "b").first()
+    assert got.containment == 1.0 and got.resemblance < 0.05
