@@ -110,47 +110,6 @@ def circumcircle(a, b, c) -> tuple[float, float, float]:
     return x, y, (x - a[0]) ** 2 + (y - a[1]) ** 2
 
 
-def delaunay(points: Points) -> list[tuple[int, int, int]]:
-    """Triangles of indices: points are added one by one, triangles whose circle holds the new point give way to a fan."""
-    p = list(points)
-    n = len(p)
-    if n < 3:
-        return []
-    span = max(max(abs(x), abs(y)) for x, y in p) * 1e4 + 1
-    p += [(-span, -span), (span, -span), (0.0, span)]
-    tri = {(n, n + 1, n + 2): circumcircle(*p[n:])}
-    for i in range(n):
-        bad = [t for t, (x, y, r) in tri.items() if (x - p[i][0]) ** 2 + (y - p[i][1]) ** 2 < r * (1 - 1e-12)]
-        edges: dict[tuple[int, int], int] = {}
-        for t in bad:
-            del tri[t]
-            for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                edges[min(a, b), max(a, b)] = edges.get((min(a, b), max(a, b)), 0) + 1
-        for (a, b), k in edges.items():
-            if k == 1:
-                t = (a, b, i) if turn(p[a], p[b], p[i]) > 0 else (b, a, i)
-                tri[t] = circumcircle(*(p[v] for v in t))
-    return [t for t in tri if max(t) < n]
-
-
-def triangles(points: DataFrame, key: str) -> DataFrame:
-    """(key, a, b, c, r): Delaunay triangles of each group by point ids, with the circumradius. A group is one task's: keys are tiles or regions."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.drop_duplicates(["x", "y"]).sort_values("id")
-        p, ids = list(zip(g["x"], g["y"], strict=True)), g["id"].to_numpy()
-        rows = [(g[key].iloc[0], *sorted(int(ids[i]) for i in t), math.sqrt(circumcircle(*(p[i] for i in t))[2])) for t in delaunay(p)]
-        return pd.DataFrame(rows, columns=[key, "a", "b", "c", "r"])
-
-    return points.select(key, "id", "x", "y").groupBy(key).applyInPandas(run, f"{key} long, a long, b long, c long, r double")
-
-
-def triangle_edges(tri: DataFrame, key: str) -> DataFrame:
-    """Edges (key, a, b, n): n is 1 on the boundary."""
-    e = tri.select(key, F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("c").alias("b")), F.struct("a", F.col("c").alias("b")))).alias("e"))
-    return e.groupBy(key, F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.count("*").alias("n"))
-
-
 def ears(ring: Points) -> list[tuple[int, int, int]]:
     """A simple ring's n - 2 triangles."""
     area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))

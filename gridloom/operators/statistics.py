@@ -53,9 +53,13 @@ def ripley_k(points: DataFrame, radii: list[float], area: float) -> DataFrame:
     return counts.select("r", F.round(area * 2 * F.col("m") / (n * (n - 1.0)), 4).alias("k"))
 
 
+#: Stands for a missing sample id, behind all others.
+NO_ID = (1 << 63) - 1
+
+
 def inverse_distance(points: DataFrame, samples: DataFrame, power: float = 2.0, block: int = 4096) -> DataFrame:
     """(id, v): inverse-distance weighted mean of all samples (sid, sx, sy, v) at each point; at a sample's place its own value, of several there the
-    one of the smallest sid.
+    one of the smallest sid (then of the smallest value), of those without a sid last.
 
     Every sample counts at every point, so the points are a query set against blocks of samples: a block is an array in one row, its weights are
     summed inside the row, and each point gets one row per block.
@@ -63,27 +67,28 @@ def inverse_distance(points: DataFrame, samples: DataFrame, power: float = 2.0,
     if power <= 0:
         raise ValueError("the power must be positive")
     packed = samples.select(F.floor(F.monotonically_increasing_id() % (1 << 33) / block).alias("k"), F.spark_partition_id().alias("p"), F.struct("sid", "sx", "sy", "v").alias("s"))
-    packed = settle(packed.groupBy("p", "k").agg(F.collect_list("s").alias("samples")).select("samples"))
+    packed = packed.groupBy("p", "k").agg(F.collect_list("s").alias("samples")).select(F.monotonically_increasing_id().alias("block"), "samples")
+    packed = settle(packed)  # a block's number stays its own
 
     @F.pandas_udf("w double, wv double, at struct<sid:long,v:double>")
-    def summed(x: pd.Series, y: pd.Series, blocks: pd.Series) -> pd.DataFrame:
+    def summed(x: pd.Series, y: pd.Series, numbers: pd.Series, blocks: pd.Series) -> pd.DataFrame:
         out, seen = [], {}
-        for px, py, b in zip(x, y, blocks, strict=True):
-            key = (len(b), b[0]["sid"], b[-1]["sid"])
+        for px, py, key, b in zip(x, y, numbers, blocks, strict=True):
             if key not in seen:
-                seen[key] = tuple(np.array([r[c] for r in b], dtype=float) for c in ("sx", "sy", "v")) + (np.array([r["sid"] for r in b]),)
+                sids = [NO_ID if r["sid"] is None else r["sid"] for r in b]
+                seen[key] = tuple(np.array([r[c] for r in b], dtype=float) for c in ("sx", "sy", "v")) + (np.array(sids, dtype=np.int64),)
             sx, sy, v, sid = seen[key]
             d = np.hypot(sx - px, sy - py)
             here = np.flatnonzero(d == 0)
             if len(here):
-                first = here[sid[here].argmin()]
+                first = min(here, key=lambda i: (sid[i], v[i]))
                 out.append((0.0, 0.0, {"sid": int(sid[first]), "v": float(v[first])}))
             else:
                 w = 1 / d**power
                 out.append((float(w.sum()), float(w @ v), None))
         return pd.DataFrame(out, columns=["w", "wv", "at"])
 
-    parts = points.select("id", "x", "y").crossJoin(packed).select("id", summed("x", "y", "samples").alias("s")).select("id", "s.*")
+    parts = points.select("id", "x", "y").crossJoin(packed).select("id", summed("x", "y", "block", "samples").alias("s")).select("id", "s.*")
     sums = parts.groupBy("id").agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"), F.min("at").alias("at"))
     return sums.select("id", F.when(F.col("at").isNotNull(), F.col("at.v")).otherwise(F.try_divide(F.col("wv"), F.col("w"))).alias("v"))
 

@@ -345,15 +345,35 @@ def alphashape(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tin", None)
 def tin(spark: SparkSession, d: str) -> DataFrame:
-    """Mean height, slope and plane area of each triangle of the surface."""
-    t = mesh(spark, d)
+    """Mean height, slope and plane area of each triangle of the surface; a triangle that is flat in doubles has no slope."""
+    return surface(mesh(spark, d))
+
+
+def surface(t: DataFrame) -> DataFrame:
+    """(a, b, c, height, slope, area) of triangles whose corners' heights are their ids modulo 97."""
     z = lambda v: (F.col(v) % 97).cast("double")
     ux, uy, vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("cx") - F.col("ax"), F.col("cy") - F.col("ay")
     p, q, det = z("b") - z("a"), z("c") - z("a"), ux * vy - uy * vx
-    slope = F.hypot((p * vy - q * uy) / det, (q * ux - p * vx) / det)
+    slope = F.hypot(F.try_divide(p * vy - q * uy, det), F.try_divide(q * ux - p * vx, det))
     return t.select("a", "b", "c", F.round((z("a") + z("b") + z("c")) / 3, 6).alias("height"), F.round(slope, 4).alias("slope"), F.round(F.abs(det) / 2, 4).alias("area"))
 
 
+#: Triangles of sites whose circle holds no other site, corners in order.
+EMPTY = "WITH t AS (SELECT a.sid AS a, b.sid AS b, c.sid AS c, a.sx AS ax, a.sy AS ay, b.sx-a.sx AS ux, b.sy-a.sy AS uy, c.sx-a.sx AS vx, c.sy-a.sy AS vy FROM sites a JOIN sites b ON a.sid < b.sid JOIN sites c ON b.sid < c.sid), k AS (SELECT *, ux*vy-uy*vx AS det FROM t), m AS (SELECT *, (vy*(ux*ux+uy*uy)-uy*(vx*vx+vy*vy))/(2*det) AS mx, (ux*(vx*vx+vy*vy)-vx*(ux*ux+uy*uy))/(2*det) AS my FROM k WHERE abs(det) > 1e-9), e AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM sites s WHERE s.sid NOT IN (m.a, m.b, m.c) AND (s.sx-m.ax-m.mx)**2+(s.sy-m.ay-m.my)**2 < (m.mx*m.mx+m.my*m.my)*(1-1e-12)))"
+
+
+@query("delaunay_sites", sql(EMPTY + " SELECT a, b, c, round(ax+mx, 3)+0.0 AS x, round(ay+my, 3)+0.0 AS y FROM e WHERE mx*mx+my*my < 1e8", "sites"))
+def delaunay_sites(spark: SparkSession, d: str) -> DataFrame:
+    """The sites' triangles and their circles' centres, without circles wider than 10,000, whose centres rounding moves."""
+    t = triangulation.triangles(stations(spark, d)).filter("r2 < 1e8")
+    return t.select("a", "b", "c", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
+
+
+@query("tin_sites", sql(EMPTY + " SELECT a, b, c, round((a%97+b%97+c%97)/3.0, 6) AS height, round(sqrt((((b%97-a%97)*vy-(c%97-a%97)*uy)/det)**2+(((c%97-a%97)*ux-(b%97-a%97)*vx)/det)**2), 4) AS slope, round(abs(det)/2, 4) AS area FROM e", "sites"))
+def tin_sites(spark: SparkSession, d: str) -> DataFrame:
+    return surface(triangulation.triangles(stations(spark, d)))
+
+
 @query("emptycircle", None)
 def emptycircle(spark: SparkSession, d: str) -> DataFrame:
     """The largest circle without a site inside, of those round a Voronoi corner inside the sites' hull."""

@@ -139,9 +139,9 @@ def test_hull_and_circle(spark):
     assert max(math.hypot(x - cx, y - cy) for _, x, y in pts) == pytest.approx(r, abs=1e-6)
 
 
-def test_delaunay_circles_are_empty():
+def test_triangulated_circles_are_empty():
     p = [(x, y) for _, x, y in scattered(40)]
-    tri = geometry.delaunay(p)
+    tri = [t for t in triangulation.triangulate(p) if triangulation.OUTSIDE not in t]
     h = len(geometry.hull(p))
     assert len(tri) == 2 * len(p) - 2 - h
     for t in tri:
@@ -253,6 +253,17 @@ def test_inverse_distance_is_exact_at_samples(spark):
     assert got[0] == 3.0 and got[1] == pytest.approx(sum(a * v for a, (*_, v) in zip(w, s, strict=True)) / sum(w))
 
 
+def test_inverse_distance_of_repeated_and_null_sample_ids(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 0.0)], "id long, x double, y double")
+    for ids in ((1, 1), (None, None), (1, None)):
+        s = spark.createDataFrame([(ids[0], 1.0, 0.0, 10.0), (ids[1], 2.0, 0.0, 20.0)], "sid long, sx double, sy double, v double")
+        for block in (1, 4096):
+            got = {r.id: r.v for r in statistics.inverse_distance(p, s, block=block).collect()}
+            assert got == pytest.approx({1: 12.0, 2: 18.0})
+    s = spark.createDataFrame([(None, 3.0, 0.0, 5.0), (4, 3.0, 0.0, 7.0), (4, 3.0, 0.0, 6.0)], "sid long, sx double, sy double, v double")
+    assert {r.id: r.v for r in statistics.inverse_distance(p, s, block=1).collect()}[2] == 6.0
+
+
 def test_distance_transform_without_and_with_cells(spark):
     r = random.Random(2)
     cells = {(i, j): r.random() < 0.05 for i in range(9) for j in range(14)}
