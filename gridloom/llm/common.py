@@ -45,6 +45,14 @@ def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or the first of it with more underscores that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filled(text_col: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text_col), F.lit(""))

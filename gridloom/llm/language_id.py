@@ -150,8 +150,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Trees(counts)
 
 
-def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score (the share of the best language if each is weighed by 2**-bits)."""
+def identify(docs: DataFrame, trees: Trees, out: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with the struct ``out`` of lang_pred and score (the share of the best language if each is weighed by 2**-bits); ``out`` must be
+    no column of ``docs``, whose columns all stay."""
     frozen = docs.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -159,9 +160,8 @@ def identify(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame
         for texts in batches:
             yield pd.DataFrame([frozen.value.predict(t) for t in texts], columns=["lang_pred", "score"]).astype({"lang_pred": object, "score": float})
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     once = predict.asNondeterministic()  # else a filter on the prediction computes it twice
-    return docs.select(*kept, once(F.col(text_col)).alias("__lang")).select(*kept, "__lang.lang_pred", "__lang.score")
+    return docs.select("*", once(F.col(text_col)).alias(out))
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 5) -> DataFrame:
@@ -174,7 +174,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     trees = learn(docs, id_col, text_col, lang_col, fold)
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % fold == 0).alias("held_out"), F.col(text_col).alias("text"))
-    return identify(rows, trees).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(rows, trees, "lang").select("doc_id", "held_out", "lang.lang_pred", "lang.score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,10 +115,10 @@ def bucket_links(radius: int) -> Column:
     return linked
 
 
-def sized(buckets: DataFrame) -> DataFrame:
-    """``buckets`` (table, key) with a hint for the join with all rows: broadcast if there are at most BROADCAST, else merged. Left to
+def sized(buckets: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """``buckets`` (table, key) with a hint for the join with all rows: broadcast if there are at most ``most``, else merged. Left to
     itself, Spark takes the exploded rows for small, as it doesn't count what an explode adds."""
-    return F.broadcast(buckets) if buckets.limit(BROADCAST + 1).count() <= BROADCAST else buckets.hint("merge")
+    return F.broadcast(buckets) if buckets.limit(most + 1).count() <= most else buckets.hint("merge")
 
 
 def links(prints: DataFrame, radius: int) -> DataFrame:
@@ -132,27 +132,40 @@ def links(prints: DataFrame, radius: int) -> DataFrame:
     """
     masks = covering_masks(list(range(BITS)), radius)
     spread = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes are still dealt to many tasks: each row becomes one per mask
-    rows = prints.repartition(spread, "fp").select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("table", "mask"))
-    found = None
+    rows = prints.repartition(spread, "fp").select("fp", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("table", "mask")).withColumn("table", F.col("table").cast("long"))
+    least, found = min(m.bit_count() for m in masks), None
     while True:
-        most = BUCKET if min(m.bit_count() for m in masks) < BITS - FREE else 1 << FREE
+        most = BUCKET if least < BITS - FREE else 1 << FREE
         rows = rows.select("fp", "table", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
-        sizes = written(rows.groupBy("table", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
+        sizes = written(rows.groupBy("table", "mask", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"), "buckets")
         two = sizes.filter("n = 2").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
         members = rows.join(sized(sizes.filter(f"n between 3 and {most}").select("table", "key")), ["table", "key"]).groupBy("table", "key").agg(F.collect_list("fp").alias("fps"))
         some = members.select(F.explode(bucket_links(radius)("fps")).alias("l")).select("l.a", "l.b")
         found = two.union(some) if found is None else found.union(two).union(some)
-        large = sizes.filter(f"n > {most}").select("table", "key")
+        large = sizes.filter(f"n > {most}").select("table", "mask", "key")
         if large.isEmpty():
             return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        further = []
-        for m in masks:
+        # only tables with a large bucket get masks of a further level, each made once
+        tables = written(large.select("table", "mask").distinct().select("table", finer(radius)("mask").alias("masks")), "tables")
+        least = tables.select(F.min(F.array_min(F.transform("masks", F.bit_count)))).first()[0]
+        hot = rows.join(sized(large.select("table", "key")), ["table", "key"]).select("fp", "table")
+        further = hot.join(sized(tables, BROADCAST // len(masks)), "table").select("fp", "table", F.posexplode("masks").alias("k", "mask"))
+        rows = further.select("fp", (F.col("table") * (len(masks) + 1) + F.col("k") + 1).alias("table"), "mask")
+
+
+def finer(radius: int) -> Column:
+    """Of a mask, those of the next level: it with each covering mask over the bits that it leaves free."""
+
+    @F.pandas_udf("array<long>")
+    def made(masks: pd.Series) -> pd.Series:
+        out = []
+        for m in masks.tolist():
+            m &= (1 << BITS) - 1
             free = [p for p in range(BITS) if not m >> p & 1]
-            further.append([m | x for x in covering_masks(free, radius)])
-        table = F.element_at(F.array(*[F.array(*[F.lit(signed(x)) for x in own]) for own in further]), F.col("table") + 1)
-        kinds = len(further[0])
-        rows = rows.join(sized(large), ["table", "key"]).select("fp", (F.col("table") * kinds).alias("t"), F.posexplode(table).alias("k", "mask")).select("fp", (F.col("t") + F.col("k")).alias("table"), "mask")
-        masks = [x for own in further for x in own]
+            out.append([signed(m | x) for x in covering_masks(free, radius)])
+        return pd.Series(out)
+
+    return made
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -250,3 +250,42 @@ def test_containment_of_very_unequal_documents(spark):
     one = pairs.filter("doc_id = 1").selectExpr("fingerprint a").crossJoin(pairs.filter("doc_id = 2").selectExpr("fingerprint b"))
     got = fingerprints.compared(one, "a", "b").first()
     assert got.containment == 1.0 and got.resemblance < 0.05
+
+
+# the pipeline's stages beside columns of any name
+
+
+CLASHES = ["score", "lang_pred", "lang_found", "row_key", "__row", "times_taken", "times", "taken", "size", "__copy", "fp", "root", "rank", "h", "kept"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    r = random.Random(2)
+    words = {"en": "the of and to in is that it was for".split(), "fr": "le la les des une est dans pour que qui".split()}
+    rows = []
+    for i in range(60):
+        lang = ("en", "fr")[i % 2]
+        rows.append((i, " ".join(r.choice(words[lang]) for _ in range(40)), lang, "ab"[i % 3 > 0], 7, *[f"{c}-{i}" for c in CLASHES]))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    want = {row[0]: row for row in rows}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        back = got.collect()
+        assert back and all(tuple(row) == want[row.doc_id] for row in back), name
+    packed = corpus_pipeline.packing_stage(spark, docs, "")
+    assert packed.select("doc_id").distinct().count() == 60
+
+
+def test_near_fingerprints_of_one_cluster_link_at_radius_five(spark):
+    from gridloom.llm import simhash
+
+    r = random.Random(8)
+    base, free = r.getrandbits(64), r.sample(range(64), 12)
+    prints = [simhash.signed(base ^ sum(1 << p for k, p in enumerate(free) if i >> k & 1)) for i in range(4096)]
+    found = simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 5)
+    roots = simhash.components(found)
+    assert roots.count() == 4096 and roots.select("root").distinct().count() == 1
+    assert all((a ^ b).bit_count() <= 5 for a, b in ((x.a & (1 << 64) - 1, x.b & (1 << 64) - 1) for x in found.limit(2000).collect()))
