@@ -271,29 +271,3 @@ def coupling(kind: str) -> Callable[..., Column]:
             yield pd.Series(out)
 
     return f
-
-
-def matched(candidates: DataFrame, sigma: float, penalty: float) -> DataFrame:
-    """Viterbi over candidate roads (track, seq, road, d): emission -d2 / 2 sigma2, a change of road costs the penalty."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        best: dict[int, float] = {}
-        back: list[dict[int, int]] = []
-        steps = []
-        for seq, rows in g.groupby("seq", sort=True):
-            now, via = {}, {}
-            for road, d in rows[["road", "d"]].sort_values("road").itertuples(index=False):
-                top = max(best, key=lambda k: (best[k] - (penalty if k != road else 0), -k)) if best else None
-                now[road] = -d * d / (2 * sigma * sigma) + (best[top] - (penalty if top != road else 0) if best else 0)
-                via[road] = top
-            best = now
-            back.append(via)
-            steps.append(seq)
-        road = max(best, key=lambda k: (best[k], -k))
-        out = []
-        for seq, via in zip(reversed(steps), reversed(back), strict=True):
-            out.append((g["track"].iloc[0], seq, road))
-            road = via[road]
-        return pd.DataFrame(out[::-1], columns=["track", "seq", "road"])
-
-    return candidates.groupBy("track").applyInPandas(run, "track long, seq long, road long")

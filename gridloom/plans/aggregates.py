@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates as agg
-from gridloom.operators import joins, nearest, statistics
+from gridloom.operators import joins, nearest, statistics, tiles
 from gridloom.plans.catalog import query
 from gridloom.sources.fixtures import boxes, places, points, raster, rings, segments, sites, spans, sql
 
@@ -84,11 +84,36 @@ def zonalstats(spark: SparkSession, d: str) -> DataFrame:
     return z.agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.stddev_pop("v"), 6).alias("std"))
 
 
-@query("rasterize", sql("WITH g AS (SELECT i AS cx, j AS cy, i*5+2.5 AS x, j*5+2.5 AS y FROM range(-10, 215) a(i), range(-10, 215) b(j)) SELECT g.cx, g.cy, e.id FROM g, edges e WHERE (e.y1 > g.y) <> (e.y2 > g.y) AND g.x < (e.x2-e.x1)*((g.y-e.y1)/(e.y2-e.y1))+e.x1 GROUP BY g.cx, g.cy, e.id HAVING count(*) % 2 = 1", "edges"))
+def parcels(spark: SparkSession, d: str) -> DataFrame:
+    """edges(id, x1, y1, x2, y2) of polygons with a hole: the sites' rings and the same at half the size."""
+    e = rings(spark, d).join(sites(spark, d).select(F.col("sid").alias("id"), "sx", "sy"), "id").select("id", "sx", "sy", F.explode(joins.ring_edges(F.col("ring"))).alias("e"))
+    e = e.withColumn("scale", F.explode(F.array(F.lit(1.0), F.lit(0.5))))
+    place = lambda end, v: (F.col(f"s{v}") + F.col("scale") * (F.col(f"e.{end}.{v}") - F.col(f"s{v}"))).alias(f"{v}{1 if end == 'p' else 2}")
+    return e.select("id", place("p", "x"), place("p", "y"), place("q", "x"), place("q", "y"))
+
+
+#: The same edges, the cells of side 5 round each polygon, whether an odd number of edges lies right of the centre, and whether an edge meets the closed cell.
+R_SLAB = "CASE WHEN {d} = 0 THEN {z} ELSE {f}(({c}*5-{p})/{d}, (({c}+1)*5-{p})/{d}) END"
+R_ENTER, R_LEAVE = (", ".join(R_SLAB.format(d=f"({v}2-{v}1)", z=z, f=f, c=c, p=f"{v}1") for v, c in (("x", "c"), ("y", "r"))) for f, z in (("least", "0.0"), ("greatest", "1.0")))
+CELLED = f"WITH w AS (SELECT e.id, sx+k*(x1-sx) AS x1, sy+k*(y1-sy) AS y1, sx+k*(x2-sx) AS x2, sy+k*(y2-sy) AS y2 FROM edges e JOIN sites s ON s.sid = e.id, (VALUES (1.0::DOUBLE), (0.5::DOUBLE)) q(k)), b AS (SELECT id, floor(min(x1)/5) AS c0, floor(max(x1)/5) AS c1, floor(min(y1)/5) AS r0, floor(max(y1)/5) AS r1 FROM w GROUP BY id), g AS (SELECT id, CAST(r0+j AS BIGINT) AS r, CAST(c0+i AS BIGINT) AS c FROM b, range(-1, 24) p(i), range(-1, 24) q(j) WHERE c0+i <= c1 AND r0+j <= r1), f AS (SELECT g.id, r, c, count(*) FILTER (WHERE (y1 <= (r+0.5)*5 AND (r+0.5)*5 < y2 OR y2 <= (r+0.5)*5 AND (r+0.5)*5 < y1) AND x1+((r+0.5)*5-y1)*(x2-x1)/(y2-y1) > (c+0.5)*5) % 2 = 1 AS inside, bool_or(greatest(x1, x2) >= c*5 AND least(x1, x2) <= (c+1)*5 AND greatest(y1, y2) >= r*5 AND least(y1, y2) <= (r+1)*5 AND greatest(0.0, {R_ENTER}) <= least(1.0, {R_LEAVE})) AS met FROM g JOIN w USING (id) GROUP BY g.id, r, c) SELECT id, r, c FROM f WHERE "
+
+
+@query("rasterize", sql(CELLED + "inside", "edges", "sites"))
 def rasterize(spark: SparkSession, d: str) -> DataFrame:
-    r = rings(spark, d)
-    dealt = joins.cells_of(r, *joins.ring_box(F.col("ring")), 5.0)
-    return dealt.filter(joins.in_ring((F.col("__cx") + 0.5) * 5, (F.col("__cy") + 0.5) * 5, F.col("ring"))).select(F.col("__cx").alias("cx"), F.col("__cy").alias("cy"), "id")
+    """Cells of side 5 whose centre lies in a polygon, its hole left out."""
+    return tiles.rasterized(parcels(spark, d), 5.0, "centre")
+
+
+@query("rasterize_touch", sql(CELLED + "inside OR met", "edges", "sites"))
+def rasterize_touch(spark: SparkSession, d: str) -> DataFrame:
+    """Those and every cell that an edge meets."""
+    return tiles.rasterized(parcels(spark, d), 5.0, "touch")
+
+
+@query("rasterize_inside", sql(CELLED + "inside AND NOT met", "edges", "sites"))
+def rasterize_inside(spark: SparkSession, d: str) -> DataFrame:
+    """Only cells that no edge meets."""
+    return tiles.rasterized(parcels(spark, d), 5.0, "inside")
 
 
 S_SLAB = "CASE WHEN {d} = 0 THEN {z} ELSE {f}(({c}*50-{p})/{d}, (({c}+1)*50-{p})/{d}) END"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codes, geodesy
 from gridloom.operators import geometry as geo
-from gridloom.operators import graphs, joins, tracks, triangulation
+from gridloom.operators import graphs, joins, matching, tiles, tracks, triangulation
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import S_GX, S_GY, s_geohash
 from gridloom.sources import text
@@ -120,11 +120,25 @@ def timewarp(spark: SparkSession, d: str) -> DataFrame:
     return tracks.paired(f, f).filter("a < b").select("a", "b", F.round(tracks.coupling("warp")("line_a", "line_b"), 4).alias("distance"))
 
 
+#: Roads inferred from the fixes, and the shares along and distances of those in reach of each fix.
+ROADS = "WITH n AS (SELECT floor(x/100) AS cx, floor(y/100) AS cy, avg(x) AS x, avg(y) AS y FROM fixes GROUP BY 1, 2), roads AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM n a JOIN n b ON b.cx = a.cx+1 AND b.cy = a.cy OR b.cx = a.cx AND b.cy = a.cy+1)"
+REACHED = ROADS + ", c AS (SELECT track, seq, x, y, x1, y1, x2-x1 AS dx, y2-y1 AS dy, greatest(0.0, least(1.0, ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/((x2-x1)**2+(y2-y1)**2))) AS s FROM fixes, roads), r AS (SELECT track, seq, sqrt((x-x1-s*dx)**2+(y-y1-s*dy)**2) AS d FROM c) SELECT track, seq, count(*) AS roads, round(min(d), 4) AS nearest, round(sum(d), 3) AS total FROM r WHERE d <= 40 GROUP BY track, seq"
+
+
+@query("mapmatch_candidates", sql(REACHED, "fixes"))
+def mapmatch_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Roads within 40 of each fix."""
+    f = fixes(spark, d)
+    near = matching.candidates(f, matching.network_of(f, 100.0), 40.0)
+    return near.groupBy("track", "seq").agg(F.count("*").alias("roads"), F.round(F.min("d"), 4).alias("nearest"), F.round(F.sum("d"), 3).alias("total"))
+
+
 @query("mapmatch", None)
 def mapmatch(spark: SparkSession, d: str) -> DataFrame:
+    """The roads of each track's best sequence on the network of all fixes."""
     f = fixes(spark, d)
-    roads = f.select("track", "seq", F.explode(F.sequence(F.floor(F.col("y") / 40) - 1, F.floor(F.col("y") / 40) + 1)).alias("road"), "y")
-    return tracks.matched(roads.select("track", "seq", "road", F.abs(F.col("y") - 40 * F.col("road")).alias("d")), 10.0, 4.0)
+    m = matching.matched(f, matching.network_of(f, 100.0), 15.0, 20.0, 40.0, 400.0, 6.0)
+    return m.select("track", "seq", "road", F.round("d", 4).alias("d"), F.round("along", 4).alias("along"))
 
 
 @query("densify", sql("WITH p AS (SELECT *, 2*6371.0088*asin(sqrt(least(1.0, sin(radians(lat2-lat1)/2)**2+cos(radians(lat1))*cos(radians(lat2))*sin(radians(lon2-lon1)/2)**2))) AS km FROM places) SELECT id, CAST(greatest(1, ceil(km/1500)) AS BIGINT) AS hops FROM p", "places"))
@@ -206,11 +220,29 @@ def coordprecision(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select("id", F.round(F.abs(F.col("x").cast("float").cast("double") - F.col("x")), 9).alias("shift"), F.bround("x", 1).alias("x1"))
 
 
+#: Legs of all tracks and the tiles of side 512 and 128 that they meet, each with the part of the leg inside.
+T_SLAB = "CASE WHEN {d} = 0 THEN {z} ELSE {f}(({c}*side-{p})/{d}, (({c}+1)*side-{p})/{d}) END"
+T_ENTER, T_LEAVE = (", ".join(T_SLAB.format(d=f"({v}2-{v}1)", z=z, f=f, c=c, p=f"{v}1") for v, c in (("x", "tx"), ("y", "ty"))) for f, z in (("least", "0.0"), ("greatest", "1.0")))
+TILED = f"WITH l AS (SELECT track, seq, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM fixes WINDOW w AS (PARTITION BY track ORDER BY seq)), b AS (SELECT l.*, zoom, 4096.0/2**zoom AS side FROM l, (VALUES (3), (5)) z(zoom) WHERE x2 IS NOT NULL), t AS (SELECT b.*, floor(least(x1, x2)/side)+i AS tx, floor(least(y1, y2)/side)+j AS ty FROM b, range(8) p(i), range(8) q(j) WHERE floor(least(x1, x2)/side)+i <= floor(greatest(x1, x2)/side) AND floor(least(y1, y2)/side)+j <= floor(greatest(y1, y2)/side)), c AS (SELECT *, greatest(0.0, {T_ENTER}) AS t1, least(1.0, {T_LEAVE}) AS t2 FROM t), k AS (SELECT *, (t2-t1)*sqrt((x2-x1)**2+(y2-y1)**2) AS len FROM c WHERE t1 < t2), m AS (SELECT *, CASE WHEN lag(tx) OVER w <> tx OR lag(ty) OVER w <> ty THEN 1 ELSE 0 END AS moved FROM k WINDOW w AS (PARTITION BY zoom, track ORDER BY seq, t1)), n AS (SELECT *, sum(moved) OVER (PARTITION BY zoom, track ORDER BY seq, t1) AS part FROM m) SELECT zoom, CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, track, CAST(part AS BIGINT) AS part, count(*) + 1 AS points, round(sum(len), 4) AS length FROM n GROUP BY zoom, tx, ty, track, part"
+
+
+def line_legs(spark: SparkSession, d: str) -> DataFrame:
+    return tracks.legs(fixes(spark, d)).select(F.col("track").alias("line"), "seq", "x1", "y1", "x2", "y2")
+
+
+@query("vectortile_clip", sql(TILED, "fixes"))
+def vectortile_clip(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks in runs cut at the borders of the tiles of two zooms."""
+    r = tiles.runs(tiles.cut(line_legs(spark, d), [3, 5], 4096.0))
+    return r.select("zoom", "tx", "ty", F.col("line").alias("track"), "part", F.size("points").cast("long").alias("points"), F.round("length", 4).alias("length"))
+
+
 @query("vectortile", None)
 def vectortile(spark: SparkSession, d: str) -> DataFrame:
-    """Segments cut to the tiles of side 100 they cross, and the pieces of each."""
-    s = joins.cells_of(segments(spark, d), F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2"), 100.0)
-    return s.groupBy(F.col("__cx").alias("tx"), F.col("__cy").alias("ty")).agg(F.count("*").alias("pieces"))
+    """The points that are left of each run at four pixels of its tile."""
+    t = tiles.vector_tiles(line_legs(spark, d), [3, 5], 4096.0, tolerance=4.0)
+    t = t.select("zoom", "tx", "ty", F.col("line").alias("track"), "part", F.posexplode("points").alias("pos", "p"))
+    return t.select("zoom", "tx", "ty", "track", "part", "pos", F.round("p.x", 5).alias("x"), F.round("p.y", 5).alias("y"))
 
 
 @query("tilecover", sql("SELECT id, (floor(max_x/50)-floor(min_x/50)+1)*(floor(max_y/50)-floor(min_y/50)+1)::BIGINT AS tiles FROM boxes", "boxes").replace("(floor(max_x/50)-floor(min_x/50)+1)*(floor(max_y/50)-floor(min_y/50)+1)::BIGINT", "CAST((floor(max_x/50)-floor(min_x/50)+1)*(floor(max_y/50)-floor(min_y/50)+1) AS BIGINT)"))
