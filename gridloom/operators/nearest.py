@@ -204,6 +204,75 @@ def allocate(points: DataFrame, facilities: DataFrame, capacity: int) -> DataFra
     return state.select("id", "sid", F.get("order", F.col("at"))["d2"].alias("d2"))
 
 
+#: Points of a pair of facilities that are ranked together for exchanges, on average at most.
+RANKED = 4096
+
+
+def exchanged(assigned: DataFrame, points: DataFrame, facilities: DataFrame, capacity: int) -> DataFrame:
+    """(id, sid, d): the assignment (id, sid) improved until no exchange of two points between their facilities, and no move of one to a facility with room,
+    shortens the sum of distances; no facility gets more than ``capacity`` unless it had.
+
+    A point asks only facilities nearer than its own, found by cells, and is offered a place there by points that would go to its facility. Askers
+    and offers of a pair of facilities are matched by rank of what they gain, inside random groups that change each round, so large facilities are
+    split; of the exchanges that gain, those are made that are best for both their points, which at least the best one is. When groups find nothing more, the best asker
+    and the best offer of each pair are compared, and if these gain nothing, none does.
+    """
+    from gridloom.operators.joins import density_side
+    from gridloom.operators.scratch import settle
+
+    f = settle(facilities.select("sid", "sx", "sy"))
+    side = density_side(f, "sx", "sy", 2.0)
+    far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
+    state = settle(assigned.select("id", "sid").join(points.select("id", "x", "y"), "id").join(f, "sid").select("id", "x", "y", "sid", far.alias("d")))
+    groups, i, least = -(-state.count() // RANKED), 0, 1e-9
+    places = f.select(F.col("sid").alias("b"), "sx", "sy", cell(F.col("sx"), side).alias("__cx"), cell(F.col("sy"), side).alias("__cy"))
+    while True:
+        discs = cells_of(state.filter("d > 0"), F.col("x") - F.col("d"), F.col("y") - F.col("d"), F.col("x") + F.col("d"), F.col("y") + F.col("d"), side)
+        asks = discs.join(places, ["__cx", "__cy"]).select("id", F.col("sid").alias("a"), "b", (F.col("d") - far).alias("gain")).filter(f"a != b and gain > {least}")
+        asks = settle(asks, i)
+        wanted = asks.select("a", "b").distinct().join(f.select(F.col("sid").alias("a"), "sx", "sy"), "a")
+        offers = state.join(wanted.withColumnRenamed("b", "sid"), "sid").select("id", "a", F.col("sid").alias("b"), (F.col("d") - far).alias("gain"))
+        room = f.join(state.groupBy("sid").agg(F.count("*").alias("n")), "sid", "left").select(F.col("sid").alias("b"), (capacity - F.coalesce("n", F.lit(0))).alias("room")).filter("room > 0")
+        first = Window.partitionBy("b").orderBy(F.desc("gain"), "id")
+        moves = asks.join(room, "b").withColumn("k", F.row_number().over(first)).filter("k <= room").select(F.col("id").alias("p"), F.lit(None).cast("long").alias("q"), "a", "b", "gain")
+        found = settle(ranked_exchanges(asks, offers, groups, i).filter(f"gain > {least}").union(moves), i)
+        if groups > 1 and found.isEmpty():
+            found = settle(best_exchanges(asks, offers).filter(f"gain > {least}"), i)
+        if found.isEmpty():
+            return state.select("id", "sid", "d")
+        change = made(found)
+        moved = state.join(change, "id", "left").select("id", "x", "y", F.coalesce("new", "sid").alias("sid"))
+        state, i = settle(moved.join(f, "sid").select("id", "x", "y", "sid", far.alias("d")), i), i + 1
+
+
+def ranked_exchanges(asks: DataFrame, offers: DataFrame, groups: int, seed: int) -> DataFrame:
+    """(p, q, a, b, gain): in each random group the k-th best asker of a pair of facilities with its k-th best offer."""
+    group = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(groups))
+    order = Window.partitionBy("a", "b", "group").orderBy(F.desc("gain"), "id")
+    ranked = lambda df, who, gain: df.withColumn("group", group).withColumn("k", F.row_number().over(order)).select(F.col("id").alias(who), "a", "b", "group", "k", F.col("gain").alias(gain))
+    both = ranked(asks, "p", "g").join(ranked(offers, "q", "h"), ["a", "b", "group", "k"])
+    return both.select("p", "q", "a", "b", (F.col("g") + F.col("h")).alias("gain"))
+
+
+def best_exchanges(asks: DataFrame, offers: DataFrame) -> DataFrame:
+    """The best asker of each pair of facilities with its best offer."""
+    top = lambda df, who, gain: df.groupBy("a", "b").agg(F.max(F.struct("gain", (-F.col("id")).alias("i"))).alias("m")).select("a", "b", (-F.col("m.i")).alias(who), F.col("m.gain").alias(gain))
+    return top(asks, "p", "g").join(top(offers, "q", "h"), ["a", "b"]).select("p", "q", "a", "b", (F.col("g") + F.col("h")).alias("gain"))
+
+
+def made(found: DataFrame) -> DataFrame:
+    """(id, new): of exchanges those that are the best for every point in them, ties by ids."""
+    # an exchange found from both its sides is one
+    one = found.select("gain", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", "q", "a", "b")
+    rank = F.struct("gain", (-F.col("i")).alias("i"), (-F.col("j")).alias("j"))
+    sides = one.select(F.explode(F.filter(F.array("p", "q"), lambda x: x.isNotNull())).alias("id"), rank.alias("rank"), "p", "q", "a", "b")
+    best = sides.groupBy("id").agg(F.max("rank").alias("rank"))
+    agreed = sides.join(best, ["id", "rank"]).dropDuplicates(["id", "rank"])
+    size = F.when(F.col("q").isNull(), 1).otherwise(2)
+    whole = agreed.groupBy("rank").agg(F.count("*").alias("n"), F.max(size).alias("size")).filter("n = size").select("rank")
+    return agreed.join(whole, "rank").select("id", F.when(F.col("id") == F.col("p"), F.col("b")).otherwise(F.col("a")).alias("new"))
+
+
 def banded_inside(points: DataFrame, rings: DataFrame, height: float) -> DataFrame:
     """Points in rings by edges alone: edges are dealt to the bands of y they cross, crossings to the right are counted per pair."""
     e = rings.select(F.col("id").alias("ring_id"), F.explode(ring_edges(F.col("ring"))).alias("e"))

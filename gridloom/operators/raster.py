@@ -249,6 +249,41 @@ def entry_cost(cells: DataFrame, sources: DataFrame) -> DataFrame:
     return spread_from(cells, sources.select("r", "c", F.lit(0.0).alias("cost")), lambda x, v, w, length: x + w * length)
 
 
+def way_back(costs: DataFrame, offsets: Sequence[tuple[int, int]] = ROUND) -> DataFrame:
+    """(r, c, v, cost, pr, pc): each reached cell with the neighbour that its least entry cost came from, ties to the first in row order; sources have none.
+
+    Costs have settled, so the neighbour whose cost and step make up the cell's own is found by one join, wherever tiles end.
+    """
+    near = shifted(costs.filter("cost is not null"), tuple(offsets), "cost")
+    length = F.when((F.col("dr") != 0) & (F.col("dc") != 0), math.sqrt(2)).otherwise(1.0)
+    steps = costs.filter("cost > 0").join(near, ["r", "c"]).withColumn("gap", F.abs(F.col("n_cost") + F.col("v") * length - F.col("cost")))
+    from_ = F.min(F.struct((F.col("r") + F.col("dr")).alias("pr"), (F.col("c") + F.col("dc")).alias("pc")))
+    best = steps.filter(F.col("gap") <= 1e-9 * (1 + F.col("cost"))).groupBy("r", "c").agg(from_.alias("from"))
+    return costs.join(best, ["r", "c"], "left").select("r", "c", "v", "cost", F.col("from.pr").alias("pr"), F.col("from.pc").alias("pc"))
+
+
+def ways_from(costs: DataFrame, goals: DataFrame) -> DataFrame:
+    """(goal, step, r, c, cost): the cells of a least-cost way from its source (step 0) to each of ``goals`` (goal, r, c); none where a goal isn't reached.
+
+    A round adds to the cells known of each way those twice as many steps back, and doubles the pointers, so a way of n cells takes log2(n)
+    rounds of joins. Only cells on the ways are kept; pointers shrink to those not yet at a source.
+    """
+    links = settle(way_back(costs))
+    at = goals.join(links.filter("cost is not null").select("r", "c"), ["r", "c"]).select("goal", F.lit(0).cast("long").alias("back"), "r", "c")
+    jumps, stride, i = links.filter("pr is not null").select("r", "c", "pr", "pc"), 1, 0
+    at = settle(at)
+    while True:
+        far = at.join(jumps, ["r", "c"]).select("goal", (F.col("back") + stride).alias("back"), F.col("pr").alias("r"), F.col("pc").alias("c"))
+        next_ = settle(at.select("goal", "back", "r", "c").union(far), i)
+        if next_.count() == at.count():
+            break
+        at = next_
+        on = jumps.select(F.col("r").alias("pr"), F.col("c").alias("pc"), F.col("pr").alias("qr"), F.col("pc").alias("qc"))
+        jumps, stride, i = settle(jumps.join(on, ["pr", "pc"]).select("r", "c", F.col("qr").alias("pr"), F.col("qc").alias("pc")), i), stride * 2, i + 1
+    length = at.groupBy("goal").agg(F.max("back").alias("length"))
+    return at.join(length, "goal").join(costs.select("r", "c", "cost"), ["r", "c"]).select("goal", (F.col("length") - F.col("back")).alias("step"), "r", "c", "cost")
+
+
 def flood(cells: DataFrame, level: float, seeds: DataFrame, offsets: Sequence[tuple[int, int]] = STRAIGHT, rounds: int = 10_000) -> DataFrame:
     """Cells below the level that connect to a seed: components of the low cells, kept where a seed is."""
     low = cells.filter(F.col("v") < level)
@@ -334,6 +369,60 @@ def viewshed(cells: DataFrame, r0: int, c0: int, eye: float) -> DataFrame:
     return far.select("r", "c").join(hidden, ["r", "c"], "left_anti")
 
 
+def scan_lines(cells: DataFrame, azimuth: float) -> DataFrame:
+    """``cells`` with line, at and along: each cell lies on one digital line in the direction ``azimuth`` (degrees from north, clockwise; rows run south).
+
+    Lines step by one cell along the longer axis (``at`` counts these steps in the direction of the azimuth) and by the nearest whole cell along the other; ``along`` is how
+    far the cell's centre lies in the direction itself. What is said of a ray is a running value along its line.
+    """
+    east, south = round(math.sin(math.radians(azimuth)), 15), round(-math.cos(math.radians(azimuth)), 15)
+    major, minor, long_, short = ("c", "r", east, south) if abs(east) >= abs(south) else ("r", "c", south, east)
+    sign = 1 if long_ > 0 else -1
+    line = F.col(minor) - F.rint(F.col(major) * (short / long_)).cast("long")
+    return cells.withColumns({"line": line, "at": F.col(major) * sign, "along": F.col("c") * east + F.col("r") * south})
+
+
+def cast_shadows(cells: DataFrame, azimuth: float, elevation: float) -> DataFrame:
+    """(r, c): cells that lie in the shadow of a sun at ``azimuth`` and ``elevation`` degrees: some cell towards the sun on its line is higher than the ray,
+    which climbs from the cell by the sun's slope. A window per line, so a task holds a line of the raster."""
+    if not 0 < elevation <= 90:
+        raise ValueError("the sun must be above the horizon")
+    climb = math.tan(math.radians(elevation))
+    lines = scan_lines(cells, azimuth).withColumn("over", F.col("v") - climb * F.col("along"))
+    ahead = Window.partitionBy("line").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    return lines.withColumn("top", F.max("over").over(ahead)).filter(F.col("top") > F.col("over") + 1e-9).select("r", "c")
+
+
+def fetches(cells: DataFrame, water: Column, azimuth: float) -> DataFrame:
+    """(r, c, fetch): for each cell of water how many steps of one cell's side one can go towards ``azimuth`` before land, a missing cell or the grid's edge.
+
+    A step that ends nearest to the same cell as the one before counts, so along a diagonal there are more steps than cells.
+    """
+    long_ = max(abs(math.sin(math.radians(azimuth))), abs(math.cos(math.radians(azimuth))))
+    ahead = Window.partitionBy("line").orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    lines = scan_lines(cells, azimuth).withColumn("wet", F.coalesce(water, F.lit(False)))
+    following = F.lead("at").over(Window.partitionBy("line").orderBy("at"))
+    # a cell stops the way if it is land; so does a hole behind a cell of water
+    stop = F.when(~F.col("wet"), F.col("at")).when(F.coalesce(following > F.col("at") + 1, F.lit(True)), F.col("at") + 1)
+    lines = lines.withColumn("stop", stop)
+    own = F.when(F.col("wet") & F.col("stop").isNotNull(), F.col("stop"))
+    cells_ahead = F.coalesce(own, F.first("stop", ignorenulls=True).over(ahead)) - F.col("at")
+    # the first step that comes nearest to the stopping cell
+    return lines.withColumn("n", cells_ahead).filter("wet").select("r", "c", (F.ceil((F.col("n") - 0.5) / long_) - 1).cast("long").alias("fetch"))
+
+
+def effective_fetch(cells: DataFrame, water: Column, azimuth: float, spread: float = 45.0, step: float = 6.0) -> DataFrame:
+    """(r, c, fetch): the mean of the fetches every ``step`` degrees within ``spread`` of ``azimuth``, weighted by the cosine of what they are off."""
+    if spread <= 0 or step <= 0 or step > spread:
+        raise ValueError("spread and step must be positive with step at most the spread")
+    n = round(spread / step)
+    total, parts = sum(math.cos(math.radians(k * step)) for k in range(-n, n + 1)), None
+    for k in range(-n, n + 1):
+        one = fetches(cells, water, azimuth + k * step).withColumn("part", F.col("fetch") * math.cos(math.radians(k * step)))
+        parts = one if parts is None else parts.union(one)
+    return parts.groupBy("r", "c").agg((F.sum("part") / total).alias("fetch"))
+
+
 def isolines(cells: DataFrame, level: float) -> DataFrame:
     """Segments of the line at a level, by cases of a cell's four corners; a saddle is told by the centre's mean."""
     s = stencil(cells, ((0, 1), (1, 0), (1, 1))).filter("n_0_1 is not null and n_1_0 is not null and n_1_1 is not null")

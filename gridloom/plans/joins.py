@@ -330,6 +330,14 @@ def allocation_capacity(spark: SparkSession, d: str) -> DataFrame:
     return nearest.allocate(p, f, -(-p.count() * 11 // (10 * f.count()))).select("id", "sid", F.round("d2", 6).alias("d2"))
 
 
+@query("allocation_exchange", None)
+def allocation_exchange(spark: SparkSession, d: str) -> DataFrame:
+    """The same, improved by exchanges and moves until none shortens the sum of distances."""
+    p, f = points(spark, d), sites(spark, d).filter("sid < 8")
+    capacity = -(-p.count() * 11 // (10 * f.count()))
+    return nearest.exchanged(nearest.allocate(p, f, capacity), p, f, capacity).select("id", "sid", F.round("d", 6).alias("d"))
+
+
 @query("edgematching", None)
 def edgematching(spark: SparkSession, d: str) -> DataFrame:
     return nearest.greedy_matches(joins.join_within(points(spark, d), sites(spark, d), 30.0).withColumn("sheet", F.floor(F.col("x") / 100)))

@@ -101,7 +101,13 @@ def isochrone(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gridpath", None)
 def gridpath(spark: SparkSession, d: str) -> DataFrame:
-    return ras.entry_cost(raster(spark, d), source(spark)).agg(F.round(F.max("cost"), 6).alias("farthest"), F.count("cost").alias("reached"))
+    """Least-cost ways from the first cell to the last of the first row, the last of all, and the farthest."""
+    cells = raster(spark, d)
+    far = ras.settle(ras.entry_cost(cells, source(spark)))
+    edge = cells.agg(F.max("r").alias("r"), F.max("c").alias("c"))
+    goals = edge.select(F.lit("row").alias("goal"), F.lit(0).cast("long").alias("r"), "c").union(edge.select(F.lit("corner"), "r", "c"))
+    goals = goals.union(far.orderBy(F.desc("cost"), "r", "c").limit(1).select(F.lit("farthest"), "r", "c"))
+    return ras.ways_from(far, goals).select("goal", "step", "r", "c", F.round("cost", 6).alias("cost"))
 
 
 @query("corridor", None)
@@ -147,19 +153,52 @@ def skyview(spark: SparkSession, d: str) -> DataFrame:
     return ras.sky_view(raster(spark, d)).select("r", "c", F.round("sky", 6).alias("sky"))
 
 
-@query("windfetch", sql("SELECT a.r, a.c, min(b.c-a.c) AS fetch FROM cells a JOIN cells b ON a.r=b.r AND b.c > a.c AND b.k > 40 WHERE a.k <= 40 GROUP BY a.r, a.c", "cells"))
+#: Steps of one side from each cell of water, the cell nearest to each, and the first that is land or none.
+AZIMUTHS = [0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]
+STOPS = "WITH a AS (SELECT r, c, azimuth, k, r - CAST(round_even(k*cos(radians(azimuth)), 0) AS BIGINT) AS rr, c + CAST(round_even(k*sin(radians(azimuth)), 0) AS BIGINT) AS cc FROM cells, (SELECT unnest([0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0]) AS azimuth), range(1, 200) q(k) WHERE cells.k <= 40) SELECT a.r, a.c, azimuth::DOUBLE AS azimuth, CAST(min(a.k)-1 AS BIGINT) AS fetch FROM (SELECT r, c, azimuth, k, rr, cc FROM a) a LEFT JOIN cells b ON b.r = rr AND b.c = cc AND b.k <= 40 WHERE b.r IS NULL GROUP BY a.r, a.c, azimuth"
+
+
+@query("windfetch", sql(STOPS.replace("range(1, 200) q(k) WHERE cells.k <= 40", "range(1, 200) q(s) WHERE cells.k <= 40").replace("azimuth, k, r -", "azimuth, s AS k, r -").replace("round_even(k*", "round_even(s*"), "cells"))
 def windfetch(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of water to the east before land."""
-    ahead = Window.partitionBy("r").orderBy("c").rowsBetween(1, Window.unboundedFollowing)
-    land = F.first(F.when(F.col("k") > 40, F.col("c")), ignorenulls=True).over(ahead)
-    return raster(spark, d).withColumn("land", land).filter("k <= 40 and land is not null").select("r", "c", (F.col("land") - F.col("c")).alias("fetch"))
+    """Open water from each cell of it, in eight directions."""
+    cells, out = raster(spark, d), None
+    for azimuth in AZIMUTHS:
+        one = ras.fetches(cells, F.col("k") <= 40, azimuth).select("r", "c", F.lit(azimuth).alias("azimuth"), "fetch")
+        out = one if out is None else out.union(one)
+    return out
+
+
+#: Digital lines as scan_lines makes them: the cells of water and the next cell ahead that isn't, for the fifteen directions round 30 degrees.
+BEAMS = "WITH o AS (SELECT k*6.0 AS off, radians(30+k*6.0) AS a FROM range(-8, 9) q(k)), d AS (SELECT off, sin(a) AS e, -cos(a) AS s, abs(sin(a)) >= abs(cos(a)) AS flat FROM o), l AS (SELECT off, r, c, cells.k <= 40 AS wet, CASE WHEN flat THEN abs(e) ELSE abs(s) END AS long, CASE WHEN flat THEN c*sign(e) ELSE r*sign(s) END AS at, CASE WHEN flat THEN r-round_even(c*(s/e), 0) ELSE c-round_even(r*(e/s), 0) END AS line FROM cells, d), n AS (SELECT a.off, a.r, a.c, any_value(a.long) AS long, coalesce(min(b.at) FILTER (WHERE NOT b.wet), max(b.at)+1, any_value(a.at)+1)-any_value(a.at) AS n FROM l a LEFT JOIN l b ON a.off = b.off AND a.line = b.line AND b.at > a.at WHERE a.wet GROUP BY a.off, a.r, a.c) SELECT r, c, round(sum(cos(radians(off))*(ceil((n-0.5)/long)-1))/sum(cos(radians(off))), 6) AS fetch FROM n GROUP BY r, c"
+
+
+@query("windfetch_effective", sql(BEAMS, "cells"))
+def windfetch_effective(spark: SparkSession, d: str) -> DataFrame:
+    """Fetch towards 30 degrees, the directions beside it weighed in."""
+    return ras.effective_fetch(raster(spark, d), F.col("k") <= 40, 30.0, 48.0, 6.0).select("r", "c", F.round("fetch", 6).alias("fetch"))
 
 
-@query("shadowcast", sql("SELECT a.r, a.c FROM cells a WHERE EXISTS (SELECT 1 FROM cells b WHERE b.r=a.r AND b.c < a.c AND b.v > a.v + (a.c-b.c)*15.0)", "cells"))
+LIT = "SELECT DISTINCT a.r, a.c, q.azimuth FROM cells a JOIN (SELECT unnest([0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0])::DOUBLE AS azimuth) q ON TRUE JOIN cells b ON (b.c-a.c = CAST(round_even(sin(radians(q.azimuth))*greatest(abs(b.r-a.r), abs(b.c-a.c))*CASE WHEN q.azimuth % 90 = 0 THEN 1 ELSE sqrt(2) END, 0) AS BIGINT) AND a.r-b.r = CAST(round_even(cos(radians(q.azimuth))*greatest(abs(b.r-a.r), abs(b.c-a.c))*CASE WHEN q.azimuth % 90 = 0 THEN 1 ELSE sqrt(2) END, 0) AS BIGINT)) WHERE (b.r <> a.r OR b.c <> a.c) AND b.v > a.v + tan(radians(80))*sqrt((b.r-a.r)**2+(b.c-a.c)**2) + 1e-9"
+
+
+@query("shadowcast", sql(LIT, "cells"))
 def shadowcast(spark: SparkSession, d: str) -> DataFrame:
-    """Cells in the shadow of a sun in the west that sinks 15 a cell: the highest ray so far passes above them."""
-    before = Window.partitionBy("r").orderBy("c").rowsBetween(Window.unboundedPreceding, -1)
-    return raster(spark, d).withColumn("ray", F.max(F.col("v") + F.col("c") * 15.0).over(before)).filter(F.col("ray") > F.col("v") + F.col("c") * 15.0).select("r", "c")
+    """Cells in the shadow of a sun 80 degrees up, in eight directions."""
+    cells, out = raster(spark, d), None
+    for azimuth in AZIMUTHS:
+        one = ras.cast_shadows(cells, azimuth, 80.0).select("r", "c", F.lit(azimuth).alias("azimuth"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+#: The digital line towards 250 degrees, whose longer axis is west.
+SLANTED = "WITH l AS (SELECT r, c, v, -c AS at, r-round_even(c*(-cos(radians(250))/sin(radians(250))), 0) AS line, c*sin(radians(250))-r*cos(radians(250)) AS along FROM cells) SELECT a.r, a.c FROM l a WHERE EXISTS (SELECT 1 FROM l b WHERE b.line = a.line AND b.at > a.at AND b.v > a.v + tan(radians(75))*(b.along-a.along) + 1e-9)"
+
+
+@query("shadowcast_slanted", sql(SLANTED, "cells"))
+def shadowcast_slanted(spark: SparkSession, d: str) -> DataFrame:
+    """Shadows of a sun 75 degrees up towards 250 degrees."""
+    return ras.cast_shadows(raster(spark, d), 250.0, 75.0)
 
 
 @query("sealevel", sql(f"WITH RECURSIVE w AS (SELECT r, c FROM cells WHERE c = 0 AND v < 930 UNION SELECT b.r, b.c FROM w a JOIN cells b ON {NEAR4} WHERE b.v < 930) SELECT r, c FROM w", "cells").replace("WITH cells", "WITH RECURSIVE cells").replace(", RECURSIVE w", ", w"))

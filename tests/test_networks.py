@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.operators import matching
+from gridloom.operators import matching, nearest, raster, tiles
 
 ROADS = "road long, src long, dst long, x1 double, y1 double, x2 double, y2 double, w double"
 FIXES = "track long, seq long, x double, y double"
@@ -120,3 +120,154 @@ def test_ways_are_dijkstras(spark):
     want = {(u, v): d for u in {n for x in roads for n in x[1:3]} for v, d in dijkstra(roads, u, 60.0).items()}
     assert got == pytest.approx(want)
     assert matching.matched(spark.createDataFrame([], FIXES), spark.createDataFrame(roads, ROADS), 1.0, 1.0, 1.0, 1.0, 1.0).count() == 0
+
+
+# allocation
+
+
+@pytest.mark.parametrize("ranked", [4096, 8])
+def test_exchanges_end_where_none_gains(spark, monkeypatch, ranked):
+    monkeypatch.setattr(nearest, "RANKED", ranked)
+    r = random.Random(12)
+    p = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(40)]
+    f = [(k, r.uniform(0, 100), r.uniform(0, 100)) for k in range(5)]
+    place = {k: (x, y) for k, x, y in f}
+    start = [(i, r.randrange(4)) for i, *_ in p]  # nothing at the last facility
+    capacity = max(sum(s == k for _, s in start) for k in range(5))
+    got = nearest.exchanged(spark.createDataFrame(start, "id long, sid long"), spark.createDataFrame(p, "id long, x double, y double"), spark.createDataFrame(f, "sid long, sx double, sy double"), capacity).collect()
+    at = {x.id: x.sid for x in got}
+    load = {k: sum(s == k for s in at.values()) for k in place}
+    assert sorted(at) == list(range(40)) and max(load.values()) <= capacity
+    d = {(i, k): math.dist((x, y), place[k]) for i, x, y in p for k in place}
+    assert all(x.d == pytest.approx(d[x.id, x.sid]) for x in got)
+    assert sum(d[i, at[i]] for i in at) < sum(d[i, k] for i, k in start)
+    for i in at:
+        for k in place:
+            assert load[k] == capacity or d[i, at[i]] <= d[i, k] + 1e-6
+        for j in at:
+            assert d[i, at[i]] + d[j, at[j]] <= d[i, at[j]] + d[j, at[i]] + 1e-6
+
+
+# tiles and polygons
+
+
+def test_runs_keep_length_and_meet_at_borders(spark):
+    r = random.Random(3)
+    lines = {0: [(r.uniform(-90, 90), r.uniform(-90, 90)) for _ in range(40)], 1: [(0.0, 0.0), (32.0, 0.0), (32.0, 64.0), (32.0, 64.0), (-32.0, 0.0)], 2: [(16.0, 16.0), (48.0, 48.0)]}
+    legs = [(k, i, *a, *b) for k, p in lines.items() for i, (a, b) in enumerate(zip(p, p[1:], strict=False))]
+    table = spark.createDataFrame(legs, "line long, seq long, x1 double, y1 double, x2 double, y2 double")
+    cut = tiles.runs(tiles.cut(table, [0, 2, 3], 256.0)).collect()
+    thin = tiles.vector_tiles(table, [0, 2, 3], 256.0, tolerance=8.0).collect()
+    for zoom in (0, 2, 3):
+        side = 256 / 2**zoom
+        for k, p in lines.items():
+            mine = sorted((x for x in cut if (x.zoom, x.line) == (zoom, k)), key=lambda x: x.part)
+            assert [x.part for x in mine] == list(range(len(mine)))
+            assert sum(x.length for x in mine) == pytest.approx(sum(math.dist(a, b) for a, b in zip(p, p[1:], strict=False)))
+            for x in mine:
+                assert all(x.tx * side - 1e-6 <= q.x <= (x.tx + 1) * side + 1e-6 and x.ty * side - 1e-6 <= q.y <= (x.ty + 1) * side + 1e-6 for q in x.points)
+            assert all(math.dist(a.points[-1], b.points[0]) < 1e-9 for a, b in zip(mine, mine[1:], strict=False))
+    whole = {(x.zoom, x.line, x.part): x for x in cut}
+    assert len(whole) == len(cut) == len(thin)
+    for x in thin:
+        full = whole[x.zoom, x.line, x.part].points
+        assert (x.points[0], x.points[-1]) == (full[0], full[-1]) and set(x.points) <= set(full)
+    assert sum(len(x.points) for x in thin) < sum(len(x.points) for x in cut)
+
+
+def test_polygon_cells_by_rule(spark):
+    # a square of eight with a hole of four, and a triangle
+    ring = lambda i, p: [(i, *a, *b) for a, b in zip(p, p[1:] + p[:1], strict=True)]
+    square = [(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]
+    hole = [(2.0, 2.0), (6.0, 2.0), (6.0, 6.0), (2.0, 6.0)]
+    triangle = [(20.2, 0.3), (29.7, 1.1), (23.1, 8.9)]
+    edges = spark.createDataFrame(ring(1, square) + ring(1, hole) + ring(2, triangle), "id long, x1 double, y1 double, x2 double, y2 double")
+    cells = {rule: {(x.id, x.r, x.c) for x in tiles.rasterized(edges, 1.0, rule).collect()} for rule in ("centre", "touch", "inside")}
+    assert sum(i == 1 for i, *_ in cells["centre"]) == 64 - 16
+    assert cells["inside"] < cells["centre"] < cells["touch"]
+
+    def inside(x, y):
+        n = 0
+        for (x1, y1), (x2, y2) in zip(triangle, triangle[1:] + triangle[:1], strict=True):
+            if (y1 <= y < y2 or y2 <= y < y1) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x:
+                n += 1
+        return n % 2 == 1
+
+    assert {(r, c) for i, r, c in cells["centre"] if i == 2} == {(r, c) for r in range(12) for c in range(15, 35) if inside(c + 0.5, r + 0.5)}
+    fine = [(r, c, x, y) for r in range(12) for c in range(15, 35) for x, y in [(c + i / 16, r + j / 16) for i in range(17) for j in range(17)]]
+    some = {(r, c) for r, c, x, y in fine if inside(x, y)}
+    every = {(r, c) for r, c, *_ in fine} - {(r, c) for r, c, x, y in fine if not inside(x, y)}
+    assert some <= {(r, c) for i, r, c in cells["touch"] if i == 2}
+    assert {(r, c) for i, r, c in cells["inside"] if i == 2} <= every
+
+
+# ways, shadows and fetch over a raster
+
+
+def grid(spark, values):
+    return spark.createDataFrame([(r, c, float(v)) for r, row in enumerate(values) for c, v in enumerate(row) if v is not None], "r long, c long, v double")
+
+
+def test_ways_over_a_grid(spark):
+    r = random.Random(5)
+    values = [[None if r.random() < 0.25 else r.choice((1, 2, 5)) for _ in range(18)] for _ in range(14)]
+    values[0][0] = values[13][17] = 1
+    cells = grid(spark, values)
+    far = raster.entry_cost(cells, spark.createDataFrame([(0, 0)], "r long, c long"))
+    best, heap = {(0, 0): 0.0}, [(0.0, (0, 0))]
+    while heap:
+        d, (a, b) = heapq.heappop(heap)
+        if d > best[a, b]:
+            continue
+        for i in (-1, 0, 1):
+            for j in (-1, 0, 1):
+                k = (a + i, b + j)
+                if (i or j) and 0 <= k[0] < 14 and 0 <= k[1] < 18 and values[k[0]][k[1]] is not None:
+                    e = d + values[k[0]][k[1]] * math.hypot(i, j)
+                    if e < best.get(k, math.inf) - 1e-12:
+                        best[k] = e
+                        heapq.heappush(heap, (e, k))
+    goals = [(f"{a}-{b}", a, b) for a, b in ((13, 17), (0, 0), (7, 9), (2, 16)) if values[a][b] is not None] + [("none", 50, 50)]
+    got = raster.ways_from(far, spark.createDataFrame(goals, "goal string, r long, c long")).collect()
+    for name, a, b in goals:
+        way = sorted((x for x in got if x.goal == name), key=lambda x: x.step)
+        if (a, b) not in best:
+            assert way == []
+            continue
+        assert [x.step for x in way] == list(range(len(way))) and (way[0].r, way[0].c, way[-1].r, way[-1].c) == (0, 0, a, b)
+        cost = 0.0
+        for p, q in zip(way, way[1:], strict=False):
+            assert max(abs(p.r - q.r), abs(p.c - q.c)) == 1
+            cost += values[q.r][q.c] * math.hypot(p.r - q.r, p.c - q.c)
+        assert cost == pytest.approx(best[a, b])
+
+
+@pytest.mark.parametrize("azimuth", [0.0, 90.0, 180.0, 270.0])
+def test_shadow_of_a_tower(spark, azimuth):
+    cells = grid(spark, [[10.0 if (r, c) == (6, 6) else 0.0 for c in range(13)] for r in range(13)])
+    got = {(x.r, x.c) for x in raster.cast_shadows(cells, azimuth, math.degrees(math.atan(3.0))).collect()}
+    away = (round(math.cos(math.radians(azimuth))), -round(math.sin(math.radians(azimuth))))
+    assert got == {(6 + k * away[0], 6 + k * away[1]) for k in (1, 2, 3)}
+    with pytest.raises(ValueError):
+        raster.cast_shadows(cells, 0.0, 0.0)
+
+
+def test_fetch_ends_at_land_holes_and_the_edge(spark):
+    #            water everywhere but land at (2, 5) and no cell at (4, 3)
+    values = [[1.0 if (r, c) == (2, 5) else None if (r, c) == (4, 3) else 0.0 for c in range(7)] for r in range(6)]
+    water = F.col("v") == 0
+    for azimuth in (0.0, 45.0, 90.0, 135.0, 180.0, 225.0, 270.0, 315.0):
+        got = {(x.r, x.c): x.fetch for x in raster.fetches(grid(spark, values), water, azimuth).collect()}
+        dr, dc = -math.cos(math.radians(azimuth)), math.sin(math.radians(azimuth))
+        for r in range(6):
+            for c in range(7):
+                if values[r][c] != 0:
+                    assert (r, c) not in got
+                    continue
+                last = 0
+                for k in range(1, 40):
+                    a, b = round(r + k * dr), round(c + k * dc)
+                    if not (0 <= a < 6 and 0 <= b < 7) or values[a][b] != 0:
+                        break
+                    last = k
+                assert got[r, c] == last, (azimuth, r, c)
