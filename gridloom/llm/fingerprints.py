@@ -3,20 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import filled, small_batches, written
+from gridloom.llm.common import filled, written
 
 #: Words of a shingle, and the share of all hashes that is retained: one of so many.
 WIDTH, ONE_OF = 5, 4
 SEED = 42
+#: Ranges of the order of documents for each partition of a shuffle, and rows of the sample for each range.
+RANGES, SAMPLED = 4, 20
 #: A retained hash is kept by its first 36 bits, as nine hex digits.
 KEPT_BITS = 36
 DIGITS = KEPT_BITS // 4
@@ -125,28 +128,73 @@ def edit_row(doc_id: object, text: str, own: np.ndarray, following: str, other:
 
 
 def along(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Results of a sorted partition (range, doc_id, text): a row is finished when the next one comes. The first text (role 1) and the last
-    document (role 2) go out with their texts, to meet those of other partitions."""
-    columns = ["role", "range", *RESULT, "text"]
-    last = None
+    """Results of a sorted partition (range, extra, doc_id, text): a row is finished when the next one of its range comes. An extra row is the next
+    of a range's last one, and is no row of the range itself."""
+    last = at = None
     for frame in batches:
         out = []
-        for at, i, text in zip(frame["range"], frame["doc_id"].astype(object), frame["text"], strict=True):
-            i = None if pd.isna(i) else int(i)
+        for now, extra, i, text in zip(frame["range"], frame["extra"], frame["doc_id"].astype(object), frame["text"], strict=True):
+            if now != at:
+                at, last = now, None
+            if extra and last is None:
+                continue
             own = sketch(text)
-            if last is None:
-                out.append((1, at, i, *[None] * 8, text))
-            else:
-                out.append((0, at, *edit_row(*last[1:], text, own), None))
-            last = (at, i, text, own)
-        yield typed(pd.DataFrame(out, columns=columns))
-    if last is not None:
-        yield typed(pd.DataFrame([(2, last[0], last[1], *[None] * 8, last[2])], columns=columns))
+            if last is not None:
+                out.append(edit_row(*last, text, own))
+            last = None if extra else (None if pd.isna(i) else int(i), text, own)
+        frame = pd.DataFrame(out, columns=RESULT)
+        yield frame.astype({"doc_id": "Int64", "n_chars": "Int64", **dict.fromkeys(RESULT[5:], "float64")})
 
 
-def typed(frame: pd.DataFrame) -> pd.DataFrame:
-    kinds = {"doc_id": "Int64", "n_chars": "Int64", **{c: "float64" for c in RESULT[5:]}, **{c: object for c in ("edited_sha256", "fingerprint", "edited_fingerprint", "text")}}
-    return frame.astype({c: k for c, k in kinds.items() if c in frame})
+class Ranges:
+    """Ranges of the order (none, i, h) of ``keys``, each with some thousands of rows or fewer, and the first row of each.
+
+    A range begins with a row of a sample, whose size is about SAMPLED a range; the sample only says which rows are done together. The driver gets the
+    sample, and a row for each range.
+    """
+
+    KEY = "struct<none:boolean,i:long,h:long>"
+
+    def __init__(self, keys: DataFrame) -> None:
+        number = RANGES * int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        picked = F.pmod(F.xxhash64("none", "i", "h"), F.lit(1 << 30)) * F.lit(float(max(1, keys.count()))) < F.lit(float(number * SAMPLED << 30))
+        sample = sorted({tuple(r) for r in keys.filter(picked).select("none", "i", "h").collect()})
+        self.starts = sample[:: -(-len(sample) // number)][1:] if sample else []
+        found = keys.groupBy(self.of(self.key()).alias("range")).agg(F.min(self.key()).alias("first")).orderBy("range").collect()
+        self.present = [r["range"] for r in found]
+        self.first = [tuple(r["first"]) for r in found]
+
+    @staticmethod
+    def key() -> Column:
+        return F.struct("none", "i", "h")
+
+    def constant(self, keys: list[tuple]) -> Column:
+        """A constant array of keys: one literal, however many there are."""
+        return F.from_json(F.lit(json.dumps([{"none": n, "i": i, "h": h} for n, i, h in keys])), f"array<{self.KEY}>")
+
+    def of(self, key: Column) -> Column:
+        """The number of starts that are not behind the key, by bisection."""
+        starts = self.constant(self.starts)
+        half = lambda a: F.shiftright(a["low"] + a["high"], 1)
+        before = lambda a: F.get(starts, half(a)) <= key
+        inner = lambda a: F.when(a["low"] >= a["high"], a).when(before(a), F.struct((half(a) + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), half(a).alias("high")))
+        rounds = F.sequence(F.lit(0), F.lit(len(self.starts).bit_length()))
+        return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.lit(len(self.starts)).alias("high")), lambda a, _: inner(a), lambda a: a["low"])
+
+    def dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` (none, i, h, ...) with range and extra, sorted: each range's first row comes to the range before, as its extra one, too; the
+        last range goes before the first."""
+        before = [-1] * (max(self.present, default=-1) + 1)
+        first: list[tuple] = [(True, 0, 0)] * len(before)
+        for k, (at, key) in enumerate(zip(self.present, self.first, strict=True)):
+            before[at], first[at] = self.present[k - 1], key
+        previous = F.get(F.from_json(F.lit(json.dumps(before)), "array<int>"), F.col("range"))
+        head = F.get(self.constant(first), F.col("range")) == self.key()
+        own = F.struct(F.col("range").alias("range"), F.lit(False).alias("extra"))
+        places = F.when(head, F.array(own, F.struct(previous.alias("range"), F.lit(True).alias("extra")))).otherwise(F.array(own))
+        rest = [c for c in rows.columns if c not in ("none", "i", "h")]
+        out = rows.withColumn("range", self.of(self.key())).select("none", "i", "h", *rest, F.explode(places).alias("at")).select("at.*", "none", "i", "h", *rest)
+        return out.repartition("range").sortWithinPartitions("range", "extra", "none", "i", "h")
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,28 +204,15 @@ def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text. Null ids come last; rows of one id rank by a hash of the text, equal rows anyhow. After the last row comes the first, so a single row is
     its own next. Other columns are not read. An empty table gives an empty result.
 
-    Whole rows are shuffled once, by ranges of the order. Only the last row of each range waits for a row of another task: those rows, two a
-    range, are joined in a second step.
+    Whole rows are shuffled once, by ranges of the order, and walked in order; the first row of each range goes to the range before as well. Rows equal in
+    id and text are in one range.
     """
-    session = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), filled(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    keys = [F.desc_nulls_last("doc_id"), F.xxhash64("text"), F.col("row")]
-    ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("range"), "doc_id", "text")
-    with small_batches(session):
-        walked = written(ranges.mapInPandas(along, f"role int, range int, {SCHEMA}, text string"), "walked")
-    # one number a range; the range after the last is the first
-    present = sorted(r["range"] for r in walked.filter("role = 1").select("range").collect())
-    after = session.createDataFrame(list(zip(present, present[1:] + present[:1], strict=True)), "range int, following int")
-    heads = walked.filter("role = 1").select(F.col("range").alias("following"), F.col("text").alias("following_text"))
-    ends = walked.filter("role = 2").select("range", "doc_id", "text").join(after, "range").join(heads, "following").select("doc_id", "text", "following_text")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            ids = [None if pd.isna(i) else int(i) for i in frame["doc_id"].astype(object)]
-            out = [edit_row(i, a, sketch(a), b, sketch(b)) for i, a, b in zip(ids, frame["text"], frame["following_text"], strict=True)]
-            yield typed(pd.DataFrame(out, columns=RESULT))
-
-    return walked.filter("role = 0").select(*RESULT).unionByName(ends.mapInPandas(finish, SCHEMA))
+    doc_id = F.col(id_col).cast("long")
+    # ~id falls where the id rises, over all longs
+    order = {"none": doc_id.isNull(), "i": F.bitwise_not(F.coalesce(doc_id, F.lit(0))), "h": F.xxhash64(filled(text_col))}
+    keys = written(docs.select(*[c.alias(n) for n, c in order.items()]), "keys")
+    rows = docs.select(*[c.alias(n) for n, c in order.items()], doc_id.alias("doc_id"), filled(text_col).alias("text"))
+    return Ranges(keys).dealt(rows).select("range", "extra", "doc_id", "text").mapInPandas(along, SCHEMA)
 
 
 def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
