@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from gridloom.functions.geodesy import clamp
 
 LIGHT = 299792458.0
+#: Watts a square metre above the air.
+SOLAR_CONSTANT = 1361.0
 RADIUS_M = 6371008.8
 
 
@@ -41,9 +43,52 @@ def days_since_2000(ts: Column) -> Column:
     return F.unix_micros(ts) / 86400e6 - 10957.5
 
 
+def hour_angle(days: Column, lon: Column, ascension: Column) -> Column:
+    """Radians that the sun is past the meridian."""
+    return F.radians(F.pmod(280.46061837 + 360.98564736629 * days + lon, F.lit(360.0)) - ascension)
+
+
+def sun_azimuth(days: Column, lat: Column, lon: Column) -> Column:
+    """Degrees clockwise from north."""
+    ra, dec = sun_equatorial(days)
+    hour = hour_angle(days, lon, ra)
+    return F.pmod(F.degrees(F.atan2(-F.sin(hour), F.tan(dec) * F.cos(F.radians(lat)) - F.sin(F.radians(lat)) * F.cos(hour))), F.lit(360.0))
+
+
+def sun_day(midnight: Column, lat: Column, lon: Column) -> Column:
+    """Of a day that begins ``midnight`` days after noon of 1 January 2000, minute by minute: struct of noon (minute of the highest sun), rise and set
+    (azimuths at the first minute up and the last one before the sun goes down; null if it doesn't)."""
+    at = lambda m: midnight + m / 1440.0
+    high = F.transform(F.sequence(F.lit(0), F.lit(1439)), lambda m: sun_elevation(at(m), lat, lon))
+    ups = lambda e: F.filter(F.sequence(F.lit(1), F.lit(1439)), lambda m: (F.get(e, m - 1) < 0) & (F.get(e, m) >= 0))
+    downs = lambda e: F.filter(F.sequence(F.lit(1), F.lit(1439)), lambda m: (F.get(e, m - 1) >= 0) & (F.get(e, m) < 0))
+    # the elevations are one element, so that they are computed once
+    found = F.transform(F.array(high), lambda e: F.struct(F.array_position(e, F.array_max(e)).alias("noon"), F.get(ups(e), F.lit(0)).alias("up"), F.element_at(F.concat(F.array(F.lit(None).cast("int")), downs(e)), -1).alias("down")))[0]
+    return F.struct((found["noon"] - 1).cast("long").alias("noon"), sun_azimuth(at(found["up"]), lat, lon).alias("rise"), sun_azimuth(at(found["down"] - 1), lat, lon).alias("set"))
+
+
+def daily_beam(day: Column, lat: Column, slope: Column, aspect: Column, transmittance: float | None = None, step: int = 2) -> Column:
+    """Megajoules a square metre that direct light brings on a day to a plane of that slope, facing ``aspect``: the day's hour angles summed in steps of
+    minutes, while the sun is up and before the plane; air takes its share of a ray by ``transmittance`` to the power of the air it passes."""
+    if step <= 0 or 1440 % step:
+        raise ValueError("the step must divide a day")
+    phi, delta, beta, gamma = F.radians(lat), F.radians(declination(day)), F.radians(slope), F.radians(aspect)
+
+    def share(minute: Column) -> Column:
+        hour = F.radians(minute / 4.0 - 180)
+        up = F.sin(phi) * F.sin(delta) + F.cos(phi) * F.cos(delta) * F.cos(hour)
+        east, north = -F.cos(delta) * F.sin(hour), F.cos(phi) * F.sin(delta) - F.sin(phi) * F.cos(delta) * F.cos(hour)
+        facing = east * F.sin(beta) * F.sin(gamma) + north * F.sin(beta) * F.cos(gamma) + up * F.cos(beta)
+        air = F.lit(1.0) if transmittance is None else F.pow(F.lit(transmittance), 1 / up)
+        return F.when((up > 0) & (facing > 0), facing * air).otherwise(0.0)
+
+    total = F.aggregate(F.sequence(F.lit(0), F.lit(1440 - step), F.lit(step)), F.lit(0.0), lambda sum_, m: sum_ + share(m))
+    return total * (SOLAR_CONSTANT * step * 60 / 1e6)
+
+
 def sun_elevation(days: Column, lat: Column, lon: Column) -> Column:
     ra, dec = sun_equatorial(days)
-    hour = F.radians(F.pmod(280.46061837 + 360.98564736629 * days + lon, F.lit(360.0)) - ra)
+    hour = hour_angle(days, lon, ra)
     return F.degrees(F.asin(clamp(F.sin(F.radians(lat)) * F.sin(dec) + F.cos(F.radians(lat)) * F.cos(dec) * F.cos(hour))))
 
 

@@ -94,6 +94,28 @@ def semivariogram(samples: DataFrame, lag: float, n: int, value: str = "v") -> D
     return pairs.groupBy(F.floor(F.sqrt("d2") / lag).cast("long").alias("lag")).agg(F.count("*").alias("pairs"), (F.avg(F.pow(F.col("av") - F.col("bv"), 2)) / 2).alias("gamma"))
 
 
+def fitted_variogram(curve: DataFrame, lag: float, farthest: float, steps: int = 200) -> DataFrame:
+    """(nugget, sill, reach, error): the exponential model nugget + (sill - nugget) (1 - exp(-3 h / reach)) nearest to ``curve`` (lag, pairs, gamma), whose
+    lags are steps of ``lag``.
+
+    The sill is the mean of the far third of the lags, the nugget the first lag's value, at most the sill; the reach is the best of ``steps`` even steps up to
+    ``farthest`` by squares weighted with pairs, the smallest of equal ones. A curve has one row a lag, so all reaches are tried in one join of lags with steps. Fewer than three lags give no row.
+    """
+    if lag <= 0 or farthest <= 0 or steps < 2:
+        raise ValueError("lag and farthest reach must be positive, with two steps or more")
+    ends = F.array_sort(F.collect_list(F.struct("lag", "gamma")))
+    far = lambda c: F.slice(c, F.floor(2 * F.size(c) / 3).cast("int") + 1, F.size(c))
+    shape = curve.agg(ends.alias("curve")).filter(F.size("curve") >= 3)
+    total = F.aggregate(far(F.col("curve")), F.lit(0.0), lambda s, x: s + x["gamma"])
+    shape = shape.withColumn("sill", total / F.size(far(F.col("curve")))).withColumn("nugget", F.greatest(F.lit(0.0), F.least(F.col("curve")[0]["gamma"], F.col("sill"))))
+    tried = shape.select("nugget", "sill", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("k")).withColumn("reach", F.col("k") * (farthest / steps))
+    model = F.col("nugget") + (F.col("sill") - F.col("nugget")) * (1 - F.exp(-3 * (F.col("lag") + 0.5) * lag / F.col("reach")))
+    # a few lags beside a few hundred reaches, whatever the number of samples
+    errors = tried.join(F.broadcast(curve.select("lag", "pairs", "gamma"))).groupBy("nugget", "sill", "reach").agg(F.sum(F.col("pairs") * F.pow(model - F.col("gamma"), 2)).alias("error"))
+    return errors.agg(F.min(F.struct("error", "reach", "nugget", "sill")).alias("m")).filter("m is not null").select("m.nugget", "m.sill", "m.reach", "m.error")
+
+
+
 def geometric_median(points: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> tuple[float, float]:
     """Weiszfeld's iteration: one aggregate a round; a point that is hit is returned."""
     x, y = points.agg(F.avg("x"), F.avg("y")).first()

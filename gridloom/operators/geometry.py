@@ -170,6 +170,61 @@ def on_rings(f, schema: str):
     return run
 
 
+def below(ring: Points, nx: float, ny: float, offset: float) -> Points:
+    """The part of a ring where nx x + ny y is at most ``offset``; a concave ring may keep seams of no width along the cut."""
+    high = [nx * x + ny * y - offset for x, y in ring]
+    out: Points = []
+    for (p, h), (q, k) in zip(zip(ring, high, strict=True), zip(ring[1:] + ring[:1], high[1:] + high[:1], strict=True), strict=True):
+        if h <= 0:
+            out.append(p)
+        if h * k < 0:
+            t = h / (h - k)
+            out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+    return out
+
+
+def share_offset(ring: Points, share: float, direction: float) -> float:
+    """Where a cut across ``direction`` (degrees from the x axis) leaves that share of the ring's area behind it.
+
+    Between two neighbouring corners along the direction the area behind a cut is a quadratic of its place, so three areas give the place exactly;
+    corners are halved until one such stretch is left.
+    """
+    nx, ny = math.cos(math.radians(direction)), math.sin(math.radians(direction))
+    behind = lambda offset: abs(ring_area(below(ring, nx, ny, offset)))
+    stops = sorted({nx * x + ny * y for x, y in ring})
+    want = share * abs(ring_area(ring))
+    low, high = 0, len(stops) - 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if behind(stops[mid]) < want else (low, mid)
+    a, b = stops[low], stops[high]
+    start, middle, end = behind(a), behind((a + b) / 2), behind(b)
+    bend = 2 * (start + end - 2 * middle)
+    slope, gap = end - start - bend, want - start
+    root = slope + math.sqrt(max(0.0, slope * slope + 4 * bend * gap))
+    return a + (b - a) * (min(1.0, max(0.0, 2 * gap / root)) if root > 0 else 0.0)
+
+
+def equal_strips(ring: Points, count: int, direction: float) -> list[tuple[float, float]]:
+    """(offset, area) of the strips of equal area across a direction, the nearest first; offset is where a strip ends."""
+    nx, ny = math.cos(math.radians(direction)), math.sin(math.radians(direction))
+    if len(ring) < 3 or not ring_area(ring):
+        return []
+    ends = [share_offset(ring, k / count, direction) for k in range(1, count)] + [max(nx * x + ny * y for x, y in ring)]
+    areas = [abs(ring_area(below(ring, nx, ny, e))) for e in ends[:-1]] + [abs(ring_area(ring))]
+    return [(e, a - b) for e, a, b in zip(ends, areas, [0.0, *areas[:-1]], strict=True)]
+
+
+def on_strips(count: int):
+    """A column function of a ring and a direction: its equal strips; none of a ring without area."""
+
+    @F.pandas_udf("array<struct<offset:double,area:double>>")
+    def run(rings: pd.Series, directions: pd.Series) -> pd.Series:
+        return pd.Series([[{"offset": o, "area": a} for o, a in equal_strips([(p["x"], p["y"]) for p in r], count, d)] for r, d in zip(rings, directions, strict=True)], dtype=object)
+
+    return run
+
+
 def clip_ring(ring: Points, window: Points) -> Points:
     """A ring clipped to a convex counter-clockwise window, one edge after another."""
     out = ring

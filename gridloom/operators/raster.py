@@ -340,6 +340,50 @@ def distance_transform(cells: DataFrame, mask: Column) -> DataFrame:
     return cols.select("r", "c", "g").groupBy("r").applyInPandas(envelope, "r long, c long, d2 long")
 
 
+def medial_axis(cells: DataFrame, shape: Column) -> DataFrame:
+    """(r, c, d2): cells of the shape whose disc, up to the nearest cell outside, lies in no neighbour's disc. A shape without an outside has no axis."""
+    depth = settle(distance_transform(cells, ~F.coalesce(shape, F.lit(False))))
+    length = F.when((F.col("dr") != 0) & (F.col("dc") != 0), math.sqrt(2)).otherwise(1.0)
+    inside = depth.filter("d2 > 0")
+    near = inside.join(shifted(inside, ROUND, "d2"), ["r", "c"])
+    covered = near.filter(F.sqrt("n_d2") >= F.sqrt("d2") + length - 1e-9).select("r", "c").distinct()
+    return inside.join(covered, ["r", "c"], "left_anti").select("r", "c", "d2")
+
+
+def degrees_of(axis: DataFrame) -> DataFrame:
+    """(r, c, degree, kind): how many of the eight neighbours belong to the axis; ``end`` up to one, ``junction`` from three, else ``line``."""
+    near = axis.select("r", "c").join(shifted(axis.withColumn("one", F.lit(1)), ROUND, "one"), ["r", "c"]).groupBy("r", "c").agg(F.count("*").alias("degree"))
+    counted = axis.select("r", "c").join(near, ["r", "c"], "left").select("r", "c", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    return counted.withColumn("kind", F.when(F.col("degree") <= 1, "end").when(F.col("degree") >= 3, "junction").otherwise("line"))
+
+
+def peeled(axis: DataFrame, rounds: int) -> DataFrame:
+    """(r, c): the axis after ``rounds`` rounds that each take away all its ends at once, so that short spurs go."""
+    left = axis.select("r", "c")
+    for i in range(rounds):
+        left = settle(degrees_of(left).filter("kind != 'end'").select("r", "c"), i)
+    return left
+
+
+def canopy(returns: DataFrame, side: float) -> DataFrame:
+    """(r, c, top, ground, height) of laser returns (x, y, z): the highest and the lowest of each cell, and what lies between."""
+    cells = returns.groupBy(F.floor(F.col("y") / side).cast("long").alias("r"), F.floor(F.col("x") / side).cast("long").alias("c"))
+    return cells.agg(F.max("z").alias("top"), F.min("z").alias("ground")).withColumn("height", F.col("top") - F.col("ground"))
+
+
+def tree_tops(heights: DataFrame, least: float, taller: float, widest: int) -> DataFrame:
+    """(r, c, height, reach): cells of at least ``least`` that no cell of their window overtops; of equal ones the first in row order.
+
+    A window reaches one cell, and one more for every ``taller`` of height, ``widest`` at most, as taller trees have wider crowns.
+    """
+    reach = F.least(1 + F.floor(F.col("height") / taller), F.lit(widest)).cast("int")
+    high = heights.filter(F.col("height") >= least).select("r", "c", "height", reach.alias("reach"))
+    near = high.join(shifted(heights, window_offsets(widest), "height"), ["r", "c"]).filter(F.greatest(F.abs("dr"), F.abs("dc")) <= F.col("reach"))
+    before = (F.col("dr") < 0) | ((F.col("dr") == 0) & (F.col("dc") < 0))
+    under = near.filter((F.col("n_height") > F.col("height")) | ((F.col("n_height") == F.col("height")) & before)).select("r", "c").distinct()
+    return high.join(under, ["r", "c"], "left_anti")
+
+
 def rays(cells: DataFrame, directions: int, steps: int) -> DataFrame:
     """Each cell with the heights along straight rays: (r, c, v, k, step, h); rays are dealt in steps, half-even rounded."""
     k, s = F.explode(F.sequence(F.lit(0), F.lit(directions - 1))), F.explode(F.sequence(F.lit(1), F.lit(steps)))

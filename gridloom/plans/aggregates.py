@@ -161,6 +161,17 @@ def variogram(spark: SparkSession, d: str) -> DataFrame:
     return agg.semivariogram(points(spark, d).withColumn("v", (F.col("id") % 37).cast("double")), 20.0, 5).select("lag", "pairs", F.round("gamma", 6).alias("gamma"))
 
 
+VARIOGRAM_FIT = "WITH v AS (SELECT CAST(floor(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/10) AS BIGINT) AS lag, count(*) AS pairs, avg((a.z-b.z)**2)/2 AS gamma FROM w a JOIN w b ON a.id < b.id WHERE (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) < 10000 GROUP BY 1), s AS (SELECT avg(gamma) FILTER (WHERE i > floor(2*n/3)) AS sill, min(gamma) FILTER (WHERE i = 1) AS first FROM (SELECT gamma, row_number() OVER (ORDER BY lag) AS i, count(*) OVER () AS n FROM v)), m AS (SELECT sill, greatest(0, least(first, sill)) AS nugget FROM s), e AS (SELECT nugget, sill, k*2.0 AS reach, sum(pairs*(nugget+(sill-nugget)*(1-exp(-3*(lag+0.5)*10/(k*2.0)))-gamma)**2) AS error FROM m, range(1, 201) q(k), v GROUP BY nugget, sill, k) SELECT round(nugget, 6) AS nugget, round(sill, 6) AS sill, arg_min(reach, (error, reach)) AS reach FROM e GROUP BY nugget, sill"
+
+
+@query("variogram_fit", sql("WITH w AS (SELECT id, x, y, sin(x/60)*10+cos(y/45)*8+id%5 AS z FROM points), " + VARIOGRAM_FIT[5:], "points"))
+def variogram_fit(spark: SparkSession, d: str) -> DataFrame:
+    """Nugget, sill and reach of a smooth field with noise."""
+    field = F.sin(F.col("x") / 60) * 10 + F.cos(F.col("y") / 45) * 8 + F.col("id") % 5
+    curve = agg.semivariogram(points(spark, d).withColumn("z", field), 10.0, 10, "z")
+    return agg.fitted_variogram(curve, 10.0, 400.0).select(F.round("nugget", 6).alias("nugget"), F.round("sill", 6).alias("sill"), "reach")
+
+
 @query("bearingstats", sql("WITH m AS (SELECT avg(sin(radians(lon1*85/180+85))) AS s, avg(cos(radians(lon1*85/180+85))) AS c FROM places) SELECT round(degrees(atan2(s, c))+360-360*floor((degrees(atan2(s, c))+360)/360), 6) AS mean, round(sqrt(s*s+c*c), 6) AS length, round(degrees(sqrt(-2*ln(sqrt(s*s+c*c)))), 6) AS std FROM m", "places"))
 def bearingstats(spark: SparkSession, d: str) -> DataFrame:
     """Bearings are drawn together to half a circle, so that they have a mean."""

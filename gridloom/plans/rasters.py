@@ -130,12 +130,28 @@ def rasterbuffer(spark: SparkSession, d: str) -> DataFrame:
     return ras.distance_transform(raster(spark, d), F.col("k") > 48).filter("d2 <= 9").select("r", "c")
 
 
-@query("medialaxis", sql(f"WITH e AS (SELECT a.r, a.c, min((a.r-b.r)**2+(a.c-b.c)**2)::BIGINT AS v FROM cells a, cells b WHERE b.k > 45 GROUP BY a.r, a.c) SELECT a.r, a.c, any_value(a.v) AS d2 FROM e a JOIN e b ON {NEAR4} WHERE a.v > 0 GROUP BY a.r, a.c HAVING max(b.v) <= any_value(a.v)", "cells"))
+#: The shape's cells whose disc no neighbour's disc covers.
+AXIS = "WITH e AS (SELECT a.r, a.c, min((a.r-b.r)**2+(a.c-b.c)**2)::BIGINT AS d2 FROM cells a, cells b WHERE NOT b.k > 4 GROUP BY a.r, a.c), m AS (SELECT r, c, d2 FROM e WHERE d2 > 0 AND NOT EXISTS (SELECT 1 FROM e n WHERE abs(n.r-e.r) <= 1 AND abs(n.c-e.c) <= 1 AND (n.r <> e.r OR n.c <> e.c) AND sqrt(n.d2) >= sqrt(e.d2)+sqrt((n.r-e.r)**2+(n.c-e.c)**2)-1e-9))"
+
+
+@query("medialaxis", sql(AXIS + " SELECT r, c, d2 FROM m", "cells"))
 def medialaxis(spark: SparkSession, d: str) -> DataFrame:
-    """Ridge cells of the distance: no straight neighbour lies deeper."""
-    e = ras.distance_transform(raster(spark, d), F.col("k") > 45)
-    deepest = ras.around(e, STRAIGHT, "d2").groupBy("r", "c").agg(F.max("n_d2").alias("m"))
-    return e.filter("d2 > 0").join(deepest, ["r", "c"]).filter("m <= d2").select("r", "c", "d2")
+    return ras.medial_axis(raster(spark, d), F.col("k") > 4)
+
+
+@query("medialaxis_nodes", sql(AXIS + ", p AS (SELECT r, c FROM m WHERE d2 >= 4), n AS (SELECT a.r, a.c, count(b.r) AS degree FROM p a LEFT JOIN p b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c) SELECT *, CASE WHEN degree <= 1 THEN 'end' WHEN degree >= 3 THEN 'junction' ELSE 'line' END AS kind FROM n", "cells"))
+def medialaxis_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Ends and junctions of the axis where it lies at least two deep."""
+    return ras.degrees_of(ras.medial_axis(raster(spark, d), F.col("k") > 4).filter("d2 >= 4"))
+
+
+PEELED = ", p0 AS (SELECT r, c FROM m WHERE d2 >= 2)" + "".join(f", p{k} AS (SELECT a.r, a.c FROM p{k - 1} a JOIN p{k - 1} b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) GROUP BY a.r, a.c HAVING count(*) > 1)" for k in (1, 2)) + " SELECT r, c FROM p2"
+
+
+@query("medialaxis_peeled", sql(AXIS + PEELED, "cells"))
+def medialaxis_peeled(spark: SparkSession, d: str) -> DataFrame:
+    """The axis without what two rounds of peeling its ends take."""
+    return ras.peeled(ras.medial_axis(raster(spark, d), F.col("k") > 4).filter("d2 >= 2"), 2)
 
 
 @query("marchingsquares", None)
@@ -236,11 +252,26 @@ def tileseams(spark: SparkSession, d: str) -> DataFrame:
     return ras.around(raster(spark, d), ras.ROUND, "v", itself=True).groupBy("r", "c").agg(F.round(F.avg("n_v"), 6).alias("mean"))
 
 
-@query("lidarheights", sql("WITH h AS (SELECT floor(x/25) AS c, floor(y/25) AS r, max(id%211) AS top, min(id%211) AS ground FROM points GROUP BY 1, 2) SELECT CAST(r AS BIGINT) AS r, CAST(c AS BIGINT) AS c, top, ground, top-ground AS height FROM h", "points"))
+def returns(spark: SparkSession, d: str) -> DataFrame:
+    """Laser returns: a slope to the east, and on most points a crown of a height told by the id."""
+    crown = F.when(F.col("id") % 4 != 0, 2.0 + F.col("id") * 31 % 30).otherwise(0.0)
+    return points(spark, d).select("x", "y", (F.col("x") * 0.05 + crown).alias("z"))
+
+
+CANOPY = "WITH l AS (SELECT x, y, x*0.05+CASE WHEN id%4 <> 0 THEN 2.0+id*31%30 ELSE 0.0 END AS z FROM points), h AS (SELECT CAST(floor(y/40) AS BIGINT) AS r, CAST(floor(x/40) AS BIGINT) AS c, max(z) AS top, min(z) AS ground, max(z)-min(z) AS height FROM l GROUP BY 1, 2)"
+
+
+@query("lidarheights", sql(CANOPY + " SELECT r, c, round(top, 6) AS top, round(ground, 6) AS ground, round(height, 6) AS height FROM h", "points"))
 def lidarheights(spark: SparkSession, d: str) -> DataFrame:
-    z = F.col("id") % 211
-    h = points(spark, d).groupBy(F.floor(F.col("y") / 25).alias("r"), F.floor(F.col("x") / 25).alias("c")).agg(F.max(z).alias("top"), F.min(z).alias("ground"))
-    return h.withColumn("height", F.col("top") - F.col("ground"))
+    """Surface, terrain and canopy of laser returns."""
+    return ras.canopy(returns(spark, d), 40.0).select("r", "c", *[F.round(v, 6).alias(v) for v in ("top", "ground", "height")])
+
+
+@query("lidarheights_tops", sql(CANOPY + ", t AS (SELECT *, least(1+CAST(floor(height/15) AS INT), 3) AS reach FROM h WHERE height >= 5) SELECT r, c, round(height, 6) AS height, reach FROM t WHERE NOT EXISTS (SELECT 1 FROM h n WHERE abs(n.r-t.r) <= reach AND abs(n.c-t.c) <= reach AND (n.r <> t.r OR n.c <> t.c) AND (n.height > t.height OR n.height = t.height AND (n.r < t.r OR n.r = t.r AND n.c < t.c)))", "points"))
+def lidarheights_tops(spark: SparkSession, d: str) -> DataFrame:
+    """Tree tops of the canopy."""
+    tops = ras.tree_tops(ras.canopy(returns(spark, d), 40.0), 5.0, 15.0, 3)
+    return tops.select("r", "c", F.round("height", 6).alias("height"), "reach")
 
 
 @query("latticecircle", sql("SELECT r, count(*) AS n FROM range(1, 21) q(r), range(-20, 21) a(x), range(-20, 21) b(y) WHERE x*x+y*y <= r*r GROUP BY r", "points"))

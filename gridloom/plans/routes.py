@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import geodesy
 from gridloom.operators import geometry as geo
-from gridloom.operators import graphs, nearest, routes, tracks
+from gridloom.operators import graphs, nearest, positioning, routes, tracks
 from gridloom.plans.catalog import query
 from gridloom.plans.joins import CROSS
 from gridloom.plans.scalar import U1
@@ -54,14 +54,46 @@ def azimuthaccuracy(spark: SparkSession, d: str) -> DataFrame:
     return join_within(points(spark, d), sites(spark, d), 100.0).select("id", "sid", F.round(F.sqrt("d2") * F.radians(F.lit(0.5)), 6).alias("error"))
 
 
-@query("resection", sql("SELECT id, round(x, 3)+0.0 AS px, round(y, 3)+0.0 AS py FROM points WHERE abs((x-100)*(y-900)-(y-100)*(x-800)) > 1000", "points"))
-def resection(spark: SparkSession, d: str) -> DataFrame:
-    """A place from its bearings at two known stations: where the two rays meet; left out where they are nearly in line."""
+#: Bearings from every point to the sites within 150, up to a fifth of a degree off.
+SEEN = "WITH o AS (SELECT id, x, y, sx AS lx, sy AS ly, degrees(atan2(sx-x, sy-y)) + ((id*31+sid*17)%21-10)*0.02 AS b0 FROM points, sites WHERE (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 22500), s AS (SELECT *, b0-360*floor(b0/360) AS b FROM o)"
+NORMAL = SEEN + ", k AS (SELECT *, cos(radians(b)) AS cb, -sin(radians(b)) AS sb, cos(radians(b))*lx-sin(radians(b))*ly AS q FROM s), n AS (SELECT id, count(*) AS n, sum(cb*cb) AS a, sum(cb*sb) AS b, sum(sb*sb) AS d, sum(cb*q) AS e, sum(sb*q) AS f FROM k GROUP BY id), p AS (SELECT id, n, (e*d-b*f)/(a*d-b*b) AS px, (a*f-e*b)/(a*d-b*b) AS py FROM n WHERE n > 1 AND a*d-b*b > 0.01), r AS (SELECT p.id, degrees(atan2(lx-px, ly-py))-b+180 AS g FROM p JOIN s USING (id)) SELECT id, n, round(any_value(px), 3)+0.0 AS px, round(any_value(py), 3)+0.0 AS py, round(sqrt(avg((g-360*floor(g/360)-180)**2)), 5) AS residual FROM p JOIN r USING (id) GROUP BY id, n"
+
+
+def sightings(spark: SparkSession, d: str) -> DataFrame:
+    from gridloom.operators.joins import join_within
     from gridloom.sources.fixtures import points
 
-    p = points(spark, d).withColumns({"a": F.atan2(F.col("y") - 100, F.col("x") - 100), "b": F.atan2(F.col("y") - 900, F.col("x") - 800), "k": F.abs((F.col("x") - 100) * (F.col("y") - 900) - (F.col("y") - 100) * (F.col("x") - 800))})
-    s = (700 * F.sin("b") - 800 * F.cos("b")) / F.sin(F.col("b") - F.col("a"))
-    return p.filter("k > 1000").select("id", (F.round(100 + s * F.cos("a"), 3) + 0.0).alias("px"), (F.round(100 + s * F.sin("a"), 3) + 0.0).alias("py"))
+    near = join_within(points(spark, d), sites(spark, d), 150.0)
+    off = ((F.col("id") * 31 + F.col("sid") * 17) % 21 - 10) * 0.02
+    true = positioning.bearing_of(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
+    return near.select("id", "sid", "x", "y", F.col("sx").alias("lx"), F.col("sy").alias("ly"), F.pmod(true + off, F.lit(360.0)).alias("bearing"))
+
+
+@query("resection", sql(NORMAL, "points", "sites"))
+def resection(spark: SparkSession, d: str) -> DataFrame:
+    """Places from bearings to all landmarks in reach by least squares; left out where the bearings are nearly parallel."""
+    seen = sightings(spark, d)
+    c, s = F.cos(F.radians("bearing")), F.sin(F.radians("bearing"))
+    wide = seen.groupBy("id").agg(F.count("*").alias("n"), (F.sum(c * c) * F.sum(s * s) - F.pow(F.sum(c * s), 2)).alias("det")).filter("n > 1 and det > 0.01")
+    fixes = positioning.bearing_fixes(seen.join(wide.select("id"), "id", "left_semi"))
+    return fixes.select("id", "n", (F.round("x", 3) + 0.0).alias("px"), (F.round("y", 3) + 0.0).alias("py"), F.round("residual", 5).alias("residual"))
+
+
+PAIRED = SEEN.replace("SELECT id, x, y,", "SELECT id, sid, x, y,") + ", k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sid) AS i FROM s), p AS (SELECT a.id, a.x, a.y, a.lx AS ax, a.ly AS ay, c.lx AS bx, c.ly AS bb, sin(radians(a.b+180)) AS ux, cos(radians(a.b+180)) AS uy, sin(radians(c.b+180)) AS vx, cos(radians(c.b+180)) AS vy FROM k a JOIN k c ON a.id = c.id AND a.i = 1 AND c.i = 2), d AS (SELECT *, uy*vx-ux*vy AS det FROM p), t AS (SELECT *, ((bb-ay)*vx-(bx-ax)*vy)/det AS t FROM d WHERE abs(det) > 0.05) SELECT id, round(ax+t*ux, 3)+0.0 AS px, round(ay+t*uy, 3)+0.0 AS py, round(sqrt((ax+t*ux-x)**2+(ay+t*uy-y)**2), 4) AS miss, round(sqrt(2.0)*sqrt((x-ax)**2+(y-ay)**2)*radians(0.1)/abs(det), 4) AS law FROM t"
+
+
+@query("azimuthaccuracy_fix", sql(PAIRED, "points", "sites"))
+def azimuthaccuracy_fix(spark: SparkSession, d: str) -> DataFrame:
+    """Each point from the bearings that its first two stations in reach take of it: the fix, its miss, and the miss that a tenth of a degree would give."""
+    from pyspark.sql import Window
+
+    first = sightings(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("sid"))).filter("i <= 2")
+    side = lambda i, p: first.filter(F.col("i") == i).select("id", "x", "y", F.col("lx").alias(f"{p}x"), F.col("ly").alias(f"{p}y"), (F.col("bearing") + 180).alias(f"{p}_bearing"))
+    pairs = side(1, "a").join(side(2, "b").drop("x", "y"), "id")
+    sine = F.abs(F.sin(F.radians(F.col("a_bearing") - F.col("b_bearing"))))
+    px, py = positioning.crossing_of(*[F.col(c) for c in ("ax", "ay", "a_bearing", "bx", "by", "b_bearing")])
+    fixes = pairs.filter(sine > 0.05).withColumns({"px": px, "py": py, "law": positioning.fix_miss(F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay")), F.lit(0.1), F.degrees(F.asin(sine)))})
+    return fixes.select("id", (F.round("px", 3) + 0.0).alias("px"), (F.round("py", 3) + 0.0).alias("py"), F.round(F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")), 4).alias("miss"), F.round("law", 4).alias("law"))
 
 
 @query("simplifyarea", None)

@@ -497,8 +497,17 @@ scalar(
     {
         "elevation": (lambda: astronomy.sun_elevation(WHEN(), A1(), O1()), S_ALT),
         "declination": (lambda: F.degrees(astronomy.sun_equatorial(WHEN())[1]), f"degrees({S_SUN_DEC})"),
+        "azimuth": (lambda: astronomy.sun_azimuth(WHEN(), A1(), O1()), s_mod(f"degrees(atan2(-sin({S_HA}), tan({S_SUN_DEC})*cos(radians(lat1))-sin(radians(lat1))*cos({S_HA})))")),
     }, digits=4,
 )
+S_MINUTE = f"WITH e AS (SELECT id, m, {S_ALT.replace(S_D, '(id%365+m/1440.0)')} AS high, {s_mod(f'degrees(atan2(-sin({S_HA}), tan({S_SUN_DEC})*cos(radians(lat1))-sin(radians(lat1))*cos({S_HA})))').replace(S_D, '(id%365+m/1440.0)')} AS azimuth FROM places, range(1440) q(m)), w AS (SELECT *, lag(high) OVER w AS before, lead(high) OVER w AS after FROM e WINDOW w AS (PARTITION BY id ORDER BY m)) SELECT id, CAST(arg_min(m, (-round(high, 9), m)) AS BIGINT) AS noon, round(arg_min(azimuth, m) FILTER (WHERE before < 0 AND high >= 0), 4) AS rise, round(arg_max(azimuth, m) FILTER (WHERE high >= 0 AND after < 0), 4) AS set FROM w GROUP BY id"
+
+
+@query("sunposition_day", fixtures.sql(S_MINUTE, "places"))
+def sunposition_day(spark: SparkSession, d: str) -> DataFrame:
+    """Noon, sunrise and sunset of a day of 2000 at each place."""
+    day = fixtures.places(spark, d).select("id", astronomy.sun_day((F.col("id") % 365).cast("double"), A1(), O1()).alias("s"))
+    return day.select("id", "s.noon", F.round("s.rise", 4).alias("rise"), F.round("s.set", 4).alias("set"))
 S_DAYLEN = "(CASE WHEN -tan(radians(lat1))*tan(radians({d})) >= 1 THEN 0.0 WHEN -tan(radians(lat1))*tan(radians({d})) <= -1 THEN 24.0 ELSE degrees(acos(greatest(-1.0, least(1.0, -tan(radians(lat1))*tan(radians({d}))))))*2/15 END)".replace("{d}", S_DEC)
 scalar(
     'solarradiation',
@@ -506,6 +515,17 @@ scalar(
         "day_hours": (lambda: astronomy.day_length(DAY(), A1()), S_DAYLEN),
     },
 )
+BEAM = f"WITH h AS (SELECT id, radians(lat1) AS p, radians({S_DEC}) AS d, radians(id%50+0.0) AS b, radians(id*7%360+0.0) AS g, radians(m*2/4.0-180) AS w FROM places, range(720) q(m)), u AS (SELECT *, sin(p)*sin(d)+cos(p)*cos(d)*cos(w) AS up FROM h), f AS (SELECT *, -cos(d)*sin(w)*sin(b)*sin(g)+(cos(p)*sin(d)-sin(p)*cos(d)*cos(w))*sin(b)*cos(g)+up*cos(b) AS facing FROM u) SELECT id, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing ELSE 0 END), 5) AS bare, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing*pow(0.7, 1/up) ELSE 0 END), 5) AS beam FROM f GROUP BY id"
+
+
+@query("solarradiation_beam", fixtures.sql(BEAM, "places"))
+def solarradiation_beam(spark: SparkSession, d: str) -> DataFrame:
+    """A day's direct light on a slope at each place, above the air and below it."""
+    beam = lambda t: astronomy.daily_beam(DAY(), A1(), (F.col("id") % 50).cast("double"), (F.col("id") * 7 % 360).cast("double"), t)
+    return fixtures.places(spark, d).select("id", F.round(beam(None), 5).alias("bare"), F.round(beam(0.7), 5).alias("beam"))
+
+
+
 scalar(
     'radiohorizon',
     {

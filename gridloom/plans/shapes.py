@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import codes, geodesy
 from gridloom.operators import geometry as geo
-from gridloom.operators import graphs, joins, matching, tiles, tracks, triangulation
+from gridloom.operators import graphs, joins, matching, positioning, tiles, tracks, triangulation
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import S_GX, S_GY, s_geohash
 from gridloom.sources import text
@@ -317,10 +317,22 @@ def polylabel(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", f("ring").alias("p")).select("id", F.round("p.depth", 2).alias("depth"))
 
 
+def strips(spark: SparkSession, d: str) -> DataFrame:
+    """Each site's ring in four strips of equal area, across a direction told by its id."""
+    f = geo.on_strips(4)
+    cut = rings(spark, d).select("id", f("ring", (F.col("id") * 37 % 360).cast("double")).alias("s"))
+    return cut.select("id", F.posexplode("s").alias("strip", "s")).select("id", "strip", "s.*")
+
+
 @query("parcelsplit", None)
 def parcelsplit(spark: SparkSession, d: str) -> DataFrame:
-    f = geo.on_rings(lambda r: (geo.split_at(geo.hull(r), 0.5),), "x double")
-    return rings(spark, d).select("id", F.round(f("ring")["x"], 4).alias("x"))
+    """Where the cuts lie along the direction; the last strip ends where the ring does."""
+    return strips(spark, d).select("id", "strip", F.round("offset", 5).alias("offset"))
+
+
+@query("parcelsplit_areas", sql("SELECT id, strip::INT AS strip, round(abs(sum(x1*y2-x2*y1)/2)/4, 4)+0.0 AS area FROM edges, range(4) q(strip) GROUP BY id, strip", "edges"))
+def parcelsplit_areas(spark: SparkSession, d: str) -> DataFrame:
+    return strips(spark, d).select("id", "strip", (F.round("area", 4) + 0.0).alias("area"))
 
 
 # S12: points
@@ -515,14 +527,16 @@ def affinefit(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.round((F.col("e") * F.col("c") - F.col("f") * F.col("b")) / det, 6).alias("ux"), F.round((F.col("a") * F.col("f") - F.col("b") * F.col("e")) / det, 6).alias("uy"))
 
 
-@query("trilateration", sql("WITH q AS (SELECT id, x, y, sx, sy, (x-sx)**2+(y-sy)**2 AS d2 FROM points, sites), m AS (SELECT id, any_value(x) AS x, any_value(y) AS y FROM q GROUP BY id) SELECT id, round(x, 4)+0.0 AS px, round(y, 4)+0.0 AS py FROM m", "points", "sites"))
+#: Distances to the sites within 200, up to a half off; the first guess from squares, and five steps of Gauss and Newton.
+RANGED = "WITH r AS (SELECT id, sx, sy, sqrt((x-sx)**2+(y-sy)**2)+((id*13+sid*29)%11-5)*0.1 AS d FROM points, sites WHERE (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 40000), m AS (SELECT id, count(*) AS n, avg(sx) AS mx, avg(sy) AS my, avg(sx*sx+sy*sy-d*d) AS mq FROM r GROUP BY id), l AS (SELECT id, any_value(n) AS n, avg((sx-mx)**2) AS a, avg((sx-mx)*(sy-my)) AS b, avg((sy-my)**2) AS c, avg((sx-mx)*(sx*sx+sy*sy-d*d-mq)/2) AS e, avg((sy-my)*(sx*sx+sy*sy-d*d-mq)/2) AS f FROM r JOIN m USING (id) GROUP BY id), p0 AS (SELECT id, n, (e*c-f*b)/(a*c-b*b) AS x, (a*f-b*e)/(a*c-b*b) AS y FROM l WHERE n >= 3 AND a*c-b*b > 9000000)"
+STEP = ", g{i} AS (SELECT id, any_value(n) AS n, any_value(x) AS x, any_value(y) AS y, sum(gx*gx) AS a, sum(gx*gy) AS b, sum(gy*gy) AS c, sum(gx*q) AS e, sum(gy*q) AS f, sqrt(avg(q*q)) AS residual FROM (SELECT id, n, x, y, (x-sx)/sqrt((x-sx)**2+(y-sy)**2) AS gx, (y-sy)/sqrt((x-sx)**2+(y-sy)**2) AS gy, d-sqrt((x-sx)**2+(y-sy)**2) AS q FROM r JOIN p{i} USING (id)) GROUP BY id), p{j} AS (SELECT id, n, x+(e*c-f*b)/(a*c-b*b) AS x, y+(a*f-b*e)/(a*c-b*b) AS y, residual, sqrt((a+c)/(a*c-b*b)) AS dilution FROM g{i})"
+
+
+@query("trilateration", sql(RANGED + "".join(STEP.format(i=i, j=i + 1) for i in range(12)) + " SELECT id, n, round(x, 4)+0.0 AS px, round(y, 4)+0.0 AS py, round(residual, 5) AS residual, round(dilution, 5) AS dilution FROM p12", "points", "sites"))
 def trilateration(spark: SparkSession, d: str) -> DataFrame:
-    """Positions from squared distances to sites: subtracting the means leaves a linear system, solved from sums."""
-    p, s = points(spark, d), F.broadcast(sites(spark, d))
-    mean = sites(spark, d).agg(F.avg("sx").alias("mx"), F.avg("sy").alias("my"), F.avg(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy")).alias("mq"))
-    r = p.join(s).withColumn("d2", F.pow(F.col("x") - F.col("sx"), 2) + F.pow(F.col("y") - F.col("sy"), 2)).join(F.broadcast(mean))
-    u, v = F.col("sx") - F.col("mx"), F.col("sy") - F.col("my")
-    q = (F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") - F.col("mq") - F.col("d2")) / 2
-    m = r.groupBy("id").agg(F.sum(u * u).alias("a"), F.sum(u * v).alias("b"), F.sum(v * v).alias("c"), F.sum(u * q).alias("e"), F.sum(v * q).alias("f"))
-    det = F.col("a") * F.col("c") - F.col("b") * F.col("b")
-    return m.select("id", (F.round((F.col("e") * F.col("c") - F.col("f") * F.col("b")) / det, 4) + 0.0).alias("px"), (F.round((F.col("a") * F.col("f") - F.col("b") * F.col("e")) / det, 4) + 0.0).alias("py"))
+    """Places from noisy distances to all sites in reach by least squares, where at least three sites lie well apart."""
+    near = joins.join_within(points(spark, d), sites(spark, d), 200.0)
+    ranges = near.select("id", "sx", "sy", (F.sqrt("d2") + ((F.col("id") * 13 + F.col("sid") * 29) % 11 - 5) * 0.1).alias("distance"))
+    p = positioning.range_fixes(ranges, least=9_000_000.0).filter("x is not null")
+    return p.select("id", "n", (F.round("x", 4) + 0.0).alias("px"), (F.round("y", 4) + 0.0).alias("py"), F.round("residual", 5).alias("residual"), F.round("dilution", 5).alias("dilution"))
+
