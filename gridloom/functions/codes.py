@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.geodesy import unit_vector
@@ -84,6 +84,63 @@ def quadkey_children(key: Column) -> Column:
     return F.array(*[F.concat(key, F.lit(d)) for d in "0123"])
 
 
+def quadkey_cover(x0: Column, y0: Column, x1: Column, y1: Column, zoom: int) -> Column:
+    """The fewest quadkeys that are exactly the tiles x0..x1, y0..y1 of ``zoom``: array of structs (key, level), shorter keys where all four children belong.
+
+    At each level the squares inside the range are a rectangle, and so are those whose parent is inside too; what lies between the two are four strips, so work
+    grows with the range's rim and not with its tiles.
+    """
+    parts = []
+    for up in range(zoom + 1):
+        # columns a..b and rows c..d of the squares inside; of those, a2..b2 and c2..d2 have their parent inside
+        a, b, c, d = first_in(x0, up), last_in(x1, up), first_in(y0, up), last_in(y1, up)
+        a2, b2, c2, d2 = 2 * first_in(x0, up + 1), 2 * last_in(x1, up + 1) + 1, 2 * first_in(y0, up + 1), 2 * last_in(y1, up + 1) + 1
+        whole = (a2 <= b2) & (c2 <= d2) if up < zoom else F.lit(False)
+        strips = [(a, b, c, c2 - 1), (a, b, d2 + 1, d), (a, a2 - 1, c2, d2), (b2 + 1, b, c2, d2)]
+        box = lambda a, b, c, d: F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
+        boxes = F.filter(F.when(whole, F.array(*[box(*s) for s in strips])).otherwise(F.array(box(a, b, c, d))), lambda s: (s["a"] <= s["b"]) & (s["c"] <= s["d"]))
+        level = zoom - up
+        cells = F.flatten(F.transform(boxes, squares))
+        # the functions run at once, while ``level`` is this level
+        parts.append(F.transform(cells, lambda t: F.struct((quadkey(t["i"], t["j"], level) if level else F.lit("")).alias("key"), F.lit(level).alias("level"))))  # noqa: B023
+    return F.concat(*parts)
+
+
+def squares(box: Column) -> Column:
+    """All (i, j) of a box of columns a..b and rows c..d."""
+    column = lambda i: F.transform(F.sequence(box["c"], box["d"]), lambda j: F.struct(i.alias("i"), j.alias("j")))
+    return F.flatten(F.transform(F.sequence(box["a"], box["b"]), column))
+
+
+def first_in(low: Column, up: int) -> Column:
+    """The first square of 2**up tiles a side that begins at ``low`` or after."""
+    return F.shiftright(low + ((1 << up) - 1), up)
+
+
+def last_in(high: Column, up: int) -> Column:
+    """The last one that ends at ``high`` or before."""
+    return F.shiftright(high + 1, up) - 1
+
+
+def front_coded(codes: DataFrame, code: str, block: str, length: int) -> DataFrame:
+    """``codes`` with shared and suffix: in each block, in order of the code, how many leading characters the one before has too, and the rest."""
+    before = F.lag(code).over(Window.partitionBy(block).orderBy(code, "id"))
+    same = [F.when(F.substring(code, 1, k) == F.substring(before, 1, k), 1).otherwise(0) for k in range(1, length + 1)]
+    coded = codes.withColumn("shared", sum(same[1:], same[0]).cast("long"))
+    return coded.withColumn("suffix", F.substring(F.col(code), F.col("shared").cast("int") + 1, F.lit(length)))
+
+
+def front_decoded(coded: DataFrame, block: str, order: list[str], length: int) -> DataFrame:
+    """``coded`` (shared, suffix) with code restored: each character is that of the last row so far whose suffix reaches to its place. Null where a
+    row shares more than the one before has."""
+    so_far = Window.partitionBy(block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = lambda k: F.substring(F.col("suffix"), F.lit(k) - F.col("shared").cast("int"), F.lit(1))
+    characters = [F.last(F.when(F.col("shared") < k, at(k)), ignorenulls=True).over(so_far) for k in range(1, length + 1)]
+    whole = F.col("shared") + F.length("suffix")
+    fits = F.col("shared") <= F.coalesce(F.lag(whole).over(Window.partitionBy(block).orderBy(*order)), F.lit(0))
+    return coded.withColumn("code", F.when(fits, F.substring(F.concat(*characters), F.lit(1), whole.cast("int"))))
+
+
 def hilbert_cell(d: Column, order: int) -> tuple[Column, Column]:
     """Cell at a distance along the curve: ``hilbert`` from the smallest square outwards."""
     start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), d.cast("long").alias("t"))

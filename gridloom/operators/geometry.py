@@ -267,6 +267,18 @@ def steiner_area(area: Column, perimeter: Column, distance: float) -> Column:
     return area + perimeter * distance + math.pi * distance * distance
 
 
+def offset_ring(ring: Points, distance: float, steps: int = 8) -> Points:
+    """The buffer's ring of a convex counter-clockwise one: at every corner an arc of ``steps`` chords from the normal of the edge before to that of the edge after."""
+    if distance < 0 or steps < 1:
+        raise ValueError("the distance must not be negative, with one chord or more")
+    normals = [math.atan2(p[0] - q[0], q[1] - p[1]) for p, q in zip(ring, ring[1:] + ring[:1], strict=True)]
+    out: Points = []
+    for (x, y), before, after in zip(ring, normals[-1:] + normals[:-1], normals, strict=True):
+        sweep = (after - before) % (2 * math.pi)
+        out += [(x + distance * math.cos(before + sweep * k / steps), y + distance * math.sin(before + sweep * k / steps)) for k in range(steps + 1)]
+    return out
+
+
 def split_at(ring: Points, share: float) -> float:
     """x of the vertical cut that leaves the share of a convex ring's area to its left."""
     lo, hi = min(p[0] for p in ring), max(p[0] for p in ring)

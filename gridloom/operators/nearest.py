@@ -324,6 +324,31 @@ def in_spherical_triangle(lat: Column, lon: Column, a: tuple[float, float], b: t
     return (s[0] == s[1]) & (s[1] == s[2])
 
 
+def in_spherical_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
+    """Inside a ring of (latitude, longitude) on the sphere, concave or not: seen from the place, the corners' directions turn once round. Corners are inside."""
+    if len(ring) < 3:
+        raise ValueError("a ring needs three corners")
+    p = geodesy.unit_vector(lat, lon)
+    u = [geodesy.unit_vector(F.lit(a), F.lit(b)) for a, b in ring]
+    seen = [geodesy.dot(p, v) for v in u]
+    turn = F.lit(0.0)
+    for i in range(len(ring)):
+        k = (i + 1) % len(ring)
+        turn = turn + F.atan2(geodesy.dot(p, geodesy.cross(u[i], u[k])), geodesy.dot(u[i], u[k]) - seen[i] * seen[k])
+    corner = F.greatest(*[1 - F.lit(1.0) + s for s in seen]) > 1 - 5e-19
+    return corner | (F.abs(turn) > math.pi)
+
+
+def inside_convex_rings(points: DataFrame, rings: DataFrame, side: float) -> DataFrame:
+    """(id, ring_id): points in, or on, convex counter-clockwise rings (id, ring): left of every edge. Rings go to the cells of their boxes."""
+    from gridloom.operators.joins import ring_box
+
+    dealt = cells_of(rings.select(F.col("id").alias("ring_id"), "ring"), *ring_box(F.col("ring")), side)
+    own = points.select("id", "x", "y").withColumns({"__cx": cell(F.col("x"), side), "__cy": cell(F.col("y"), side)})
+    left = F.forall(ring_edges(F.col("ring")), lambda e: (e["q"]["x"] - e["p"]["x"]) * (F.col("y") - e["p"]["y"]) - (e["q"]["y"] - e["p"]["y"]) * (F.col("x") - e["p"]["x"]) >= 0)
+    return own.join(dealt, ["__cx", "__cy"]).filter(left).select("id", "ring_id")
+
+
 def around_pivot(sites: DataFrame, x: float, y: float) -> DataFrame:
     """Counter-clockwise places round a pivot, nearer first on a tie."""
     a = F.atan2(F.col("sy") - y, F.col("sx") - x)

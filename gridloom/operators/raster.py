@@ -384,6 +384,34 @@ def tree_tops(heights: DataFrame, least: float, taller: float, widest: int) -> D
     return high.join(under, ["r", "c"], "left_anti")
 
 
+def bit_words(cells: DataFrame, **masks: Column) -> DataFrame:
+    """(r, w, <masks>): 64 columns of a row as one word, bit by bit; word w begins at column 64 w. Counts are bit_count, masks meet by and."""
+    bit = lambda m: F.bit_or(F.when(m, F.expr("shiftleft(1L, cast(pmod(c, 64) as int))")).otherwise(F.lit(0).cast("long")))
+    return cells.groupBy("r", F.shiftright("c", 6).alias("w")).agg(*[bit(m).alias(n) for n, m in masks.items()])
+
+
+def uniform_squares(cells: DataFrame, mask: Column) -> DataFrame:
+    """(side, i, j, b): squares of 2**k cells a side, in row i and column j of their size, whose cells agree on the mask while the square around them doesn't.
+
+    Levels of least and greatest, a quarter of the rows each, up to one square over all; cells that are missing have no say. Rows and columns count from 0.
+    """
+    high = cells.agg(F.greatest(F.max("r"), F.max("c"))).first()[0]
+    one = F.when(mask, 1).otherwise(0)
+    level, leaves = cells.select(F.col("r").alias("i"), F.col("c").alias("j"), one.alias("lo"), one.alias("hi")), None
+    for k in range((high or 0).bit_length() + 1):
+        level = settle(level, k)
+        up = (F.shiftright("i", 1), F.shiftright("j", 1))
+        above = level.groupBy(up[0].alias("i"), up[1].alias("j")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        even = level.filter("lo = hi")
+        if k < (high or 0).bit_length():
+            mixed = above.filter("lo != hi").select(F.col("i").alias("__i"), F.col("j").alias("__j"))
+            even = even.join(mixed, (up[0] == F.col("__i")) & (up[1] == F.col("__j")), "left_semi")
+        own = even.select(F.lit(1 << k).cast("long").alias("side"), "i", "j", F.col("lo").alias("b"))
+        leaves = own if leaves is None else leaves.union(own)
+        level = above
+    return leaves
+
+
 def rays(cells: DataFrame, directions: int, steps: int) -> DataFrame:
     """Each cell with the heights along straight rays: (r, c, v, k, step, h); rays are dealt in steps, half-even rounded."""
     k, s = F.explode(F.sequence(F.lit(0), F.lit(directions - 1))), F.explode(F.sequence(F.lit(1), F.lit(steps)))

@@ -225,10 +225,16 @@ def winding(spark: SparkSession, d: str) -> DataFrame:
     return near.filter(joins.winding(F.col("x"), F.col("y"), F.col("ring")) != 0).select("id", "ring_id")
 
 
-@query("convexcontains", sql("SELECT id, sid FROM points, sites WHERE abs(x-sx)+abs(y-sy) <= 40", "points", "sites"))
+HEXAGONS = "WITH h AS (SELECT sid, i, sx+(sid%30+10)*cos(i*pi()/3) AS x1, sy+(sid%30+10)*sin(i*pi()/3) AS y1, sx+(sid%30+10)*cos((i+1)*pi()/3) AS x2, sy+(sid%30+10)*sin((i+1)*pi()/3) AS y2 FROM sites, range(6) q(i)) SELECT p.id, h.sid FROM points p, h GROUP BY p.id, h.sid HAVING bool_and((x2-x1)*(any_value(y)-y1)-(y2-y1)*(any_value(x)-x1) >= 0)"
+
+
+@query("convexcontains", sql(HEXAGONS.replace("bool_and((x2-x1)*(any_value(y)-y1)-(y2-y1)*(any_value(x)-x1) >= 0)", "bool_and((x2-x1)*(p.y-y1)-(y2-y1)*(p.x-x1) >= 0)"), "points", "sites"))
 def convexcontains(spark: SparkSession, d: str) -> DataFrame:
-    """A diamond is convex: inside means left of, or on, every edge."""
-    return nearest.inside_convex(points(spark, d), sites(spark, d), 40.0)
+    """Points in the hexagon round each site: left of, or on, every edge."""
+    size = F.col("sid") % 30 + 10
+    corner = lambda i: F.struct((F.col("sx") + size * F.cos(i * F.pi() / 3)).alias("x"), (F.col("sy") + size * F.sin(i * F.pi() / 3)).alias("y"))
+    hexagons = sites(spark, d).select(F.col("sid").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(5)), corner).alias("ring"))
+    return nearest.inside_convex_rings(points(spark, d), hexagons, 40.0).select("id", F.col("ring_id").alias("sid"))
 
 
 @query("ringvalidate", None)
@@ -263,10 +269,15 @@ def s_triangle(*corners: tuple[float, float]) -> str:
     return f"CAST({sides[0]} = {sides[1]} AND {sides[1]} = {sides[2]} AS BOOLEAN)"
 
 
-@query("sphericalpolygon", sql(f"SELECT id, {s_triangle((0.0, 0.0), (60.0, 20.0), (10.0, 90.0))} AS inside FROM places", "places"))
+#: A ring with a notch, over the pole's side of the map.
+NOTCHED = [(-20.0, -60.0), (-10.0, 40.0), (25.0, 0.0), (60.0, 50.0), (70.0, -100.0), (20.0, -40.0)]
+TURNS = "WITH v AS (SELECT i, cos(radians(a))*cos(radians(o)) AS x, cos(radians(a))*sin(radians(o)) AS y, sin(radians(a)) AS z FROM (VALUES " + ", ".join(f"({i}, {a}, {o})" for i, (a, o) in enumerate(NOTCHED)) + ") r(i, a, o)), e AS (SELECT p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS bb, q.z AS bz FROM v p JOIN v q ON q.i = (p.i+1)%6), u AS (SELECT id, cos(radians(lat1))*cos(radians(lon1)) AS x, cos(radians(lat1))*sin(radians(lon1)) AS y, sin(radians(lat1)) AS z FROM places) SELECT id, abs(sum(atan2(x*(ay*bz-az*bb)+y*(az*bx-ax*bz)+z*(ax*bb-ay*bx), ax*bx+ay*bb+az*bz-(x*ax+y*ay+z*az)*(x*bx+y*bb+z*bz)))) > pi() AS inside FROM u, e GROUP BY id"
+
+
+@query("sphericalpolygon", sql(TURNS, "places"))
 def sphericalpolygon(spark: SparkSession, d: str) -> DataFrame:
-    p = places(spark, d)
-    return p.select("id", nearest.in_spherical_triangle(F.col("lat1"), F.col("lon1"), (0.0, 0.0), (60.0, 20.0), (10.0, 90.0)).alias("inside"))
+    """Places in a concave ring of six corners on the globe."""
+    return places(spark, d).select("id", nearest.in_spherical_ring(F.col("lat1"), F.col("lon1"), NOTCHED).alias("inside"))
 
 
 @query("angularsort", sql("SELECT sid, row_number() OVER (ORDER BY atan2(sy-500, sx-500) - 2*pi()*floor(atan2(sy-500, sx-500)/(2*pi())), (sx-500)**2+(sy-500)**2, sid) AS pos FROM sites", "sites"))

@@ -406,26 +406,12 @@ def rasterrle(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rasterbits", sql("SELECT r, CAST(sum(CASE WHEN k > 25 THEN 1 ELSE 0 END) AS BIGINT) AS ones, CAST(sum(CASE WHEN k > 25 AND k%2=0 THEN 1 ELSE 0 END) AS BIGINT) AS both FROM cells GROUP BY r", "cells"))
 def rasterbits(spark: SparkSession, d: str) -> DataFrame:
-    """A row of 64 cells as one word: bits are set by or, counted by bit_count, and masks meet by and."""
-    bit = lambda cond: F.bit_or(F.when(cond, F.expr("shiftleft(1L, cast(c as int))")).otherwise(F.lit(0).cast("long")))
-    words = raster(spark, d).groupBy("r").agg(bit(F.col("k") > 25).alias("a"), bit(F.col("k") % 2 == 0).alias("b"))
-    return words.select("r", F.bit_count("a").cast("long").alias("ones"), F.bit_count(F.col("a").bitwiseAND(F.col("b"))).cast("long").alias("both"))
+    """A row's set cells, and those that a second mask has too."""
+    words = ras.bit_words(raster(spark, d), a=F.col("k") > 25, b=F.col("k") % 2 == 0)
+    return words.groupBy("r").agg(F.sum(F.bit_count("a")).alias("ones"), F.sum(F.bit_count(F.col("a").bitwiseAND(F.col("b")))).alias("both"))
 
 
-@query("regionquadtree", None)
+@query("regionquadtree", sql("WITH e AS (SELECT CAST(ceil(log2(1+greatest(max(r), max(c)))) AS INT) AS top FROM cells), l AS (SELECT s, r >> s AS i, c >> s AS j, min(CASE WHEN k > 10 THEN 1 ELSE 0 END) AS lo, max(CASE WHEN k > 10 THEN 1 ELSE 0 END) AS hi FROM cells, e, range(0, 20) q(s) WHERE s <= top GROUP BY 1, 2, 3) SELECT CAST(1 AS BIGINT) << a.s AS side, a.i, a.j, a.lo AS b FROM l a LEFT JOIN l p ON p.s = a.s+1 AND p.i = a.i >> 1 AND p.j = a.j >> 1 WHERE a.lo = a.hi AND (p.s IS NULL OR p.lo <> p.hi)", "cells"))
 def regionquadtree(spark: SparkSession, d: str) -> DataFrame:
-    """Uniform squares of a mask: levels of least and greatest, a leaf where they agree and above doesn't."""
-    level = raster(spark, d).select(F.col("r").alias("i"), F.col("c").alias("j"), F.when(F.col("k") > 10, 1).otherwise(0).alias("lo"), F.when(F.col("k") > 10, 1).otherwise(0).alias("hi"))
-    leaves, depth = None, 0
-    while True:
-        above = level.groupBy(F.shiftright("i", 1).alias("pi"), F.shiftright("j", 1).alias("pj")).agg(F.min("lo").alias("plo"), F.max("hi").alias("phi"))
-        if depth == 6:
-            own = level.filter("lo = hi")
-        else:
-            own = level.filter("lo = hi").join(above.filter("plo != phi"), (F.shiftright("i", 1) == F.col("pi")) & (F.shiftright("j", 1) == F.col("pj")), "left_semi")
-        own = own.select(F.lit(1 << depth).alias("side"), "i", "j", F.col("lo").alias("b"))
-        leaves = own if leaves is None else leaves.union(own)
-        if depth == 6:
-            return leaves.groupBy("side", "b").agg(F.count("*").alias("leaves"))
-        level = above.select(F.col("pi").alias("i"), F.col("pj").alias("j"), F.col("plo").alias("lo"), F.col("phi").alias("hi"))
-        depth += 1
+    """Uniform squares of a mask, as large as they come."""
+    return ras.uniform_squares(raster(spark, d), F.col("k") > 10)

@@ -515,6 +515,16 @@ scalar(
         "day_hours": (lambda: astronomy.day_length(DAY(), A1()), S_DAYLEN),
     },
 )
+COVER = "WITH b AS (SELECT id, CAST(floor(min_x) AS BIGINT) AS x0, CAST(floor(min_y) AS BIGINT) AS y0, CAST(floor(max_x) AS BIGINT) AS x1, CAST(floor(max_y) AS BIGINT) AS y1 FROM boxes), t AS (SELECT b.*, x0+i AS x, y0+j AS y FROM b, range(48) p(i), range(48) q(j) WHERE x0+i <= x1 AND y0+j <= y1), k AS (SELECT id, x, y, max(s) AS s FROM t, range(12) q(s) WHERE (x >> s) << s >= x0 AND (((x >> s)+1) << s)-1 <= x1 AND (y >> s) << s >= y0 AND (((y >> s)+1) << s)-1 <= y1 GROUP BY id, x, y), c AS (SELECT DISTINCT id, s, x >> s AS i, y >> s AS j FROM k) SELECT id, CAST(11-s AS INTEGER) AS level, list_reduce(list_prepend('', list_transform(range(11-s), lambda n: CAST(((i >> (10-s-n)) & 1)+2*((j >> (10-s-n)) & 1) AS VARCHAR))), lambda a, b: a || b) AS key FROM c"
+
+
+@query("quadkey_cover", fixtures.sql(COVER, "boxes"))
+def quadkey_cover(spark: SparkSession, d: str) -> DataFrame:
+    """The fewest quadkeys that make up the tiles under each box."""
+    box = [F.floor(c).cast("long") for c in ("min_x", "min_y", "max_x", "max_y")]
+    return fixtures.boxes(spark, d).select("id", F.explode(codes.quadkey_cover(*box, 11)).alias("k")).select("id", "k.level", "k.key")
+
+
 BEAM = f"WITH h AS (SELECT id, radians(lat1) AS p, radians({S_DEC}) AS d, radians(id%50+0.0) AS b, radians(id*7%360+0.0) AS g, radians(m*2/4.0-180) AS w FROM places, range(720) q(m)), u AS (SELECT *, sin(p)*sin(d)+cos(p)*cos(d)*cos(w) AS up FROM h), f AS (SELECT *, -cos(d)*sin(w)*sin(b)*sin(g)+(cos(p)*sin(d)-sin(p)*cos(d)*cos(w))*sin(b)*cos(g)+up*cos(b) AS facing FROM u) SELECT id, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing ELSE 0 END), 5) AS bare, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing*pow(0.7, 1/up) ELSE 0 END), 5) AS beam FROM f GROUP BY id"
 
 

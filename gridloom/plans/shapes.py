@@ -191,6 +191,15 @@ def geojson_polygons(spark: SparkSession, d: str) -> DataFrame:
     return back.select("id", F.size("ring").alias("points"), F.round(joins.shoelace(F.col("ring")), 4).alias("area"), F.round(joins.perimeter(F.col("ring")), 5).alias("perimeter"), "name")
 
 
+@query("geojson_holes", sql("SELECT id, CAST(2 AS INTEGER) AS rings, round(abs(sum(x1*y2-x2*y1))/2, 4) AS outer_area, round(-abs(sum(x1*y2-x2*y1))/8, 4) AS hole_area FROM edges GROUP BY id", "edges"))
+def geojson_holes(spark: SparkSession, d: str) -> DataFrame:
+    """Rings with a hole of half their size, written and read back: the outer ring counter-clockwise, the hole clockwise."""
+    r = rings(spark, d).join(sites(spark, d).select(F.col("sid").alias("id"), "sx", "sy"), "id")
+    half = F.transform("ring", lambda p: F.struct(((p["x"] + F.col("sx")) / 2).alias("x"), ((p["y"] + F.col("sy")) / 2).alias("y")))
+    back = r.select("id", text.geojson_parsed_rings(text.geojson_rings(F.array(F.col("ring"), half), joins.shoelace)).alias("back"))
+    return back.select("id", F.size("back").alias("rings"), F.round(joins.shoelace(F.col("back")[0]), 4).alias("outer_area"), F.round(joins.shoelace(F.col("back")[1]), 4).alias("hole_area"))
+
+
 @query("geojson_lines", sql("SELECT track, count(*) AS points, round(sum(x), 4) AS sum_x, round(sum(y*seq), 3) AS sum_yk FROM fixes GROUP BY track HAVING count(*) > 1", "fixes"))
 def geojson_lines(spark: SparkSession, d: str) -> DataFrame:
     """Tracks written as lines and read back, point by point in order."""
@@ -202,11 +211,25 @@ def geojson_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("geohashcompress", sql(f"WITH h AS (SELECT id, {s_geohash(S_GX, S_GY)} AS hash FROM places), o AS (SELECT id, hash, lag(hash) OVER (PARTITION BY substr(hash, 1, 1) ORDER BY hash, id) AS prev FROM h) SELECT id, (SELECT count(*) FROM range(1, 7) q(k) WHERE substr(hash, 1, k) = substr(prev, 1, k)) AS shared FROM o", "places"))
 def geohashcompress(spark: SparkSession, d: str) -> DataFrame:
     """Front coding: the prefix shared with the code before; blocks begin anew with the first letter, so they are coded apart."""
-    h = places(spark, d).select("id", codes.geohash(F.col("lat1"), F.col("lon1"), 6).alias("hash"))
-    prev = F.lag("hash").over(Window.partitionBy(F.substring("hash", 1, 1)).orderBy("hash", "id"))
-    h = h.withColumn("prev", prev)
-    same = [F.when(F.substring("hash", 1, k) == F.substring("prev", 1, k), 1).otherwise(0) for k in range(1, 7)]
-    return h.select("id", sum(same[1:], same[0]).cast("long").alias("shared"))
+    return blocked_hashes(spark, d).select("id", "shared")
+
+
+def blocked_hashes(spark: SparkSession, d: str) -> DataFrame:
+    h = places(spark, d).select("id", codes.geohash(F.col("lat1"), F.col("lon1"), 6).alias("hash")).withColumn("block", F.substring("hash", 1, 1))
+    return codes.front_coded(h, "hash", "block", 6)
+
+
+FRONT = f"WITH h AS (SELECT id, {s_geohash(S_GX, S_GY)} AS hash FROM places), o AS (SELECT hash, lag(hash) OVER (PARTITION BY substr(hash, 1, 1) ORDER BY hash, id) AS prev FROM h), s AS (SELECT hash, (SELECT count(*) FROM range(1, 7) q(k) WHERE substr(hash, 1, k) = substr(prev, 1, k)) AS shared FROM o) SELECT substr(hash, 1, 1) AS block, count(*) AS codes, CAST(sum(length(hash)+1) AS BIGINT) AS raw_bytes, CAST(sum(2+length(hash)-shared) AS BIGINT) AS coded_bytes, count(*) AS restored FROM s GROUP BY 1"
+
+
+@query("geohashcompress_front", sql(FRONT, "places"))
+def geohashcompress_front(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each block before and after, and how many codes come back from shared lengths and suffixes alone."""
+    coded = blocked_hashes(spark, d)
+    back = codes.front_decoded(coded, "block", ["hash", "id"], 6)
+    return back.groupBy("block").agg(
+        F.count("*").alias("codes"), F.sum(F.length("hash") + 1).alias("raw_bytes"), F.sum(2 + F.length("suffix")).alias("coded_bytes"), F.count_if(F.col("code") == F.col("hash")).alias("restored")
+    )
 
 
 @query("bboxquantize", sql("SELECT id, CAST(floor(min_x/1100*256) AS BIGINT) AS qx0, CAST(floor(min_y/1100*256) AS BIGINT) AS qy0, CAST(ceil(max_x/1100*256) AS BIGINT) AS qx1, CAST(ceil(max_y/1100*256) AS BIGINT) AS qy1 FROM boxes", "boxes"))
@@ -305,6 +328,13 @@ def buffer(spark: SparkSession, d: str) -> DataFrame:
     return h.select("id", F.round(geo.steiner_area(F.col("h.area"), F.col("h.perimeter"), 5.0), 4).alias("area"))
 
 
+@query("buffer_ring", None)
+def buffer_ring(spark: SparkSession, d: str) -> DataFrame:
+    """The ring five beyond each hull, arcs in eight chords: its points and area."""
+    f = geo.on_rings(lambda r: (len(o := geo.offset_ring(geo.hull(r), 5.0)), abs(geo.ring_area(o))), "points long, area double")
+    return rings(spark, d).select("id", f("ring").alias("o")).select("id", "o.points", F.round("o.area", 4).alias("area"))
+
+
 @query("earclipping", None)
 def earclipping(spark: SparkSession, d: str) -> DataFrame:
     f = geo.on_rings(lambda r: (len(t := geo.ears(r)), sum(abs(geo.turn(r[a], r[b], r[c])) / 2 for a, b, c in t)), "triangles long, area double")
@@ -527,6 +557,19 @@ def affinefit(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.round((F.col("e") * F.col("c") - F.col("f") * F.col("b")) / det, 6).alias("ux"), F.round((F.col("a") * F.col("f") - F.col("b") * F.col("e")) / det, 6).alias("uy"))
 
 
+SIMILAR = "WITH p AS (SELECT x, y, 2*x-3*y+5+id%3 AS u, 3*x+2*y-7-id%5+x/50 AS v FROM points), m AS (SELECT avg(x) AS mx, avg(y) AS my, avg(u) AS mu, avg(v) AS mv, (covar_pop(x, u)+covar_pop(y, v))/(var_pop(x)+var_pop(y)) AS a, (covar_pop(x, v)-covar_pop(y, u))/(var_pop(x)+var_pop(y)) AS b FROM p), r AS (SELECT a, b, mu-a*mx+b*my AS c, mv-b*mx-a*my AS d, (a*x-b*y+mu-a*mx+b*my-u)**2+(b*x+a*y+mv-b*mx-a*my-v)**2 AS e FROM p, m) SELECT round(any_value(a), 6) AS a, round(any_value(b), 6) AS b, round(any_value(c), 4) AS c, round(any_value(d), 4) AS d, round(sqrt(avg(e)), 6) AS rms, round(sqrt(max(e)), 6) AS worst FROM r"
+
+
+@query("affinefit_similarity", sql(SIMILAR, "points"))
+def affinefit_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Scale, turn and shift that fit best, and what is left: one aggregate for the fit, one for the residuals."""
+    p = points(spark, d).select("x", "y", (2 * F.col("x") - 3 * F.col("y") + 5 + F.col("id") % 3).alias("u"), (3 * F.col("x") + 2 * F.col("y") - 7 - F.col("id") % 5 + F.col("x") / 50).alias("v"))
+    fit, gap = positioning.similarity(p)
+    return p.join(F.broadcast(fit)).groupBy("a", "b", "c", "d").agg(F.sqrt(F.avg(gap * gap)).alias("rms"), F.max(gap).alias("worst")).select(
+        F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 4).alias("c"), F.round("d", 4).alias("d"), F.round("rms", 6).alias("rms"), F.round("worst", 6).alias("worst")
+    )
+
+
 #: Distances to the sites within 200, up to a half off; the first guess from squares, and five steps of Gauss and Newton.
 RANGED = "WITH r AS (SELECT id, sx, sy, sqrt((x-sx)**2+(y-sy)**2)+((id*13+sid*29)%11-5)*0.1 AS d FROM points, sites WHERE (x-sx)*(x-sx)+(y-sy)*(y-sy) <= 40000), m AS (SELECT id, count(*) AS n, avg(sx) AS mx, avg(sy) AS my, avg(sx*sx+sy*sy-d*d) AS mq FROM r GROUP BY id), l AS (SELECT id, any_value(n) AS n, avg((sx-mx)**2) AS a, avg((sx-mx)*(sy-my)) AS b, avg((sy-my)**2) AS c, avg((sx-mx)*(sx*sx+sy*sy-d*d-mq)/2) AS e, avg((sy-my)*(sx*sx+sy*sy-d*d-mq)/2) AS f FROM r JOIN m USING (id) GROUP BY id), p0 AS (SELECT id, n, (e*c-f*b)/(a*c-b*b) AS x, (a*f-b*e)/(a*c-b*b) AS y FROM l WHERE n >= 3 AND a*c-b*b > 9000000)"
 STEP = ", g{i} AS (SELECT id, any_value(n) AS n, any_value(x) AS x, any_value(y) AS y, sum(gx*gx) AS a, sum(gx*gy) AS b, sum(gy*gy) AS c, sum(gx*q) AS e, sum(gy*q) AS f, sqrt(avg(q*q)) AS residual FROM (SELECT id, n, x, y, (x-sx)/sqrt((x-sx)**2+(y-sy)**2) AS gx, (y-sy)/sqrt((x-sx)**2+(y-sy)**2) AS gy, d-sqrt((x-sx)**2+(y-sy)**2) AS q FROM r JOIN p{i} USING (id)) GROUP BY id), p{j} AS (SELECT id, n, x+(e*c-f*b)/(a*c-b*b) AS x, y+(a*f-b*e)/(a*c-b*b) AS y, residual, sqrt((a+c)/(a*c-b*b)) AS dilution FROM g{i})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,23 @@ def geojson_polygon(ring: Column, clockwise: Column) -> Column:
     return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"]))).alias("coordinates")))
 
 
+def geojson_rings(rings: Column, area: Callable[[Column], Column]) -> Column:
+    """A polygon of an outer ring and holes (an array of arrays of points): the first counter-clockwise, the others clockwise, all closed. ``area`` gives a
+    ring's signed area."""
+    turned = lambda r, i: F.when((area(r) > 0) == (i == 0), r).otherwise(F.reverse(r))
+    closed = lambda r: F.transform(F.concat(r, F.slice(r, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+    return F.to_json(F.struct(F.lit("Polygon").alias("type"), F.transform(F.transform(rings, turned), closed).alias("coordinates")))
+
+
+def geojson_parsed_rings(text: Column) -> Column:
+    """All rings of a polygon, the outer one first, each with its first point once; null for other kinds, text that isn't GeoJSON, and polygons with a ring that
+    isn't closed or has fewer than four positions."""
+    rings = F.from_json(F.when(F.get_json_object(text, "$.type") == "Polygon", text), "coordinates array<array<array<double>>>")["coordinates"]
+    whole = F.forall(rings, lambda r: (F.size(r) >= 4) & (F.element_at(r, 1) == F.element_at(r, -1)))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    return F.when((F.size(rings) > 0) & whole, F.transform(rings, lambda r: F.transform(F.slice(r, F.lit(1), F.size(r) - 1), point)))
+
+
 def geojson_feature(geometry: Column, properties: Column) -> Column:
     """A feature from a geometry's text and a struct of properties."""
     return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))

@@ -139,3 +139,72 @@ def test_beam_of_a_day(spark):
     assert all(a < b or a == b == 0 for a, b in zip(thin, beam, strict=True))
     with pytest.raises(ValueError):
         astronomy.daily_beam(F.col("day"), F.col("lat"), F.col("slope"), F.col("aspect"), step=7)
+
+
+# codes, rings and masks
+
+
+def test_quadkey_cover_is_exact_and_least(spark):
+    from gridloom.functions import codes
+
+    r = random.Random(8)
+    boxes = [(0, 0, 15, 15), (0, 0, 0, 0), (3, 5, 12, 6), (8, 8, 15, 15)] + [(min(p[0], q[0]), min(p[1], q[1]), max(p[0], q[0]), max(p[1], q[1])) for p, q in (((r.randrange(16), r.randrange(16)), (r.randrange(16), r.randrange(16))) for _ in range(25))]
+    df = spark.createDataFrame([(k, *b) for k, b in enumerate(boxes)], "id long, a long, b long, c long, d long")
+    got = {}
+    for q in df.select("id", F.explode(codes.quadkey_cover(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 4)).alias("k")).select("id", "k.*").collect():
+        assert len(q.key) == q.level
+        got.setdefault(q.id, []).append(q.key)
+    tiles = lambda key: {(x, y) for x in range(16) for y in range(16) if "".join(str((x >> b & 1) + 2 * (y >> b & 1)) for b in (3, 2, 1, 0)).startswith(key)}
+    for k, (x0, y0, x1, y1) in enumerate(boxes):
+        cover = [t for key in got[k] for t in tiles(key)]
+        assert sorted(cover) == sorted((x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1))
+        parents = [key[:-1] for key in got[k] if key]
+        assert all(parents.count(p) < 4 for p in parents)
+
+
+def test_front_coding_comes_back(spark):
+    from gridloom.functions import codes
+
+    r = random.Random(4)
+    rows = [(i, "".join(r.choice("ab") for _ in range(6))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, hash string").withColumn("block", F.substring("hash", 1, 1))
+    coded = codes.front_coded(df, "hash", "block", 6)
+    assert coded.filter("shared > 0").count() > 150
+    back = codes.front_decoded(coded, "block", ["hash", "id"], 6).collect()
+    assert sorted((q.id, q.code) for q in back) == sorted(rows)
+    broken = spark.createDataFrame([(1, "x", 0, "ab"), (2, "x", 3, "c")], "id long, block string, shared long, suffix string")
+    assert [q.code for q in codes.front_decoded(broken, "block", ["id"], 6).orderBy("id").collect()] == ["ab", None]
+
+
+def test_masks_wider_than_a_word_and_squares_of_any_size(spark):
+    r = random.Random(9)
+    grid = [[r.random() < 0.5 for _ in range(150)] for _ in range(5)]
+    words = raster.bit_words(cells_of(spark, grid), a=F.col("v") > 0)
+    got = {q.r: q.n for q in words.groupBy("r").agg(F.sum(F.bit_count("a")).alias("n")).collect()}
+    assert got == {k: sum(row) for k, row in enumerate(grid)}
+    whole = [(q.side, q.i, q.j, q.b) for q in raster.uniform_squares(cells_of(spark, [[1] * 130 for _ in range(130)]), F.col("v") > 0).collect()]
+    assert whole == [(256, 0, 0, 1)]
+    spot = cells_of(spark, [[int((i, j) == (0, 0)) for j in range(128)] for i in range(128)])
+    sizes = sorted(q.side for q in raster.uniform_squares(spot, F.col("v") > 0).collect())
+    assert sizes == sorted([1] * 4 + [s for s in (2, 4, 8, 16, 32, 64) for _ in range(3)])
+
+
+def test_offset_ring_has_its_area():
+    ring = geometry.hull([(0.0, 0.0), (7.0, 1.0), (9.0, 6.0), (3.0, 8.0), (-1.0, 4.0)])
+    perimeter = sum(math.dist(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+    for steps in (1, 4, 16):
+        out = geometry.offset_ring(ring, 2.0, steps)
+        turns = [math.atan2(c[1] - b[1], c[0] - b[0]) - math.atan2(b[1] - a[1], b[0] - a[0]) for a, b, c in zip(ring, ring[1:] + ring[:1], ring[2:] + ring[:2], strict=True)]
+        fans = sum(steps * math.sin(t % (2 * math.pi) / steps) / 2 * 4 for t in turns)
+        assert abs(geometry.ring_area(out)) == pytest.approx(abs(geometry.ring_area(ring)) + 2 * perimeter + fans)
+    with pytest.raises(ValueError):
+        geometry.offset_ring(ring, -1.0)
+
+
+def test_similarity_recovers_its_own(spark):
+    r = random.Random(2)
+    p = [(r.uniform(-5, 5), r.uniform(-5, 5)) for _ in range(30)]
+    rows = [(x, y, 2 * x - 3 * y + 1, 3 * x + 2 * y - 4) for x, y in p]
+    fit, gap = positioning.similarity(df := spark.createDataFrame(rows, "x double, y double, u double, v double"))
+    assert tuple(fit.first()) == pytest.approx((2, 3, 1, -4))
+    assert df.join(F.broadcast(fit)).agg(F.max(gap)).first()[0] < 1e-9
