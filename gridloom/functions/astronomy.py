@@ -102,5 +102,11 @@ def radio_horizon_km(height_m: Column, k: float = 4.0 / 3) -> Column:
     return F.sqrt(2 * k * RADIUS_M * height_m) / 1000
 
 
+def ray_height(tx: Column, rx: Column, total_km: Column, at_km: Column, k: float = 1.0) -> Column:
+    """Metres of a straight ray between two masts over a map's flat ground, so many kilometres from the first: the earth bulges by the product of both distances."""
+    straight = tx + (rx - tx) * F.try_divide(at_km, total_km)
+    return straight - 1000.0 * at_km * (total_km - at_km) / (2 * RADIUS_M / 1000 * k)
+
+
 def fresnel_radius(hertz: Column, near_m: Column, far_m: Column) -> Column:
     return F.sqrt(LIGHT / hertz * near_m * far_m / (near_m + far_m))

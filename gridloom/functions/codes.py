@@ -84,6 +84,25 @@ def quadkey_children(key: Column) -> Column:
     return F.array(*[F.concat(key, F.lit(d)) for d in "0123"])
 
 
+def to_pixels(lat: Column, lon: Column, zoom: float) -> tuple[Column, Column]:
+    """Pixels from the map's north-west corner."""
+    scale = 256 * 2.0**zoom
+    phi = F.radians(lat)
+    return (lon + 180) / 360 * scale, (1 - F.log(F.tan(phi) + 1 / F.cos(phi)) / math.pi) / 2 * scale
+
+
+def from_pixels(x: Column, y: Column, zoom: float) -> tuple[Column, Column]:
+    scale = 256 * 2.0**zoom
+    return F.degrees(F.atan(F.sinh(math.pi - 2 * math.pi * y / scale))), x / scale * 360 - 180
+
+
+def fitting_zoom(south: Column, west: Column, north: Column, east: Column, width: int, height: int) -> Column:
+    """The largest whole zoom at which a box fits a window of so many pixels, 0 at least; null for a box without extent."""
+    (x0, y0), (x1, y1) = to_pixels(north, west, 0), to_pixels(south, east, 0)
+    room = F.least(F.try_divide(F.lit(float(width)), x1 - x0), F.try_divide(F.lit(float(height)), y1 - y0))
+    return F.when((north > south) & (east > west), F.greatest(F.lit(0), F.floor(F.log2(room)).cast("long")))
+
+
 def quadkey_cover(x0: Column, y0: Column, x1: Column, y1: Column, zoom: int) -> Column:
     """The fewest quadkeys that are exactly the tiles x0..x1, y0..y1 of ``zoom``: array of structs (key, level), shorter keys where all four children belong.
 

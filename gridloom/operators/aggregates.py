@@ -135,3 +135,12 @@ def zone_spread(cells: DataFrame, totals: DataFrame, weight: Column) -> DataFram
     both = cells.withColumn("__w", weight).join(totals, "zone")
     share = F.when(F.sum("__w").over(zone) > 0, F.try_divide(F.col("__w"), F.sum("__w").over(zone))).otherwise(1 / F.count("*").over(zone))
     return both.withColumn("value", F.col("total") * share).drop("__w")
+
+
+def detours(p: Column, q: Column) -> dict[str, Column]:
+    """What a way of ``p`` columns and ``q`` rows over cells is longer than the straight line, as a share: over square cells by edges or by corners too, and over
+    hexagons, whose axes lie 60 degrees apart."""
+    a, b = F.abs(p), F.abs(q)
+    straight, slanted = F.sqrt((p * p + q * q).cast("double")), F.sqrt((p * p + q * q + p * q).cast("double"))
+    corners = F.greatest(a, b) + (math.sqrt(2) - 1) * F.least(a, b)
+    return {"edges": (a + b) / straight - 1, "corners": corners / straight - 1, "hexes": (a + b + F.abs(p + q)) / 2 / slanted - 1}

@@ -384,6 +384,67 @@ def tree_tops(heights: DataFrame, least: float, taller: float, widest: int) -> D
     return high.join(under, ["r", "c"], "left_anti")
 
 
+def sampled_at(cells: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (y, x and more; y a row, x a column, fractions between) with z, read between the four cells round it; beyond the edge the edge's own. Rows and columns count
+    from 0. The four corners are rows that meet their cells in one join."""
+    top, right = cells.agg(F.max("r"), F.max("c")).first()
+    own = wanted.columns
+    held = lambda c, most: F.least(F.greatest(c, F.lit(0.0)), F.lit(float(most or 0)))
+    w = wanted.withColumns({"__y": held(F.col("y"), top), "__x": held(F.col("x"), right)}).withColumn("__id", F.struct(*own))
+    corner = lambda dr, dc: F.struct(F.least(F.floor("__y") + dr, F.lit(top)).alias("r"), F.least(F.floor("__x") + dc, F.lit(right)).alias("c"), ((F.col("__y") - F.floor("__y") if dr else 1 - F.col("__y") + F.floor("__y")) * (F.col("__x") - F.floor("__x") if dc else 1 - F.col("__x") + F.floor("__x"))).alias("share"))
+    parts = w.select("__id", F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("p")).select("__id", "p.*")
+    return parts.join(cells.select("r", "c", "v"), ["r", "c"]).groupBy("__id").agg(F.sum(F.col("share") * F.col("v")).alias("z")).select("__id.*", "z")
+
+
+def shift_errors(cells: DataFrame, shifts: list[float], azimuths: list[float], margin: int) -> DataFrame:
+    """(azimuth, shift, rms, law): how much heights differ from those of the same surface moved by a shift, away from the margin, and what the mean square
+    gradient says of it: the shift times its root over root two."""
+    top, right = cells.agg(F.max("r"), F.max("c")).first()
+    inner = F.col("r").between(margin, (top or 0) - margin) & F.col("c").between(margin, (right or 0) - margin)
+    places = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("azimuth"), F.lit(float(s)).alias("shift")) for a in azimuths for s in shifts])).alias("p")
+    moved = cells.filter(inner).select("r", "c", "v", places).select("r", "c", "v", "p.*")
+    wanted = moved.select((F.col("r") - F.col("shift") * F.sin(F.radians("azimuth"))).alias("y"), (F.col("c") - F.col("shift") * F.cos(F.radians("azimuth"))).alias("x"), "azimuth", "shift", "v", F.col("r").alias("row"), F.col("c").alias("column"))
+    rms = sampled_at(cells, wanted).groupBy("azimuth", "shift").agg(F.sqrt(F.avg(F.pow(F.col("z") - F.col("v"), 2))).alias("rms"))
+    steep = stencil(cells, STRAIGHT).filter(inner & F.col("r").between(1, (top or 0) - 1) & F.col("c").between(1, (right or 0) - 1))
+    gradient = steep.agg(F.sqrt(F.avg(F.pow((F.col("n_0_1") - F.col("n_0_m1")) / 2, 2) + F.pow((F.col("n_1_0") - F.col("n_m1_0")) / 2, 2))).alias("g"))
+    return rms.join(F.broadcast(gradient)).select("azimuth", "shift", "rms", (F.col("shift") * F.col("g") / math.sqrt(2)).alias("law"))
+
+
+def box_means(cells: DataFrame, radius: int, passes: int, *keys: str) -> DataFrame:
+    """(keys, r, c, v): means over windows, as often as ``passes``; a window takes what there is of it within ``keys``."""
+    for _ in range(passes):
+        steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1)]))
+        seen = cells.select(*keys, steps.alias("s"), "r", "c", "v").select(*keys, (F.col("r") + F.col("s.dr")).alias("r"), (F.col("c") + F.col("s.dc")).alias("c"), "v")
+        cells = seen.groupBy(*keys, "r", "c").agg(F.avg("v").alias("v")).join(cells.select(*keys, "r", "c"), [*keys, "r", "c"], "left_semi")
+    return cells
+
+
+def seams(cells: DataFrame, tile: int, halo: int, radius: int, passes: int) -> DataFrame:
+    """(r, c, whole, pieced): cells whose filtered value differs if tiles are filtered one by one, each with ``halo`` cells of its neighbours; none from a halo of
+    radius times passes on."""
+    tiles_of = lambda v: F.sequence(F.floor((F.col(v) - halo) / tile), F.floor((F.col(v) + halo) / tile))
+    dealt = cells.select("r", "c", "v", F.explode(tiles_of("r")).alias("tr")).select("r", "c", "v", "tr", F.explode(tiles_of("c")).alias("tc"))
+    own = (F.floor(F.col("r") / tile) == F.col("tr")) & (F.floor(F.col("c") / tile) == F.col("tc"))
+    pieced = box_means(dealt, radius, passes, "tr", "tc").filter(own).select("r", "c", F.col("v").alias("pieced"))
+    return box_means(cells.select("r", "c", "v"), radius, passes).withColumnRenamed("v", "whole").join(pieced, ["r", "c"]).filter(F.abs(F.col("whole") - F.col("pieced")) > 1e-9)
+
+
+def prisms(change: DataFrame, side: float = 1.0) -> DataFrame:
+    """(cut, fill) of ``change`` (r, c, v), heights at the corners of cells: each cell is two prisms over the triangles that its diagonal from (r, c) makes."""
+    s = stencil(change, ((0, 1), (1, 0), (1, 1))).filter("n_0_1 is not null and n_1_0 is not null and n_1_1 is not null")
+    three = lambda a, b: (F.col("v") + F.col(a) + F.col(b)) / 3 * (side * side / 2)
+    v = s.select(F.explode(F.array(three("n_0_1", "n_1_1"), three("n_1_1", "n_1_0"))).alias("volume"))
+    return v.agg(F.sum(F.greatest(-F.col("volume"), F.lit(0.0))).alias("cut"), F.sum(F.greatest(F.col("volume"), F.lit(0.0))).alias("fill"))
+
+
+def majority(classes: DataFrame, radius: int = 1) -> DataFrame:
+    """(r, c, k): the class that is most frequent in each cell's window; of equal ones the cell's own, then the smallest."""
+    near = classes.select("r", "c", F.col("k").alias("own")).join(shifted(classes, (*window_offsets(radius),), "k"), ["r", "c"])
+    counts = near.groupBy("r", "c", "own", F.col("n_k").alias("k")).agg(F.count("*").alias("n"))
+    best = F.max(F.struct("n", (F.col("k") == F.col("own")).alias("same"), (-F.col("k")).alias("least")))
+    return counts.groupBy("r", "c").agg(best.alias("m")).select("r", "c", (-F.col("m.least")).alias("k"))
+
+
 def bit_words(cells: DataFrame, **masks: Column) -> DataFrame:
     """(r, w, <masks>): 64 columns of a row as one word, bit by bit; word w begins at column 64 w. Counts are bit_count, masks meet by and."""
     bit = lambda m: F.bit_or(F.when(m, F.expr("shiftleft(1L, cast(pmod(c, 64) as int))")).otherwise(F.lit(0).cast("long")))

@@ -331,3 +331,13 @@ def gravity_beta(sites: DataFrame, scale: float = 1000.0, floor: float = 0.5) ->
     d = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
     flows = o.join(e, F.col("a") != F.col("b")).withColumn("d", d).filter("d > 0").withColumn("flow", F.try_divide(F.col("o") * F.col("e") * scale, F.col("d"))).filter(F.col("flow") > floor)
     return flows.agg(F.round(-F.regr_slope(F.log(F.col("flow") / (F.col("o") * F.col("e"))), F.log("d")), 6).alias("beta"), F.count("*").alias("pairs"))
+
+
+def rank_agreement(ranked: DataFrame, share: float) -> DataFrame:
+    """(rho, shared) of two rankings i and j, from 0: Spearman's correlation, and the part of the last ``share`` of one that is in the other's too."""
+    n = F.count("*")
+    best = lambda k: F.col(k) + 1 > F.col("n") * (1 - share)
+    total = ranked.agg(n.alias("n"))
+    both = ranked.join(F.broadcast(total))
+    size = F.first("n")
+    return both.agg(F.round(1 - 6 * F.sum(F.pow(F.col("i") - F.col("j"), 2)) / (size * (F.pow(size, 2) - 1)), 6).alias("rho"), F.round(F.count_if(best("i") & best("j")) / F.count_if(best("i")), 6).alias("shared"))

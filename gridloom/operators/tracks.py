@@ -271,3 +271,16 @@ def coupling(kind: str) -> Callable[..., Column]:
             yield pd.Series(out)
 
     return f
+
+
+def reckoned(fixes: DataFrame, bias: float) -> DataFrame:
+    """(track, legs, run, miss, along, across): each track reckoned from its legs' headings (clockwise from north), speeds and times, with headings ``bias`` degrees off: how
+    far its end is from the true one, and that along and across the true track's overall direction. Tracks that end where they began have no direction and are left out.
+    """
+    w = by_time()
+    leg = fixes.withColumns({"dx": F.col("x") - F.lag("x").over(w), "dy": F.col("y") - F.lag("y").over(w)}).filter("dx is not null")
+    heading, run = F.atan2("dx", "dy"), F.hypot("dx", "dy")
+    off = heading + math.radians(bias)
+    ends = leg.groupBy("track").agg(F.count("*").alias("legs"), F.sum(run).alias("run"), F.sum("dx").alias("ex"), F.sum("dy").alias("ey"), F.sum(run * F.sin(off)).alias("bx"), F.sum(run * F.cos(off)).alias("by"))
+    far, mx, my = F.hypot("ex", "ey"), F.col("bx") - F.col("ex"), F.col("by") - F.col("ey")
+    return ends.filter(far > 0).select("track", "legs", "run", F.hypot(mx, my).alias("miss"), ((mx * F.col("ex") + my * F.col("ey")) / far).alias("along"), ((my * F.col("ex") - mx * F.col("ey")) / far).alias("across"))

@@ -27,9 +27,15 @@ def hexgrid(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).select(q.alias("q"), r.alias("r")).withColumn("steps", ((F.abs("q") + F.abs("r") + F.abs(F.col("q") + F.col("r"))) / 2).cast("long"))
 
 
-@query("hexvssquare", sql("SELECT round(stddev_pop(n)/avg(n), 6) AS cv, count(*) AS cells FROM (SELECT count(*) AS n FROM points GROUP BY floor(x/40.3), floor(y/40.3))", "points"))
+STEPS_OF = "WITH d AS (SELECT id, CAST(floor(x/25) AS BIGINT)-20 AS p, CAST(floor(y/25) AS BIGINT)-20 AS q FROM points), s AS (SELECT * FROM d WHERE p <> 0 OR q <> 0) SELECT id, round((abs(p)+abs(q))/sqrt(p*p+q*q)-1, 6) AS edges, round((greatest(abs(p), abs(q))+(sqrt(2)-1)*least(abs(p), abs(q)))/sqrt(p*p+q*q)-1, 6)+0.0 AS corners, round((abs(p)+abs(q)+abs(p+q))/2/sqrt(p*p+q*q+p*q)-1, 6)+0.0 AS hexes FROM s"
+
+
+@query("hexvssquare", sql(STEPS_OF, "points"))
 def hexvssquare(spark: SparkSession, d: str) -> DataFrame:
-    return points(spark, d).groupBy(joins.cell(F.col("x"), 40.3).alias("cx"), joins.cell(F.col("y"), 40.3).alias("cy")).agg(F.count("*").alias("n")).agg(F.round(F.stddev_pop("n") / F.avg("n"), 6).alias("cv"), F.count("*").alias("cells"))
+    """How much longer than the straight line a way over cells is, from the middle to each point's cell: square cells by edges, by corners too, and hexagons."""
+    p, q = (joins.cell(F.col(v), 25.0) - 20 for v in "xy")
+    cells = points(spark, d).select("id", p.alias("p"), q.alias("q")).filter("p != 0 or q != 0")
+    return cells.select("id", *[(F.round(c, 6) + 0.0).alias(n) for n, c in agg.detours(F.col("p"), F.col("q")).items()])
 
 
 @query("heatmap", sql("WITH g AS (SELECT i AS cx, j AS cy, (i+0.5)*20 AS gx, (j+0.5)*20 AS gy FROM range(50) a(i), range(50) b(j)) SELECT cx, cy, round(sum(exp(-((gx-x)**2+(gy-y)**2)/800)/(2*pi()*400)), 8) AS density FROM g, points WHERE (gx-x)**2+(gy-y)**2 <= 6400 GROUP BY cx, cy", "points"))
@@ -307,6 +313,17 @@ def suitability(spark: SparkSession, d: str) -> DataFrame:
     return statistics.overlay(raster(spark, d), {"v": 0.6, "k": 0.4}).orderBy(F.desc("score"), F.desc("r"), F.desc("c")).limit(20).select("r", "c", F.round("score", 6).alias("score"))
 
 
+RANKED = "WITH s AS (SELECT r, c, (v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()) AS a, (k-min(k) OVER ())/(max(k) OVER ()-min(k) OVER ()) AS b FROM cells), t AS (SELECT row_number() OVER (ORDER BY 0.6*a+0.4*b, r, c) AS i, row_number() OVER (ORDER BY 0.3*a+0.7*b, r, c) AS j, count(*) OVER () AS n FROM s) SELECT round(1-6*sum((i-j)**2)/(any_value(n)*(any_value(n)**2-1.0)), 6) AS rho, round(count_if(i > n*0.9 AND j > n*0.9)/count_if(i > n*0.9), 6) AS shared FROM t"
+
+
+@query("suitability_ranks", sql(RANKED, "cells"))
+def suitability_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """How alike two weightings rank the cells, and how much of the best tenth they share."""
+    both = [statistics.overlay(raster(spark, d), w).select("r", "c", F.col("score").alias(n)) for n, w in (("s", {"v": 0.6, "k": 0.4}), ("t", {"v": 0.3, "k": 0.7}))]
+    ranked = nearest.global_rank(nearest.global_rank(both[0].join(both[1], ["r", "c"]), ["s", "r", "c"], "i"), ["t", "r", "c"], "j")
+    return statistics.rank_agreement(ranked, 0.1)
+
+
 # S13: spatial statistics
 
 

@@ -233,10 +233,14 @@ def cutfill(spark: SparkSession, d: str) -> DataFrame:
     return raster(spark, d).agg(F.round(F.sum(F.greatest(F.col("v") - 925, F.lit(0.0))), 4).alias("cut"), F.round(F.sum(F.greatest(925 - F.col("v"), F.lit(0.0))), 4).alias("fill"))
 
 
-@query("verticalerror", sql("SELECT round(sqrt(avg((0.7*a.v+0.3*b.v-a.v)**2)), 6) AS rms FROM cells a JOIN cells b ON a.r=b.r AND b.c=a.c+1", "cells"))
+SHIFTED = "WITH e AS (SELECT max(r) AS mr, max(c) AS mc FROM cells), p AS (SELECT a::DOUBLE AS azimuth, s::DOUBLE AS shift FROM (VALUES (0.0), (30.0), (90.0), (225.0)) q(a), (VALUES (0.3), (0.8)) t(s)), w AS (SELECT azimuth, shift, v, mr, mc, least(greatest(r-shift*sin(radians(azimuth)), 0.0), mr) AS y, least(greatest(c-shift*cos(radians(azimuth)), 0.0), mc) AS x FROM cells, e, p WHERE r BETWEEN 1 AND mr-1 AND c BETWEEN 1 AND mc-1), z AS (SELECT azimuth, shift, w.v, (1-(y-floor(y)))*((1-(x-floor(x)))*a.v+(x-floor(x))*b.v)+(y-floor(y))*((1-(x-floor(x)))*cc.v+(x-floor(x))*d.v) AS z FROM w JOIN cells a ON a.r=floor(y) AND a.c=floor(x) JOIN cells b ON b.r=floor(y) AND b.c=least(floor(x)+1, mc) JOIN cells cc ON cc.r=least(floor(y)+1, mr) AND cc.c=floor(x) JOIN cells d ON d.r=least(floor(y)+1, mr) AND d.c=least(floor(x)+1, mc)), g AS (SELECT sqrt(avg(((e.v-w.v)/2)**2+((s.v-n.v)/2)**2)) AS g FROM cells m JOIN cells e ON e.r=m.r AND e.c=m.c+1 JOIN cells w ON w.r=m.r AND w.c=m.c-1 JOIN cells s ON s.c=m.c AND s.r=m.r+1 JOIN cells n ON n.c=m.c AND n.r=m.r-1) SELECT azimuth, shift, round(sqrt(avg((z-v)**2)), 6) AS rms, round(shift*any_value(g)/sqrt(2), 6) AS law FROM z, g GROUP BY azimuth, shift"
+
+
+@query("verticalerror", sql(SHIFTED, "cells"))
 def verticalerror(spark: SparkSession, d: str) -> DataFrame:
-    east = Window.partitionBy("r").orderBy("c")
-    return raster(spark, d).withColumn("e", F.lead("v").over(east)).filter("e is not null").agg(F.round(F.sqrt(F.avg(F.pow(0.7 * F.col("v") + 0.3 * F.col("e") - F.col("v"), 2))), 6).alias("rms"))
+    """What a shift of the surface does to its heights, by direction."""
+    e = ras.shift_errors(raster(spark, d), [0.3, 0.8], [0.0, 30.0, 90.0, 225.0], 1)
+    return e.select("azimuth", "shift", F.round("rms", 6).alias("rms"), F.round("law", 6).alias("law"))
 
 
 @query("rastershift", sql("SELECT dy, dx, round(corr(a.v, b.v), 6) AS ncc FROM range(-2, 3) p(dy), range(-2, 3) q(dx), cells a JOIN cells b ON b.r=a.r+dy AND b.c=a.c+dx GROUP BY dy, dx", "cells"))
@@ -246,10 +250,47 @@ def rastershift(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(F.col("dr").cast("long").alias("dy"), F.col("dc").cast("long").alias("dx")).agg(F.round(F.corr("v", "n_v"), 6).alias("ncc"))
 
 
-@query("tileseams", sql("SELECT a.r, a.c, round(avg(b.v), 6) AS mean FROM cells a JOIN cells b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 GROUP BY a.r, a.c", "cells"))
+#: Windows of three over tiles of sixteen with halos of none to two cells, twice, beside the whole grid (its one tile is -1).
+MEAN = "{n} AS (SELECT a.h, a.tr, a.tc, a.r, a.c, avg(b.v) AS v FROM {p} a JOIN {p} b ON a.h=b.h AND a.tr=b.tr AND a.tc=b.tc AND abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 GROUP BY a.h, a.tr, a.tc, a.r, a.c)"
+SEAMS = "WITH t AS (SELECT h, tr, tc, r, c, v FROM cells, range(3) q(h), range(-1, 30) x(tr), range(-1, 30) y(tc) WHERE r BETWEEN tr*16-h AND tr*16+15+h AND c BETWEEN tc*16-h AND tc*16+15+h UNION ALL SELECT -1, -1, -1, r, c, v FROM cells), " + MEAN.format(n="m1", p="t") + ", " + MEAN.format(n="m2", p="m1") + " SELECT p.h::INTEGER AS halo, count(*) FILTER (WHERE abs(p.v-w.v) > 1e-9) AS cells, round(max(abs(p.v-w.v)), 6)+0.0 AS worst FROM m2 p JOIN m2 w ON w.h = -1 AND p.h >= 0 AND p.r = w.r AND p.c = w.c AND p.tr = p.r//16 AND p.tc = p.c//16 GROUP BY p.h HAVING count(*) FILTER (WHERE abs(p.v-w.v) > 1e-9) > 0"
+
+
+@query("tileseams", sql(SEAMS, "cells"))
 def tileseams(spark: SparkSession, d: str) -> DataFrame:
-    """Window means by tiles with a halo equal those of the whole grid."""
-    return ras.around(raster(spark, d), ras.ROUND, "v", itself=True).groupBy("r", "c").agg(F.round(F.avg("n_v"), 6).alias("mean"))
+    """Cells that differ where tiles are filtered one by one, by halo; a halo of two leaves none."""
+    cells, out = raster(spark, d), None
+    for halo in range(3):
+        one = ras.seams(cells, 16, halo, 1, 2).groupBy(F.lit(halo).alias("halo")).agg(F.count("*").alias("cells"), (F.round(F.max(F.abs(F.col("whole") - F.col("pieced"))), 6) + 0.0).alias("worst"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("cutfill_prisms", sql("WITH d AS (SELECT r, c, v-925 AS v FROM cells), p AS (SELECT unnest([(a.v+b.v+e.v)/6, (a.v+e.v+f.v)/6]) AS q FROM d a JOIN d b ON b.r=a.r AND b.c=a.c+1 JOIN d e ON e.r=a.r+1 AND e.c=a.c+1 JOIN d f ON f.r=a.r+1 AND f.c=a.c) SELECT round(sum(greatest(-q, 0)), 4) AS cut, round(sum(greatest(q, 0)), 4) AS fill FROM p", "cells"))
+def cutfill_prisms(spark: SparkSession, d: str) -> DataFrame:
+    """Earth to move to the level of 925, by prisms over triangles."""
+    p = ras.prisms(raster(spark, d).select("r", "c", (F.col("v") - 925).alias("v")))
+    return p.select(F.round("cut", 4).alias("cut"), F.round("fill", 4).alias("fill"))
+
+
+@query("landcoverchange_majority", sql("WITH n AS (SELECT a.r, a.c, a.k%3 AS own, b.k%3 AS k, count(*) AS n FROM cells a JOIN cells b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 GROUP BY 1, 2, 3, 4) SELECT r, c, k FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY n DESC, k = own DESC, k) AS i FROM n) WHERE i = 1", "cells"))
+def landcoverchange_majority(spark: SparkSession, d: str) -> DataFrame:
+    """Classes smoothed by the majority of their windows."""
+    return ras.majority(raster(spark, d).select("r", "c", (F.col("k") % 3).alias("k")))
+
+
+PATHS = "WITH e AS (SELECT r, min(c) AS a, max(c) AS b FROM cells GROUP BY r), p AS (SELECT e.r, a, b, x.v+5 AS tx, y.v+5 AS rx FROM e JOIN cells x ON x.r=e.r AND x.c=a JOIN cells y ON y.r=e.r AND y.c=b), g AS (SELECT p.r, c, tx+(rx-tx)*(c-a)/(b-a)-1000.0*(c-a)*(b-c)/(2*6371.0088*4/3)-v AS gap FROM p JOIN cells USING (r)) SELECT r, round(min(gap), 4) AS clearance, arg_min(c, (gap, c)) AS lowest FROM g GROUP BY r"
+
+
+@query("radiohorizon_clearance", sql(PATHS, "cells"))
+def radiohorizon_clearance(spark: SparkSession, d: str) -> DataFrame:
+    """Along each row, cells a kilometre apart: how far the ray between masts of five metres at its ends clears the ground, the earth's bulge taken off."""
+    from gridloom.functions import astronomy
+
+    row = Window.partitionBy("r")
+    end = lambda f: f("v", "c").over(row) + 5
+    p = raster(spark, d).withColumns({"a": F.min("c").over(row), "b": F.max("c").over(row), "tx": end(F.min_by), "rx": end(F.max_by)})
+    gap = astronomy.ray_height(F.col("tx"), F.col("rx"), F.col("b") - F.col("a"), F.col("c") - F.col("a"), 4.0 / 3) - F.col("v")
+    return p.withColumn("gap", gap).groupBy("r").agg(F.round(F.min("gap"), 4).alias("clearance"), F.min(F.struct("gap", "c")).alias("m")).select("r", "clearance", F.col("m.c").alias("lowest"))
 
 
 def returns(spark: SparkSession, d: str) -> DataFrame:

@@ -345,6 +345,29 @@ scalar(
 )
 
 
+PIXELS = lambda: codes.to_pixels(A1(), O1(), 7.0)
+S_PX, S_PY = "(lon1+180)/360*32768", "(1-ln(tan(radians(lat1))+1/cos(radians(lat1)))/pi())/2*32768"
+S_PY0, S_PY1 = (f"(1-ln(tan(radians({a}))+1/cos(radians({a})))/pi())/2*256" for a in ("(lat1+id%3+0.1)", "lat1"))
+scalar(
+    'viewport_pixels',
+    {
+        "px": (lambda: PIXELS()[0], S_PX),
+        "py": (lambda: PIXELS()[1], S_PY),
+        "lat_back": (lambda: codes.from_pixels(*PIXELS(), 7.0)[0], "lat1"),
+        "lon_back": (lambda: codes.from_pixels(*PIXELS(), 7.0)[1], "lon1"),
+        "zoom": (lambda: codes.fitting_zoom(A1(), O1(), A1() + F.col("id") % 3 + 0.1, O1() + F.col("id") % 5 + 0.1, 800, 600), f"CAST(greatest(0, floor(log2(least(800.0/((id%5+0.1)/360*256), 600.0/({S_PY1}-{S_PY0}))))) AS BIGINT)"),
+    }, digits=5,
+)
+
+
+@query("geocircle_rim", fixtures.sql(f"WITH k AS (SELECT id, lat1, lon1, (abs(lat1)*10+1)/{R} AS d, i, radians(i*10.0) AS t FROM places, range(36) q(i)), p AS (SELECT *, asin(sin(radians(lat1))*cos(d)+cos(radians(lat1))*sin(d)*cos(t)) AS p2 FROM k), l AS (SELECT *, degrees(radians(lon1)+atan2(sin(t)*sin(d)*cos(radians(lat1)), cos(d)-sin(radians(lat1))*sin(p2)))+540 AS l2 FROM p) SELECT id, i::INT AS i, round(degrees(p2), 6)+0.0 AS lat, round(l2-360*floor(l2/360)-180, 6)+0.0 AS lon FROM l", "places"))
+def geocircle_rim(spark: SparkSession, d: str) -> DataFrame:
+    """Thirty-six points of the circle round each place."""
+    p = fixtures.places(spark, d).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(35))))
+    lat, lon = geodesy.destination(A1(), O1(), F.col("i") * 10.0, F.abs(A1()) * 10 + 1)
+    return p.select("id", "i", (F.round(lat, 6) + 0.0).alias("lat"), (F.round(lon, 6) + 0.0).alias("lon"))
+
+
 def s_pick(alphabet: str, index: str) -> str:
     return f"substr('{alphabet}', CAST({index} AS BIGINT)+1, 1)"
 

@@ -23,9 +23,14 @@ def speedprofile(spark: SparkSession, d: str) -> DataFrame:
     return tracks.speeds(fixes(spark, d)).filter("speed is not null").groupBy("track").agg(F.count("*").alias("n"), F.round(F.avg("speed"), 6).alias("mean"), F.round(F.max("speed"), 4).alias("top"))
 
 
-@query("deadreckoning", sql("SELECT track, count(*) AS n, round(arg_max(x, seq), 4) AS x, round(arg_max(y, seq), 4) AS y FROM fixes GROUP BY track", "fixes"))
+RECKONED = LAG + ", l AS (SELECT track, seq, x-px AS dx, y-py AS dy FROM g WHERE pt IS NOT NULL), t AS (SELECT track, count(*) AS legs, sum(sqrt(dx*dx+dy*dy)) AS run, sum(dx) AS ex, sum(dy) AS ey, sum(dx*cos(radians(5))+dy*sin(radians(5))) AS bx, sum(dy*cos(radians(5))-dx*sin(radians(5))) AS b_y FROM l GROUP BY track) SELECT track, legs, round(run, 4) AS run, round(sqrt((bx-ex)**2+(b_y-ey)**2), 4) AS miss, round(((bx-ex)*ex+(b_y-ey)*ey)/sqrt(ex*ex+ey*ey), 4)+0.0 AS along, round((-(bx-ex)*ey+(b_y-ey)*ex)/sqrt(ex*ex+ey*ey), 4)+0.0 AS across FROM t WHERE ex*ex+ey*ey > 0"
+
+
+@query("deadreckoning", sql(RECKONED, "fixes"))
 def deadreckoning(spark: SparkSession, d: str) -> DataFrame:
-    return fixes(spark, d).groupBy("track").agg(F.count("*").alias("n"), F.round(F.max_by("x", "seq"), 4).alias("x"), F.round(F.max_by("y", "seq"), 4).alias("y"))
+    """Where each track would end if its compass were five degrees off: the miss, along and across the way made good."""
+    r = tracks.reckoned(fixes(spark, d), 5.0)
+    return r.select("track", "legs", F.round("run", 4).alias("run"), F.round("miss", 4).alias("miss"), (F.round("along", 4) + 0.0).alias("along"), (F.round("across", 4) + 0.0).alias("across"))
 
 
 @query("gpsjitter", sql("SELECT track, seq, round(avg(x) OVER w, 5) AS sx, round(avg(y) OVER w, 5) AS sy FROM fixes WINDOW w AS (PARTITION BY track ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)", "fixes"))
