@@ -49,50 +49,106 @@ def density_side(points: DataFrame, x: str, y: str, per_cell: float) -> float:
     return max(math.sqrt(max((b - a) * (d - c), 1e-12) * per_cell / n), max(b - a, d - c, 1e-9) / 1e6) if n else 1.0
 
 
+#: Points that a cell of a k-nearest join holds before it is split, for each neighbour asked for, and how often cells are split (sides shrink by 4 each time): so often
+#: before points at one place are thinned out, and so often at most.
+HEAVY, DEEP, DEEPEST = 256, 4, 12
+#: Pairs up to which the queries that are left open are compared with all points.
+FEW = 1_000_000
+
+
+def crowded(points: DataFrame, side: float, most: int, deepest: int) -> list[tuple[float, DataFrame]]:
+    """Cells of ``points`` (__px, __py) with more than ``most`` points, as (side, cells), level by level: a crowded cell is counted anew in cells of a quarter of
+    the side until none is crowded. Each level counts only what lies in crowded cells of the one before."""
+    levels: list[tuple[float, DataFrame]] = []
+    while len(levels) < deepest:
+        keyed = points.withColumns({"__cx": cell(F.col("__px"), side), "__cy": cell(F.col("__py"), side)})
+        cells = settle(keyed.groupBy("__cx", "__cy").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("__cx", "__cy"), len(levels))
+        if cells.isEmpty():
+            break
+        levels.append((side, cells))
+        points, side = keyed.join(cells, ["__cx", "__cy"], "left_semi").select("point", "__px", "__py"), side / 4
+    return levels
+
+
+def first_of_place(points: DataFrame, k: int) -> DataFrame:
+    """Of the points (point, __px, __py) at one place the ``k`` first, which is all that can be among k nearest."""
+    at = Window.partitionBy("__px", "__py").orderBy("point")
+    return points.withColumn("__n", F.row_number().over(at)).filter(F.col("__n") <= k).drop("__n")
+
+
 def knn_join(queries: DataFrame, points: DataFrame, k: int, qid: str = "id", qx: str = "x", qy: str = "y", pid: str = "sid", px: str = "sx", py: str = "sy", exclude_same: bool = False) -> DataFrame:
     """The k nearest points of each query: (query, point, d2, rank), ties by point id.
 
     A round compares each query with the nine cells round it; it is done if its k-th distance is at most a cell's side,
-    as nothing nearer can lie outside. The others meet cells four times as wide. Each round's result is
-    written, so no round computes those before it anew, and rounds end when no query is open: nearly all are done in the first.
+    as nothing nearer can lie outside. The others meet cells four times as wide. Queries begin at a side that fits their own cell: where points crowd, cells
+    are split by counts until they hold a bounded number, and rounds go from the narrowest cells up. Each round's result is
+    written with its open queries, so no round computes those before it anew, and rounds end when no query is open: nearly all are done in their first.
+    Queries outside a crowd whose nine cells reach into it still meet all of its points there.
     """
     left = queries.select(F.col(qid).alias("query"), F.col(qx).alias("__qx"), F.col(qy).alias("__qy"))
     right = points.select(F.col(pid).alias("point"), F.col(px).alias("__px"), F.col(py).alias("__py"))
-    n, a, b, c, e = right.agg(F.count("*"), F.min("__px"), F.max("__px"), F.min("__py"), F.max("__py")).first()
-    lo_x, hi_x, lo_y, hi_y = left.agg(F.min("__qx"), F.max("__qx"), F.min("__qy"), F.max("__qy")).first()
-    if not n or lo_x is None:
+    both = right.select(F.col("__px").alias("x"), F.col("__py").alias("y"), F.lit(True).alias("p")).union(left.select("__qx", "__qy", F.lit(False)))
+    own = lambda f, v: f(F.when(F.col("p"), F.col(v)))
+    n, m, a, b, c, e, *ends = both.agg(F.count_if("p"), F.count_if(~F.col("p")), own(F.min, "x"), own(F.max, "x"), own(F.min, "y"), own(F.max, "y"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if not n or not m:
         return left.join(right, F.lit(False)).select("query", "point", F.lit(0.0).alias("d2"), F.lit(1).alias("rank"))
     area, reach = max((b - a) * (e - c), 1e-12), max(b - a, e - c, 1e-9)
-    side = max(math.sqrt(area * max(3.0, k) / n), reach / 1e6)
-    extent = max(max(hi_x, b) - min(lo_x, a), max(hi_y, e) - min(lo_y, c), 1e-9)
-    d2 = (F.col("__qx") - F.col("__px")) * (F.col("__qx") - F.col("__px")) + (F.col("__qy") - F.col("__py")) * (F.col("__qy") - F.col("__py"))
-    best = Window.partitionBy("query").orderBy("d2", "point")
-    found, i = None, 0
+    side = max(math.sqrt(area * max(8.0, 2.0 * k) / n), reach / 1e6)
+    extent = max(ends[1] - ends[0], ends[3] - ends[2], 1e-9)
+    levels = crowded(right, side, HEAVY * k, DEEP) if n > 16 * HEAVY * k else []
+    if len(levels) == DEEP:
+        right = settle(first_of_place(right, k + 1))
+        levels = crowded(right, side, HEAVY * k, DEEPEST)
+    left = left.withColumn("__level", F.lit(0))
+    for wide, cells in levels:
+        inside = cells.withColumn("__in", F.lit(1))
+        left = left.withColumns({"__cx": cell(F.col("__qx"), wide), "__cy": cell(F.col("__qy"), wide)}).join(inside, ["__cx", "__cy"], "left")
+        left = left.select("query", "__qx", "__qy", (F.col("__level") + F.coalesce("__in", F.lit(0))).alias("__level"))
+    waiting, open_, found, i = settle(left) if levels else left, None, None, 0
+    sides = [side / 4**j for j in range(len(levels) + 1)]
+    level = len(levels)
     while True:
-        whole = side >= extent
-        near = cells_of(right, F.col("__px") - side, F.col("__py") - side, F.col("__px") + side, F.col("__py") + side, side)
-        own = left.withColumns({"__cx": cell(F.col("__qx"), side), "__cy": cell(F.col("__qy"), side)})
-        pairs = own.join(near, ["__cx", "__cy"])
-        if exclude_same:
-            pairs = pairs.filter("query != point")
-        ranked = pairs.select("query", "point", d2.alias("d2")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        if not whole:
-            # the k-th is the last of those kept, so one more pass over the same sorted rows tells whether a query is done
-            far = F.max("d2").over(Window.partitionBy("query"))
-            ranked = ranked.withColumn("__done", (F.max("rank").over(Window.partitionBy("query")) == k) & (far <= side * side))
-            ranked = settle(ranked, i)
-            ready = ranked.filter("__done").drop("__done")
-        else:
-            ready = ranked
+        wide = sides[level] if level >= 0 else side
+        own_queries = waiting.filter(F.col("__level") == level).drop("__level") if level >= 0 else None
+        active = own_queries if open_ is None else open_ if own_queries is None else open_.union(own_queries)
+        whole = level <= 0 and wide >= extent
+        near_points = beside(right, *levels[level - 1]) if level > 0 else right
+        ranked = settle(compared(active, near_points, k, wide, exclude_same, whole), i)
+        ready = ranked.filter("__done and point is not null").select("query", "point", "d2", "rank")
         found = ready if found is None else found.union(ready)
+        open_ = ranked.filter("not __done").select("query", "__qx", "__qy").distinct()
+        level, i = level - 1, i + 1
         if whole:
             return found
-        left = left.join(ready.select("query").distinct(), "query", "left_anti")
-        if left.isEmpty():
-            return found
-        side, i = side * 4, i + 1
-        if side >= extent:
-            side = extent * 1.000001
+        if level < 0:
+            left_over = open_.count()
+            if not left_over:
+                return found
+            # a few that are left meet all points at once
+            side = side * 4 if side * 4 < extent and left_over * n > FEW else extent * 1.000001
+
+
+def beside(points: DataFrame, side: float, cells: DataFrame) -> DataFrame:
+    """The points in ``cells`` and in the cells round them."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    wide = cells.select("__cx", "__cy", steps.alias("s")).select((F.col("__cx") + F.col("s.i")).alias("__cx"), (F.col("__cy") + F.col("s.j")).alias("__cy")).distinct()
+    return points.withColumns({"__cx": cell(F.col("__px"), side), "__cy": cell(F.col("__py"), side)}).join(wide, ["__cx", "__cy"], "left_semi").select("point", "__px", "__py")
+
+
+def compared(queries: DataFrame, points: DataFrame, k: int, side: float, exclude_same: bool, whole: bool) -> DataFrame:
+    """(query, __qx, __qy, point, d2, rank, __done): the k nearest of the points in the nine cells round each query, which a query without any keeps as nulls; __done
+    tells whether they are the nearest of all."""
+    near = cells_of(points, F.col("__px") - side, F.col("__py") - side, F.col("__px") + side, F.col("__py") + side, side)
+    own = queries.withColumns({"__qcx": cell(F.col("__qx"), side), "__qcy": cell(F.col("__qy"), side)})
+    meet = (F.col("__qcx") == F.col("__cx")) & (F.col("__qcy") == F.col("__cy"))
+    d2 = (F.col("__qx") - F.col("__px")) * (F.col("__qx") - F.col("__px")) + (F.col("__qy") - F.col("__py")) * (F.col("__qy") - F.col("__py"))
+    pairs = own.join(near, meet & (F.col("query") != F.col("point")) if exclude_same else meet, "left").select("query", "__qx", "__qy", "point", d2.alias("d2"))
+    best = Window.partitionBy("query").orderBy(F.col("d2").asc_nulls_last(), "point")
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # the k-th is the last of those kept, so one more pass over the same sorted rows tells whether a query is done
+    mine = Window.partitionBy("query")
+    done = F.lit(True) if whole else F.coalesce((F.count("point").over(mine) == k) & (F.max("d2").over(mine) <= side * side), F.lit(False))
+    return ranked.withColumn("__done", done)
 
 
 def nearest(queries: DataFrame, points: DataFrame, **names: str) -> DataFrame:

@@ -313,13 +313,13 @@ def suitability(spark: SparkSession, d: str) -> DataFrame:
     return statistics.overlay(raster(spark, d), {"v": 0.6, "k": 0.4}).orderBy(F.desc("score"), F.desc("r"), F.desc("c")).limit(20).select("r", "c", F.round("score", 6).alias("score"))
 
 
-RANKED = "WITH s AS (SELECT r, c, (v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()) AS a, (k-min(k) OVER ())/(max(k) OVER ()-min(k) OVER ()) AS b FROM cells), t AS (SELECT row_number() OVER (ORDER BY 0.6*a+0.4*b, r, c) AS i, row_number() OVER (ORDER BY 0.3*a+0.7*b, r, c) AS j, count(*) OVER () AS n FROM s) SELECT round(1-6*sum((i-j)**2)/(any_value(n)*(any_value(n)**2-1.0)), 6) AS rho, round(count_if(i > n*0.9 AND j > n*0.9)/count_if(i > n*0.9), 6) AS shared FROM t"
+RANKED = "WITH s AS (SELECT r, c, (v-min(v) OVER ())/(max(v) OVER ()-min(v) OVER ()) AS a, (k-min(k) OVER ())/(max(k) OVER ()-min(k) OVER ()) AS b FROM cells), t AS (SELECT row_number() OVER (ORDER BY round(0.6*a+0.4*b, 9), r, c) AS i, row_number() OVER (ORDER BY round(0.3*a+0.7*b, 9), r, c) AS j, count(*) OVER () AS n FROM s) SELECT round(1-6*sum((i-j)**2)/(any_value(n)*(any_value(n)**2-1.0)), 6) AS rho, round(count_if(i > n*0.9 AND j > n*0.9)/count_if(i > n*0.9), 6) AS shared FROM t"
 
 
 @query("suitability_ranks", sql(RANKED, "cells"))
 def suitability_ranks(spark: SparkSession, d: str) -> DataFrame:
     """How alike two weightings rank the cells, and how much of the best tenth they share."""
-    both = [statistics.overlay(raster(spark, d), w).select("r", "c", F.col("score").alias(n)) for n, w in (("s", {"v": 0.6, "k": 0.4}), ("t", {"v": 0.3, "k": 0.7}))]
+    both = [statistics.overlay(raster(spark, d), w).select("r", "c", F.round("score", 9).alias(n)) for n, w in (("s", {"v": 0.6, "k": 0.4}), ("t", {"v": 0.3, "k": 0.7}))]
     ranked = nearest.global_rank(nearest.global_rank(both[0].join(both[1], ["r", "c"]), ["s", "r", "c"], "i"), ["t", "r", "c"], "j")
     return statistics.rank_agreement(ranked, 0.1)
 

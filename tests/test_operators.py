@@ -214,6 +214,27 @@ def test_knn_join(spark):
     assert joins.knn_join(q, p.limit(1), 2).count() == len(qs)
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_knn_join_where_points_crowd(spark, monkeypatch, k):
+    monkeypatch.setattr(joins, "HEAVY", 4)
+    monkeypatch.setattr(joins, "FEW", 0)
+    r = random.Random(3)
+    points = [(i, r.uniform(0, 100), r.uniform(0, 100)) for i in range(40)] + [(100 + i, 50 + r.gauss(0, 0.1), 50 + r.gauss(0, 0.1)) for i in range(60)] + [(300 + i, 7.0, 7.0) for i in range(30)]
+    queries = [(i, r.uniform(-20, 120), r.uniform(-20, 120)) for i in range(40)] + [(100 + i, 50 + r.gauss(0, 0.2), 50 + r.gauss(0, 0.2)) for i in range(40)] + [(200, 7.0, 7.0), (305, 7.0, 7.0)]
+    p = spark.createDataFrame(points, "sid long, sx double, sy double")
+    sizes = [cells.count() for _, cells in joins.crowded(p.toDF("point", "__px", "__py"), 20.0, 6, 9)]
+    assert len(sizes) == 9 and sizes[-1] == 1  # thirty at one place
+    for same in (k == 3,):
+        got = {}
+        for q in joins.knn_join(spark.createDataFrame(queries, "id long, x double, y double"), p, k, exclude_same=same).collect():
+            got.setdefault(q.query, []).append((q.rank, q.point, q.d2))
+        for i, x, y in queries:
+            want = sorted((((x - a) * (x - a) + (y - b) * (y - b), j) for j, a, b in points if not (same and i == j)))[:k]
+            mine = sorted(got[i])
+            assert [j for _, j, _ in mine] == [j for _, j in want] and [n for n, *_ in mine] == list(range(1, k + 1))
+            assert [d for *_, d in mine] == pytest.approx([d for d, _ in want])
+
+
 def test_mean_shift_like_the_sequential_one(spark):
     r = random.Random(6)
     pts = [(i, r.gauss(30 * (i % 3), 4), r.gauss(10, 4)) for i in range(60)]
