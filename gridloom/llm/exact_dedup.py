@@ -1,4 +1,4 @@
-"""Exact duplicates: sorted digest runs merged in binomial rounds, in DataFrame operations only."""
+"""Exact duplicates: sorted digest runs merged eight at a time in the rounds of a binomial tree, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import filled, written
 
-#: Binary logarithm of the number of leaves of the tree, and so the number of rounds of merges: a leaf's run is what one scan
+#: Rounds of merges, and binary logarithm of the runs that meet in one: a round takes that many levels of the binomial tree at once. A leaf's run is what one scan
 #: partition holds, or what several do.
-ROUNDS = 6
+ROUNDS, WAYS = 2, 3
 #: What must agree for two texts to be one: SHA-256, the length and a second, independent hash.
 KEY = ("text_sha256", "__bytes", "__check")
 
@@ -21,22 +21,23 @@ def leaf_runs(rows: DataFrame, keep: str) -> DataFrame:
 
 
 def merged(runs: DataFrame, keep: str) -> DataFrame:
-    """One binomial round: the runs of neighbouring nodes meet at their parent, sorted by digest, and become its run.
+    """One round: the runs of all nodes below one meet there, sorted by digest, and become its run.
 
     A node's run is dealt over tasks by digest, so no task gets a whole run. In the sorted order equal digests are neighbours, at most one
-    from each side: the first has the id to keep, and both sizes are added.
+    from each run: the first has the id to keep, and their sizes are added.
     """
     order = F.col("keep_id").desc_nulls_last() if keep == "largest" else F.col("keep_id").asc_nulls_last()
-    runs = runs.withColumn("__node", F.shiftright("__node", 1)).repartition("__node", "text_sha256").sortWithinPartitions("__node", *KEY, order)
+    runs = runs.withColumn("__node", F.shiftright("__node", WAYS)).repartition("__node", "text_sha256").sortWithinPartitions("__node", *KEY, order)
     equal = Window.partitionBy("__node", *KEY).orderBy(order)
-    runs = runs.select("__node", *KEY, "keep_id", F.row_number().over(equal).alias("__place"), (F.col("group_size") + F.coalesce(F.lead("group_size").over(equal), F.lit(0))).alias("group_size"))
+    whole = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    runs = runs.select("__node", *KEY, "keep_id", F.row_number().over(equal).alias("__place"), F.sum("group_size").over(whole).alias("group_size"))
     return runs.filter("__place = 1").drop("__place")
 
 
 def exact_groups(rows: DataFrame, keep: str = "largest") -> DataFrame:
     """(__leaf, KEY, keep_id, group_size): for every leaf and digest of ``rows`` (doc_id, KEY, __leaf) what holds in the whole table.
 
-    Runs are merged in pairs, round by round, up to the root; every merge retains the verified id of each digest. The root's run is
+    Runs are merged eight by eight, round by round, up to the root; every merge retains the verified id of each digest. The root's run is
     then handed down to the leaves, so rows find their group by leaf and digest and a text that holds a third of all rows
     is dealt over all leaves.
     """
@@ -55,7 +56,7 @@ def digests(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFram
         F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"),
         F.octet_length(text).alias("__bytes"),
         F.xxhash64(text).alias("__check"),
-        F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS)).alias("__leaf"),
+        F.pmod(F.spark_partition_id(), F.lit(1 << ROUNDS * WAYS)).alias("__leaf"),
         *more,
     )
     return written(rows, "digests")
