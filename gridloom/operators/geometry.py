@@ -59,16 +59,18 @@ def diameter(p: Points) -> tuple[float]:
 
 
 def min_rectangle(p: Points) -> tuple[float, float]:
-    """Area and longer side of the least rectangle: one of its sides lies on a hull edge."""
-    best = (math.inf, 0.0)
+    """Area and longer side of the least rectangle: one of its sides lies on a hull edge. Of rectangles of equal area, as all of a triangle are, the one of the
+    shortest longer side."""
+    found = []
     for a, b in zip(p, p[1:] + p[:1], strict=True):
         n = math.dist(a, b)
         if n:
             ux, uy = (b[0] - a[0]) / n, (b[1] - a[1]) / n
             s, t = [q[0] * ux + q[1] * uy for q in p], [q[1] * ux - q[0] * uy for q in p]
             w, h = max(s) - min(s), max(t) - min(t)
-            best = min(best, (w * h, max(w, h)))
-    return best if best[0] < math.inf else (0.0, 0.0)
+            found.append((w * h, max(w, h)))
+    least = min((a for a, _ in found), default=0.0)
+    return least, min((s for a, s in found if a <= least * (1 + 1e-9)), default=0.0)
 
 
 def least_circle(p: Points) -> tuple[float, float, float]:

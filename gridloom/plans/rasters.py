@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import raster as ras
 from gridloom.operators.statistics import STRAIGHT, shifted
 from gridloom.plans.catalog import query
-from gridloom.sources.fixtures import points, raster, sql
+from gridloom.sources.fixtures import points, raster, recursive, sql
 
 NEAR8 = "abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c)"
 NEAR4 = "abs(a.r-b.r)+abs(a.c-b.c) = 1"
@@ -79,7 +79,18 @@ def hand(spark: SparkSession, d: str) -> DataFrame:
     return ras.height_above_drainage(raster(spark, d), 6).select("r", "c", "channel", F.round("height", 6).alias("height"))
 
 
-@query("sinkfill", None)
+def s_spread(name: str, start: str, cost: str, step: str) -> str:
+    """Least costs over the eight neighbours as a keyed recursion: cells whose cost fell pass it on, until none falls."""
+    return f"{name}(r, c, cost) USING KEY (r, c) AS (SELECT r, c, {cost} FROM cells WHERE {start} UNION SELECT b.r, b.c, min({step}) AS cost FROM {name} w JOIN cells a ON a.r=w.r AND a.c=w.c JOIN cells b ON abs(a.r-b.r) <= 1 AND abs(a.c-b.c) <= 1 AND (a.r <> b.r OR a.c <> b.c) LEFT JOIN recurring.{name} o ON o.r=b.r AND o.c=b.c GROUP BY b.r, b.c, o.cost HAVING o.cost IS NULL OR min({step}) < o.cost - 1e-12)"
+
+
+LENGTH = "sqrt((a.r-b.r)**2+(a.c-b.c)**2)"
+CORNER = "r = 0 AND c = 0"
+MEAN_COST, ENTRY_COST = f"w.cost+(a.v+b.v)/2*{LENGTH}", f"w.cost+b.v*{LENGTH}"
+RIM = "r = (SELECT min(r) FROM cells) OR r = (SELECT max(r) FROM cells) OR c = (SELECT min(c) FROM cells) OR c = (SELECT max(c) FROM cells)"
+
+
+@query("sinkfill", recursive("WITH " + s_spread("f", RIM, "v", "greatest(b.v, w.cost)") + " SELECT r, c, round(cost-v, 6) AS depth FROM f JOIN cells USING (r, c)", "cells"))
 def sinkfill(spark: SparkSession, d: str) -> DataFrame:
     return ras.fill_sinks(raster(spark, d)).select("r", "c", F.round(F.col("filled") - F.col("v"), 6).alias("depth"))
 
@@ -88,18 +99,23 @@ def source(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(0, 0)], "r long, c long")
 
 
-@query("costdistance", None)
+@query("costdistance", recursive("WITH " + s_spread("f", CORNER, "0.0::DOUBLE", MEAN_COST) + " SELECT r, c, round(cost, 6) AS cost FROM f", "cells"))
 def costdistance(spark: SparkSession, d: str) -> DataFrame:
     return ras.cost_distance(raster(spark, d), source(spark)).select("r", "c", F.round("cost", 6).alias("cost"))
 
 
-@query("isochrone", None)
+@query("isochrone", recursive("WITH " + s_spread("f", CORNER, "0.0::DOUBLE", MEAN_COST) + " SELECT r, c, CAST(floor(cost/2500) AS BIGINT) AS band FROM f", "cells"))
 def isochrone(spark: SparkSession, d: str) -> DataFrame:
+    """The band of cost that each cell lies in."""
     far = ras.cost_distance(raster(spark, d), source(spark))
-    return far.groupBy(F.floor(F.col("cost") / 2500).alias("band")).agg(F.count("*").alias("cells"))
+    return far.select("r", "c", F.floor(F.col("cost") / 2500).alias("band"))
+
 
+#: The neighbour that each cost came from, ties to the first in row order, and the ways followed back from the goals.
+BACK = f", g AS (SELECT f.r, f.c, f.cost, n.r AS pr, n.c AS pc, row_number() OVER (PARTITION BY f.r, f.c ORDER BY n.r, n.c) AS i FROM f JOIN cells b ON b.r=f.r AND b.c=f.c JOIN f n ON abs(n.r-f.r) <= 1 AND abs(n.c-f.c) <= 1 AND (n.r <> f.r OR n.c <> f.c) WHERE f.cost > 0 AND abs(n.cost+b.v*sqrt((n.r-f.r)**2+(n.c-f.c)**2)-f.cost) <= 1e-9*(1+f.cost)), goals AS (SELECT 'row' AS goal, CAST(0 AS BIGINT) AS r, max(c) AS c FROM cells UNION ALL SELECT 'corner', max(r), max(c) FROM cells UNION ALL (SELECT 'farthest', r, c FROM f ORDER BY cost DESC, r, c LIMIT 1)), way AS (SELECT goal, CAST(0 AS BIGINT) AS back, r, c FROM goals UNION ALL SELECT goal, back+1, pr, pc FROM way JOIN g USING (r, c) WHERE g.i = 1) SELECT goal, max(back) OVER (PARTITION BY goal)-back AS step, r, c, round(cost, 6) AS cost FROM way JOIN f USING (r, c)"
 
-@query("gridpath", None)
+
+@query("gridpath", recursive("WITH " + s_spread("f", CORNER, "0.0::DOUBLE", ENTRY_COST) + BACK, "cells"))
 def gridpath(spark: SparkSession, d: str) -> DataFrame:
     """Least-cost ways from the first cell to the last of the first row, the last of all, and the farthest."""
     cells = raster(spark, d)
@@ -110,7 +126,7 @@ def gridpath(spark: SparkSession, d: str) -> DataFrame:
     return ras.ways_from(far, goals).select("goal", "step", "r", "c", F.round("cost", 6).alias("cost"))
 
 
-@query("corridor", None)
+@query("corridor", recursive("WITH " + s_spread("f", CORNER, "0.0::DOUBLE", MEAN_COST) + ", " + s_spread("g", "r = 2 AND c = 63", "0.0::DOUBLE", MEAN_COST) + ", s AS (SELECT r, c, f.cost+g.cost AS s FROM f JOIN g USING (r, c)) SELECT r, c, round(s, 6) AS s FROM s WHERE s <= (SELECT min(s) FROM s)*1.05", "cells"))
 def corridor(spark: SparkSession, d: str) -> DataFrame:
     c = raster(spark, d)
     a = ras.cost_distance(c, source(spark)).select("r", "c", F.col("cost").alias("a"))
@@ -154,9 +170,15 @@ def medialaxis_peeled(spark: SparkSession, d: str) -> DataFrame:
     return ras.peeled(ras.medial_axis(raster(spark, d), F.col("k") > 4).filter("d2 >= 2"), 2)
 
 
-@query("marchingsquares", None)
+#: Sides of a cell by case of its corners over the level: top, right, bottom, left; saddles by the mean of the corners.
+SIDES = ", ".join(f"({k}, {m}, '{p}', '{q}')" for k, m, p, q in [(1, -1, "l", "t"), (14, -1, "l", "t"), (2, -1, "t", "r"), (13, -1, "t", "r"), (4, -1, "r", "b"), (11, -1, "r", "b"), (8, -1, "b", "l"), (7, -1, "b", "l"), (3, -1, "l", "r"), (12, -1, "l", "r"), (6, -1, "t", "b"), (9, -1, "t", "b"), (5, 1, "t", "r"), (5, 1, "b", "l"), (10, 0, "t", "r"), (10, 0, "b", "l"), (5, 0, "l", "t"), (5, 0, "r", "b"), (10, 1, "l", "t"), (10, 1, "r", "b")])
+ISO = f"WITH q AS (SELECT a.r, a.c, a.v AS a, b.v AS b, e.v AS e, g.v AS g FROM cells a JOIN cells b ON b.r=a.r AND b.c=a.c+1 JOIN cells e ON e.r=a.r+1 AND e.c=a.c+1 JOIN cells g ON g.r=a.r+1 AND g.c=a.c), k AS (SELECT *, (a >= 925.5)::INT+2*(b >= 925.5)::INT+4*(e >= 925.5)::INT+8*(g >= 925.5)::INT AS k, ((a+b+e+g)/4 >= 925.5)::INT AS m FROM q), p AS (SELECT r, c, k, m, unnest([{{'s': 't', 'x': c+(925.5-a)/(b-a), 'y': r+0.0}}, {{'s': 'r', 'x': c+1.0, 'y': r+(925.5-b)/(e-b)}}, {{'s': 'b', 'x': c+(925.5-g)/(e-g), 'y': r+1.0}}, {{'s': 'l', 'x': c+0.0, 'y': r+(925.5-a)/(g-a)}}]) AS p FROM k) SELECT x.r, x.c, round(x.p.x, 6) AS x1, round(x.p.y, 6) AS y1, round(y.p.x, 6) AS x2, round(y.p.y, 6) AS y2 FROM (VALUES {SIDES}) z(k, m, p, q) JOIN p x ON x.k = z.k AND (z.m < 0 OR z.m = x.m) AND x.p.s = z.p JOIN p y ON y.r = x.r AND y.c = x.c AND y.p.s = z.q"
+
+
+@query("marchingsquares", sql(ISO, "cells"))
 def marchingsquares(spark: SparkSession, d: str) -> DataFrame:
-    return ras.isolines(raster(spark, d), 925.5).agg(F.count("*").alias("segments"), F.round(F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), 4).alias("length"))
+    """The pieces of the line at 925.5."""
+    return ras.isolines(raster(spark, d), 925.5).select("r", "c", *[F.round(v, 6).alias(v) for v in ("x1", "y1", "x2", "y2")])
 
 
 @query("viewshed", sql("WITH o AS (SELECT v+20 AS z FROM cells WHERE r=1 AND c=10), t AS (SELECT r, c, greatest(abs(r-1), abs(c-10)) AS n, (v-z)/sqrt((r-1)**2+(c-10)**2) AS slope FROM cells, o WHERE r<>1 OR c<>10), b AS (SELECT t.r, t.c, slope, 1+round_even((t.r-1)*s/n, 0) AS rr, 10+round_even((t.c-10)*s/n, 0) AS cc FROM t, range(1, 64) q(s) WHERE s < n) SELECT r, c FROM t EXCEPT SELECT b.r, b.c FROM b JOIN cells h ON h.r=rr AND h.c=cc, o WHERE (h.v-z)/sqrt((rr-1)**2+(cc-10)**2) > slope", "cells"))
@@ -164,7 +186,10 @@ def viewshed(spark: SparkSession, d: str) -> DataFrame:
     return ras.viewshed(raster(spark, d), 1, 10, 20.0)
 
 
-@query("skyview", None)
+SKY = "WITH x AS (SELECT r, c, v, way, r+CAST(round_even(-cos(way*pi()/8)*s, 0) AS BIGINT) AS rr, c+CAST(round_even(sin(way*pi()/8)*s, 0) AS BIGINT) AS cc FROM cells, range(16) p(way), range(1, 65) q(s)), y AS (SELECT x.r, x.c, way, max((b.v-x.v)/(sqrt((rr-x.r)**2+(cc-x.c)**2)*10)) AS t FROM x JOIN cells b ON b.r = rr AND b.c = cc GROUP BY x.r, x.c, way), h AS (SELECT r, c, sum(CASE WHEN t > 0 THEN t/sqrt(1+t*t) ELSE 0 END) AS s FROM y GROUP BY r, c) SELECT cells.r, cells.c, round(1-coalesce(s, 0)/16, 6) AS sky FROM cells LEFT JOIN h USING (r, c)"
+
+
+@query("skyview", sql(SKY, "cells"))
 def skyview(spark: SparkSession, d: str) -> DataFrame:
     return ras.sky_view(raster(spark, d)).select("r", "c", F.round("sky", 6).alias("sky"))
 

@@ -11,8 +11,8 @@ from gridloom.operators import graphs, nearest, positioning, routes, tracks
 from gridloom.plans.catalog import query
 from gridloom.plans.joins import CROSS
 from gridloom.plans.scalar import U1
-from gridloom.plans.shapes import grouped
-from gridloom.sources.fixtures import places, raster, rings, segments, sites, sql
+from gridloom.plans.shapes import AWAY, grouped
+from gridloom.sources.fixtures import places, raster, recursive, rings, segments, sites, sql
 
 
 @query("routeprofile", sql("SELECT r, round(sum(greatest(s, 0)), 4) AS ascent, round(sum(greatest(-s, 0)), 4) AS descent, round(max(abs(s)), 4) AS steepest FROM (SELECT r, v-lag(v) OVER (PARTITION BY r ORDER BY c) AS s FROM cells) WHERE s IS NOT NULL GROUP BY r", "cells"))
@@ -148,12 +148,18 @@ def sight_lines(spark: SparkSession, d: str) -> DataFrame:
     return seen.select("src", "dst", F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2")).alias("w"))
 
 
-@query("visibilitygraph_edges", sql(f"SELECT a.src, a.dst, round(sqrt((a.x1-a.x2)**2+(a.y1-a.y2)**2), 6) AS w FROM (SELECT p.sid AS src, q.sid AS dst, p.sx AS x1, p.sy AS y1, q.sx AS x2, q.sy AS y2 FROM sites p JOIN sites q ON p.sid < q.sid) a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE {CROSS})", "sites", "segments"))
+SIGHT = f"SELECT a.src, a.dst, sqrt((a.x1-a.x2)**2+(a.y1-a.y2)**2) AS w FROM (SELECT p.sid AS src, q.sid AS dst, p.sx AS x1, p.sy AS y1, q.sx AS x2, q.sy AS y2 FROM sites p JOIN sites q ON p.sid < q.sid) a WHERE NOT EXISTS (SELECT 1 FROM segments b WHERE {CROSS})"
+
+
+@query("visibilitygraph_edges", sql(f"SELECT src, dst, round(w, 6) AS w FROM ({SIGHT}) q", "sites", "segments"))
 def visibilitygraph_edges(spark: SparkSession, d: str) -> DataFrame:
     return sight_lines(spark, d).select("src", "dst", F.round("w", 6).alias("w"))
 
 
-@query("visibilitygraph", None)
+SEEN_FROM = f"WITH e AS ({SIGHT}), g AS (SELECT src, dst, w FROM e UNION ALL SELECT dst, src, w FROM e)" + AWAY
+
+
+@query("visibilitygraph", recursive(SEEN_FROM + " SELECT node, round(dist, 5) AS dist FROM f", "sites", "segments"))
 def visibilitygraph(spark: SparkSession, d: str) -> DataFrame:
     """Ways from the first site over all pairs that see one another."""
     g = graphs.settle(graphs.both_ways(sight_lines(spark, d)), 0)

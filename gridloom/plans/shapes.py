@@ -11,7 +11,7 @@ from gridloom.operators import graphs, joins, matching, positioning, tiles, trac
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import S_GX, S_GY, s_geohash
 from gridloom.sources import text
-from gridloom.sources.fixtures import boxes, fixes, places, points, rings, segments, sites, sql
+from gridloom.sources.fixtures import boxes, fixes, places, points, recursive, rings, segments, sites, sql
 from gridloom.streaming import stateful
 
 TW = "WINDOW w AS (PARTITION BY track ORDER BY seq)"
@@ -306,7 +306,11 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-@query("convexity", None)
+#: The hull's edges of each ring: all its corners lie to the left.
+RING_HULL = "WITH v AS (SELECT id, i, x1 AS x, y1 AS y FROM edges), h AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM v a JOIN v b ON a.id=b.id AND a.i <> b.i JOIN v p ON p.id=a.id GROUP BY a.id, a.x, a.y, b.x, b.y HAVING min((b.x-a.x)*(p.y-a.y)-(b.y-a.y)*(p.x-a.x)) > -1e-9), k AS (SELECT id, sum(ax*bb-bx*ay)/2 AS area, sum(sqrt((ax-bx)**2+(ay-bb)**2)) AS perimeter, max(ax)-min(ax) AS wide, max(ay)-min(ay) AS high FROM h GROUP BY id), g AS (SELECT id, abs(sum(x1*y2-x2*y1))/2 AS own FROM edges GROUP BY id)"
+
+
+@query("convexity", sql(RING_HULL + " SELECT id, round(own/area, 6) AS share FROM k JOIN g USING (id)", "edges"))
 def convexity(spark: SparkSession, d: str) -> DataFrame:
     f = geo.on_rings(lambda r: (abs(geo.ring_area(r)) / abs(geo.ring_area(geo.hull(r))),), "share double")
     return rings(spark, d).select("id", F.round(f("ring")["share"], 6).alias("share"))
@@ -319,14 +323,14 @@ def sutherlandhodgman(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", F.round(f("ring")["area"], 4).alias("area"))
 
 
-@query("minkowski", None)
+@query("minkowski", sql(RING_HULL + " SELECT id, round(area+10*(wide+high)+100, 4) AS area FROM k", "edges"))
 def minkowski(spark: SparkSession, d: str) -> DataFrame:
     square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
     f = geo.on_rings(lambda r: (geo.ring_area(geo.minkowski(geo.hull(r), square)),), "area double")
     return rings(spark, d).select("id", F.round(f("ring")["area"], 4).alias("area"))
 
 
-@query("buffer", None)
+@query("buffer", sql(RING_HULL + " SELECT id, round(area+5*perimeter+25*pi(), 4) AS area FROM k", "edges"))
 def buffer(spark: SparkSession, d: str) -> DataFrame:
     f = geo.on_rings(lambda r: (abs(geo.ring_area(h := geo.hull(r))), sum(((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5 for a, b in zip(h, h[1:] + h[:1], strict=True))), "area double, perimeter double")
     h = rings(spark, d).select("id", f("ring").alias("h"))
@@ -340,7 +344,7 @@ def buffer_ring(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", f("ring").alias("o")).select("id", "o.points", F.round("o.area", 4).alias("area"))
 
 
-@query("earclipping", None)
+@query("earclipping", sql("SELECT id, CAST(count(*)-2 AS BIGINT) AS triangles, round(abs(sum(x1*y2-x2*y1))/2, 4) AS area FROM edges GROUP BY id", "edges"))
 def earclipping(spark: SparkSession, d: str) -> DataFrame:
     f = geo.on_rings(lambda r: (len(t := geo.ears(r)), sum(abs(geo.turn(r[a], r[b], r[c])) / 2 for a, b, c in t)), "triangles long, area double")
     return rings(spark, d).select("id", f("ring").alias("e")).select("id", "e.triangles", F.round("e.area", 4).alias("area"))
@@ -377,6 +381,10 @@ def grouped(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).withColumn("region", joins.cell(F.col("x"), 250.0) * 4 + joins.cell(F.col("y"), 250.0))
 
 
+#: Hull edges of the points of each region, points in a line with others left out.
+REGION_HULL = "WITH q AS (SELECT DISTINCT CAST(floor(x/250)*4+floor(y/250) AS BIGINT) AS region, x, y FROM points), h AS (SELECT a.region, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM q a JOIN q b ON a.region=b.region AND (a.x <> b.x OR a.y <> b.y) JOIN q p ON p.region=a.region GROUP BY a.region, a.x, a.y, b.x, b.y HAVING min((b.x-a.x)*(p.y-a.y)-(b.y-a.y)*(p.x-a.x)) > -1e-9), m AS (SELECT region, avg(ax) AS mx, avg(ay) AS my FROM h GROUP BY region), u AS (SELECT DISTINCT region, ax, ay FROM h WHERE NOT EXISTS (SELECT 1 FROM h e WHERE e.region = h.region AND abs((e.bx-e.ax)*(h.ay-e.ay)-(e.bb-e.ay)*(h.ax-e.ax)) <= 1e-9 AND (h.ax-e.ax)*(h.ax-e.bx)+(h.ay-e.ay)*(h.ay-e.bb) < 0)), o AS (SELECT u.*, row_number() OVER (PARTITION BY region ORDER BY atan2(ay-my, ax-mx)) AS i, count(*) OVER (PARTITION BY region) AS n FROM u JOIN m USING (region))"
+
+
 @query("jarvismarch", None)
 def jarvismarch(spark: SparkSession, d: str) -> DataFrame:
     return geo.hulls(grouped(spark, d), "region").select("region", "pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
@@ -388,12 +396,12 @@ def rotatingcalipers(spark: SparkSession, d: str) -> DataFrame:
     return geo.per_hull(h, "region", geo.diameter, "region long, diameter double").select("region", F.round("diameter", 6).alias("diameter"))
 
 
-@query("minrect", None)
+@query("minrect", sql(REGION_HULL + ", e AS (SELECT region, ax, ay, bx, bb, (bx-ax)/sqrt((bx-ax)**2+(bb-ay)**2) AS ux, (bb-ay)/sqrt((bx-ax)**2+(bb-ay)**2) AS uy FROM h), t AS (SELECT e.region, e.ax, e.ay, e.bx, e.bb, max(h.ax*ux+h.ay*uy)-min(h.ax*ux+h.ay*uy) AS w, max(h.ay*ux-h.ax*uy)-min(h.ay*ux-h.ax*uy) AS g FROM e JOIN h ON h.region=e.region GROUP BY e.region, e.ax, e.ay, e.bx, e.bb) SELECT t.region, round(any_value(least), 4) AS area, round(min(greatest(w, g)) FILTER (WHERE w*g <= least*(1+1e-9)), 4) AS side FROM t JOIN (SELECT region, min(w*g) AS least FROM t GROUP BY region) l ON l.region = t.region GROUP BY t.region", "points"))
 def minrect(spark: SparkSession, d: str) -> DataFrame:
     return geo.per_hull(geo.hulls(grouped(spark, d), "region"), "region", geo.min_rectangle, "region long, area double, side double").select("region", F.round("area", 4).alias("area"), F.round("side", 4).alias("side"))
 
 
-@query("boundingcircle", None)
+@query("boundingcircle", sql(REGION_HULL + ", v AS (SELECT region, i, ax AS x, ay AS y FROM o), d AS (SELECT a.region, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, ((a.x-b.x)**2+(a.y-b.y)**2)/4 AS r2 FROM v a JOIN v b ON a.region=b.region AND a.i < b.i UNION ALL SELECT region, ax+(vy*(ux*ux+uy*uy)-uy*(vx*vx+vy*vy))/(2*det), ay+(ux*(vx*vx+vy*vy)-vx*(ux*ux+uy*uy))/(2*det), (((vy*(ux*ux+uy*uy)-uy*(vx*vx+vy*vy))**2+(ux*(vx*vx+vy*vy)-vx*(ux*ux+uy*uy))**2))/(4*det*det) FROM (SELECT a.region, a.x AS ax, a.y AS ay, b.x-a.x AS ux, b.y-a.y AS uy, e.x-a.x AS vx, e.y-a.y AS vy, (b.x-a.x)*(e.y-a.y)-(b.y-a.y)*(e.x-a.x) AS det FROM v a JOIN v b ON a.region=b.region AND a.i < b.i JOIN v e ON e.region=a.region AND b.i < e.i) WHERE abs(det) > 1e-9), w AS (SELECT d.region, d.x, d.y, d.r2 FROM d JOIN v ON v.region=d.region GROUP BY d.region, d.x, d.y, d.r2 HAVING max((v.x-d.x)**2+(v.y-d.y)**2) <= d.r2*(1+1e-9)) SELECT region, round(arg_min(x, r2), 4) AS x, round(arg_min(y, r2), 4) AS y, round(sqrt(min(r2)), 4) AS r FROM w GROUP BY region", "points"))
 def boundingcircle(spark: SparkSession, d: str) -> DataFrame:
     return geo.per_hull(geo.hulls(grouped(spark, d), "region"), "region", geo.least_circle, "region long, x double, y double, r double").select("region", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.round("r", 4).alias("r"))
 
@@ -469,14 +477,19 @@ def network(spark: SparkSession, d: str) -> DataFrame:
     return graphs.neighbour_graph(sites(spark, d).select(F.col("sid").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y")), 3)
 
 
-@query("networkbuffer", None)
+#: The three nearest sites of each as a network, and least distances from the first site as a keyed recursion.
+NETWORK = "WITH n AS (SELECT a.sid AS a, b.sid AS b, sqrt((a.sx-b.sx)**2+(a.sy-b.sy)**2) AS w, row_number() OVER (PARTITION BY a.sid ORDER BY (a.sx-b.sx)*(a.sx-b.sx)+(a.sy-b.sy)*(a.sy-b.sy), b.sid) AS k FROM sites a JOIN sites b ON a.sid <> b.sid), g AS (SELECT a AS src, b AS dst, w FROM n WHERE k <= 3 UNION SELECT b, a, w FROM n WHERE k <= 3)"
+AWAY = ", f(node, dist) USING KEY (node) AS (SELECT CAST(0 AS BIGINT), 0.0::DOUBLE UNION SELECT g.dst, min(f.dist+g.w) AS dist FROM f JOIN g ON g.src = f.node LEFT JOIN recurring.f o ON o.node = g.dst GROUP BY g.dst, o.dist HAVING o.dist IS NULL OR min(f.dist+g.w) < o.dist - 1e-12)"
+
+
+@query("networkbuffer", recursive(NETWORK + AWAY + " SELECT node, round(dist, 5) AS dist FROM f WHERE dist <= 300", "sites"))
 def networkbuffer(spark: SparkSession, d: str) -> DataFrame:
     """Sites within 300 along the network from the first."""
     g = graphs.settle(network(spark, d), 0)
     return graphs.shortest(g, spark.createDataFrame([(0,)], "source long"), 300.0).select("node", F.round("dist", 5).alias("dist"))
 
 
-@query("detourindex", None)
+@query("detourindex", recursive(NETWORK + AWAY + " SELECT node, round(dist/sqrt((s.sx-o.sx)**2+(s.sy-o.sy)**2), 5) AS detour FROM f JOIN sites s ON s.sid = node JOIN sites o ON o.sid = 0 WHERE dist > 0", "sites"))
 def detourindex(spark: SparkSession, d: str) -> DataFrame:
     g = graphs.settle(network(spark, d), 0)
     s = sites(spark, d)
@@ -495,10 +508,11 @@ def stations(spark: SparkSession, d: str) -> DataFrame:
     return sites(spark, d).select(F.col("sid").alias("id"), F.col("sx").alias("x"), F.col("sy").alias("y"))
 
 
-@query("emst", None)
+@query("emst", sql("WITH p AS (SELECT a.sid AS a, b.sid AS b, sqrt((a.sx-b.sx)**2+(a.sy-b.sy)**2) AS d FROM sites a JOIN sites b ON a.sid < b.sid), k AS (SELECT *, row_number() OVER (ORDER BY round(d, 9), a, b) AS w FROM p), m0 AS (SELECT a, b, w FROM k UNION ALL SELECT b, a, w FROM k UNION ALL SELECT sid, sid, 0 FROM sites)" + "".join(f", m{k+1} AS (SELECT x.a, y.b, min(greatest(x.w, y.w)) AS w FROM m{k} x JOIN m{k} y ON x.b = y.a GROUP BY x.a, y.b)" for k in range(8)) + " SELECT a AS src, b AS dst, round(d, 6) AS w FROM k JOIN m8 USING (a, b) WHERE k.w = m8.w", "sites"))
 def emst(spark: SparkSession, d: str) -> DataFrame:
     """The Euclidean spanning tree: least edges of the Gabriel graph, which holds it."""
-    near = graphs.settle(triangulation.gabriel(triangulation.triangles(stations(spark, d))).select("src", "dst", "w"), 0)
+    near = triangulation.gabriel(triangulation.triangles(stations(spark, d))).select("src", "dst", F.round("w", 9).alias("w"))  # equal lengths are equal, whatever way they were computed
+    near = graphs.settle(near, 0)
     return graphs.spanning_tree(near).select("src", "dst", F.round("w", 6).alias("w"))
 
 

@@ -109,3 +109,8 @@ def sql(body: str, *names: str) -> str:
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in order)
     body = body.strip()
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"
+
+
+def recursive(body: str, *names: str) -> str:
+    """The same for a body whose tables may be recursive."""
+    return sql(body, *names).replace("WITH ", "WITH RECURSIVE ", 1)
