@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import aggregates as agg
 from gridloom.operators import joins, nearest, statistics, tiles
 from gridloom.plans.catalog import query
-from gridloom.sources.fixtures import boxes, places, points, raster, rings, segments, sites, spans, sql
+from gridloom.sources.fixtures import boxes, places, points, raster, recursive, rings, segments, sites, spans, sql
 
 S3 = "sqrt(3)"
 HEX = "WITH a AS (SELECT x*(2.0/3)/25 AS q, (-x/3 + y*sqrt(3)/3)/25 AS r FROM points), b AS (SELECT q, r, round_even(q, 0) AS rq, round_even(r, 0) AS rr, round_even(-q-r, 0) AS rs FROM a), c AS (SELECT *, abs(rq-q) AS dq, abs(rr-r) AS dr, abs(rs+q+r) AS ds FROM b) SELECT CAST(CASE WHEN dq > dr AND dq > ds THEN -rr-rs ELSE rq END AS BIGINT) AS q, CAST(CASE WHEN dr > ds AND NOT (dq > dr AND dq > ds) THEN -rq-rs ELSE rr END AS BIGINT) AS r, count(*) AS n FROM c GROUP BY 1, 2"
@@ -200,7 +200,10 @@ def sdellipse(spark: SparkSession, d: str) -> DataFrame:
     return e.select(*[F.round(c, 5).alias(c) for c in ("mx", "my", "major", "minor")], F.round("bearing", 4).alias("bearing"))
 
 
-@query("spatialmedian", None)
+MEDIAN = "WITH m(n, x, y) AS (SELECT 0, avg(x), avg(y) FROM points UNION ALL SELECT m.n+1, sum(p.x/sqrt((p.x-m.x)**2+(p.y-m.y)**2))/sum(1/sqrt((p.x-m.x)**2+(p.y-m.y)**2)), sum(p.y/sqrt((p.x-m.x)**2+(p.y-m.y)**2))/sum(1/sqrt((p.x-m.x)**2+(p.y-m.y)**2)) FROM m, points p WHERE m.n < 60 AND (p.x <> m.x OR p.y <> m.y) GROUP BY m.n) SELECT round(arg_max(x, n), 4) AS x, round(arg_max(y, n), 4) AS y FROM m"
+
+
+@query("spatialmedian", recursive(MEDIAN, "points"))
 def spatialmedian(spark: SparkSession, d: str) -> DataFrame:
     x, y = agg.geometric_median(points(spark, d))
     return spark.createDataFrame([(round(x, 4), round(y, 4))], "x double, y double")

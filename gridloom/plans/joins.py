@@ -100,12 +100,15 @@ def rangetree(spark: SparkSession, d: str) -> DataFrame:
     return nearest.points_in_boxes(points(spark, d), boxes(spark, d), 50.0)
 
 
-@query("quadtree", None)
+LEAVES = "WITH k AS (SELECT CAST(s AS INTEGER) AS depth, least(CAST(trunc(x/1024*1048576) AS BIGINT), 1048575) >> (20-s) AS i, least(CAST(trunc(y/1024*1048576) AS BIGINT), 1048575) >> (20-s) AS j, count(*) AS n FROM points, range(0, 21) q(s) GROUP BY 1, 2, 3), l AS (SELECT a.* FROM k a LEFT JOIN k p ON p.depth = a.depth-1 AND p.i = a.i >> 1 AND p.j = a.j >> 1 WHERE (a.n <= 8 OR a.depth = 20) AND (a.depth = 0 OR p.n > 8))"
+
+
+@query("quadtree", sql(LEAVES + " SELECT * FROM l", "points"))
 def quadtree(spark: SparkSession, d: str) -> DataFrame:
     return nearest.quadtree_leaves(points(spark, d), 8, 1024.0)
 
 
-@query("quadtreeoccupancy", None)
+@query("quadtreeoccupancy", sql(LEAVES + " SELECT depth, count(*) AS leaves, round(avg(n/8.0), 6) AS fill FROM l GROUP BY depth", "points"))
 def quadtreeoccupancy(spark: SparkSession, d: str) -> DataFrame:
     leaves = nearest.quadtree_leaves(points(spark, d), 8, 1024.0)
     return leaves.groupBy("depth").agg(F.count("*").alias("leaves"), F.round(F.avg(F.col("n") / 8), 6).alias("fill"))
@@ -237,7 +240,11 @@ def convexcontains(spark: SparkSession, d: str) -> DataFrame:
     return nearest.inside_convex_rings(points(spark, d), hexagons, 40.0).select("id", F.col("ring_id").alias("sid"))
 
 
-@query("ringvalidate", None)
+TURN = "sign(({q}x-{p}x)*({r}y-{p}y)-({q}y-{p}y)*({r}x-{p}x))"
+CROSSED = "WITH e AS (SELECT id, CAST(i AS INTEGER) AS i, {{'x': x1, 'y': y1}} AS p, {{'x': x2, 'y': y2}} AS q FROM edges), c AS (SELECT a.id, a.i AS edge_a, b.i AS edge_b FROM e a JOIN e b ON a.id=b.id AND b.i-a.i > 1 AND NOT (a.i = 0 AND b.i = 7) WHERE {0}*{1} < 0 AND {2}*{3} < 0) SELECT e.id, min(c.edge_a) IS NULL AS simple, arg_min(c.edge_a, (c.edge_a, c.edge_b)) AS edge_a, arg_min(c.edge_b, (c.edge_a, c.edge_b)) AS edge_b FROM (SELECT DISTINCT id FROM e) e LEFT JOIN c ON c.id = e.id GROUP BY e.id".format(*[TURN.format(p=p, q=q, r=r) for p, q, r in (("a.p.", "a.q.", "b.p."), ("a.p.", "a.q.", "b.q."), ("b.p.", "b.q.", "a.p."), ("b.p.", "b.q.", "a.q."))])
+
+
+@query("ringvalidate", sql(CROSSED, "edges"))
 def ringvalidate(spark: SparkSession, d: str) -> DataFrame:
     return nearest.first_ring_crossings(rings(spark, d))
 

@@ -32,7 +32,13 @@ def gridtraversal(spark: SparkSession, d: str) -> DataFrame:
     return routes.crossed_cells(segments(spark, d), 50.0)
 
 
-@query("vincenty", None)
+#: Two hundred steps of the longitude's iteration, WGS84 (fixed values), and the series for the length.
+W_F, W_B = "(1/298.257223563)", "6356752.314245179"
+GEODESIC = f"WITH p AS MATERIALIZED (SELECT id, atan((1-{W_F})*tan(radians(lat1))) AS u, atan((1-{W_F})*tan(radians(lat2))) AS w, radians(lon2-lon1) AS d FROM places), i(id, n, lam, moved) AS (SELECT id, 0, d, 1.0::DOUBLE FROM p UNION ALL SELECT id, n+1, new, abs(new-lam) FROM (SELECT id, n, lam, d+(1-k)*{W_F}*a*(sigma+k*s*(m+k*c*(-1+2*m*m))) AS new FROM (SELECT *, CASE WHEN 1-a*a > 0 THEN c-2*sin(u)*sin(w)/(1-a*a) ELSE 0 END AS m, {W_F}/16*(1-a*a)*(4+{W_F}*(4-3*(1-a*a))) AS k FROM (SELECT *, atan2(s, c) AS sigma, CASE WHEN s > 0 THEN cos(u)*cos(w)*sin(lam)/s ELSE 0 END AS a FROM (SELECT i.id, n, lam, u, w, d, sqrt((cos(w)*sin(lam))**2+(cos(u)*sin(w)-sin(u)*cos(w)*cos(lam))**2) AS s, sin(u)*sin(w)+cos(u)*cos(w)*cos(lam) AS c FROM i JOIN p ON p.id = i.id WHERE n < 200)))))"
+METRES = f", l AS (SELECT id, arg_max(lam, n) AS new, arg_max(lam, n) FILTER (WHERE n < 200) AS lam, arg_max(moved, n) AS moved FROM i GROUP BY id), s AS (SELECT l.id, moved, u, w, sqrt((cos(w)*sin(lam))**2+(cos(u)*sin(w)-sin(u)*cos(w)*cos(lam))**2) AS s, sin(u)*sin(w)+cos(u)*cos(w)*cos(lam) AS c, lam FROM l JOIN p USING (id)), a AS (SELECT *, 1-CASE WHEN s > 0 THEN (cos(u)*cos(w)*sin(lam)/s)**2 ELSE 0 END AS q FROM s), m AS (SELECT *, CASE WHEN q > 0 THEN c-2*sin(u)*sin(w)/q ELSE 0 END AS m, q*(6378137.0**2-{W_B}**2)/{W_B}**2 AS e FROM a), r AS (SELECT *, 1+e/16384*(4096+e*(-768+e*(320-175*e))) AS big, e/1024*(256+e*(-128+e*(74-47*e))) AS small FROM m) SELECT id, CASE WHEN moved < 1e-9 THEN round({W_B}*big*(atan2(s, c)-small*s*(m+small/4*(c*(-1+2*m*m)-small/6*m*(-3+4*s*s)*(-3+4*m*m)))), 2) END AS metres FROM r"
+
+
+@query("vincenty", recursive(GEODESIC + METRES, "places"))
 def vincenty(spark: SparkSession, d: str) -> DataFrame:
     return places(spark, d).select("id", F.round(routes.vincenty("lat1", "lon1", "lat2", "lon2"), 2).alias("metres"))
 

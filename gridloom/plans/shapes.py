@@ -108,7 +108,10 @@ def visvalingam_area(spark: SparkSession, d: str) -> DataFrame:
     return tracks.thinned_by_area(fixes(spark, d), least=500.0).select("track", "seq")
 
 
-@query("kalman", None)
+FILTERED = "WITH k AS (SELECT track, seq, t, x, 0.0::DOUBLE AS vx, y, 0.0::DOUBLE AS vy, 100.0::DOUBLE AS a, 0.0::DOUBLE AS b, 100.0::DOUBLE AS c FROM fixes WHERE seq = 1 UNION ALL SELECT track, seq, t, px+a/(a+100)*(zx-px), vx+b/(a+100)*(zx-px), py+a/(a+100)*(zy-py), vy+b/(a+100)*(zy-py), a-a/(a+100)*a, b-a/(a+100)*b, c-b/(a+100)*b FROM (SELECT f.track, f.seq, f.t, f.x AS zx, f.y AS zy, k.x+h*vx AS px, vx, k.y+h*vy AS py, vy, a+2*h*b+h*h*c+h**3/3 AS a, b+h*c+h*h/2 AS b, c+h AS c FROM (SELECT k.*, (f.t-k.t)/3600 AS h FROM k JOIN fixes f ON f.track=k.track AND f.seq=k.seq+1) k JOIN fixes f ON f.track=k.track AND f.seq=k.seq+1) p) SELECT track, seq, round(x, 4) AS x, round(y, 4) AS y FROM k"
+
+
+@query("kalman", recursive(FILTERED, "fixes").replace("fixes AS (", "fixes AS MATERIALIZED (", 1))
 def kalman(spark: SparkSession, d: str) -> DataFrame:
     return tracks.kalman(fixes(spark, d), 1.0, 100.0).select("track", "seq", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
@@ -293,7 +296,14 @@ def compactness(spark: SparkSession, d: str) -> DataFrame:
     return r.select("id", F.round(F.lit(4 * 3.141592653589793) * F.col("a") / (F.col("p") * F.col("p")), 6).alias("polsby"), F.round(2 * F.sqrt(3.141592653589793 * F.col("a")) / F.col("p"), 6).alias("schwartzberg"))
 
 
-@query("compactness_hull", None)
+#: The hull's edges of each ring: all its corners lie to the left.
+RING_HULL = "WITH v AS (SELECT id, i, x1 AS x, y1 AS y FROM edges), h AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM v a JOIN v b ON a.id=b.id AND a.i <> b.i JOIN v p ON p.id=a.id GROUP BY a.id, a.x, a.y, b.x, b.y HAVING min((b.x-a.x)*(p.y-a.y)-(b.y-a.y)*(p.x-a.x)) > -1e-9), k AS (SELECT id, sum(ax*bb-bx*ay)/2 AS area, sum(sqrt((ax-bx)**2+(ay-bb)**2)) AS perimeter, max(ax)-min(ax) AS wide, max(ay)-min(ay) AS high FROM h GROUP BY id), g AS (SELECT id, abs(sum(x1*y2-x2*y1))/2 AS own FROM edges GROUP BY id)"
+
+
+ROUND_RINGS = RING_HULL + ", d AS (SELECT a.id, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, ((a.x-b.x)**2+(a.y-b.y)**2)/4 AS r2 FROM v a JOIN v b ON a.id=b.id AND a.i < b.i UNION ALL SELECT id, ax+(vy*(ux*ux+uy*uy)-uy*(vx*vx+vy*vy))/(2*det), ay+(ux*(vx*vx+vy*vy)-vx*(ux*ux+uy*uy))/(2*det), (((vy*(ux*ux+uy*uy)-uy*(vx*vx+vy*vy))**2+(ux*(vx*vx+vy*vy)-vx*(ux*ux+uy*uy))**2))/(4*det*det) FROM (SELECT a.id, a.x AS ax, a.y AS ay, b.x-a.x AS ux, b.y-a.y AS uy, e.x-a.x AS vx, e.y-a.y AS vy, (b.x-a.x)*(e.y-a.y)-(b.y-a.y)*(e.x-a.x) AS det FROM v a JOIN v b ON a.id=b.id AND a.i < b.i JOIN v e ON e.id=a.id AND b.i < e.i) WHERE abs(det) > 1e-9), w AS (SELECT d.id, d.x, d.y, d.r2 FROM d JOIN v ON v.id=d.id GROUP BY d.id, d.x, d.y, d.r2 HAVING max((v.x-d.x)**2+(v.y-d.y)**2) <= d.r2*(1+1e-9)), c AS (SELECT id, min(r2) AS r2 FROM w GROUP BY id) SELECT id, round(own/(pi()*r2), 6) AS reock, round(own/area, 6) AS hull_ratio FROM k JOIN g USING (id) JOIN c USING (id)"
+
+
+@query("compactness_hull", sql(ROUND_RINGS, "edges"))
 def compactness_hull(spark: SparkSession, d: str) -> DataFrame:
     """Share of the least circle, and of the hull, that a ring fills."""
     f = geo.on_rings(lambda r: (abs(geo.ring_area(r)) / (3.141592653589793 * geo.least_circle(h := geo.hull(r))[2] ** 2), abs(geo.ring_area(r)) / geo.ring_area(h)), "reock double, hull_ratio double")
@@ -306,10 +316,6 @@ def centroid(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
-#: The hull's edges of each ring: all its corners lie to the left.
-RING_HULL = "WITH v AS (SELECT id, i, x1 AS x, y1 AS y FROM edges), h AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb FROM v a JOIN v b ON a.id=b.id AND a.i <> b.i JOIN v p ON p.id=a.id GROUP BY a.id, a.x, a.y, b.x, b.y HAVING min((b.x-a.x)*(p.y-a.y)-(b.y-a.y)*(p.x-a.x)) > -1e-9), k AS (SELECT id, sum(ax*bb-bx*ay)/2 AS area, sum(sqrt((ax-bx)**2+(ay-bb)**2)) AS perimeter, max(ax)-min(ax) AS wide, max(ay)-min(ay) AS high FROM h GROUP BY id), g AS (SELECT id, abs(sum(x1*y2-x2*y1))/2 AS own FROM edges GROUP BY id)"
-
-
 @query("convexity", sql(RING_HULL + " SELECT id, round(own/area, 6) AS share FROM k JOIN g USING (id)", "edges"))
 def convexity(spark: SparkSession, d: str) -> DataFrame:
     f = geo.on_rings(lambda r: (abs(geo.ring_area(r)) / abs(geo.ring_area(geo.hull(r))),), "share double")
