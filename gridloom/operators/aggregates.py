@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,7 +120,9 @@ def fitted_variogram(curve: DataFrame, lag: float, farthest: float, steps: int =
 def geometric_median(points: DataFrame, rounds: int = 60, tolerance: float = 1e-9) -> tuple[float, float]:
     """Weiszfeld's iteration: one aggregate a round; a point that is hit is returned."""
     x, y = points.agg(F.avg("x"), F.avg("y")).first()
-    for _ in range(rounds):
+    for i in range(rounds):
+        if i == rounds - 1:
+            warnings.warn(f"the median has not settled after {rounds} rounds", stacklevel=2)
         d = F.hypot(F.col("x") - x, F.col("y") - y)
         w = F.when(d > 0, F.try_divide(F.lit(1.0), d))
         sx, sy, s = points.agg(F.sum(w * F.col("x")), F.sum(w * F.col("y")), F.sum(w)).first()

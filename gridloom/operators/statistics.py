@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -144,12 +145,14 @@ def lloyd(points: DataFrame, centres: list[tuple], rounds: int) -> DataFrame:
         d = [F.struct((F.pow(F.col("x") - x, 2) + F.pow(F.col("y") - y, 2)).alias("d2"), F.lit(i).alias("k")) for i, (x, y) in enumerate(centres)]
         rows = points.withColumn("m", F.array_min(F.array(*d))).groupBy("m.k").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.sum("m.d2").alias("s"), F.count("*").alias("n")).collect()
         history.append(sum(r.s for r in rows))
-        moved = list(centres)
+        moved, sizes = list(centres), {r.k: r.n for r in rows}
         for r in rows:
             moved[r.k] = (r.x, r.y)
         if moved == centres:
             break
-        centres, sizes = moved, {r.k: r.n for r in rows}
+        centres = moved
+    else:
+        warnings.warn(f"the centres have not settled after {rounds} rounds", stacklevel=2)
     return points.sparkSession.createDataFrame([(i, round(x, 4), round(y, 4), sizes.get(i, 0)) for i, (x, y) in enumerate(centres)], "centre int, x double, y double, n long")
 
 
@@ -190,21 +193,26 @@ def mean_shift(points: DataFrame, bandwidth: float, rounds: int = 200, still: fl
     return ends.join(modes, ["x", "y"]).join(top, "mode").select("id", "mode", F.col("mode_x").alias("x"), F.col("mode_y").alias("y"))
 
 
+#: Ranges of x that a skyline is taken in.
+RANGES = 100
+
+
 def skyline(points: DataFrame) -> DataFrame:
     """Ids that no other point beats in both x and y; exact copies stay.
 
-    Slices of x keep their own skyline first, which is small; a running minimum over the survivors settles the rest.
+    Ranges of x, cut at quantiles, have a least y each; a point stays if it is lower than the least of all ranges to the left and than what comes before it in
+    its own range. So a task holds one range, also where all points stay.
     """
-    sliced = points.withColumn("slice", F.pmod(F.xxhash64("id"), F.lit(64)))
-
-    def beaten(df: DataFrame, *keys: str) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy("x")
-        own = df.groupBy(*keys, "x").agg(F.min("y").alias("best"))
-        own = own.withColumn("before", F.min("best").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-        kept = own.filter(F.col("before").isNull() | (F.col("best") < F.col("before")))
-        return df.join(kept.select(*keys, "x", F.col("best").alias("y")), [*keys, "x", "y"], "left_semi")
-
-    return beaten(beaten(sliced, "slice").select("id", "x", "y")).select("id")
+    bounds = points.agg(F.percentile_approx("x", [i / RANGES for i in range(1, RANGES)], 10000)).first()[0] or []
+    ranged = points.withColumn("range", F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col("x"))))
+    lowest = ranged.groupBy("range", "x").agg(F.min("y").alias("y"))
+    # a row for each range
+    left = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    beyond = lowest.groupBy("range").agg(F.min("y").alias("least")).select("range", F.min("least").over(left).alias("beyond"))
+    before = F.min("y").over(Window.partitionBy("range").orderBy("x").rowsBetween(Window.unboundedPreceding, -1))
+    best = lowest.withColumn("before", before).join(beyond, "range").withColumn("bound", F.least("before", "beyond"))
+    kept = best.filter(F.col("bound").isNull() | (F.col("y") < F.col("bound"))).select("range", "x", "y")
+    return ranged.join(kept, ["range", "x", "y"], "left_semi").select("id")
 
 
 def grid_thin(points: DataFrame, side: float) -> DataFrame:
