@@ -170,6 +170,26 @@ def test_manifest_against_brute_force(spark, kind):
     assert sorted(got, key=repr) == sorted(brute_manifest(rows), key=repr)
 
 
+def test_places_over_many_ranges(spark):
+    """Ranges that adaptive execution doesn't join: places go on from one to the next, in trees that span several."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = manifest_rows("odd")
+        docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(5)
+        got = [tuple(r) for r in manifest.document_manifest(docs).collect()]
+        assert sorted(got, key=repr) == sorted(brute_manifest(rows), key=repr)
+        nodes = spark.range(3000).selectExpr("if(id % 3 = 0, 'a', 'b') tree", "id * 7919 % 3001 x", "cast(id as string) hash")
+        placed = manifest.placed(nodes, "tree", ["x", "hash"])
+        want = {}
+        for r in sorted(placed.collect(), key=lambda r: (r.tree, r.x, r.hash)):
+            assert (r.pos, r.n) == (want.get(r.tree, 0), {"a": 1000, "b": 2000}[r.tree])
+            want[r.tree] = r.pos + 1
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_manifest_of_few_rows(spark):
     schema = "doc_id long, source string, lang string, n_chars long, text string"
     assert manifest.document_manifest(spark.createDataFrame([], schema)).count() == 0
