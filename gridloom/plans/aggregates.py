@@ -377,7 +377,10 @@ def dbscan(spark: SparkSession, d: str) -> DataFrame:
     return statistics.dbscan(points(spark, d), 30.0, 4)
 
 
-@query("kmeans", None)
+LLOYD = "WITH c(n, k, x, y, m) AS (SELECT 0, CAST(row_number() OVER (ORDER BY sid)-1 AS INTEGER), sx, sy, CAST(0 AS BIGINT) FROM (SELECT * FROM sites ORDER BY sid LIMIT 5) UNION ALL SELECT c.n+1, c.k, coalesce(s.x, c.x), coalesce(s.y, c.y), coalesce(s.m, 0) FROM c LEFT JOIN (SELECT k, avg(px) AS x, avg(py) AS y, count(*) AS m FROM (SELECT any_value(p.x) AS px, any_value(p.y) AS py, arg_min(c.k, ((p.x-c.x)**2+(p.y-c.y)**2, c.k)) AS k FROM points p, c GROUP BY p.id) GROUP BY k) s ON s.k = c.k WHERE c.n < 20) SELECT k AS centre, round(x, 4) AS x, round(y, 4) AS y, m AS n FROM c WHERE n = 20"
+
+
+@query("kmeans", recursive(LLOYD, "points", "sites"))
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
     s = [(r.sid, r.sx, r.sy) for r in sites(spark, d).orderBy("sid").limit(5).collect()]
     return statistics.lloyd(points(spark, d), s, 20)

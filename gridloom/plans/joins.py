@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import codes
 from gridloom.operators import joins, nearest
 from gridloom.plans.catalog import query
+from gridloom.plans.scalar import s_hilbert
 from gridloom.plans.scalar import s_hav
 from gridloom.sources.fixtures import boxes, places, points, rings, segments, sites, spans, sql
 
@@ -135,7 +136,10 @@ def rtreebulk(spark: SparkSession, d: str) -> DataFrame:
     return nearest.tile_pack(points(spark, d), 16)
 
 
-@query("hilbertpack", None)
+PACKED = f"WITH h AS ({s_hilbert(10)}), n AS (SELECT id, row_number() OVER (ORDER BY d, id)-1 AS n FROM h) SELECT CAST(n//16 AS BIGINT) AS leaf, count(*) AS items, round(min(x), 6) AS min_x, round(min(y), 6) AS min_y, round(max(x), 6) AS max_x, round(max(y), 6) AS max_y FROM n JOIN points USING (id) GROUP BY 1"
+
+
+@query("hilbertpack", sql(PACKED, "points"))
 def hilbertpack(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d)
     return nearest.curve_pack(p, codes.hilbert(F.col("x").cast("long"), F.col("y").cast("long"), 10), 16)
