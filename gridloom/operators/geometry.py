@@ -279,17 +279,3 @@ def offset_ring(ring: Points, distance: float, steps: int = 8) -> Points:
         sweep = (after - before) % (2 * math.pi)
         out += [(x + distance * math.cos(before + sweep * k / steps), y + distance * math.sin(before + sweep * k / steps)) for k in range(steps + 1)]
     return out
-
-
-def split_at(ring: Points, share: float) -> float:
-    """x of the vertical cut that leaves the share of a convex ring's area to its left."""
-    lo, hi = min(p[0] for p in ring), max(p[0] for p in ring)
-    whole, y0, y1 = abs(ring_area(ring)), min(p[1] for p in ring) - 1, max(p[1] for p in ring) + 1
-    left = lo - 1
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        part = abs(ring_area(clip_ring(ring, [(left, y0), (mid, y0), (mid, y1), (left, y1)])))
-        lo, hi = (mid, hi) if part < share * whole else (lo, mid)
-    return (lo + hi) / 2
-
-

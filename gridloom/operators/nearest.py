@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import codes, geodesy
-from gridloom.operators.joins import cell, cells_of, crossing_pairs, knn_join, orientation, ring_edges, segments_cross
+from gridloom.operators.joins import cell, cells_of, crossing_pairs, knn_join, ring_edges, segments_cross
 
 #: Slices that a global ranking is dealt over.
 SLICES = 100
@@ -282,17 +282,6 @@ def banded_inside(points: DataFrame, rings: DataFrame, height: float) -> DataFra
     return points.withColumn("band", cell(F.col("y"), height)).join(e, "band").filter(hit).groupBy("id", "ring_id").agg(F.count("*").alias("n")).filter("n % 2 = 1").select("id", "ring_id")
 
 
-def inside_convex(points: DataFrame, sites: DataFrame, reach: float) -> DataFrame:
-    """Points in the diamond of ``reach`` round each site: left of, or on, every edge of the convex ring."""
-    corners = [(reach, 0.0), (0.0, reach), (-reach, 0.0), (0.0, -reach)]
-    inside = F.lit(True)
-    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1], strict=True):
-        inside = inside & (orientation(F.col("sx") + ax, F.col("sy") + ay, F.col("sx") + bx, F.col("sy") + by, F.col("x"), F.col("y")) >= 0)
-    near = cells_of(sites, F.col("sx") - reach, F.col("sy") - reach, F.col("sx") + reach, F.col("sy") + reach, reach)
-    own = points.withColumns({"__cx": cell(F.col("x"), reach), "__cy": cell(F.col("y"), reach)})
-    return own.join(near, ["__cx", "__cy"]).filter(inside).select("id", "sid")
-
-
 def first_ring_crossings(rings: DataFrame) -> DataFrame:
     """(id, simple, crossing): the first pair of edges that aren't neighbours and cross."""
     e = rings.select("id", F.size("ring").alias("n"), F.posexplode(ring_edges(F.col("ring"))).alias("i", "e"))
@@ -316,14 +305,6 @@ def clipped(segments: DataFrame, x0: float, y0: float, x1: float, y1: float) ->
     return segments.filter(ok).select("id", *[F.round(F.col(f"{v}1") + t * d, 6).alias(f"c{v}{k}") for v, d in (("x", dx), ("y", dy)) for k, t in (("1", t0), ("2", t1))])
 
 
-def in_spherical_triangle(lat: Column, lon: Column, a: tuple[float, float], b: tuple[float, float], c: tuple[float, float]) -> Column:
-    """Inside a spherical triangle: on the same side of all three great circles."""
-    u = [geodesy.unit_vector(F.lit(p), F.lit(q)) for p, q in (a, b, c)]
-    p = geodesy.unit_vector(lat, lon)
-    s = [F.signum(geodesy.dot(geodesy.cross(u[i], u[(i + 1) % 3]), p)) for i in range(3)]
-    return (s[0] == s[1]) & (s[1] == s[2])
-
-
 def in_spherical_ring(lat: Column, lon: Column, ring: list[tuple[float, float]]) -> Column:
     """Inside a ring of (latitude, longitude) on the sphere, concave or not: seen from the place, the corners' directions turn once round. Corners are inside."""
     if len(ring) < 3:

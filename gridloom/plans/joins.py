@@ -267,19 +267,6 @@ def cohensutherland(spark: SparkSession, d: str) -> DataFrame:
     return nearest.clipped(segments(spark, d), 300.0, 300.0, 700.0, 700.0)
 
 
-def s_triangle(*corners: tuple[float, float]) -> str:
-    """On one side of all three planes."""
-    from math import cos, radians, sin
-
-    u = [(cos(radians(a)) * cos(radians(b)), cos(radians(a)) * sin(radians(b)), sin(radians(a))) for a, b in corners]
-    here = ("cos(radians(lat1))*cos(radians(lon1))", "cos(radians(lat1))*sin(radians(lon1))", "sin(radians(lat1))")
-    sides = []
-    for p, q in zip(u, u[1:] + u[:1], strict=True):
-        n = [p[(i + 1) % 3] * q[(i + 2) % 3] - p[(i + 2) % 3] * q[(i + 1) % 3] for i in range(3)]
-        sides.append("sign(" + " + ".join(f"({a!r})*{b}" for a, b in zip(n, here, strict=True)) + ")")
-    return f"CAST({sides[0]} = {sides[1]} AND {sides[1]} = {sides[2]} AS BOOLEAN)"
-
-
 #: A ring with a notch, over the pole's side of the map.
 NOTCHED = [(-20.0, -60.0), (-10.0, 40.0), (25.0, 0.0), (60.0, 50.0), (70.0, -100.0), (20.0, -40.0)]
 TURNS = "WITH v AS (SELECT i, cos(radians(a))*cos(radians(o)) AS x, cos(radians(a))*sin(radians(o)) AS y, sin(radians(a)) AS z FROM (VALUES " + ", ".join(f"({i}, {a}, {o})" for i, (a, o) in enumerate(NOTCHED)) + ") r(i, a, o)), e AS (SELECT p.x AS ax, p.y AS ay, p.z AS az, q.x AS bx, q.y AS bb, q.z AS bz FROM v p JOIN v q ON q.i = (p.i+1)%6), u AS (SELECT id, cos(radians(lat1))*cos(radians(lon1)) AS x, cos(radians(lat1))*sin(radians(lon1)) AS y, sin(radians(lat1)) AS z FROM places) SELECT id, abs(sum(atan2(x*(ay*bz-az*bb)+y*(az*bx-ax*bz)+z*(ax*bb-ay*bx), ax*bx+ay*bb+az*bz-(x*ax+y*ay+z*az)*(x*bx+y*bb+z*bz)))) > pi() AS inside FROM u, e GROUP BY id"
@@ -363,4 +350,3 @@ def allocation_exchange(spark: SparkSession, d: str) -> DataFrame:
 @query("edgematching", None)
 def edgematching(spark: SparkSession, d: str) -> DataFrame:
     return nearest.greedy_matches(joins.join_within(points(spark, d), sites(spark, d), 30.0).withColumn("sheet", F.floor(F.col("x") / 100)))
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import codes, geodesy
@@ -11,7 +11,7 @@ from gridloom.operators import graphs, joins, matching, positioning, tiles, trac
 from gridloom.plans.catalog import query
 from gridloom.plans.scalar import S_GX, S_GY, s_geohash
 from gridloom.sources import text
-from gridloom.sources.fixtures import boxes, fixes, places, points, recursive, rings, segments, sites, sql
+from gridloom.sources.fixtures import boxes, fixes, places, points, recursive, rings, sites, sql
 from gridloom.streaming import stateful
 
 TW = "WINDOW w AS (PARTITION BY track ORDER BY seq)"
@@ -462,9 +462,10 @@ def delaunay_sites(spark: SparkSession, d: str) -> DataFrame:
     return t.select("a", "b", "c", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
-@query("tin_sites", sql(EMPTY + " SELECT a, b, c, round((a%97+b%97+c%97)/3.0, 6) AS height, round(sqrt((((b%97-a%97)*vy-(c%97-a%97)*uy)/det)**2+(((c%97-a%97)*ux-(b%97-a%97)*vx)/det)**2), 4) AS slope, round(abs(det)/2, 4) AS area FROM e", "sites"))
+@query("tin_sites", sql(EMPTY + " SELECT a, b, c, round((a%97+b%97+c%97)/3.0, 6) AS height, round(sqrt((((b%97-a%97)*vy-(c%97-a%97)*uy)/det)**2+(((c%97-a%97)*ux-(b%97-a%97)*vx)/det)**2), 4) AS slope, round(abs(det)/2, 4) AS area FROM e WHERE round(abs(det)/2, 4) > 0", "sites"))
 def tin_sites(spark: SparkSession, d: str) -> DataFrame:
-    return surface(triangulation.triangles(stations(spark, d)))
+    """The surface over the sites, without triangles whose area is zero at four digits: three sites nearly in line along the hull."""
+    return surface(triangulation.triangles(stations(spark, d))).filter("area > 0")
 
 
 @query("emptycircle", None)
