@@ -103,13 +103,14 @@ def least_circle(p: Points) -> tuple[float, float, float]:
 
 
 def circumcircle(a, b, c) -> tuple[float, float, float]:
+    """(x, y, squared radius), reckoned from a, so small triangles far from the origin lose no digits; infinite if the corners lie on a line."""
     d = 2 * turn(a, b, c)
     if not d:
         return math.inf, math.inf, math.inf
-    s = [k[0] ** 2 + k[1] ** 2 for k in (a, b, c)]
-    x = (s[0] * (b[1] - c[1]) + s[1] * (c[1] - a[1]) + s[2] * (a[1] - b[1])) / d
-    y = (s[0] * (c[0] - b[0]) + s[1] * (a[0] - c[0]) + s[2] * (b[0] - a[0])) / d
-    return x, y, (x - a[0]) ** 2 + (y - a[1]) ** 2
+    ux, uy, vx, vy = b[0] - a[0], b[1] - a[1], c[0] - a[0], c[1] - a[1]
+    u, v = ux * ux + uy * uy, vx * vx + vy * vy
+    x, y = (vy * u - uy * v) / d, (ux * v - vx * u) / d
+    return a[0] + x, a[1] + y, x * x + y * y
 
 
 def ears(ring: Points) -> list[tuple[int, int, int]]:

@@ -534,7 +534,7 @@ def gabriel(spark: SparkSession, d: str) -> DataFrame:
 @query("relativeneighbours", sql(S_SITE_PAIRS + "greatest((c.sx-a.sx)**2+(c.sy-a.sy)**2, (c.sx-b.sx)**2+(c.sy-b.sy)**2) < ((a.sx-b.sx)**2+(a.sy-b.sy)**2)*(1-1e-12))", "sites"))
 def relativeneighbours(spark: SparkSession, d: str) -> DataFrame:
     s = stations(spark, d)
-    return triangulation.relative_neighbours(s, triangulation.gabriel(triangulation.triangles(s)), 50.0).select("src", "dst")
+    return triangulation.relative_neighbours(s, triangulation.gabriel(triangulation.triangles(s))).select("src", "dst")
 
 
 # S9

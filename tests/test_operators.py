@@ -159,13 +159,14 @@ def test_minkowski_against_all_sums():
         assert geometry.ring_area(geometry.minkowski(a, b)) == pytest.approx(geometry.ring_area(sums))
 
 
-@pytest.mark.parametrize("kind", ["scattered", "clusters", "lattice"])
+@pytest.mark.parametrize("kind", ["scattered", "clusters", "lattice", "speck"])
 def test_triangles_of_tiles_are_the_whole_sets(spark, kind):
     r = random.Random(4)
     pts = {
         "scattered": scattered(250),
         "clusters": [(i, r.gauss(20 + 60 * (i % 3 == 0), 2), r.gauss(20 + 60 * (i % 2), 3)) for i in range(250)],
         "lattice": [(i, float(i % 12), float(i // 12)) for i in range(144)],
+        "speck": [(i, r.uniform(0, 1000), r.uniform(0, 1000)) for i in range(60)] + [(60 + i, 400 + r.gauss(0, 0.2), 300 + r.gauss(0, 0.2)) for i in range(340)],
     }[kind]
     tri = triangulation.triangles(spark.createDataFrame([*pts, (999, *pts[0][1:])], "id long, x double, y double"), 20.0)
     got, at = tri.collect(), {i: (x, y) for i, x, y in pts}
@@ -195,6 +196,23 @@ def test_triangles_of_tiles_are_the_whole_sets(spark, kind):
     assert len(tree) == len(at) - 1 and sum(q.w for q in tree) == pytest.approx(length)
 
 
+def test_crowded_tiles_are_split(spark):
+    r = random.Random(6)
+    pts = [(i, r.uniform(0, 1000), r.uniform(0, 1000)) for i in range(100)] + [(100 + i, 500 + r.uniform(0, 1), 500 + r.uniform(0, 1)) for i in range(1400)]
+    p, levels = triangulation.quadrants(spark.createDataFrame(pts, "id long, x double, y double"), 250.0, 100)
+    sizes = p.groupBy("lv", "__cx", "__cy").count().collect()
+    assert sum(q["count"] for q in sizes) == 1500 and max(q["count"] for q in sizes) <= 100 and len(levels) > 3
+    begun = triangulation.surroundings(p, levels, 250.0)
+    held = begun.groupBy("lv", "tx", "ty").agg(F.count("*").alias("n"), F.count_if("own").alias("own")).collect()
+    assert len(held) == len(sizes) and sum(q.own for q in held) == 1500 and max(q.n for q in held) <= 9 * 100 + 9 * 16
+    # the tiles that a disc touches hold all points inside it
+    discs = spark.createDataFrame([(0, 500.5, 500.5, 0.04), (1, 400.0, 480.0, 14400.0), (2, -50.0, 0.0, 1e6)], "k long, x double, y double, r2 double")
+    met = triangulation.tiles_of(discs, levels, 250.0, (0.0, 0.0), (1000.0, 1000.0)).join(p.drop("x", "y"), ["lv", "__cx", "__cy"]).select("k", "id").collect()
+    assert len(met) == len(set(met))
+    for k, x, y, r2 in discs.collect():
+        assert {i for i, a, b in pts if (a - x) ** 2 + (b - y) ** 2 <= r2} <= {q.id for q in met if q.k == k}
+
+
 def test_points_in_a_line_have_no_triangle(spark):
     assert triangulation.triangles(spark.createDataFrame([(i, float(i), 2.0 * i) for i in range(9)], "id long, x double, y double")).count() == 0
 
