@@ -147,7 +147,11 @@ def classbreaks_quantile(spark: SparkSession, d: str) -> DataFrame:
     return ranks.join(F.broadcast(want), "i").select(F.col("q").alias("k"), "v")
 
 
-@query("jenks", None)
+#: Sums over the sorted distinct values, then every way to cut them in four.
+NATURAL = "WITH h AS (SELECT CAST(k AS DOUBLE) AS v, count(*) AS n FROM cells GROUP BY k), s AS (SELECT v, row_number() OVER o - 1 AS i, sum(n) OVER w AS n, sum(n*v) OVER w AS t, sum(n*v*v) OVER w AS q FROM h WINDOW o AS (ORDER BY v), w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)), f AS (SELECT 0 AS j, 0.0 AS n, 0.0 AS t, 0.0 AS q UNION ALL SELECT i+1, n, t, q FROM s), c AS (SELECT a.j AS a, b.j AS b, b.q-a.q-(b.t-a.t)**2/(b.n-a.n) AS cost FROM f a JOIN f b ON a.j < b.j), m AS (SELECT x.b AS i, y.b AS j, z.b AS k FROM c x JOIN c y ON x.a = 0 AND y.a = x.b JOIN c z ON z.a = y.b JOIN c u ON u.a = z.b AND u.b = (SELECT max(j) FROM f) ORDER BY x.cost+y.cost+z.cost+u.cost LIMIT 1)"
+
+
+@query("jenks", sql(NATURAL + " SELECT g AS k, v AS start FROM (SELECT unnest([1, 2, 3]) AS g, unnest([i, j, k]) AS place FROM m) JOIN s ON s.i = place", "cells"))
 def jenks(spark: SparkSession, d: str) -> DataFrame:
     return statistics.jenks_breaks(raster(spark, d), "k", 4)
 

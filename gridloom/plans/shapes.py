@@ -322,7 +322,11 @@ def convexity(spark: SparkSession, d: str) -> DataFrame:
     return rings(spark, d).select("id", F.round(f("ring")["share"], 6).alias("share"))
 
 
-@query("sutherlandhodgman", None)
+#: Area of a ring inside the window: what lies below each edge, its height kept between 200 and 800, signed by the edge's direction.
+BELOW = "WITH c AS (SELECT id, x1, y1, x2, y2, least(greatest(x1, 200.0), 800.0) AS u, least(greatest(x2, 200.0), 800.0) AS w FROM edges), h AS (SELECT id, u, w, y1+(y2-y1)*(u-x1)/(x2-x1) AS p, y1+(y2-y1)*(w-x1)/(x2-x1) AS q FROM c WHERE u <> w), g AS (SELECT id, w-u AS dx, p, q, least(greatest(p, 200.0), 800.0) AS kp, least(greatest(q, 200.0), 800.0) AS kq, least(greatest((p+q)/2, 200.0), 800.0) AS km FROM h), z AS (SELECT id, CASE WHEN abs(q-p) < 1e-6 THEN dx*(km-200) ELSE dx*((kq-200)**2/2+greatest(q-800, 0)*600-(kp-200)**2/2-greatest(p-800, 0)*600)/(q-p) END AS below FROM g) SELECT sites.sid AS id, round(abs(coalesce(sum(below), 0)), 4) AS area FROM sites LEFT JOIN z ON z.id = sites.sid GROUP BY sites.sid"
+
+
+@query("sutherlandhodgman", sql(BELOW, "edges"))
 def sutherlandhodgman(spark: SparkSession, d: str) -> DataFrame:
     window = [(200.0, 200.0), (800.0, 200.0), (800.0, 800.0), (200.0, 800.0)]
     f = geo.on_rings(lambda r: (geo.ring_area(geo.clip_ring(r, window)),), "area double")
@@ -417,6 +421,15 @@ def mesh(spark: SparkSession, d: str) -> DataFrame:
     return triangulation.triangles(points(spark, d))
 
 
+def empty_circles(where: str) -> str:
+    """SQL of the table d: pairs of points with an empty circle through both. Centres lie on the bisector, at most ``l`` and at least ``r`` left of its middle, which the
+    points to the left and right tell; null where there is none. No point lies between the two. Pairs are tried against a few of the points first, then against all."""
+    dot = "(p.x-e.ax)*(p.x-e.bx)+(p.y-e.ay)*(p.y-e.bb)"
+    tried = lambda pairs, points: f"SELECT a, b, ax, ay, bx, bb, d, min(t) FILTER (k > 0) AS l, max(t) FILTER (k < 0) AS r FROM (SELECT e.*, (e.bx-e.ax)*(p.y-e.ay)-(e.bb-e.ay)*(p.x-e.ax) AS k, {dot} AS s, s*e.d/2/nullif(k, 0) AS t FROM {pairs} e CROSS JOIN {points} p) GROUP BY ALL HAVING coalesce(max(t) FILTER (k < 0) <= min(t) FILTER (k > 0), true) AND count(*) FILTER (k = 0 AND s < 0) = 0"
+    pairs = "SELECT a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS bb, sqrt((a.x-b.x)**2+(a.y-b.y)**2) AS d FROM points a JOIN points b ON a.id < b.id"
+    return f"WITH e0 AS ({pairs} WHERE {where}), few AS (SELECT * FROM points WHERE id%64 = 0), others AS (SELECT * FROM points WHERE id%8 = 0), e1 AS (SELECT * EXCLUDE (l, r) FROM ({tried('e0', 'few')})), e2 AS (SELECT * EXCLUDE (l, r) FROM ({tried('e1', 'others')})), d AS ({tried('e2', 'points')})"
+
+
 @query("delaunay", None)
 def delaunay(spark: SparkSession, d: str) -> DataFrame:
     return mesh(spark, d).select("a", "b", "c")
@@ -430,7 +443,7 @@ def voronoi(spark: SparkSession, d: str) -> DataFrame:
     return e.select("a", "b", end(0, "x").alias("x1"), end(0, "y").alias("y1"), end(1, "x").alias("x2"), end(1, "y").alias("y2"))
 
 
-@query("alphashape", None)
+@query("alphashape", sql(empty_circles("(a.x-b.x)**2+(a.y-b.y)**2 <= 32400") + " SELECT a, b FROM d WHERE coalesce(l*l+d*d/4 < 8100, false) <> coalesce(r*r+d*d/4 < 8100, false)", "points"))
 def alphashape(spark: SparkSession, d: str) -> DataFrame:
     """Boundary of the triangles whose circle is smaller than 90."""
     return triangulation.edges(mesh(spark, d).filter("r2 < 8100")).filter("n = 1").select("a", "b")
@@ -468,13 +481,13 @@ def tin_sites(spark: SparkSession, d: str) -> DataFrame:
     return surface(triangulation.triangles(stations(spark, d))).filter("area > 0")
 
 
-@query("emptycircle", None)
+@query("emptycircle", sql(empty_circles("true") + ", c AS (SELECT (ax+bx)/2-(bb-ay)/d*t AS x, (ay+bb)/2+(bx-ax)/d*t AS y, t*t+d*d/4 AS r2 FROM (SELECT *, unnest([l, r]) AS t FROM d) WHERE t IS NOT NULL), h AS (SELECT * FROM d WHERE l IS NULL OR r IS NULL), i AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM h WHERE ((h.bx-h.ax)*(c.y-h.ay)-(h.bb-h.ay)*(c.x-h.ax))*(CASE WHEN h.l IS NULL THEN -1 ELSE 1 END) < 0)) SELECT round(x, 4) AS x, round(y, 4) AS y, round(sqrt(r2), 4) AS r FROM i ORDER BY round(r2, 6) DESC, round(x, 4), round(y, 4) LIMIT 1", "points"))
 def emptycircle(spark: SparkSession, d: str) -> DataFrame:
-    """The largest circle without a site inside, of those round a Voronoi corner inside the sites' hull."""
+    """The largest circle without a site inside, of those round a Voronoi corner inside the sites' hull; of equal ones, to six digits, the leftmost."""
     t = mesh(spark, d)
     h = geo.hulls(points(spark, d).select("x", "y", F.lit(0).cast("long").alias("one")), "one").groupBy("one").agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("ring"))
     inside = t.join(F.broadcast(h)).filter(joins.in_ring(t["x"], t["y"], F.col("ring")))
-    return inside.orderBy(F.desc("r2"), "a", "b", "c").limit(1).select(F.round(t["x"], 4).alias("x"), F.round(t["y"], 4).alias("y"), F.round(F.sqrt("r2"), 4).alias("r"))
+    return inside.orderBy(F.round("r2", 6).desc(), F.round(t["x"], 4), F.round(t["y"], 4)).limit(1).select(F.round(t["x"], 4).alias("x"), F.round(t["y"], 4).alias("y"), F.round(F.sqrt("r2"), 4).alias("r"))
 
 
 # S11
