@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import warnings
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,14 +87,43 @@ def deviational_ellipse(df: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     return m.select("mx", "my", F.sqrt(mid + gap).alias("major"), F.sqrt(mid - gap).alias("minor"), bearing.alias("bearing"))
 
 
-def semivariogram(samples: DataFrame, lag: float, n: int, value: str = "v") -> DataFrame:
-    """Half the mean squared difference of pairs by distance, up to n lags: pairs meet in cells as wide as the farthest lag."""
-    from gridloom.operators.joins import join_within
+#: Pairs that are compared at once in a task.
+AT_ONCE = 1_000_000
+
 
-    a = samples.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col(value).alias("av"))
-    b = samples.select(F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col(value).alias("bv"))
-    pairs = join_within(a, b, lag * n, "ax", "ay", "bx", "by").filter((F.col("a") < F.col("b")) & (F.col("d2") < (lag * n) ** 2))
-    return pairs.groupBy(F.floor(F.sqrt("d2") / lag).cast("long").alias("lag")).agg(F.count("*").alias("pairs"), (F.avg(F.pow(F.col("av") - F.col("bv"), 2)) / 2).alias("gamma"))
+def semivariogram(samples: DataFrame, lag: float, n: int, value: str = "v") -> DataFrame:
+    """Half the mean squared difference of pairs by distance, up to n lags. Pairs meet in cells of half the farthest lag's width, each in one cell: a sample is dealt to its own and to
+    those before it in reach. A cell's pairs are added up by lag as arrays, block by block, so a cell gives n rows and no pair is a row."""
+    from gridloom.operators.joins import met_in_cells
+
+    reach = lag * n
+    side = reach / 2
+    own = samples.select("id", "x", "y", F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.col(value).isNotNull().alias("has"), cell(F.col("x"), side).alias("__cx"), cell(F.col("y"), side).alias("__cy")).filter("__cx is not null and __cy is not null")
+    before = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(3) for j in range(-2, 3) if (i, j) >= (0, 0)])
+    dealt = own.withColumn("s", F.explode(before)).select(*[F.col(c).alias(f"b_{c}") for c in ("id", "x", "y", "v", "has")], (F.col("__cx") - F.col("s.i")).alias("__cx"), (F.col("__cy") - F.col("s.j")).alias("__cy"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("same"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # a distance that rounds to the farthest lag's end counts there; what is beyond or no pair counts in the last place, which is dropped
+        pairs, told, total = np.zeros(n + 2, dtype=np.int64), np.zeros(n + 2, dtype=np.int64), np.zeros(n + 2)
+        for same, far in b.groupby("same"):
+            i, x, y, v, has = (a[c].to_numpy() for c in ("id", "x", "y", "v", "has"))
+            bi, bx, by, bv, bhas = (far[f"b_{c}"].to_numpy() for c in ("id", "x", "y", "v", "has"))
+            step = max(1, AT_ONCE // len(bi))
+            for k in range(0, len(i), step):
+                part = slice(k, k + step)
+                dx, dy = x[part, None] - bx, y[part, None] - by
+                d2 = dx * dx + dy * dy
+                fits = (d2 < reach**2) & ((i[part, None] < bi) if same else (i[part, None] != bi))
+                at = np.where(fits, np.sqrt(d2) / lag, n + 1).astype(np.int64).ravel()
+                found = np.bincount(at, minlength=n + 2)
+                pairs += found
+                both = has[part, None] & bhas
+                told += found if both.all() else np.bincount(at, both.ravel(), minlength=n + 2).astype(np.int64)
+                total += np.bincount(at, (both * (v[part, None] - bv) ** 2).ravel(), minlength=n + 2)
+        return pd.DataFrame({"lag": np.arange(n + 1), "pairs": pairs[:-1], "told": told[:-1], "total": total[:-1]})[pairs[:-1] > 0]
+
+    sums = met_in_cells(own, dealt, "id", "b_id", run, "lag long, pairs long, told long, total double").groupBy("lag").agg(*[F.sum(c).alias(c) for c in ("pairs", "told", "total")])
+    return sums.select("lag", "pairs", (F.try_divide("total", "told") / 2).alias("gamma"))
 
 
 def fitted_variogram(curve: DataFrame, lag: float, farthest: float, steps: int = 200) -> DataFrame:
