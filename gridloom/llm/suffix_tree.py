@@ -15,9 +15,9 @@ from gridloom.llm.common import filled, small_batches, written
 
 #: Longest context in words of the states that go to all tasks.
 DEPTH = 2
-#: Words of the deep contexts, which stay tables, and the residue classes of their hash of which one is taken: of all deep contexts every
-#: SELECT-th is a candidate, at any size. SEEN: training positions from which one is a candidate state.
-DEEP, SELECT, SEEN = 4, 8, 2
+#: Words of the deep contexts, which stay tables, and the residue classes of their hash of which one is taken: with one class every deep context is a
+#: candidate. SEEN: training positions from which one is a candidate state.
+DEEP, SELECT, SEEN = 4, 1, 2
 #: Positions of deep contexts that a task of their table holds, on average.
 BUCKET = 500_000
 #: A context is a candidate state if it makes up this share of all positions (so there are at most 1 / STATE_SHARE of a length).
