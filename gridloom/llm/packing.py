@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,7 @@ END_ID = 2
 LENGTH = 4096
 #: One document in so many is not packed by pattern but cut into the gaps that patterns leave.
 FILLERS = 16
-#: Words that a worker's cache holds before it is emptied; the ids don't depend on it.
+#: Words from which a worker's cache is emptied before the next text; the ids don't depend on it.
 CACHE_WORDS = 200_000
 # Latin letters, then marks other than the apostrophe; neither can be part of a special string.
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
@@ -98,6 +98,17 @@ def cutting_stock(sizes: np.ndarray, demand: np.ndarray, room: int, rounds: int
     return out
 
 
+class Known(dict):
+    """Words with their ids; a new one is encoded where it is asked for, so texts needn't be searched for new words before."""
+
+    def __init__(self, encode: Callable[[bytes], bytes]) -> None:
+        self.encode = encode
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.encode(word)
+        return ids
+
+
 class WordIds:
     """A document's ids as little-endian bytes. White space always ends a word of this vocabulary, so words are encoded once.
 
@@ -112,7 +123,7 @@ class WordIds:
         self.merge = self.library.model.tokenize
         letters = byte_letters()
         self.stand_in = {ord(c): "".join(letters[b] for b in c.encode()) for c in map(chr, range(0xC0, 0x100))}
-        self.words: dict[bytes, bytes] = {}
+        self.words = Known(self.word)
         self.runs: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -136,14 +147,10 @@ class WordIds:
         data = text.encode()
         words = (data if b"<|" in data else data.lower()).split()  # special strings have their case
         known = self.words
-        if new := set(words).difference(known):
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            if len(self.runs) > CACHE_WORDS:
-                self.runs.clear()
-            for w in new:
-                known[w] = self.word(w)
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
         return b"".join(map(known.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
 
