@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import astronomy, codes, geodesy, projections
+from gridloom.operators.scratch import dealt_out
 from gridloom.plans.catalog import query
 from gridloom.sources import fixtures
 
@@ -545,7 +546,7 @@ COVER = "WITH b AS (SELECT id, CAST(floor(min_x) AS BIGINT) AS x0, CAST(floor(mi
 def quadkey_cover(spark: SparkSession, d: str) -> DataFrame:
     """The fewest quadkeys that make up the tiles under each box."""
     box = [F.floor(c).cast("long") for c in ("min_x", "min_y", "max_x", "max_y")]
-    return fixtures.boxes(spark, d).select("id", F.explode(codes.quadkey_cover(*box, 11)).alias("k")).select("id", "k.level", "k.key")
+    return dealt_out(fixtures.boxes(spark, d)).select("id", F.explode(codes.quadkey_cover(*box, 11)).alias("k")).select("id", "k.level", "k.key")
 
 
 BEAM = f"WITH h AS (SELECT id, radians(lat1) AS p, radians({S_DEC}) AS d, radians(id%50+0.0) AS b, radians(id*7%360+0.0) AS g, radians(m*2/4.0-180) AS w FROM places, range(720) q(m)), u AS (SELECT *, sin(p)*sin(d)+cos(p)*cos(d)*cos(w) AS up FROM h), f AS (SELECT *, -cos(d)*sin(w)*sin(b)*sin(g)+(cos(p)*sin(d)-sin(p)*cos(d)*cos(w))*sin(b)*cos(g)+up*cos(b) AS facing FROM u) SELECT id, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing ELSE 0 END), 5) AS bare, round(1361.0*120/1e6*sum(CASE WHEN up > 0 AND facing > 0 THEN facing*pow(0.7, 1/up) ELSE 0 END), 5) AS beam FROM f GROUP BY id"
