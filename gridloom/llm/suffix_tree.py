@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,13 +33,58 @@ FLUSH = 4_000_000
 END = np.uint64(0x9E3779B97F4A7C15)
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each number, one to one."""
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+#: Bytes of texts that are split together.
+CHUNK = 1 << 16
+#: Which bytes are spaces, and the random bits of each byte at each of the first LONG places of a word.
+LONG = 64
+SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+PLACED = mixed(np.arange(256 * LONG, dtype=np.uint64))
+
+
+def streams(texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the tokens of some texts one after another, and how many each text has: about CHUNK bytes at a time, since short arrays cost more than their entries."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.encode().lower())
+        size += len(held[-1])
+        if size > CHUNK:
+            yield keyed(held)
+            held, size = [], 0
+    if held:
+        yield keyed(held)
+
+
+def keyed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the lower-cased words (on bytes: A-Z only, and exactly the six ASCII spaces) and the end of each text, and their numbers. A key adds up random bits of its bytes by place."""
+    b = np.frombuffer(b"\n".join(texts), dtype=np.uint8)
+    inside = np.flatnonzero(~SPACE[b])
+    if not len(inside):
+        return np.full(len(texts), END), np.ones(len(texts), dtype=np.int64)
+    starts = np.flatnonzero(np.append(True, inside[1:] != inside[:-1] + 1))
+    code = np.arange(len(inside)) - np.repeat(starts, np.diff(starts, append=len(inside)))
+    code = code * 256 + b[inside]
+    bits = PLACED[np.minimum(code, len(PLACED) - 1)]
+    if len(far := np.flatnonzero(code >= len(PLACED))):
+        bits[far] = mixed(code[far].astype(np.uint64))
+    words = mixed(np.add.reduceat(bits, starts))
+    upto = np.searchsorted(inside[starts], np.cumsum([len(t) + 1 for t in texts]))
+    n = np.diff(upto, prepend=0) + 1
+    keys = np.full(len(words) + len(texts), END)
+    keys[np.arange(len(words)) + np.repeat(np.arange(len(texts)), n - 1)] = words
+    return keys, n
+
+
 def tokens(text: str) -> np.ndarray:
-    """64-bit keys of the lower-cased words (on bytes: A-Z only, and exactly the six ASCII spaces) and the end."""
-    words = text.encode().lower().split()
-    keys = np.empty(len(words) + 1, dtype=np.uint64)
-    keys[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(7)), dtype=np.uint64, count=len(words))
-    keys[-1] = END
-    return keys
+    """Keys of one text's tokens."""
+    return keyed([text.encode().lower()])[0]
 
 
 class Numbers:
@@ -95,52 +139,87 @@ def deep_contexts(keys: np.ndarray, select: int) -> tuple[np.ndarray, np.ndarray
     for d in range(DEEP):
         h = (h ^ keys[d : d + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    at = np.flatnonzero(h % np.uint64(select) == 0)
+    ends = np.cumsum(keys == END)
+    whole = ends[DEEP - 1 : -1] == np.append(0, ends[: n - 1])  # no end among the words
+    at = np.flatnonzero(whole if select == 1 else whole & (h % np.uint64(select) == 0))
     return h[at], at + DEEP
 
 
+def planes(x: np.ndarray, size: int) -> bytes:
+    """The ``size`` low bytes of each number, byte by byte, so that high ones, which are mostly alike, lie together."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def joined(data: bytes, size: int, n: int) -> np.ndarray:
+    """The numbers of ``planes``."""
+    x = np.zeros((n, 8), dtype=np.uint8)
+    x[:, :size] = np.frombuffer(data, dtype=np.uint8).reshape(size, n).T
+    return x.view("<u8").ravel()
+
+
 class Deep:
-    """A task's positions with a candidate context, passed on by bucket: the contexts' hashes lead to the bucket."""
+    """A task's positions with a candidate context, passed on by bucket: the contexts' hashes, of which 56 bits are kept, lead to the bucket."""
 
-    COLUMNS = ("bucket", "h", "word", "rare_flags", "told", "doc", "train")
+    #: Bytes of a hash's step that are left as they are, those that are packed with what follows, of a word's rank, of a shallow state's number, and of a document's.
+    RAW, PACKED = 4, (3, 3, 3, 4)
 
     def __init__(self, bits: int, select: int) -> None:
         self.bits, self.select, self.size, self.parts = bits, select, 0, []
 
-    def add(self, keys: np.ndarray, common: np.ndarray, told: np.ndarray, row: int, held_out: bool) -> None:
-        """``told``: log10 of the shallow states' probability; for words that aren't common, as far as they give it."""
+    def add(self, keys: np.ndarray, ranks: np.ndarray, states: np.ndarray, rows: np.ndarray, train: np.ndarray) -> None:
+        """``ranks``: of common words from 1, 0 for others; ``states``: numbers of the longest shallow states."""
         h, at = deep_contexts(keys, self.select)
-        self.parts.append((h, keys[at], ~common[at], told[at], np.full(len(h), row), np.full(len(h), not held_out)))
+        rank = ranks[at]
+        self.parts.append((h, rank, states[at], rows[at], train[at], np.where(rank == 0, keys[at], np.uint64(0))))
         self.size += len(h)
 
     def passed(self) -> pd.DataFrame:
-        h, word, rare, told, row, train = map(np.concatenate, zip(*self.parts, strict=True))
+        h, rank, state, row, train, key = map(np.concatenate, zip(*self.parts, strict=True))
         self.size, self.parts = 0, []
-        order = np.argsort(h, kind="stable")
-        h, word, rare, told, row, train = h[order], word[order], rare[order], told[order], row[order], train[order]
+        order = np.argsort(h)
+        h, rank, state, row, train, key = h[order], rank[order], state[order], row[order], train[order], key[order]
         bucket = (h >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(h), dtype=np.uint64)).astype(np.int64)
-        out = []
+        h, first, out = h >> np.uint64(8), int(row.min()), []
         for lo, hi in zip(starts := np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), [*starts[1:], len(h)], strict=True):
-            step = np.diff(h[lo:hi], prepend=np.uint64(0))
-            # sorted hashes as differences, byte by byte: the high bytes are all zeros and take no room
-            planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes()
-            out.append((int(bucket[lo]), planes, word[lo:hi].tobytes(), np.packbits(rare[lo:hi]).tobytes(), told[lo:hi].astype(np.float32).tobytes(), row[lo:hi].tobytes(), np.packbits(train[lo:hi]).tobytes()))
-        return pd.DataFrame(out, columns=list(self.COLUMNS))
+            # sorted hashes as steps
+            step, r = np.diff(h[lo:hi], prepend=np.uint64(0)), rank[lo:hi]
+            packed = planes(step >> np.uint64(8 * self.RAW), self.PACKED[0]) + planes(r, self.PACKED[1]) + planes(state[lo:hi], self.PACKED[2]) + planes(row[lo:hi] - first, self.PACKED[3]) + np.packbits(train[lo:hi]).tobytes()
+            out.append((int(bucket[lo]), first, planes(step, self.RAW), zlib.compress(packed, 1), key[lo:hi][r == 0].tobytes()))
+        return pd.DataFrame(out, columns=["bucket", "row", "steps", "packed", "keys"])
+
+
+def unpacked(r: tuple) -> tuple[np.ndarray, ...]:
+    """Hash, rank, state, row, train of each position of a row of ``Deep.passed``, and the keys of its words that aren't common."""
+    n, data, at, parts = len(r.steps) // Deep.RAW, zlib.decompress(r.packed), 0, []
+    for size in Deep.PACKED:
+        parts.append(joined(data[at : at + size * n], size, n))
+        at += size * n
+    step = joined(r.steps, Deep.RAW, n) | (parts[0] << np.uint64(8 * Deep.RAW))
+    train = np.unpackbits(np.frombuffer(data, dtype=np.uint8, offset=at), count=n).astype(bool)
+    rank, key = parts[1].astype(np.int64), np.zeros(n, dtype=np.uint64)
+    key[rank == 0] = np.frombuffer(r.keys, dtype=np.uint64)
+    return np.cumsum(step, dtype=np.uint64), rank, parts[2].astype(np.int64), parts[3].astype(np.int64) + r.row, train, key
 
 
-def deep_scores(frame: pd.DataFrame, discount: float, n: int) -> pd.DataFrame:
-    """(row, rare, to_root, delta) of one bucket: what deep states change in the scores, and how many of a row's rare words they take from the root.
+def deep_scores(frame: pd.DataFrame, tree: Tree) -> pd.DataFrame:
+    """(row, rare_one, less, delta) of one bucket: what deep states change in the scores, and how many of a row's rare words they take from the root.
 
     A state needs SEEN training positions and is retained where the mean logarithm of its training words' probability diverges from what the
     shallow states give. Its words have discounted counts and their share of what is left, which the shallow states distribute.
     """
-    parts = []
-    for r in frame.itertuples(index=False):
-        word = np.frombuffer(r.word, dtype=np.uint64)
-        step = np.ascontiguousarray(np.frombuffer(r.h, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
-        flags = [np.unpackbits(np.frombuffer(b, dtype=np.uint8), count=len(word)).astype(bool) for b in (r.rare, r.train)]
-        parts.append((np.cumsum(step, dtype=np.uint64), word, *flags, np.frombuffer(r.told, dtype=np.float32).astype(float), np.frombuffer(r.doc, dtype=np.int64)))
-    h, word, rare, train, told, row = map(np.concatenate, zip(*parts, strict=True))
+    h, rank, shallow, row, train, word = map(np.concatenate, zip(*map(unpacked, frame.itertuples(index=False)), strict=True))
+    # contexts that training has too seldom are no states
+    order = np.argsort(h)
+    h, train = h[order], train[order]
+    new_state = np.append(True, h[1:] != h[:-1])
+    often = np.repeat(np.add.reduceat(train.astype(np.int64), np.flatnonzero(new_state)) >= SEEN, np.diff(np.flatnonzero(new_state), append=len(h)))
+    if not often.any():
+        return pd.DataFrame({"row": [], "rare_one": [], "less": [], "delta": []})
+    h, train, order = h[often], train[often], order[often]
+    rank, shallow, row, word = rank[order], shallow[order], row[order], word[order]
+    rare, number = rank == 0, np.where(rank > 0, tree.by_count[rank - 1], -1)
+    word[~rare] = tree.common[number[~rare]]
+    told = tree.told(shallow, number)
     order = np.lexsort((word, h))
     h, word, rare, train, told, row = (x[order] for x in (h, word, rare, train, told, row))
     new_state = np.append(True, h[1:] != h[:-1])
@@ -150,18 +229,18 @@ def deep_scores(frame: pd.DataFrame, discount: float, n: int) -> pd.DataFrame:
     total = np.add.reduceat(train.astype(np.int64), states)
     c = np.add.reduceat(train.astype(np.int64), entries)
     kinds = np.bincount(state[entries], c > 0, minlength=len(states))
-    m, k = np.maximum(total, 1)[state].astype(float), c[entry]
-    left = np.maximum(discount * kinds[state] / m, 1e-12)
-    own = np.maximum(k - discount, 0) / m
+    m, k = total[state].astype(float), c[entry]
+    left = np.maximum(tree.discount * kinds[state] / m, 1e-12)
+    own = np.maximum(k - tree.discount, 0) / m
     change = np.where(k > 0, np.log10(np.where(rare, np.maximum(own, 1e-300), own + left * 10.0**told)) - told, np.log10(left))
-    gain = np.bincount(state, np.where(train, (change + np.where(rare, np.log10(max(n, 1)), 0)) * np.log(10), 0), minlength=len(states)) / np.maximum(total, 1)
-    kept = ((total >= SEEN) & (gain > DIVERGENCE))[state]
+    gain = np.bincount(state, np.where(train, (change + np.where(rare, np.log10(max(tree.n, 1)), 0)) * np.log(10), 0), minlength=len(states)) / total
+    kept = (gain > DIVERGENCE)[state]
     rows, inverse = np.unique(row[kept], return_inverse=True)
-    sums = pd.DataFrame({"row": rows, "rare": pd.array([None] * len(rows), dtype="Int64"), "to_root": np.zeros(len(rows), dtype=np.int64), "delta": np.bincount(inverse, change[kept], minlength=len(rows))})
+    sums = pd.DataFrame({"row": rows, "delta": np.bincount(inverse, change[kept], minlength=len(rows))})
     taken = kept & rare & (k > 0)
-    less = pd.DataFrame({"row": row[taken], "rare": word[taken].view(np.int64)}).groupby(["row", "rare"], as_index=False).size()
-    less = pd.DataFrame({"row": less["row"].astype(np.int64), "rare": less["rare"].astype("Int64"), "to_root": -less["size"].astype(np.int64), "delta": 0.0})
-    return pd.concat([sums, less], ignore_index=True)
+    less = pd.DataFrame({"row": row[taken], "rare_one": word[taken].view(np.int64)}).groupby(["row", "rare_one"], as_index=False).size()
+    less = pd.DataFrame({"row": less["row"], "rare_one": less["rare_one"].astype("Int64"), "less": -less["size"].astype("Int64")})
+    return pd.concat([sums.assign(rare_one=pd.array([None] * len(sums), dtype="Int64"), less=pd.array([None] * len(sums), dtype="Int64")), less.assign(delta=pd.array([None] * len(less), dtype="Float64"))], ignore_index=True)
 
 
 class Node:
@@ -179,9 +258,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
         parts: list[np.ndarray] = []
         size = 0
         for batch in batches:
-            for text in batch["text"]:
-                parts.append(tokens(text))
-                size += len(parts[-1])
+            for keys, _ in streams(batch["text"]):
+                parts.append(keys)
+                size += len(keys)
                 if size > FLUSH:
                     yield unique(parts)
                     parts, size = [], 0
@@ -208,8 +287,9 @@ def next_counts(docs: DataFrame, depth: int, states: np.ndarray, common: np.ndar
         parts: list[np.ndarray] = []
         held = 0
         for batch in batches:
-            for text in batch["text"]:
-                w = numbers.find(tokens(text))
+            # the end is in no state, so none reaches from text to text
+            for keys, _ in streams(batch["text"]):
+                w = numbers.find(keys)
                 here = np.flatnonzero(member[np.append(-1, w[:-1])])
                 s = place(known, contexts(w, depth, size)[here])
                 here, s = here[s >= 0], s[s >= 0]
@@ -238,6 +318,10 @@ class Tree:
         self.common, self.counts = common[order], counts[order]
         self.discount = once / (once + 2 * twice) if once and twice else 0.5
         self.depths: list[Node] = []
+        #: Numbers of the common words, the commonest first, and each one's rank from 1.
+        self.by_count = np.argsort(-self.counts, kind="stable")
+        self.rank = np.empty(len(common) + 1, dtype=np.int64)
+        self.rank[self.by_count], self.rank[-1] = np.arange(1, len(common) + 1), 0
 
     def root(self, c: np.ndarray) -> np.ndarray:
         """log10 of the root's probability of words with training counts ``c``: absolute discounting, all unknown words as one."""
@@ -263,11 +347,11 @@ class Tree:
         kept = gain > DIVERGENCE
         self.depths.append(Node(states[kept], np.log10(left[kept]), (states[at] * len(self.common) + word)[kept[at]], np.log10(both[kept[at]])))
 
-    def walk(self, numbers: np.ndarray, codes: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def walk(self, numbers: np.ndarray, codes: dict[int, np.ndarray], longest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Of each token: log10 probability as far as retained states give it, and whether the root's is to be added.
 
         The longest retained suffix state that keeps the word scores it; each longer state passed gives its weight left.
-        ``codes``: the contexts' codes by depth.
+        ``codes``: the contexts' codes by depth. ``longest``, zeros, gets the number of the longest retained state, counted over all depths from 1.
         """
         score, open_, size = np.zeros(len(numbers)), np.ones(len(numbers), dtype=bool), len(self.common)
         for d in sorted(codes, reverse=True):
@@ -276,6 +360,8 @@ class Tree:
             node, at = self.depths[d - 1], np.flatnonzero(open_ & (codes[d] >= 0))
             s = place(node.states, codes[d][at])
             at, s = at[s >= 0], s[s >= 0]
+            if longest is not None:
+                longest[at] = np.where(longest[at] > 0, longest[at], 1 + s + sum(len(n.states) for n in self.depths[: d - 1]))
             e = np.where(numbers[at] >= 0, place(node.entries, codes[d][at] * size + numbers[at]), -1)
             hit = e >= 0
             score[at[hit]] += node.scores[e[hit]]
@@ -283,9 +369,23 @@ class Tree:
             score[at[~hit]] += node.left[s[~hit]]
         return score, open_
 
-    def partial(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def partial(self, numbers: np.ndarray, longest: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """``walk`` of a text's tokens."""
-        return self.walk(numbers, {d: contexts(numbers, d, len(self.common)) for d in range(1, DEPTH + 1)})
+        return self.walk(numbers, {d: contexts(numbers, d, len(self.common)) for d in range(1, DEPTH + 1)}, longest)
+
+    def told(self, longest: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """log10 probability of words after contexts whose longest retained state is known; for words that aren't common, as far as states give it."""
+        codes, before = {d: np.full(len(numbers), -1) for d in range(1, len(self.depths) + 1)}, 1
+        for d, node in enumerate(self.depths, 1):
+            here = np.flatnonzero((longest >= before) & (longest < before + len(node.states)))
+            code = node.states[longest[here] - before]
+            for less in range(1, d + 1):
+                codes[less][here] = code % len(self.common) ** less
+            before += len(node.states)
+        part, open_ = self.walk(numbers, codes)
+        at = np.flatnonzero(open_ & (numbers >= 0))
+        part[at] += self.root(self.counts[numbers[at]].astype(float))
+        return part
 
 
 def learn(docs: DataFrame) -> tuple[Tree, DataFrame]:
@@ -344,37 +444,57 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         base_of, root_of = tree.base(tree.counts.astype(float)), tree.root(tree.counts.astype(float))
         for batch in batches:
             out = []
-            for i, held_out, text, row in zip(batch["doc_id"], batch["held_out"], batch["text"], batch["row"], strict=True):
-                keys = tokens(text)
+            of, held, ids, texts = batch["row"].to_numpy(np.int64), batch["held_out"].to_numpy(bool), batch["doc_id"], 0
+            for keys, n in streams(batch["text"]):
+                here, texts = np.arange(texts, texts + len(n)), texts + len(n)
+                starts, text = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
                 w = numbers.find(keys)
-                part, open_ = tree.partial(w)
+                longest = np.zeros(len(w), dtype=np.int64)
+                part, open_ = tree.partial(w, longest)
                 known = w >= 0
                 part[known & open_] += root_of[w[known & open_]]
-                rare, inverse, n = np.unique(keys[~known], return_inverse=True, return_counts=True)
-                to_root = np.bincount(inverse, open_[~known], minlength=len(rare)).astype(np.int64)
-                out.append((i, row, held_out, len(w), int(known.sum()), base_of[w[known]].sum(), part.sum(), rare.view(np.int64).tolist(), n.tolist(), to_root.tolist()))
-                deep.add(keys, known, part, row, held_out)
+                base = np.add.reduceat(np.where(known, base_of[w], 0.0), starts) if len(base_of) else np.zeros(len(n))
+                sums, common = np.add.reduceat(part, starts), np.add.reduceat(known.astype(np.int64), starts)
+                # the words of each text that aren't common, with how often each is there and asks the root
+                unknown = np.flatnonzero(~known)
+                unknown = unknown[np.lexsort((keys[unknown], text[unknown]))]
+                first = np.flatnonzero(np.append(True, (keys[unknown][1:] != keys[unknown][:-1]) | (text[unknown][1:] != text[unknown][:-1]))) if len(unknown) else unknown
+                rare, times = keys[unknown[first]].view(np.int64), np.diff(first, append=len(unknown))
+                to_root = np.add.reduceat(open_[unknown].astype(np.int64), first) if len(first) else times
+                cut = np.searchsorted(text[unknown[first]], np.arange(len(n) + 1))
+                for t, k in enumerate(here):
+                    own = slice(cut[t], cut[t + 1])
+                    # a long of a table with nulls would be a double in pandas, so the id goes as text
+                    out.append((of[k] % (1 << bits), of[k], None if pd.isna(ids[k]) else str(int(ids[k])), held[k], n[t], common[t], base[t], sums[t], rare[own], times[own], to_root[own]))
+                deep.add(keys, tree.rank[w], longest, of[here][text], ~held[here][text])
                 if deep.size > FLUSH // 4:
-                    yield filled_up(deep.passed())
-            yield filled_up(pd.DataFrame(out, columns=names[:10]).astype({"doc_id": "Int64"}))
+                    yield filled_up(deep.passed(), names)
+            yield filled_up(pd.DataFrame(out, columns=names[:11]), names)
         if deep.size:
-            yield filled_up(deep.passed())
+            yield filled_up(deep.passed(), names)
 
-    def filled_up(frame: pd.DataFrame) -> pd.DataFrame:
-        """Documents and deep contexts go to one table: each leaves the other's columns null."""
+    def filled_up(frame: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+        """Documents and deep contexts go one way: each leaves the other's columns null."""
         return frame.assign(**{c: pd.Series([None] * len(frame), dtype=object, index=frame.index) for c in names if c not in frame})[names]
 
-    schema = "doc_id long, row long, held_out boolean, n_tokens long, n_common long, base double, part double, rare array<long>, times array<long>, to_root array<long>"
-    schema += ", bucket int, h binary, word binary, rare_flags binary, told binary, doc binary, train binary"
-    names = [c.split()[0] for c in schema.split(", ")]
+    def settled(frame: pd.DataFrame) -> pd.DataFrame:
+        """A bucket's documents as they are, and what its deep contexts change."""
+        own = frame["packed"].isna()
+        rows = frame.loc[own, names[1:11]].astype({"n_tokens": "int64", "n_common": "int64", "held_out": bool})
+        parts = [filled_up(rows, ends)]
+        if not own.all():
+            parts.append(filled_up(deep_scores(frame.loc[~own, ["row", "steps", "packed", "keys"]], model.value).astype({"row": "int64"}), ends))
+        return pd.concat([q.astype(object) for q in parts], ignore_index=True)
+
+    documents = "row long, doc_id string, held_out boolean, n_tokens long, n_common long, base double, part double, rare array<long>, times array<long>, to_root array<long>"
+    sent, kept = f"bucket int, {documents}, steps binary, packed binary, keys binary", f"{documents}, rare_one long, less long, delta double"
+    names, ends = ([c.split()[0] for c in schema.split(", ")] for schema in (sent, kept))
     with small_batches(docs.sparkSession):
-        both = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(told, schema), "scored")
-    docwise = both.filter("bucket is null").select(*names[:10])
-    n_train, discount = int(tree.n), float(tree.discount)
-    found = both.filter("bucket is not null").select("bucket", "h", "word", F.col("rare_flags").alias("rare"), "told", "doc", "train")
-    deep = written(found.groupBy("bucket").applyInPandas(lambda frame: deep_scores(frame, discount, n_train), "row long, rare long, to_root long, delta double"), "deep")
+        both = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(told, sent).groupBy("bucket").applyInPandas(settled, kept), "scored")
+    docwise = both.filter("n_tokens is not null").select(*ends[:10]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    deep = both.filter("n_tokens is null")
     rare = docwise.select("row", F.explode(F.arrays_zip("rare", "times", "to_root")).alias("r")).select("row", "r.rare", "r.times", "r.to_root")
-    rare = rare.union(deep.filter("rare is not null").select("row", "rare", F.lit(0).cast("long").alias("times"), "to_root"))
+    rare = rare.union(deep.filter("rare_one is not null").select("row", "rare_one", F.lit(0).cast("long").alias("times"), F.col("less").alias("to_root")))
     # words that training doesn't have match no row and count 0
     rare = rare.join(words.withColumnRenamed("word", "rare"), "rare", "left").withColumn("c", F.coalesce("n", F.lit(0)).cast("double"))
     n, d = float(tree.n), tree.discount
@@ -385,7 +505,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
         F.sum(F.col("to_root") * root).alias("more_part"),
     )
     zero = F.lit(0)
-    deep = deep.groupBy("row").agg(F.sum("delta").alias("delta"))
+    deep = deep.filter("delta is not null").groupBy("row").agg(F.sum("delta").alias("delta"))
     return docwise.drop("rare", "times", "to_root").join(sums, "row", "left").join(deep, "row", "left").select(
         "doc_id",
         "held_out",
