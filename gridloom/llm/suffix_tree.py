@@ -18,7 +18,7 @@ DEPTH = 2
 #: candidate. SEEN: training positions from which one is a candidate state.
 DEEP, SELECT, SEEN = 4, 1, 2
 #: Positions of deep contexts that a task of their table holds, on average.
-BUCKET = 500_000
+BUCKET = 1_000_000
 #: A context is a candidate state if it makes up this share of all positions (so there are at most 1 / STATE_SHARE of a length).
 STATE_SHARE = 1e-4
 #: A next word is kept with a state if both together make up this share (so the tree has at most DEPTH / NEXT_SHARE entries).
@@ -150,6 +150,15 @@ def planes(x: np.ndarray, size: int) -> bytes:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
 
 
+def squeezed(parts: list[bytes], size: int) -> bytes:
+    """Deflated, each ``size`` bytes of a part with codes of their own: runs and skew are all there is to find in planes."""
+    z, out = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_RLE), []
+    for part in parts:
+        for lo in range(0, len(part), size):
+            out += [z.compress(part[lo : lo + size]), z.flush(zlib.Z_SYNC_FLUSH)]
+    return b"".join(out) + z.flush()
+
+
 def joined(data: bytes, size: int, n: int) -> np.ndarray:
     """The numbers of ``planes``."""
     x = np.zeros((n, 8), dtype=np.uint8)
@@ -183,14 +192,15 @@ class Deep:
         for lo, hi in zip(starts := np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), [*starts[1:], len(h)], strict=True):
             # sorted hashes as steps
             step, r = np.diff(h[lo:hi], prepend=np.uint64(0)), rank[lo:hi]
-            packed = planes(step >> np.uint64(8 * self.RAW), self.PACKED[0]) + planes(r, self.PACKED[1]) + planes(state[lo:hi], self.PACKED[2]) + planes(row[lo:hi] - first, self.PACKED[3]) + np.packbits(train[lo:hi]).tobytes()
-            out.append((int(bucket[lo]), first, planes(step, self.RAW), zlib.compress(packed, 1), key[lo:hi][r == 0].tobytes()))
+            parts = [planes(x, size) for x, size in zip((step >> np.uint64(8 * self.RAW), r, state[lo:hi], row[lo:hi] - first), self.PACKED, strict=True)]
+            packed = squeezed([*parts, np.packbits(train[lo:hi]).tobytes()], hi - lo)
+            out.append((int(bucket[lo]), first, planes(step, self.RAW), packed, key[lo:hi][r == 0].tobytes()))
         return pd.DataFrame(out, columns=["bucket", "row", "steps", "packed", "keys"])
 
 
 def unpacked(r: tuple) -> tuple[np.ndarray, ...]:
     """Hash, rank, state, row, train of each position of a row of ``Deep.passed``, and the keys of its words that aren't common."""
-    n, data, at, parts = len(r.steps) // Deep.RAW, zlib.decompress(r.packed), 0, []
+    n, data, at, parts = len(r.steps) // Deep.RAW, zlib.decompress(r.packed, -15), 0, []
     for size in Deep.PACKED:
         parts.append(joined(data[at : at + size * n], size, n))
         at += size * n
