@@ -474,8 +474,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
                 cut = np.searchsorted(text[unknown[first]], np.arange(len(n) + 1))
                 for t, k in enumerate(here):
                     own = slice(cut[t], cut[t + 1])
-                    # a long of a table with nulls would be a double in pandas, so the id goes as text
-                    out.append((of[k] % (1 << bits), of[k], None if pd.isna(ids[k]) else str(int(ids[k])), held[k], n[t], common[t], base[t], sums[t], rare[own], times[own], to_root[own]))
+                    out.append((of[k] % (1 << bits), of[k], ids[k], held[k], n[t], common[t], base[t], sums[t], rare[own], times[own], to_root[own]))
                 deep.add(keys, tree.rank[w], longest, of[here][text], ~held[here][text])
                 if deep.size > FLUSH // 4:
                     yield filled_up(deep.passed(), names)
@@ -499,8 +498,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold:
     documents = "row long, doc_id string, held_out boolean, n_tokens long, n_common long, base double, part double, rare array<long>, times array<long>, to_root array<long>"
     sent, kept = f"bucket int, {documents}, steps binary, packed binary, keys binary", f"{documents}, rare_one long, less long, delta double"
     names, ends = ([c.split()[0] for c in schema.split(", ")] for schema in (sent, kept))
+    # a long with nulls would be a double in pandas, so the id goes as text
+    numbered = rows.withColumns({"row": F.monotonically_increasing_id(), "doc_id": F.col("doc_id").cast("string")})
     with small_batches(docs.sparkSession):
-        both = written(rows.withColumn("row", F.monotonically_increasing_id()).mapInPandas(told, sent).groupBy("bucket").applyInPandas(settled, kept), "scored")
+        both = written(numbered.mapInPandas(told, sent).groupBy("bucket").applyInPandas(settled, kept), "scored")
     docwise = both.filter("n_tokens is not null").select(*ends[:10]).withColumn("doc_id", F.col("doc_id").cast("long"))
     deep = both.filter("n_tokens is null")
     rare = docwise.select("row", F.explode(F.arrays_zip("rare", "times", "to_root")).alias("r")).select("row", "r.rare", "r.times", "r.to_root")
