@@ -530,7 +530,7 @@ S_MINUTE = f"WITH e AS (SELECT id, m, {S_ALT.replace(S_D, '(id%365+m/1440.0)')}
 @query("sunposition_day", fixtures.sql(S_MINUTE, "places"))
 def sunposition_day(spark: SparkSession, d: str) -> DataFrame:
     """Noon, sunrise and sunset of a day of 2000 at each place."""
-    day = fixtures.places(spark, d).select("id", astronomy.sun_day((F.col("id") % 365).cast("double"), A1(), O1()).alias("s"))
+    day = dealt_out(fixtures.places(spark, d)).select("id", astronomy.sun_day((F.col("id") % 365).cast("double"), A1(), O1()).alias("s"))
     return day.select("id", "s.noon", F.round("s.rise", 4).alias("rise"), F.round("s.set", 4).alias("set"))
 S_DAYLEN = "(CASE WHEN -tan(radians(lat1))*tan(radians({d})) >= 1 THEN 0.0 WHEN -tan(radians(lat1))*tan(radians({d})) <= -1 THEN 24.0 ELSE degrees(acos(greatest(-1.0, least(1.0, -tan(radians(lat1))*tan(radians({d}))))))*2/15 END)".replace("{d}", S_DEC)
 scalar(
