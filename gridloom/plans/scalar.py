@@ -556,7 +556,7 @@ BEAM = f"WITH h AS (SELECT id, radians(lat1) AS p, radians({S_DEC}) AS d, radian
 def solarradiation_beam(spark: SparkSession, d: str) -> DataFrame:
     """A day's direct light on a slope at each place, above the air and below it."""
     beam = lambda t: astronomy.daily_beam(DAY(), A1(), (F.col("id") % 50).cast("double"), (F.col("id") * 7 % 360).cast("double"), t)
-    return fixtures.places(spark, d).select("id", F.round(beam(None), 5).alias("bare"), F.round(beam(0.7), 5).alias("beam"))
+    return dealt_out(fixtures.places(spark, d)).select("id", F.round(beam(None), 5).alias("bare"), F.round(beam(0.7), 5).alias("beam"))
 
 
 
