@@ -61,15 +61,50 @@ def depth_pieces(spans: DataFrame, *keys: str) -> DataFrame:
     return pieces.filter("depth > 0 and until > at").select(*keys, "at", "until", "depth")
 
 
-def union_area(boxes: DataFrame, slab: float) -> DataFrame:
-    """Area under boxes, each place counted once. Slabs of x are independent; in a slab the boxes' x edges make strips, and
-    in a strip the merged spans of y give the covered length."""
-    dealt = boxes.withColumn("slab", F.explode(F.sequence(cell(F.col("min_x"), slab), cell(F.col("max_x"), slab))))
-    dealt = dealt.select("slab", F.greatest("min_x", F.col("slab") * slab).alias("a"), F.least("max_x", (F.col("slab") + 1) * slab).alias("b"), F.col("min_y").alias("lo"), F.col("max_y").alias("hi")).filter("b > a")
-    edges = dealt.select("slab", F.col("a").alias("at")).union(dealt.select("slab", F.col("b").alias("at"))).distinct()
-    strips = edges.withColumn("until", F.lead("at").over(Window.partitionBy("slab").orderBy("at"))).filter("until is not null")
-    over = strips.join(dealt, "slab").filter("a <= at and b >= until")
-    return merged_spans(over, "slab", "at", "until").agg(F.sum((F.col("until") - F.col("at")) * (F.col("hi") - F.col("lo"))).alias("area"))
+#: Boxes of a cell whose union a task takes at once, how often cells that hold more are split, and entries of the array that some strips fill.
+HELD, FINEST, STRIPS = 256, 12, 1 << 20
+
+
+def union_area(boxes: DataFrame, side: float) -> DataFrame:
+    """Area under boxes, each place counted once. Boxes are cut at the borders of square cells. A cell that one box covers is settled, so is one with few boxes, by strips between the boxes'
+    edges; cells that hold many are split in sixteen, with the boxes that are in them, so a crowd of boxes goes where its cells are covered and never meets as pairs."""
+    from gridloom.operators.scratch import settle
+
+    left, done, i = boxes.select(F.col("min_x").alias("a"), F.col("max_x").alias("b"), F.col("min_y").alias("lo"), F.col("max_y").alias("hi")), None, 0
+    while True:
+        x, y = F.col("__cx") * side, F.col("__cy") * side
+        dealt = cells_of(left, F.col("a"), F.col("lo"), F.col("b"), F.col("hi"), side)
+        dealt = dealt.select("__cx", "__cy", F.greatest("a", x).alias("a"), F.least("b", x + side).alias("b"), F.greatest("lo", y).alias("lo"), F.least("hi", y + side).alias("hi")).filter("a < b and lo < hi").distinct()
+        dealt = settle(dealt, i)
+        full = (F.col("b") - F.col("a") >= side) & (F.col("hi") - F.col("lo") >= side)
+        cells = settle(dealt.groupBy("__cx", "__cy").agg(F.count("*").alias("n"), F.bool_or(full).alias("full")), i)
+        few = F.lit(True) if i == FINEST else F.col("n") <= HELD
+        swept = dealt.join(cells.filter(~F.col("full") & few).select("__cx", "__cy"), ["__cx", "__cy"], "left_semi").groupBy("__cx", "__cy").applyInPandas(covered, "area double")
+        area = cells.filter("full").select(F.lit(side * side).alias("area")).union(swept)
+        done = area if done is None else done.union(area)
+        many = cells.filter(~F.col("full") & ~few).select("__cx", "__cy")
+        if many.isEmpty():
+            return done.agg(F.sum("area").alias("area"))
+        left, side, i = dealt.join(many, ["__cx", "__cy"], "left_semi").select("a", "b", "lo", "hi"), side / 4, i + 1
+
+
+def covered(boxes: pd.DataFrame) -> pd.DataFrame:
+    """The area under boxes (a, b, lo, hi): how many lie over each piece between their edges, some strips of x at a time."""
+    xs, ys = (np.unique(boxes[list(c)].to_numpy()) for c in (("a", "b"), ("lo", "hi")))
+    first, last, low, high = (np.searchsorted(e, boxes[c].to_numpy()) for e, c in ((xs, "a"), (xs, "b"), (ys, "lo"), (ys, "hi")))
+    wide, tall, area, over = np.append(np.diff(xs), 0.0), np.diff(ys), 0.0, np.zeros(len(ys), dtype=np.int64)
+    step = max(1, STRIPS // len(ys))
+    for s in range(0, len(xs), step):
+        change = np.zeros((min(step, len(xs) - s), len(ys)), dtype=np.int64)
+        for ends, sign in ((first, 1), (last, -1)):
+            k = (ends >= s) & (ends < s + step)
+            np.add.at(change, (ends[k] - s, low[k]), sign)
+            np.add.at(change, (ends[k] - s, high[k]), -sign)
+        change[0] += over
+        depth = np.cumsum(change, axis=0)
+        over = depth[-1]
+        area += float(wide[s : s + step] @ (np.cumsum(depth, axis=1)[:, :-1] > 0) @ tall)
+    return pd.DataFrame({"area": [area]})
 
 
 def circular(angle: Column) -> dict[str, Column]:
